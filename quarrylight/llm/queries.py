@@ -6,11 +6,52 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarrylight.llm import bpe, packing
+from quarrylight.llm import bpe, packing, quality
 from quarrylight.llm._common import arrow_batches, table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality ledger of every document with the base verdict and that of policy v1."""
+    rows = quality.ledger(table(spark, sf_dir, "documents", "doc_id", "text"))
+    base = F.col("failed").bitwiseAND(F.lit(quality.mask_of(quality.BASE_RULES))) != 0
+    return quality.apply_policy(rows, "v1").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", F.col("failed").alias("failed_bits"), "n_lines", "n_capitals")
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^ 	-]+') AS ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls
+  FROM d),
+g AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n
+  FROM (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w))),
+r AS (
+  SELECT doc_id, count(DISTINCT j) AS n_repeat
+  FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM g WHERE n > 1) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, len(ws)::BIGINT AS n_words,
+    length(regexp_replace(t, '[ 	-]', '', 'g'))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+    coalesce(n_repeat, 0)::BIGINT AS n_repeat_words,
+    len(ls)::BIGINT AS n_lines,
+    (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::BIGINT AS n_capitals
+  FROM w LEFT JOIN r ON w.doc_id = r.doc_id),
+f AS (
+  SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (100 * n_symbols > 10 * n_words)::BIGINT
+    + 8 * (100 * n_dup_lines > 50 * n_lines)::BIGINT + 16 * (100 * n_capitals > 50 * word_chars)::BIGINT
+    + 32 * (2 * word_chars < 4 * n_words)::BIGINT + 64 * (word_chars > 20 * n_words)::BIGINT)::BIGINT AS failed_bits
+  FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits, n_lines, n_capitals
+FROM f
+"""
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token pieces, packed into sequences of 2048."""
     arrow_batches(spark)
@@ -26,6 +67,7 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to function of (spark, sf_dir)."""
     return {
+        "op1_quality_rules": op1_quality_rules,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op9_bpe_round_trip": op9_bpe_round_trip,
     }
@@ -33,4 +75,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {}
+    return {
+        "op1_quality_rules": OP1_SQL,
+    }
