@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bpe, packing, quality
+from quarrylight.llm import bpe, licenses, packing, quality
 from quarrylight.llm._common import arrow_batches, table
 
 
@@ -22,8 +22,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (
-  SELECT doc_id, t, regexp_extract_all(t, '[^ 	-]+') AS ws,
-         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls
+  SELECT doc_id, t, regexp_extract_all(t, '[^ 	-
+]+') AS ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS ls
   FROM d),
 g AS (
   SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n
@@ -34,7 +36,8 @@ r AS (
   FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM g WHERE n > 1) GROUP BY doc_id),
 m AS (
   SELECT w.doc_id, len(ws)::BIGINT AS n_words,
-    length(regexp_replace(t, '[ 	-]', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[ 	-
+]', '', 'g'))::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
     coalesce(n_repeat, 0)::BIGINT AS n_repeat_words,
@@ -58,6 +61,53 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrase places and license labels of every document."""
+    found = licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    base = F.filter("detections", lambda d: d["base"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda d: d["start"])).cast("long").alias("first_word"),
+        F.array_max(F.transform(base, lambda d: d["start"])).cast("long").alias("last_word"),
+        licenses.labels_of(base).alias("base_labels"),
+        licenses.labels_of(F.col("detections")).alias("labels"),
+        licenses.score_of(F.col("detections")).alias("score"),
+    )
+
+
+def _op5_sql() -> str:
+    """The scan with the rule table as values; non-ASCII characters become _ so that \b parts words."""
+    values = ", ".join("(" + ", ".join([str(k), f"'{r.gate}'", f"'{r.keyword}'", f"'{r.label}'", f"'{r.pattern}'", str(r.priority), str(r.base).lower()]) + ")" for k, r in enumerate(licenses.rules()))
+    return rf"""
+WITH rules(rank, gate, keyword, label, pattern, priority, base) AS (VALUES {values}),
+f AS (
+  SELECT doc_id, regexp_replace(' ' || regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\x00-\x7F]', '_', 'g'), '[^0-9a-z_]', ' ', 'g') || ' ', ' {{2,}}', ' ', 'g') AS form
+  FROM (SELECT doc_id, translate(text, '_', ' ') AS text FROM documents)),
+m AS (
+  SELECT doc_id, rules.*, string_split(regexp_replace(form, '\b(' || pattern || ')\b', chr(1) || '\1', 'g'), ' ') AS ws, regexp_extract_all(form, '\b(' || pattern || ')\b') AS ms
+  FROM f JOIN rules ON contains(form, gate) AND contains(form, keyword)
+  WHERE regexp_matches(form, '\b(' || pattern || ')\b')),
+p AS (SELECT *, list_filter(range(len(ws)), lambda i: starts_with(ws[i + 1], chr(1))) AS pos FROM m),
+d AS (
+  SELECT doc_id, rank, label, priority, base, pos[k] - 1 AS s, pos[k] - 1 + len(string_split(ms[k], ' ')) AS e
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM p)),
+kept AS (
+  SELECT * FROM d WHERE base OR NOT EXISTS (
+    SELECT 1 FROM d o WHERE o.doc_id = d.doc_id AND ((o.s < d.e AND d.s < o.e AND o.priority > d.priority)
+      OR (o.s <= d.s AND d.e <= o.e AND o.priority = d.priority AND o.rank < d.rank)))),
+g AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
+    coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ','), '') AS base_labels,
+    array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(priority) / 100.0 AS score
+  FROM kept GROUP BY doc_id)
+SELECT f.doc_id, (length(form) - length(replace(form, ' ', '')) - 1)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
+  first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM f LEFT JOIN g ON f.doc_id = g.doc_id
+"""
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document's encoding and of its decoding."""
     arrow_batches(spark)
@@ -69,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op5_license_scans": op5_license_scans,
         "op9_bpe_round_trip": op9_bpe_round_trip,
     }
 
@@ -77,4 +128,5 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
     return {
         "op1_quality_rules": OP1_SQL,
+        "op5_license_scans": _op5_sql(),
     }
