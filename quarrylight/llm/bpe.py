@@ -8,7 +8,7 @@ edge is proven stable once the pair across it encodes to itself; tokens outside
 keep their proven pairs. Decoding maps tokens to bytes at the leaves and concatenates upwards.
 
 Null and empty texts have no tokens and decode to the empty byte string. Equal pieces are
-encoded once and kept in a bounded per-worker memo; a memo that is full is emptied.
+encoded once and kept in a bounded per-worker memo.
 """
 
 from __future__ import annotations
@@ -21,10 +21,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarrylight.llm.pieces import splitter
+from quarrylight.llm.pieces import Memo, splitter
 
 LEAF = 64
-MEMO = 300_000
 
 Encode = Callable[[bytes], list[int]]
 
@@ -68,6 +67,8 @@ class TreeCodec:
             return []
         if piece in self.ranks:
             return [self.ranks[piece]]
+        if len(piece) <= LEAF:
+            return self.leaf(piece)
         level = [self.leaf(piece[i : i + LEAF]) for i in range(0, len(piece), LEAF)]
         while len(level) > 1:
             level = [self.join(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
@@ -85,14 +86,20 @@ class TreeCodec:
         return level[0]
 
 
-_codecs: dict[tuple[str, str], tuple[TreeCodec, dict, dict]] = {}
+_codecs: dict[tuple[str, str], tuple[TreeCodec, Memo]] = {}
 _lock = threading.Lock()
 
 
-def _codec(path: str, pattern: str) -> tuple[TreeCodec, dict, dict]:
+def _codec(path: str, pattern: str) -> tuple[TreeCodec, Memo]:
     with _lock:
         if (path, pattern) not in _codecs:
-            _codecs[path, pattern] = (TreeCodec(read_ranks(path), pattern), {}, {})
+            codec = TreeCodec(read_ranks(path), pattern)
+
+            def made(pieces: list[str]) -> list[tuple[str, bytes]]:
+                encoded = [codec.encode_piece(piece.encode()) for piece in pieces]
+                return [(",".join(map(str, ids)), codec.decode(ids)) for ids in encoded]
+
+            _codecs[path, pattern] = (codec, Memo(made))
         return _codecs[path, pattern]
 
 
@@ -106,21 +113,15 @@ def round_trip(docs: DataFrame, path: str, pattern: str, *, id_column: str = "do
     schema = f"{docs.select(id_column).schema.fields[0].name} {docs.schema[id_column].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, ids_of, back_of = _codec(path, pattern)
+        codec, memo = _codec(path, pattern)
         for batch in batches:
             counts, ids_digest, back_digest = [], [], []
             for text in batch.column(1):
-                pieces = codec.split(text.as_py() or "")
-                for piece in {p for p in pieces if p not in ids_of}:
-                    ids = codec.encode_piece(piece.encode())
-                    ids_of[piece], back_of[piece] = ",".join(map(str, ids)), codec.decode(ids)
-                joined = ",".join([ids_of[p] for p in pieces])
+                made = memo.all(codec.split(text.as_py() or ""))
+                joined = ",".join([ids for ids, _ in made])
                 counts.append(joined.count(",") + 1 if joined else 0)
                 ids_digest.append(hashlib.sha256(joined.encode()).hexdigest())
-                back_digest.append(hashlib.sha256(b"".join([back_of[p] for p in pieces])).hexdigest())
-                if len(ids_of) > MEMO:
-                    ids_of.clear()
-                    back_of.clear()
+                back_digest.append(hashlib.sha256(b"".join([back for _, back in made])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(back_digest, pa.string())], names=[id_column, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(id_column, text_column).mapInArrow(run, schema)

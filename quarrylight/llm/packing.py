@@ -15,6 +15,7 @@ cells, so no task holds an unbounded group even if a third of all pieces are equ
 from __future__ import annotations
 
 import bisect
+import struct
 import threading
 import zlib
 from collections import defaultdict
@@ -26,12 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.llm._common import write_shared
-from quarrylight.llm.pieces import splitter
+from quarrylight.llm.pieces import Memo, splitter
 
 CAPACITY = 2048
-MEMO = 300_000
 #: Pieces of a cell, and the most cells that the driver holds counts of.
-CELL_ROWS, CELLS = 50_000, 100_000
+CELL_ROWS, CELLS = 500, 100_000
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 _tokenizers: dict[tuple[str, str], tuple] = {}
@@ -48,7 +48,11 @@ def _tokenizer(path: str, pattern: str) -> tuple:
 
             tokenizer = Tokenizer.from_file(path)
             tokenizer.encode_special_tokens = True
-            _tokenizers[path, pattern] = (tokenizer, splitter(pattern), {})
+
+            def ids_of(pieces: list[str]) -> list[bytes]:
+                return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False))]
+
+            _tokenizers[path, pattern] = (splitter(pattern), Memo(ids_of))
         return _tokenizers[path, pattern]
 
 
@@ -66,21 +70,15 @@ def token_pieces(docs: DataFrame, path: str, pattern: str, *, capacity: int = CA
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, split, memo = _tokenizer(path, pattern)
+        split, memo = _tokenizer(path, pattern)
         last = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = split(text.as_py() or "")
-                if new := list({p for p in found if p not in memo}):
-                    for piece, encoding in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                        memo[piece] = np.array(encoding.ids, "<u4").tobytes()
-                ids = b"".join([memo[p] for p in found]) + last
+                ids = b"".join(memo.all(split(text.as_py() or ""))) + last
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     for column, value in zip(rows, (doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]))):
                         column.append(value)
-                if len(memo) > MEMO:
-                    memo.clear()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {PIECES}")
@@ -145,9 +143,8 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     rows = max(CELL_ROWS, sum(sizes.values()) // CELLS)
     parts = {length: -(-n // rows) for length, n in sizes.items()}
     cells = F.lit(1)
-    if hot := {length: k for length, k in parts.items() if k > 1}:
-        by_length = F.create_map(*[F.lit(x) for kv in hot.items() for x in kv])
-        cells = F.coalesce(by_length[F.col("length")], F.lit(1))
+    if hot := any(k > 1 for k in parts.values()):
+        cells = F.get(F.lit([parts.get(length, 1) for length in range(capacity + 1)]), F.col("length").cast("int"))
     celled = pieces.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "start"), cells).cast("int"))
     base: dict[tuple[int, int], int] = {}
     if hot:

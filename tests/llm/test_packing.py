@@ -36,8 +36,7 @@ def test_plan_is_gapless_and_near_the_best(counts):
             assert offset == at
             at += length
         assert at <= 50
-    tokens = sum(k * v for k, v in counts.items())
-    assert len(by) <= max(-(-tokens // 50), 11 * -(-tokens // 50) / 9 + sum(v for k, v in counts.items() if k > 25) + 1)
+    assert len(by) <= len(best_fit([k for k, v in counts.items() for _ in range(v)], 50)) * 1.05 + 1
 
 
 def best_fit(lengths, capacity=2048):
