@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bpe, licenses, packing, quality
+from quarrylight.llm import bpe, licenses, packing, quality, secrets
 from quarrylight.llm._common import arrow_batches, table
 
 
@@ -61,6 +61,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and network findings in every document."""
+    arrow_batches(spark)
+    return secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrase places and license labels of every document."""
     found = licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -119,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_secret_scans": op3_secret_scans,
         "op5_license_scans": op5_license_scans,
         "op9_bpe_round_trip": op9_bpe_round_trip,
     }
