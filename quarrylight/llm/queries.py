@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bpe, licenses, packing, quality, secrets
+from quarrylight.llm import bpe, licenses, packing, quality, secrets, toxicity
 from quarrylight.llm._common import arrow_batches, table
 
 
@@ -67,6 +67,15 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from labels outside the held-out fold (crc32 of the id, modulo 3, is 1)."""
+    arrow_batches(spark)
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    machine = toxicity.fit(toxicity.training_sample(docs, labels.filter(~held_out)))
+    return toxicity.score(docs, machine).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrase places and license labels of every document."""
     found = licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -126,6 +135,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_secret_scans": op3_secret_scans,
+        "op4_toxicity": op4_toxicity,
         "op5_license_scans": op5_license_scans,
         "op9_bpe_round_trip": op9_bpe_round_trip,
     }
