@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bpe, licenses, packing, quality, secrets, toxicity
+from quarrylight.llm import bpe, html, licenses, packing, quality, secrets, toxicity
 from quarrylight.llm._common import arrow_batches, table
 
 
@@ -123,6 +123,12 @@ FROM f LEFT JOIN g ON f.doc_id = g.doc_id
 """
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    arrow_batches(spark)
+    return html.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document's encoding and of its decoding."""
     arrow_batches(spark)
@@ -137,6 +143,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secret_scans": op3_secret_scans,
         "op4_toxicity": op4_toxicity,
         "op5_license_scans": op5_license_scans,
+        "op6_html_extraction": op6_html_extraction,
         "op9_bpe_round_trip": op9_bpe_round_trip,
     }
 
