@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bpe, html, licenses, packing, quality, secrets, toxicity
+from quarrylight.llm import bpe, html, licenses, packing, quality, secrets, topk, toxicity
 from quarrylight.llm._common import arrow_batches, table
 
 
@@ -129,6 +129,26 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best other vectors of every vector whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return topk.search(vectors.filter(F.col("vec_id") % 100 == 0), vectors, 10)
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS w
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.w, c.w)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 10
+"""
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document's encoding and of its decoding."""
     arrow_batches(spark)
@@ -144,6 +164,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_license_scans": op5_license_scans,
         "op6_html_extraction": op6_html_extraction,
+        "op7_exact_top_k": op7_exact_top_k,
         "op9_bpe_round_trip": op9_bpe_round_trip,
     }
 
@@ -153,4 +174,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": OP1_SQL,
         "op5_license_scans": _op5_sql(),
+        "op7_exact_top_k": OP7_SQL,
     }
