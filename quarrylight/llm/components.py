@@ -1,0 +1,41 @@
+"""Connected components of an edge table by alternating large-star and small-star steps.
+
+Each step is a grouped minimum and a join back; the table of edges is written to the shared
+folder after every round, so lineage stays short and a lost executor costs one step.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quarrylight.llm._common import write_shared
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return both.filter("b > a").join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    joined = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return joined.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``vertex`` and ``component`` (the least vertex it reaches) of each vertex that has an edge to a smaller one.
+
+    ``edges`` has two long columns a and b; loops and edges with a null end are ignored, repeated
+    ones count once. Vertices that are the least of their component are not listed.
+    """
+    current = write_shared(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    before = None
+    while True:
+        current = write_shared(_small_star(_large_star(current)), "edges")
+        state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == before:
+            return current.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
+        before = state

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bpe, html, licenses, packing, quality, secrets, topk, toxicity
+from quarrylight.llm import bpe, html, licenses, neardup, packing, quality, secrets, topk, toxicity
 from quarrylight.llm._common import arrow_batches, table
 
 
@@ -155,6 +155,12 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    arrow_batches(spark)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to function of (spark, sf_dir)."""
     return {
@@ -166,6 +172,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_html_extraction": op6_html_extraction,
         "op7_exact_top_k": op7_exact_top_k,
         "op9_bpe_round_trip": op9_bpe_round_trip,
+        "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
 
 
