@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bpe, html, licenses, neardup, packing, quality, secrets, topk, toxicity
+from quarrylight.llm import bpe, html, licenses, neardup, packing, quality, secrets, suffixes, topk, toxicity
 from quarrylight.llm._common import arrow_batches, table
 
 
@@ -149,6 +149,12 @@ WHERE rank <= 10
 """
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that every document loses to earlier ones, by repeated strings of 50 bytes."""
+    arrow_batches(spark)
+    return suffixes.removal_report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document's encoding and of its decoding."""
     arrow_batches(spark)
@@ -171,6 +177,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_license_scans": op5_license_scans,
         "op6_html_extraction": op6_html_extraction,
         "op7_exact_top_k": op7_exact_top_k,
+        "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
