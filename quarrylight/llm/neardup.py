@@ -287,3 +287,11 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     joined = known.select("doc_id", "n", "digest").join(labelled, ["n", "digest"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` without the documents whose component has a smaller id; rows that repeat an id stay or go together."""
+    gone = write_shared(near_duplicates(docs, words=words, percent=percent).filter("NOT kept").select("doc_id").distinct(), "duplicates")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -140,3 +140,9 @@ def ablations(ledger_rows: DataFrame, policy: str = "v1") -> DataFrame:
             F.sum(F.when(F.col("bits").bitwiseAND(F.bitwise_not(F.col("r.bit"))) == 0, F.col("n")).otherwise(0)).alias("n_kept_without"),
         )
     )
+
+
+def keep_clean(docs: DataFrame, policy: str = "v1") -> DataFrame:
+    """The rows of ``docs`` that the policy keeps, with all their columns."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return apply_policy(ledger(packed, keep=("row",)), policy).filter("kept").select("row.*")
