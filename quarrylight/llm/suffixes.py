@@ -475,4 +475,4 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
     keyed = _with_spans(docs.select("doc_id", "text", F.struct(*names).alias("row")), length)
-    return keyed.select(*[F.col("row")[n].alias(n) for n in names], "spans").mapInArrow(run, docs.schema)
+    return keyed.select(*[F.col("row")[n].alias(n) for n in names], F.col("spans").alias("ranges that go")).mapInArrow(run, docs.schema)
