@@ -7,9 +7,9 @@ id goes. The order of suffixes matters to ``LENGTH`` bytes only, so the sort sto
 2. A string's minimizer is the least hash of its ``GRAM``-byte substrings; equal strings have
    equal minimizers. Minimizers met in a single document rule their strings out, so only text
    under repeated minimizers is sorted. Their counts are combined per batch, then per bucket.
-3. The remaining strings are sorted within each map batch first, which settles all but one
-   document per string and batch, and then dealt by minimizer and sorted in the reducer.
-4. A sort takes a difference cover of 3: sampled positions (1 and 2 modulo 3) are named by
+3. The remaining text is dealt by minimizer, in runs of strings that share one. A run that
+   a smaller document of the same map batch holds too is settled there and not sent.
+4. Each bucket's suffixes are sorted: the sort takes a difference cover of 3: sampled positions (1 and 2 modulo 3) are named by
    sorted triples of words, the names are named again by sorted pairs until they span all but
    two bytes of the string, the remaining positions are merged through the names that follow
    them, and neighbours with equal prefixes form the classes whose least id keeps the string.
@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from quarrylight.llm._common import write_shared
 
 LENGTH, GRAM = 50, 24
-#: Bytes hashed at a time and sorted at a time; rows that may be broadcast to a text scan.
-HASHED, SORTED, BROADCAST_ROWS = 1 << 17, 8 << 20, 2_000_000
-#: The least number of buckets that minimizers are dealt to.
-BUCKETS = 64
+#: Bytes hashed at a time, strings sorted at a time; rows that may be broadcast to a text scan.
+HASHED, SORTED, BROADCAST_ROWS = 1 << 17, 1 << 20, 2_000_000
+#: The least number of partitions that minimizers are dealt to, in buckets.
+PARTS = 32
 _low = np.uint64((1 << 48) - 1)
 _all = np.array([[0, 1 << 40]], np.int64).tobytes()
 
@@ -166,7 +166,7 @@ def _runs_of(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, n
     return tuple(np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(parts, (np.int64, np.int64, np.int64, np.uint64)))
 
 
-def _repeated_minimizers(texts: DataFrame, length: int, buckets: int) -> DataFrame:
+def _repeated_minimizers(texts: DataFrame, length: int, parts: int, buckets: int) -> DataFrame:
     """rid and the packed low halves (48 bits) of its minimizers that other documents hold too.
 
     Each batch sends a minimizer to its bucket once, whatever number of its documents hold it.
@@ -255,7 +255,7 @@ def _repeated_minimizers(texts: DataFrame, length: int, buckets: int) -> DataFra
         if uid is not None:
             yield done()
 
-    dealt = texts.select("rid", "text").mapInArrow(select, batch_schema).repartition(buckets, "deal")
+    dealt = texts.select("rid", "text").mapInArrow(select, batch_schema).repartition(parts, "deal")
     met = dealt.mapInArrow(meet, batch_schema).select("uid", "kind", "entries")
     return met.repartition("uid").sortWithinPartitions("uid", "kind").mapInArrow(name, "rid long, repeated binary")
 
@@ -288,22 +288,44 @@ def _spans(starts: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
     return np.stack([begin[at], end[np.append(at[1:], len(begin)) - 1]], 1) if len(at) else np.zeros((0, 2), np.int64)
 
 
-def _settle(texts: list[bytes], ids: np.ndarray, owner: np.ndarray, first: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
-    """For every string of the runs, in order, whether a smaller id among ``ids`` holds it too."""
-    sizes = np.array([len(t) for t in texts])
-    begins = np.cumsum(sizes) - sizes
-    ahead = np.repeat(np.cumsum(count) - count, count)
-    starts = np.repeat(begins[owner] + first, count) + np.arange(count.sum()) - ahead
-    owners = np.repeat(ids[owner], count)
-    return least_owners(np.frombuffer(b"".join(texts), np.uint8), starts, owners, length) < owners
+def _pack_runs(rids: np.ndarray, ids: np.ndarray, owner: np.ndarray, start: np.ndarray, count: np.ndarray, value: np.ndarray, strings: list[bytes]) -> bytes:
+    """Runs, the documents that own them and their bytes in one blob; see _unpack_runs."""
+    who, number = np.unique(owner, return_inverse=True)
+    columns = np.stack([number, start, count, (value & np.uint64(0x7FFFFFFF)).astype(np.int64)]).astype(np.int32)
+    return b"".join([np.array([len(owner), len(who)], np.int64).tobytes(), rids[who].tobytes(), ids[who].tobytes(), columns.tobytes(), *strings])
 
 
-PIECES = "deal long, rid long, doc long, start long, count long, kind int, bytes binary"
+def _unpack_runs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """rids, ids, a matrix of (owner, start, count, minimizer bits) and the bytes of all runs."""
+    n, m = np.frombuffer(blob, np.int64, 2).tolist()
+    owners = np.frombuffer(blob, np.int64, 2 * m, 16).reshape(2, m)
+    at = 16 + 16 * m
+    return owners[0], owners[1], np.frombuffer(blob, np.int32, 4 * n, at).reshape(4, n).astype(np.int64), np.frombuffer(blob, np.uint8, -1, at + 16 * n)
 
 
-def _piece_batch(columns: list[list]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["deal", "rid", "doc", "start", "count", "kind", "bytes"])
+def _settle_runs(blobs: list[bytes], length: int) -> Iterator[tuple[int, bytes]]:
+    """rid and packed spans of the strings in a bucket's runs that a smaller id holds too, sorted SORTED strings at a time."""
+    rids, ids, runs, texts = zip(*map(_unpack_runs, blobs))
+    shift = np.cumsum([0, *map(len, rids)])
+    owner = np.concatenate([r[0] + k for r, k in zip(runs, shift)])
+    _, start, count, bits = np.concatenate(runs, 1)
+    rid, doc, text = np.concatenate(rids), np.concatenate(ids), np.concatenate(texts)
+    sizes = count + length - 1
+    begins = np.cumsum(sizes) - sizes
+    parts = -(-int(count.sum()) // SORTED)
+    for part in range(parts):
+        own = np.flatnonzero(bits % parts == part)
+        n, size = count[own], sizes[own]
+        moved = np.cumsum(size) - size
+        held = text[np.repeat(begins[own] - moved, size) + np.arange(size.sum())]
+        ahead = np.cumsum(n) - n
+        at = np.repeat(moved - ahead, n) + np.arange(n.sum())
+        owners = np.repeat(doc[owner[own]], n)
+        lost = least_owners(held, at, owners, length) < owners
+        run, first, counts, flags = _split(lost, n, start[own])
+        gone = np.flatnonzero(flags)
+        for k, spans in _by_owner(owner[own][run[gone]], first[gone], counts[gone], length):
+            yield int(rid[k]), spans
 
 
 def _split(flags: np.ndarray, count: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -321,15 +343,16 @@ def repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     ``docs`` has rid (a hash of id and text), doc_id and text.
     """
     spark = docs.sparkSession
-    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = 8 * parts
     owned = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     digests = owned.select("rid", "doc_id", F.md5("text").alias("digest"))
     first = digests.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")).filter("other > rep").drop("other")
     copies = write_shared(digests.join(first, "digest").filter("doc_id > rep").select("rid").distinct(), "copies")
     texts = owned.join(_limited(copies), "rid", "left_anti")
-    known = write_shared(_repeated_minimizers(texts, length, buckets), "minimizers")
+    known = write_shared(_repeated_minimizers(texts, length, parts, buckets), "minimizers")
 
-    def settle_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = [(t.as_py() or "").encode() for t in batch.column(2)]
             rids, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -341,62 +364,45 @@ def repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
                 part = slice(bounds[k], bounds[k + 1])
                 repeated[part] = np.isin(low[part], np.frombuffer(packed.as_py(), np.uint64))
             owner, start, count, value = owner[repeated], start[repeated], count[repeated], value[repeated]
-            total = np.cumsum(count)
-            cut = 0
-            while cut < len(owner):
-                end = max(cut + 1, int(np.searchsorted(total, (total[cut - 1] if cut else 0) + SORTED)))
-                part = slice(cut, end)
-                cut = end
-                lost = _settle(held, ids, owner[part], start[part], count[part], length)
-                run, begins, counts, flags = _split(lost, count[part], start[part])
-                who, values = owner[part][run], value[part][run]
-                columns: list[list] = [[], [], [], [], [], [], []]
-                gone = np.flatnonzero(flags)
-                for k, spans in _by_owner(who[gone], begins[gone], counts[gone], length):
-                    for column, v in zip(columns, (int(rids[k]), int(rids[k]), int(ids[k]), 0, 0, 0, spans)):
-                        column.append(v)
-                for r in np.flatnonzero(~flags):
-                    k, s, n = int(who[r]), int(begins[r]), int(counts[r])
-                    for column, v in zip(columns, (int(values[r].view(np.int64)), int(rids[k]), int(ids[k]), s, n, 1, held[k][s : s + n + length - 1])):
-                        column.append(v)
-                yield _piece_batch(columns)
-
-    def settle_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, last = 0, None
-
-        def done() -> pa.RecordBatch:
-            rid, doc, start, count, texts = zip(*held) if held else ((), (), (), (), ())
-            if not texts:
-                return _found([], [])
-            n, number = np.array(count), np.arange(len(texts))
-            lost = _settle(list(texts), np.array(doc), number, np.zeros(len(texts), np.int64), n, length)
-            run, begins, counts, flags = _split(lost, n, np.array(start))
-            gone = np.flatnonzero(flags)
-            rids, place = np.unique(np.array(rid), return_inverse=True)
-            found = list(_by_owner(place[run[gone]], begins[gone], counts[gone], length))
-            return _found([int(rids[k]) for k, _ in found], [s for _, s in found])
-
+            strings = [held[k][s : s + n] for k, s, n in zip(owner.tolist(), start.tolist(), (count + length - 1).tolist())]
+            least: dict[bytes, int] = {}
+            for string, doc in zip(strings, ids[owner].tolist()):
+                if least.setdefault(string, doc) > doc:
+                    least[string] = doc
+            lost = np.fromiter(map(least.__getitem__, strings), np.int64, len(strings)) < ids[owner]
+            out: list[list] = [[], [], []]
+            gone = np.flatnonzero(lost)
+            for k, spans in _by_owner(owner[gone], start[gone], count[gone], length):
+                for column, v in zip(out, (buckets + k % buckets, int(rids[k]), spans)):
+                    column.append(v)
+            stay = np.flatnonzero(~lost)
+            bucket = ((value[stay] >> np.uint64(31)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                own = stay[order[cuts[b] : cuts[b + 1]]]
+                for column, v in zip(out, (b, None, _pack_runs(rids, ids, owner[own], start[own], count[own], value[own], [strings[r] for r in own]))):
+                    column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.binary()))], names=["deal", "rid", "held"])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
         for batch in batches:
             passed: list[list] = [[], []]
-            for deal, rid, doc, start, count, kind, text in zip(*(batch.column(k).to_pylist() for k in range(7))):
-                if kind == 0:
+            for deal, rid, blob in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if deal < buckets:
+                    held.setdefault(deal, []).append(blob)
+                else:
                     passed[0].append(rid)
-                    passed[1].append(text)
-                    continue
-                if deal != last and size >= SORTED:
-                    yield done()
-                    held, size = [], 0
-                held.append((rid, doc, start, count, text))
-                size += len(text)
-                last = deal
-            if passed[0]:
-                yield _found(*passed)
-        yield done()
+                    passed[1].append(blob)
+            yield _found(*passed)
+        for deal in list(held):
+            found = list(_settle_runs(held.pop(deal), length))
+            yield _found([k for k, _ in found], [v for _, v in found])
 
     wanted = texts.join(_limited(known.select("rid")), "rid", "left_semi").select("rid", "doc_id", "text").join(known.hint("shuffle_merge"), "rid")
-    pieces = wanted.mapInArrow(settle_batch, PIECES)
-    settled = pieces.repartition("deal").sortWithinPartitions("deal").mapInArrow(settle_bucket, "rid long, spans binary")
+    dealt = wanted.mapInArrow(deal_batch, "deal int, rid long, held binary").repartition(parts, "deal")
+    settled = dealt.mapInArrow(settle, "rid long, spans binary")
     return settled.unionByName(copies.select("rid", F.lit(_all).alias("spans")))
 
 
