@@ -32,10 +32,12 @@ from pyspark.sql import functions as F
 from quarrylight.llm._common import write_shared
 
 LENGTH, GRAM = 50, 24
-#: Bytes hashed at a time, strings sorted at a time; rows that may be broadcast to a text scan.
-HASHED, SORTED, BROADCAST_ROWS = 1 << 17, 1 << 20, 2_000_000
+#: Bytes hashed at a time, strings sorted at a time; bytes that may be broadcast to a text scan.
+HASHED, SORTED, BROADCAST_BYTES = 1 << 17, 1 << 20, 32 << 20
 #: The least number of partitions that minimizers are dealt to, in buckets.
 PARTS = 32
+#: Ways that the copies of one text are dealt.
+SALTS = 32
 _low = np.uint64((1 << 48) - 1)
 _all = np.array([[0, 1 << 40]], np.int64).tobytes()
 
@@ -348,7 +350,9 @@ def repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     owned = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     digests = owned.select("rid", "doc_id", F.md5("text").alias("digest"))
     first = digests.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")).filter("other > rep").drop("other")
-    copies = write_shared(digests.join(first, "digest").filter("doc_id > rep").select("rid").distinct(), "copies")
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = digests.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int"))
+    copies = write_shared(salted.join(first, ["digest", "salt"]).filter("doc_id > rep").select("rid").distinct(), "copies")
     texts = owned.join(_limited(copies), "rid", "left_anti")
     known = write_shared(_repeated_minimizers(texts, length, parts, buckets), "minimizers")
 
@@ -417,26 +421,36 @@ def _by_owner(owner: np.ndarray, starts: np.ndarray, counts: np.ndarray, length:
         yield int(owner[part[0]]), _spans(starts[part], counts[part], length).tobytes()
 
 
-def _limited(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``rows``, marked for broadcast if they are few enough."""
-    return F.broadcast(rows) if rows.count() <= most else rows
+def _limited(rows: DataFrame) -> DataFrame:
+    """``rows`` (rid and perhaps spans), marked for broadcast if their size, as counted, is within the bound."""
+    width = F.octet_length("spans") + 8 if "spans" in rows.columns else F.lit(8)
+    size = rows.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+    return F.broadcast(rows) if size <= BROADCAST_BYTES else rows
+
+
+def _joined_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A text's ranges from all buckets as disjoint ranges, in order."""
+    for batch in batches:
+        out = []
+        for packed in batch.column(1).to_pylist():
+            ranges = np.frombuffer(b"".join(packed), np.int64).reshape(-1, 2)
+            out.append(_spans(ranges[:, 0], ranges[:, 1] - ranges[:, 0], 1).tobytes())
+        yield _found(batch.column(0).to_pylist(), out)
 
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    """The rows of ``docs`` with rid and ``spans``, a list of packed ranges that is null where nothing goes."""
+    """The rows of ``docs`` with rid and ``spans``, packed disjoint ranges that are null where nothing goes."""
     rows = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
-    found = repeats(rows.select("rid", "doc_id", "text"), length=length)
-    merged = write_shared(found.groupBy("rid").agg(F.collect_list("spans").alias("spans")), "spans")
-    return rows.join(_limited(merged, BROADCAST_ROWS // 4), "rid", "left")
+    found = repeats(rows.select("rid", "doc_id", "text"), length=length).groupBy("rid").agg(F.collect_list("spans").alias("spans"))
+    merged = write_shared(found.mapInArrow(_joined_spans, "rid long, spans binary"), "spans")
+    return rows.join(_limited(merged), "rid", "left")
 
 
-def _cut(text: bytes, packed: list[bytes] | None, length: int) -> tuple[bytes, int, int]:
+def _cut(text: bytes, packed: bytes | None, length: int) -> tuple[bytes, int, int]:
     """What stays of a text, bytes removed and number of removed ranges."""
     if not packed or len(text) < length:
         return text, 0, 0
-    ranges = np.concatenate([np.frombuffer(p, np.int64).reshape(-1, 2) for p in packed])
-    joined = _spans(ranges[:, 0], ranges[:, 1] - ranges[:, 0] - length + 1, length)
-    at, parts, removed = 0, [], 0
+    at, parts, removed, joined = 0, [], 0, np.frombuffer(packed, np.int64).reshape(-1, 2)
     for start, end in joined.tolist():
         end = min(end, len(text))
         parts.append(text[at:start])
