@@ -1,0 +1,22 @@
+"""A stated query set against all rows, in blocks: an equi-join on block numbers, never an unbounded product."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+ROWS = 4096
+BROADCAST_ROWS = 100_000
+
+
+def against(queries: DataFrame, rows: DataFrame, key: str, rows_a_block: int = ROWS) -> DataFrame:
+    """Each query paired with each row; column names of the two sides must differ.
+
+    Queries are copied to the blocks of ``rows`` and met there. They are broadcast only if a count
+    shows that they are few, else both sides are shuffled by block and AQE splits large blocks.
+    """
+    n = queries.count()
+    blocks = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    dealt = rows.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    copies = queries.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return dealt.join(F.broadcast(copies) if n * blocks <= BROADCAST_ROWS else copies, "__block").drop("__block")
