@@ -45,11 +45,10 @@ def verify_items(items: DataFrame, found: DataFrame) -> DataFrame:
 
     items: item_id, source_id, needle (one row a needle); found: occurrences of the needles.
     """
-    n = found.groupBy("item_id", "needle").agg(F.count("*").alias("n"))
-    own = found.select("item_id", "needle", F.col("source_id").alias("__own")).distinct()
-    fits = F.length("needle").between(*NEEDLE_CHARS)
-    rows = items.join(n, ["item_id", "needle"], "left").join(own, (items["item_id"] == own["item_id"]) & (items["needle"] == own["needle"]) & (items["source_id"] == own["__own"]), "left")
-    rows = rows.select(items["item_id"], items["needle"], fits.alias("fits"), F.col("__own").isNotNull().alias("located"), F.coalesce("n", F.lit(0)).alias("n"))
+    n = found.groupBy("item_id", "needle").agg(F.count("*").alias("n"), F.collect_set("source_id").alias("__sources"))
+    rows = items.select("item_id", "source_id", "needle").join(n, ["item_id", "needle"], "left")
+    located = F.coalesce(F.array_contains("__sources", F.col("source_id")), F.lit(False))
+    rows = rows.select("item_id", "needle", F.length("needle").between(*NEEDLE_CHARS).alias("fits"), located.alias("located"), F.coalesce("n", F.lit(0)).alias("n"))
     good = F.col("fits") & F.col("located")
     return rows.groupBy("item_id").agg(
         F.sum(good.cast("long")).alias("n_good"),

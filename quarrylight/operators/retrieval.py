@@ -28,7 +28,7 @@ def visible(owner: Column, caller: Column) -> Column:
 def top_k(scored: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
     """The ``k`` best rows of each query by score, ties to the smaller key, with rank from 0."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))
-    return scored.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def dense(queries: DataFrame, chunks: DataFrame, k: int = POOL) -> DataFrame:
@@ -77,8 +77,8 @@ def rrf(legs: dict[str, DataFrame], weights: dict[str, float] | None = None, lim
     own = [F.min(F.when(F.col("leg") == name, F.col("leg_rank"))).alias(f"{name}_rank") for name in legs]
     fused = union.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") / (k + F.col("leg_rank"))), 12).alias("score"), F.min("leg_rank").alias("best"), F.count("*").alias("n_legs"), *own)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "best", "chunk_id")
-    ranked = fused.withColumn("rank", F.row_number().over(order) - 1).drop("best")
-    return ranked.filter(F.col("rank") < limit) if limit else ranked
+    ranked = fused.withColumn("rank", F.row_number().over(order)).drop("best")
+    return (ranked.filter(F.col("rank") <= limit) if limit else ranked).withColumn("rank", F.col("rank") - 1)
 
 
 def leg_contribution(fused: DataFrame, legs: list[str], top: int = 50) -> DataFrame:
