@@ -36,8 +36,9 @@ def write_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; blank lines are skipped, and lines that are no object of the schema are dropped, not fatal."""
-    lines = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    return lines.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("row")).select("row.*")
+    return parsed.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
 def append_lines(df: DataFrame, path: str) -> None:
