@@ -12,6 +12,7 @@ BLANKS = r"\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{
 #: What makes a token, a part of one, and where case parts it.
 TOKEN = r"[A-Za-z0-9]+(?:[._\-@/#][A-Za-z0-9]+)*"
 SEPARATORS = r"[._\-@/#]+"
+COMPOUND = r"[._\-@/#]|[a-z0-9][A-Z]"
 #: A needle counts as partly found from this share of its prefix; quotes from this many characters.
 PARTIAL, QUOTE_CHARS = 0.5, 12
 
@@ -66,8 +67,8 @@ def tokenize(text: Column) -> Column:
         parts = F.filter(F.split(token, SEPARATORS), lambda p: p != "")
         return F.concat(F.array(F.lower(token)), several(parts), several(pieces(token)))
 
-    whole = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({TOKEN})"), F.lit(1))
-    return F.flatten(F.transform(whole, expand))
+    whole = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+    return F.flatten(F.transform(whole, lambda t: F.when(t.rlike(COMPOUND), expand(t)).otherwise(F.array(F.lower(t)))))
 
 
 def found_prefix(needle: Column, text: Column) -> Column:

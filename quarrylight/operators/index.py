@@ -52,20 +52,34 @@ def build_report(children: DataFrame, vectors: DataFrame, parents: DataFrame) ->
     )
 
 
-def postings(texts: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """key, term, tf and the text's token count dl; texts without tokens have no rows."""
+def postings(texts: DataFrame, key: str = "chunk_id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """key, term, tf and the text's token count dl; texts without tokens have no rows.
+
+    ``only`` (term) keeps the postings of those terms: where an index is built for known queries,
+    other tokens leave before the shuffle.
+    """
     tokens = texts.select(key, tokenize(F.col(text)).alias("tokens")).select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return tokens.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    if only is not None:
+        tokens = tokens.join(only.select("term").distinct(), "term", "left_semi")
+    return tokens.groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
 
-def corpus_stats(texts: DataFrame, text: str = "text") -> DataFrame:
-    """One row: n texts and their mean token count avgdl (0 for none); texts without tokens count."""
-    return texts.select(F.size(tokenize(F.col(text))).alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+def corpus_stats(texts: DataFrame, posted: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """One row: n texts and their mean token count avgdl (0 for none); texts without tokens count.
+
+    With the postings of all terms, token counts come from them: with the same columns read, Spark
+    runs the tokenizer once and reuses its exchange.
+    """
+    if posted is None:
+        return texts.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size(tokenize(F.col(text)))), F.lit(0.0)).alias("avgdl"))
+    total = posted.agg(F.coalesce(F.sum(F.when(F.col("dl") > 0, F.col("tf"))), F.lit(0)).alias("total"))
+    n = texts.agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(total), F.lit(True)).select("n", F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(0.0).alias("avgdl"))
 
 
-def term_stats(posted: DataFrame, stats: DataFrame, key: str = "chunk_id") -> DataFrame:
+def term_stats(posted: DataFrame, stats: DataFrame) -> DataFrame:
     """term, df and idf (never negative)."""
-    df = posted.groupBy("term").agg(F.count(key).alias("df"))
+    df = posted.groupBy("term").agg(F.count(F.when((F.col("dl") > 0) & (F.col("tf") > 0), 1)).alias("df"))
     idf = F.greatest(F.lit(0.0), F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     return df.join(F.broadcast(stats), F.lit(True)).select("term", "df", idf.alias("idf"))
 

@@ -62,8 +62,10 @@ def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"), F.lit(None).cast("string").alias("caller"))
 
 
-def text_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    posted, stats = index.postings(chunks), index.corpus_stats(chunks)
+def text_index(chunks: DataFrame, queries: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole index, or the part of it that ``queries`` reach."""
+    posted = index.postings(chunks, only=None if queries is None else retrieval.query_terms(queries))
+    stats = index.corpus_stats(chunks, posted if queries is None else None)
     return posted, index.term_stats(posted, stats), stats
 
 
@@ -74,8 +76,8 @@ def parent_texts(chunks: DataFrame) -> DataFrame:
 
 
 def sparse_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = child_chunks(spark, sf_dir)
-    return retrieval.sparse(text_queries(spark, sf_dir), *text_index(chunks), chunks.select("chunk_id", "owner"))
+    chunks, queries = child_chunks(spark, sf_dir), text_queries(spark, sf_dir)
+    return retrieval.sparse(queries, *text_index(chunks, queries), chunks.select("chunk_id", "owner"))
 
 
 TOKENS = r"""list_reduce(list_transform(regexp_extract_all({c}, '[A-Za-z0-9]+(?:[._\-@/#][A-Za-z0-9]+)*'), lambda t:
@@ -343,8 +345,8 @@ def r22_vocabulary(spark, sf_dir):
 
 @query(f"WITH {CHUNKS_SQL}, {TQ_SQL}, {index_sql()}, {sparse_sql('tq')} SELECT query_id, chunk_id, rank::INT AS rank, matched, round(score, 6) AS score FROM sparse WHERE rank < 10")
 def r10_sparse_top_k(spark, sf_dir):
-    chunks = child_chunks(spark, sf_dir)
-    hits = retrieval.sparse(text_queries(spark, sf_dir), *text_index(chunks), chunks.select("chunk_id", "owner"), 10)
+    chunks, queries = child_chunks(spark, sf_dir), text_queries(spark, sf_dir)
+    hits = retrieval.sparse(queries, *text_index(chunks, queries), chunks.select("chunk_id", "owner"), 10)
     return hits.select("query_id", "chunk_id", "rank", "matched", F.round("score", 6).alias("score"))
 
 

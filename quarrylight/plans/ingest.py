@@ -56,7 +56,8 @@ def ingest(docs: DataFrame, manifest: DataFrame, cache: DataFrame, model: Embed,
     chunks = chunk_documents(to_reprocess(docs, planned), fingerprint=fingerprint, **options)
     vectors, made = embed(chunks, cache, model)
     texts = chunks.filter("role = 'child'").select("chunk_id", F.col("embed_text").alias("text"))
-    posted, stats = indexing.postings(texts), indexing.corpus_stats(texts)
+    posted = indexing.postings(texts)
+    stats = indexing.corpus_stats(texts, posted)
     parents = chunks.filter("role = 'parent'").select(F.col("chunk_id").alias("parent_id"))
     return {
         "plan": planned,

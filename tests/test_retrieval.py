@@ -38,10 +38,15 @@ def small_index(spark):
     return spark.createDataFrame(rows, "chunk_id string, parent_id string, owner string, text string, embed_text string, vec array<double>").withColumn("display_text", F.col("text"))
 
 
+def built_index(chunks):
+    posted = index.postings(chunks)
+    stats = index.corpus_stats(chunks, posted)
+    return posted, index.term_stats(posted, stats), stats
+
+
 def test_bm25_against_the_formula(spark):
     chunks = small_index(spark)
-    posted, stats = index.postings(chunks), index.corpus_stats(chunks)
-    terms = index.term_stats(posted, stats)
+    posted, terms, stats = built_index(chunks)
     queries = spark.createDataFrame([("q", "red red err_5521", None), ("mine", "red", "me")], "query_id string, query_text string, caller string")
     got = retrieval.sparse(queries, posted, terms, stats, chunks.select("chunk_id", "owner")).collect()
     tokens = {"a": "the red fox err_5521 err 5521".split(), "b": ["red", "red", "wine"], "c": ["red", "secret"], "d": ["red", "other"], "e": [], "f": ["blue"]}
@@ -103,7 +108,7 @@ def test_recall_ndcg_truncate(spark):
 
 def test_isolation_has_a_control_that_fails(spark):
     chunks = small_index(spark)
-    built = (index.postings(chunks), index.term_stats(index.postings(chunks), index.corpus_stats(chunks)), index.corpus_stats(chunks))
+    built = built_index(chunks)
     checks = {r.name: r.state for r in invariants.isolation_checks(chunks.select("chunk_id", "owner", "text"), chunks.select("chunk_id", "vec"), built, "me", "you").collect()}
     assert len(checks) == 9 and set(checks.values()) == {"HOLDS"}
     leaky = chunks.withColumn("owner", F.lit(""))
@@ -115,7 +120,7 @@ def test_retrieve_numbers_at_most_the_sources(spark):
     chunks = small_index(spark)
     parents = spark.createDataFrame([("p1", "x" * 40), ("p2", "y" * 80)], "parent_id string, parent_text string")
     queries = spark.createDataFrame([("q", "red blue", [0.0, 1.0], None)], "query_id string, query_text string, query_vec array<double>, caller string")
-    built = (index.postings(chunks), index.term_stats(index.postings(chunks), index.corpus_stats(chunks)), index.corpus_stats(chunks))
+    built = built_index(chunks)
     for mode in ("dense", "sparse", "rrf"):
         rows = ask.retrieve(queries, chunks, parents, built, mode=mode, sources=2).collect()
         assert sorted(r.label for r in rows) == list(range(1, len(rows) + 1)) and 0 < len(rows) <= 2
