@@ -8,7 +8,9 @@ id goes. The order of suffixes matters to ``LENGTH`` bytes only, so the sort sto
    equal minimizers. Minimizers met in a single document rule their strings out, so only text
    under repeated minimizers is sorted. Their counts are combined per batch, then per bucket.
 3. The remaining text is dealt by minimizer, in runs of strings that share one. A run that
-   a smaller document of the same map batch holds too is settled there and not sent.
+   a smaller document of the same map batch holds too is settled there and not sent. Under a
+   minimizer that many batches hold, strings are dealt one by one, by their own hash, so that
+   the texts around a very common passage do not meet in one task.
 4. Each bucket's suffixes are sorted: the sort takes a difference cover of 3: sampled positions (1 and 2 modulo 3) are named by
    sorted triples of words, the names are named again by sorted pairs until they span all but
    two bytes of the string, the remaining positions are merged through the names that follow
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +39,10 @@ LENGTH, GRAM = 50, 24
 HASHED, SORTED, BROADCAST_BYTES = 1 << 17, 1 << 20, 32 << 20
 #: The least number of partitions that minimizers are dealt to, in buckets.
 PARTS = 32
+#: Documents of a batch, whose numbers fit in 15 bits.
+MOST_ROWS = 1 << 14
+#: Batches with a minimizer from which on its strings are dealt one by one.
+HOT_BATCHES = 64
 #: Ways that the copies of one text are dealt.
 SALTS = 32
 _low = np.uint64((1 << 48) - 1)
@@ -168,10 +175,11 @@ def _runs_of(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, n
     return tuple(np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(parts, (np.int64, np.int64, np.int64, np.uint64)))
 
 
-def _repeated_minimizers(texts: DataFrame, length: int, parts: int, buckets: int) -> DataFrame:
-    """rid and the packed low halves (48 bits) of its minimizers that other documents hold too.
+def _repeated_minimizers(texts: DataFrame, length: int, parts: int, buckets: int, hot_batches: int = HOT_BATCHES) -> DataFrame:
+    """rid and the packed low 48 bits of its minimizers that other documents hold too, and of the hot ones.
 
-    Each batch sends a minimizer to its bucket once, whatever number of its documents hold it.
+    Each batch sends a minimizer to its bucket once, whatever number of its documents hold it. One
+    that ``hot_batches`` batches send is hot. Both are decided by the low 48 bits alone, for all texts alike.
     """
     batch_schema = "deal int, uid long, kind int, entries binary"
 
@@ -182,7 +190,8 @@ def _repeated_minimizers(texts: DataFrame, length: int, parts: int, buckets: int
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part = context.partitionId() if context else 0
-        for number, batch in enumerate(batches):
+        slices = (b.slice(k, MOST_ROWS) for b in batches for k in range(0, b.num_rows, MOST_ROWS))
+        for number, batch in enumerate(slices):
             owner, _, _, value = _runs_of([(t.as_py() or "").encode() for t in batch.column(1)], length)
             if not len(owner):
                 continue
@@ -194,7 +203,7 @@ def _repeated_minimizers(texts: DataFrame, length: int, parts: int, buckets: int
             if repeated.any():
                 out.append((buckets + uid % buckets, uid, 1, _packed(value[repeated], owner[repeated])))
             value, owner, known = value[heads], owner[heads], repeated[heads]
-            bucket = (value >> np.uint64(48)) % np.uint64(buckets)
+            bucket = ((value & _low) >> np.uint64(32)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in range(buckets):
@@ -220,17 +229,18 @@ def _repeated_minimizers(texts: DataFrame, length: int, parts: int, buckets: int
             value = np.concatenate(values)
             order = np.argsort(value)
             ordered = value[order]
-            same = ordered[1:] == ordered[:-1]
-            repeated = np.zeros(len(value), bool)
-            repeated[order[1:][same]] = True
-            repeated[order[:-1][same]] = True
+            heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            met = np.diff(np.append(heads, len(value)))
+            batches_of = np.empty(len(value), np.int64)
+            batches_of[order] = np.repeat(met, met)
+            repeated, hot = batches_of > 1, batches_of >= hot_batches
             at = 0
             out = []
             for (uid, _), v, o, size in zip(blobs, values, owners, sizes):
-                hit = repeated[at : at + size]
+                hit, common = repeated[at : at + size], hot[at : at + size]
                 at += size
                 if hit.any():
-                    out.append((deal, uid, 1, _packed(v[hit], o[hit] & 0x7FFF)))
+                    out.append((deal, uid, 1, _packed(v[hit], (o[hit] & 0x7FFF) | (common[hit].astype(np.int64) << 15))))
             yield rows(out)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,11 +248,15 @@ def _repeated_minimizers(texts: DataFrame, length: int, parts: int, buckets: int
 
         def done() -> pa.RecordBatch:
             values, owners = zip(*(_unpacked(e) for e in found)) if found else ((np.zeros(0, np.uint64),), (np.zeros(0, np.int64),))
-            value, owner = _distinct(np.concatenate(values), np.concatenate(owners))
+            value, owner = np.concatenate(values), np.concatenate(owners)
+            common = np.unique(value[owner >= 1 << 15])
+            value, owner = _distinct(value, owner & 0x7FFF)
             order = np.argsort(owner, kind="stable")
             owner, value = owner[order], value[order]
             heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(ids[owner[heads]] if len(heads) else [], pa.int64()), pa.array([v.tobytes() for v in np.split(value, heads[1:])] if len(heads) else [], pa.binary())], names=["rid", "repeated"])
+            parts = np.split(value, heads[1:]) if len(heads) else []
+            hot = [v[np.isin(v, common)].tobytes() for v in parts] if len(common) else [b""] * len(parts)
+            return pa.RecordBatch.from_arrays([pa.array(ids[owner[heads]] if len(heads) else [], pa.int64()), pa.array([v.tobytes() for v in parts], pa.binary()), pa.array(hot, pa.binary())], names=["rid", "repeated", "hot"])
 
         for batch in batches:
             for own, kind, entries in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -259,7 +273,7 @@ def _repeated_minimizers(texts: DataFrame, length: int, parts: int, buckets: int
 
     dealt = texts.select("rid", "text").mapInArrow(select, batch_schema).repartition(parts, "deal")
     met = dealt.mapInArrow(meet, batch_schema).select("uid", "kind", "entries")
-    return met.repartition("uid").sortWithinPartitions("uid", "kind").mapInArrow(name, "rid long, repeated binary")
+    return met.repartition("uid").sortWithinPartitions("uid", "kind").mapInArrow(name, "rid long, repeated binary, hot binary")
 
 
 def _packed(value: np.ndarray, owner: np.ndarray) -> bytes:
@@ -290,6 +304,17 @@ def _spans(starts: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
     return np.stack([begin[at], end[np.append(at[1:], len(begin)) - 1]], 1) if len(at) else np.zeros((0, 2), np.int64)
 
 
+def _one_by_one(texts: list[bytes], owner: np.ndarray, start: np.ndarray, count: np.ndarray, value: np.ndarray, hot: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The runs with hot ones cut to single strings, each under its own hash in place of the minimizer."""
+    n = count[hot]
+    single = np.repeat(owner[hot], n)
+    first = np.repeat(start[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(texts[k][s : s + length]) for k, s in zip(single.tolist(), first.tolist())), np.uint64, len(single))
+    columns = (np.concatenate([owner[~hot], single]), np.concatenate([start[~hot], first]), np.concatenate([count[~hot], np.ones(len(single), np.int64)]), np.concatenate([value[~hot], hashes]))
+    order = np.lexsort((columns[1], columns[0]))
+    return tuple(c[order] for c in columns)
+
+
 def _pack_runs(rids: np.ndarray, ids: np.ndarray, owner: np.ndarray, start: np.ndarray, count: np.ndarray, value: np.ndarray, strings: list[bytes]) -> bytes:
     """Runs, the documents that own them and their bytes in one blob; see _unpack_runs."""
     who, number = np.unique(owner, return_inverse=True)
@@ -362,12 +387,16 @@ def repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
             rids, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             owner, start, count, value = _runs_of(held, length)
             low = value & _low
-            repeated = np.zeros(len(owner), bool)
+            repeated, hot = np.zeros(len(owner), bool), np.zeros(len(owner), bool)
             bounds = np.searchsorted(owner, np.arange(len(held) + 1))
-            for k, packed in enumerate(batch.column(3)):
+            for k, (packed, common) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
                 part = slice(bounds[k], bounds[k + 1])
-                repeated[part] = np.isin(low[part], np.frombuffer(packed.as_py(), np.uint64))
-            owner, start, count, value = owner[repeated], start[repeated], count[repeated], value[repeated]
+                repeated[part] = np.isin(low[part], np.frombuffer(packed, np.uint64))
+                if common:
+                    hot[part] = np.isin(low[part], np.frombuffer(common, np.uint64))
+            owner, start, count, value, hot = owner[repeated], start[repeated], count[repeated], value[repeated], hot[repeated]
+            if hot.any():
+                owner, start, count, value = _one_by_one(held, owner, start, count, value, hot, length)
             strings = [held[k][s : s + n] for k, s, n in zip(owner.tolist(), start.tolist(), (count + length - 1).tolist())]
             least: dict[bytes, int] = {}
             for string, doc in zip(strings, ids[owner].tolist()):

@@ -56,8 +56,14 @@ def corpus(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "rows_a_batch"), [(1, 2000), (2, 5)])
-def test_against_brute_force(spark, seed, rows_a_batch):
+@pytest.mark.parametrize(("seed", "rows_a_batch", "hot"), [(1, 2000, 64), (2, 5, 64), (3, 5, 2), (4, 2, 4)])
+def test_against_brute_force(spark, monkeypatch, seed, rows_a_batch, hot):
+    plain = suffixes._repeated_minimizers
+
+    def with_hot(texts, length, parts, buckets, at_least=hot):
+        return plain(texts, length, parts, buckets, at_least)
+
+    monkeypatch.setattr(suffixes, "_repeated_minimizers", with_hot)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_a_batch))
     rows = corpus(seed)
     got = suffixes.removal_report(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_spans int")).collect()
