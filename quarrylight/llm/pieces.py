@@ -26,30 +26,28 @@ _fast = re.compile(
 class Memo:
     """A bounded map from piece to what was made of it: when a generation is full, the one before it goes."""
 
-    def __init__(self, make: Callable[[list[str]], list], size: int = 250_000):
+    def __init__(self, make: Callable[[list[str]], list], size: int = 400_000):
         self.make, self.size = make, size
         self.new: dict[str, object] = {}
         self.old: dict[str, object] = {}
 
     def all(self, pieces: list[str]) -> list:
         """What was made of each piece, in order."""
-        new = self.new
-        try:
-            return [new[p] for p in pieces]
-        except KeyError:
-            pass
-        old, missing = self.old, []
-        for p in {*pieces}.difference(new):
-            if p in old:
-                new[p] = old[p]
-            else:
-                missing.append(p)
-        if missing:
-            new.update(zip(missing, self.make(missing)))
-        found = [new[p] for p in pieces]
-        if len(new) > self.size:
-            self.old, self.new = new, {}
-        return found
+        new, own = self.new, list({*pieces})
+        made = list(map(new.get, own))
+        local = dict(zip(own, made))
+        if None in made:
+            old, missing = self.old, []
+            for p in [p for p, m in zip(own, made) if m is None]:
+                if p in old:
+                    new[p] = local[p] = old[p]
+                else:
+                    missing.append(p)
+            for p, m in zip(missing, self.make(missing) if missing else ()):
+                new[p] = local[p] = m
+            if len(new) > self.size:
+                self.old, self.new = new, {}
+        return list(map(local.__getitem__, pieces))
 
 
 def splitter(pattern: str) -> Callable[[str], list[str]]:
