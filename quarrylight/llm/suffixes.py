@@ -42,7 +42,7 @@ PARTS = 32
 #: Documents of a batch, whose numbers fit in 15 bits.
 MOST_ROWS = 1 << 14
 #: Batches with a minimizer from which on its strings are dealt one by one.
-HOT_BATCHES = 64
+HOT_BATCHES = 2048
 #: Ways that the copies of one text are dealt.
 SALTS = 32
 _low = np.uint64((1 << 48) - 1)
