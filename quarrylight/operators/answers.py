@@ -242,3 +242,31 @@ def numbered(hits: DataFrame, most: int) -> DataFrame:
     """The first ``most`` hits of each query with their label from 1."""
     order = Window.partitionBy("query_id").orderBy("rank")
     return hits.withColumn("label", F.row_number().over(order)).filter(F.col("label") <= most)
+
+
+def from_conversation(turns: DataFrame, model: Callable[[str], str]) -> DataFrame:
+    """Answers from the history alone: key, text; their one claim is the conversation's and no citation check applies.
+
+    turns: key, history (array of texts), question.
+    """
+    prompt = F.concat(F.lit("Conversation so far:\n"), F.array_join("history", "\n"), F.lit("\n\nQuestion: "), "question")
+    told = generated(turns.select("key", prompt.alias("prompt")), model, "conversation")
+    return told.select("key", "text", F.lit("conversation").alias("source"), F.lit("not_applicable").alias("verification"))
+
+
+def captioned(images: DataFrame, cache: DataFrame, caption: Callable[[bytes], str | None]) -> tuple[DataFrame, DataFrame]:
+    """(images with caption, new cache rows) by an injected model, each distinct image and context once.
+
+    images: image_id, content, context. The key covers the image's hash and the context; an image without a caption is not cached.
+    """
+    from quarrylight.functions.ids import cache_key
+
+    keyed = images.withColumn("cache_key", cache_key(F.sha2("content", 256), F.coalesce("context", F.lit(""))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([caption(c) or "" for c in batch.column(1).to_pylist()], pa.string())], names=["cache_key", "value"])
+
+    misses = keyed.join(cache.select("cache_key"), "cache_key", "left_anti").dropDuplicates(["cache_key"])
+    made = misses.select("cache_key", "content").mapInArrow(run, "cache_key string, value string").filter("value <> ''")
+    return keyed.join(cache.select("cache_key", "value").unionByName(made), "cache_key", "left").withColumnRenamed("value", "caption"), made

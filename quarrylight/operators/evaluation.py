@@ -211,8 +211,38 @@ def smallest_budget(swept: DataFrame) -> DataFrame:
 
 def index_provenance(chunks: DataFrame) -> DataFrame:
     """One row: the chunks' pipeline fingerprint, or MIXED, and how many there are."""
-    prints = F.sort_array(F.collect_set(F.coalesce("pipeline_fingerprint", F.lit(""))))
-    return chunks.agg(prints.alias("p")).select(F.size("p").alias("n_fingerprints"), F.when(F.size("p") > 1, "MIXED").otherwise(F.coalesce(F.get("p", F.lit(0)), F.lit(""))).alias("fingerprint"))
+    print_ = F.coalesce("pipeline_fingerprint", F.lit(""))
+    sums = chunks.agg(F.count_distinct(print_).cast("int").alias("n_fingerprints"), F.min(print_).alias("p"))
+    return sums.select("n_fingerprints", F.when(F.col("n_fingerprints") > 1, "MIXED").otherwise(F.coalesce("p", F.lit(""))).alias("fingerprint"))
+
+
+def refuse_mixed(chunks: DataFrame) -> DataFrame:
+    """``chunks``, or an error if they come from several pipelines or only some of them have context.
+
+    Evaluation and baselines go through this: rates over a mixed index would describe neither half.
+    """
+    told = chunks.agg(F.count_distinct("pipeline_fingerprint").alias("n"), F.count_distinct(F.when((F.col("role") == "child") & (F.col("text_provenance") != "model_generated"), F.col("has_contextual_prefix"))).alias("c")).first()
+    if told["n"] > 1 or told["c"] > 1:
+        raise ValueError(f"the index is mixed: {told['n']} pipelines, {told['c']} states of context")
+    return chunks
+
+
+def baseline(current: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The rows of ``current`` (metric, rate, n) stamped with the one fingerprint of an unmixed index."""
+    print_ = index_provenance(refuse_mixed(chunks)).first()["fingerprint"]
+    return current.select("metric", "rate", "n", F.lit(print_).alias("fingerprint"))
+
+
+def ab_grid(arms: DataFrame, a: str, b: str, metric: str = "strict") -> DataFrame:
+    """Hits and items by cost basis and budget, one pair of columns an arm; an error if both arms have one fingerprint.
+
+    arms: arm, fingerprint, basis, budget and a boolean ``metric``.
+    """
+    told = arms.filter(F.col("arm").isin(a, b)).agg(F.count_distinct("fingerprint").alias("n"), F.count_distinct("arm").alias("arms")).first()
+    if told["arms"] == 2 and told["n"] < 2:
+        raise ValueError("both arms have the same fingerprint: there is nothing to compare")
+    hits = F.sum(F.col(metric).cast("long"))
+    return arms.groupBy("basis", "budget").pivot("arm", [a, b]).agg(hits.alias("hits"), F.count(F.lit(1)).alias("n")).na.fill(0)
 
 
 def require_comparable(stamps: DataFrame) -> DataFrame:

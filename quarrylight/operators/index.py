@@ -89,3 +89,13 @@ def vocabulary_report(terms: DataFrame, stats: DataFrame) -> DataFrame:
     counts = terms.agg(F.count("*").alias("vocab"), F.coalesce(F.sum((F.col("df") == 1).cast("long")), F.lit(0)).alias("singletons"))
     share = F.round(F.col("singletons") / F.greatest(F.col("vocab"), F.lit(1)), 3)
     return counts.join(F.broadcast(stats), F.lit(True)).select("n", "vocab", F.round("avgdl", 1).alias("avgdl"), "singletons", share.alias("singleton_share"))
+
+
+def truncation_equivalence(pairs: DataFrame, dim: int, least: float = 0.999) -> DataFrame:
+    """One row: pairs, least cosine of a cut long vector and the short one made directly, and whether it suffices.
+
+    pairs: long, short. No pairs: not equivalent.
+    """
+    cosine = dot(truncate(F.col("long"), dim), truncate(F.col("short"), dim))
+    told = pairs.agg(F.count("*").alias("n"), F.round(F.min(cosine), 9).alias("least_cosine"))
+    return told.withColumn("equivalent", F.coalesce(F.col("least_cosine") > least, F.lit(False)))

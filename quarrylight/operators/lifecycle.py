@@ -161,3 +161,25 @@ def spend(operations: DataFrame, days: int = SPEND_DAYS) -> DataFrame:
     kept = rolled.join(F.broadcast(latest), "day")
     totals = kept.groupBy("day").agg(F.sum("tokens").alias("tokens"), F.sum("calls").alias("calls")).withColumn("stage", F.lit(None).cast("string"))
     return kept.select("day", "stage", "tokens", "calls").unionByName(totals.select("day", "stage", "tokens", "calls"))
+
+
+def appended(index: DataFrame, new: DataFrame, expected: str) -> DataFrame:
+    """``index`` with the chunks of an upload; an error if their pipelines differ or the index moved on.
+
+    ``expected`` is the fingerprint that the upload was made for.
+    """
+    prints = {r[0] for r in index.select("pipeline_fingerprint").distinct().limit(2).collect()} | {r[0] for r in new.select("pipeline_fingerprint").distinct().limit(2).collect()}
+    if prints - {expected}:
+        raise ValueError(f"chunks of other pipelines cannot be added: {sorted(map(str, prints))}")
+    return index.unionByName(new)
+
+
+def interrupted(jobs: DataFrame) -> DataFrame:
+    """Jobs as they stand after a restart: what was queued or running has failed. jobs: job_id, state, error."""
+    cut = F.col("state").isin("queued", "running")
+    return jobs.withColumns({"error": F.when(cut, "interrupted by a restart").otherwise(F.col("error")), "state": F.when(cut, "failed").otherwise(F.col("state"))})
+
+
+def latest(rows: DataFrame, time: str, key: str, most: int) -> DataFrame:
+    """The ``most`` latest rows, ties to the smaller key: job and conversation lists."""
+    return rows.orderBy(F.desc(time), key).limit(most)

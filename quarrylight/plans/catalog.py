@@ -1010,3 +1010,25 @@ def e5_scored_both_units(spark, sf_dir):
 def w9_latest_turn(spark, sf_dir):
     latest = Window.partitionBy("conversation_id").orderBy(F.desc("turn_index"))
     return sample_turns(spark, sf_dir).withColumn("at", F.row_number().over(latest)).filter("at = 1").select("conversation_id", "turn_index")
+
+
+@query(f"""{SCORE_SQL}, arms AS (SELECT 'context' AS arm, item_id, strict FROM scored UNION ALL SELECT 'plain', item_id, partial FROM scored)
+SELECT 'delivered' AS basis, 1500 AS budget, count(*) FILTER (arm = 'context' AND strict) AS context_hits, count(*) FILTER (arm = 'context') AS context_n, count(*) FILTER (arm = 'plain' AND strict) AS plain_hits, count(*) FILTER (arm = 'plain') AS plain_n FROM arms""")
+def a20_ab_grid(spark, sf_dir):
+    scored = scored_items(spark, sf_dir)
+    arms = [scored.select(F.lit(arm).alias("arm"), F.lit(print_).alias("fingerprint"), F.lit("delivered").alias("basis"), F.lit(1500).alias("budget"), F.col(c).alias("strict")) for arm, print_, c in (("context", "f1", "strict"), ("plain", "f2", "partial"))]
+    return evaluation.ab_grid(arms[0].unionByName(arms[1]), "context", "plain")
+
+
+@query("""WITH v AS (SELECT list_transform(embedding[1:16], lambda x: x::DOUBLE) AS s FROM embeddings), c AS (SELECT list_dot_product(s, s) / greatest(sqrt(list_dot_product(s, s)), 1e-12) / greatest(sqrt(list_dot_product(s, s)), 1e-12) AS c FROM v)
+SELECT count(*) AS n, round(min(c), 9) AS least_cosine, min(c) > 0.999 AS equivalent FROM c""")
+def g16_truncation_equivalence(spark, sf_dir):
+    pairs = read(spark, sf_dir, "embeddings").select(F.col("embedding").alias("long"), F.slice("embedding", 1, 16).alias("short"))
+    return index.truncation_equivalence(pairs, 16)
+
+
+@query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'failed' ELSE event_type END AS state FROM events")
+def t5_interrupted_jobs(spark, sf_dir):
+    kind = F.col("event_type")
+    jobs = read(spark, sf_dir, "events").select("event_id", F.when(kind == "click", "queued").when(kind == "view", "running").otherwise(kind).alias("state"), F.lit(None).cast("string").alias("error"))
+    return lifecycle.interrupted(jobs).select("event_id", "state")

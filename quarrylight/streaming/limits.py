@@ -8,6 +8,7 @@ the window; the streaming form keeps the same times as state.
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -115,3 +116,12 @@ def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
 def append_feedback(stream: DataFrame, path: str, checkpoint: str):
     """Start a query that appends a stream of feedback rows to JSON lines; each batch is written once."""
     return stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def retry_delay(message: str, attempt: int, base: float = 2.0, chance: float = 0.5) -> float:
+    """Seconds to wait before another attempt: the server's hint if it gives one, else doubling with jitter.
+
+    ``chance`` is a number in [0, 1), drawn by the caller.
+    """
+    hint = re.search(r"retry(?:Delay|-after| in)\D{0,5}(\d+(?:\.\d+)?)", message, re.IGNORECASE)
+    return float(hint[1]) if hint else base * 2**attempt * (0.5 + chance)
