@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quarrylight.llm._common import write_shared
 from quarrylight.llm.components import components
 
-WORDS, PERCENT = 4, 80
+WORDS, PERCENT = 5, 80
 K, SHARE, ESTIMATE = 48, 0.36, 0.4
 #: Rows of a block of a list; ids that may be broadcast to the text scan (8 bytes each).
 BLOCK, BROADCAST_IDS = 512, 4_000_000

@@ -164,7 +164,7 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
     arrow_batches(spark)
-    return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=4)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,13 +6,15 @@ scores bias + linear weights + the pairwise interactions of the terms' factors,
 terms (an insult with a group mention) can count for more than its parts.
 
 Training reads at most ``MAX_PER_CLASS`` labelled texts of each class, chosen by hash. Terms
-whose mean value differs between the classes (Welch's t of ``MIN_T`` or more) get weights, at
-most ``MAX_TERMS`` of them. Every document is scored, over its whole text. Only the text is
-an input. A null or empty text has no terms and scores the bias.
+whose mean value differs between the classes (Welch's t of ``MIN_T`` or more) get weights, as do
+terms that one class alone has too often for chance; at most ``MAX_TERMS`` in all. Every document
+is scored, over its whole text. Only the text is an input. A null or empty text has no terms and
+scores the bias.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -28,9 +30,11 @@ from quarrylight.llm._common import write_shared
 
 _words = re.compile(r"[^\W\d_]+").findall
 STEMS = range(3, 8)
-MAX_PER_CLASS, MIN_T, MAX_TERMS = 5000, 3.5, 20_000
-FACTORS, EPOCHS, SEED = 8, 12, 7
+MAX_PER_CLASS, MIN_T, PURITY, MAX_TERMS = 5000, 3.5, 14.0, 20_000
+FACTORS, EPOCHS, STEPS, SEED = 8, 12, 100_000, 7
 MEMO = 400_000
+#: Per term: sums of values and of their squares and texts, by class.
+SUMS = ("s0", "q0", "s1", "q1", "c0", "c1")
 THRESHOLD = 0.7
 
 
@@ -85,8 +89,12 @@ class FactorMachine:
         return float(1 / (1 + np.exp(-np.clip(self.logit(rows, np.fromiter(terms.values(), float, len(terms)))[0], -30, 30))))
 
 
-def train(index: dict[int, int], texts: list[dict[int, float]], labels: list[int], *, factors: int = FACTORS, epochs: int = EPOCHS, rate: float = 0.3, decay: float = 1e-4, seed: int = SEED) -> FactorMachine:
-    """Fit by AdaGrad on the log loss, classes weighted alike. Without texts the machine scores its bias."""
+def train(index: dict[int, int], texts: list[dict[int, float]], labels: list[int], *, factors: int = FACTORS, epochs: int | None = None, rate: float = 0.3, decay: float = 1e-4, seed: int = SEED) -> FactorMachine:
+    """Fit by AdaGrad on the log loss, classes weighted alike. Without texts the machine scores its bias.
+
+    Without ``epochs``, there are EPOCHS of them, or as many as make STEPS steps.
+    """
+    epochs = epochs or max(EPOCHS, -(-STEPS // max(1, len(texts))))
     rng = np.random.default_rng(seed)
     share = min(max(sum(labels) / max(1, len(labels)), 1e-3), 1 - 1e-3)
     machine = FactorMachine(index, -2.0, np.zeros(len(index)), rng.normal(0, 0.05, (len(index), factors)))
@@ -122,9 +130,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, *, per_class: int = MAX_
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
 
-def telling_terms(sample: DataFrame, *, min_t: float = MIN_T, most: int = MAX_TERMS) -> dict[int, int]:
+def telling_terms(sample: DataFrame, *, min_t: float = MIN_T, purity: float = PURITY, most: int = MAX_TERMS) -> dict[int, int]:
     """Hash to row of the terms whose mean value tells the classes of (doc_id, label, text) apart.
 
+    A term also counts if only one class has it and chance would give that less than exp(-purity).
     Each task sums its texts' values and squares by term and class before the shuffle.
     """
 
@@ -134,20 +143,22 @@ def telling_terms(sample: DataFrame, *, min_t: float = MIN_T, most: int = MAX_TE
             sums: dict[int, list[float]] = {}
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for h, x in terms(text).items():
-                    row = sums.setdefault(h, [0.0, 0.0, 0.0, 0.0])
+                    row = sums.setdefault(h, [0.0] * 6)
                     row[2 * label] += x
                     row[2 * label + 1] += x * x
-            columns = zip(*sums.values()) if sums else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), *(pa.array(list(c), pa.float64()) for c in columns)], names=["term", "s0", "q0", "s1", "q1"])
+                    row[4 + label] += 1
+            columns = zip(*sums.values()) if sums else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), *(pa.array(list(c), pa.float64()) for c in columns)], names=["term", *SUMS])
 
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return {}
     n0, n1 = float(n[0]), float(n[1])
-    sums = sample.select(F.col("label").cast("int"), "text").mapInArrow(summed, "term long, s0 double, q0 double, s1 double, q1 double").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("s0", "q0", "s1", "q1")])
+    sums = sample.select(F.col("label").cast("int"), "text").mapInArrow(summed, "term long, " + ", ".join(f"{c} double" for c in SUMS)).groupBy("term").agg(*[F.sum(c).alias(c) for c in SUMS])
     spread = F.greatest((F.col("q0") / n0 - (F.col("s0") / n0) ** 2) / n0, F.lit(0.0)) + F.greatest((F.col("q1") / n1 - (F.col("s1") / n1) ** 2) / n1, F.lit(0.0)) + F.lit(1e-9)
     t = F.round((F.col("s1") / n1 - F.col("s0") / n0) / F.sqrt(spread), 6)
-    kept = sums.select("term", t.alias("t")).filter(F.abs("t") >= min_t).orderBy(F.abs("t").desc(), "term").limit(most)
+    pure = ((F.col("c0") == 0) & (F.col("c1") * -math.log(n1 / (n0 + n1)) >= purity)) | ((F.col("c1") == 0) & (F.col("c0") * -math.log(n0 / (n0 + n1)) >= purity))
+    kept = sums.select("term", t.alias("t"), pure.alias("pure")).filter((F.abs("t") >= min_t) | F.col("pure")).orderBy(F.abs("t").desc(), "term").limit(most)
     return {h: k for k, h in enumerate(sorted(r["term"] for r in kept.collect()))}
 
 

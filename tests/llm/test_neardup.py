@@ -52,7 +52,7 @@ def test_against_brute_force(spark, monkeypatch, block, families, members):
     monkeypatch.setattr(neardup, "BLOCK", block)
     monkeypatch.setattr(neardup.links, "__kwdefaults__", neardup.links.__kwdefaults__ | {"block": block})
     rows = corpus(block, families, members)
-    got = neardup.near_duplicates(spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n string")).collect()
+    got = neardup.near_duplicates(spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n string"), words=4).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute(rows)
 
 
