@@ -78,9 +78,10 @@ def select_windows(pages: DataFrame, target: int) -> DataFrame:
     sizes = rows.groupBy().pivot("bucket", [0, 1, 2, 3]).count().na.fill(0)
     sizes = sizes.select(F.col("0").alias("n0"), F.least(F.col("1"), F.lit(target // 2)).alias("n1"), F.least(F.col("2"), F.lit(target // 4)).alias("n2"), F.col("3").alias("n3"))
     need = F.greatest(F.lit(target) - F.col("n0") - F.col("n1") - F.col("n2"), F.lit(0))
-    step = F.greatest(F.floor(F.col("n3") / F.greatest(need, F.lit(1))), F.lit(1))
+    sizes = sizes.select(need.alias("need"), F.greatest(F.floor(F.col("n3") / F.greatest(need, F.lit(1))), F.lit(1)).alias("step"))
+    need, step = sizes.select("need").scalar(), sizes.select("step").scalar()
     taken = F.when(F.col("bucket") == 0, True).when(F.col("bucket") == 1, F.col("at") < target // 2).when(F.col("bucket") == 2, F.col("at") < target // 4).otherwise((F.col("at") % step == 0) & (F.floor(F.col("at") / step) < need))
-    picked = rows.join(F.broadcast(sizes), F.lit(True)).filter(taken)
+    picked = rows.filter(taken)
     return picked.orderBy("bucket", "source_id", F.coalesce("page", F.lit(0))).limit(target).select("source_id", "page", "bucket")
 
 
@@ -180,7 +181,7 @@ def failure_histogram(lists: list[DataFrame]) -> DataFrame:
     point = F.create_map(*[F.lit(x) for kv in FAILURE_POINTS.items() for x in kv])[F.col("cause")]
     known = first.select(F.coalesce(point, F.raise_error(F.concat(F.lit("unknown cause "), F.col("cause")))).alias("point"))
     counts = known.groupBy("point").agg(F.count("*").alias("n"))
-    return counts.join(F.broadcast(counts.agg(F.sum("n").alias("total"))), F.lit(True)).select("point", "n", F.round(F.col("n") / F.col("total"), 3).alias("share"))
+    return counts.select("point", "n", F.round(F.col("n") / counts.agg(F.sum("n")).scalar(), 3).alias("share"))
 
 
 def balanced_sample(items: DataFrame, cls: str, quota: int, seed: int, key: str = "item_id") -> DataFrame:

@@ -80,8 +80,8 @@ def corpus_stats(texts: DataFrame, posted: DataFrame | None = None, text: str =
 def term_stats(posted: DataFrame, stats: DataFrame) -> DataFrame:
     """term, df and idf (never negative)."""
     df = posted.groupBy("term").agg(F.count(F.when((F.col("dl") > 0) & (F.col("tf") > 0), 1)).alias("df"))
-    idf = F.greatest(F.lit(0.0), F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    return df.join(F.broadcast(stats), F.lit(True)).select("term", "df", idf.alias("idf"))
+    n = stats.select("n").scalar()
+    return df.select("term", "df", F.greatest(F.lit(0.0), F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
 
 
 def vocabulary_report(terms: DataFrame, stats: DataFrame) -> DataFrame:

@@ -55,9 +55,9 @@ def sparse(queries: DataFrame, posted: DataFrame, terms: DataFrame, stats: DataF
     posted, terms and stats are the index; ``owners`` (chunk_id, owner) hides chunks before the
     ranking. Document frequencies count all owners' chunks. Texts that share no term have no hit.
     """
-    length = 1 - B + B * F.col("dl") / F.col("avgdl")
+    length = 1 - B + B * F.col("dl") / stats.select("avgdl").scalar()
     gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
-    hits = query_terms(queries).join(terms.select("term", "idf"), "term").join(posted, "term").join(F.broadcast(stats), F.lit(True))
+    hits = query_terms(queries).join(terms.select("term", "idf"), "term").join(posted, "term")
     if owners is not None:
         hits = hits.join(owners, "chunk_id").filter(visible(F.col("owner"), F.col("caller")))
     scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qtf") * gain), DIGITS).alias("score"), F.sum("qtf").alias("matched"))

@@ -847,8 +847,7 @@ def m11_visible_documents(spark, sf_dir):
 @query("SELECT event_id FROM events WHERE epoch((SELECT max(ts) FROM events))::BIGINT - epoch(ts)::BIGINT > 864000")
 def m5_expired_sessions(spark, sf_dir):
     events = read(spark, sf_dir, "events").withColumn("created_at", F.col("ts").cast("timestamp"))
-    now = events.agg(F.max("created_at").alias("now"))
-    return lifecycle.expired(events.join(F.broadcast(now), F.lit(True)), F.col("now"), 864_000).select("event_id")
+    return lifecycle.expired(events, events.agg(F.max("created_at")).scalar(), 864_000).select("event_id")
 
 
 def sample_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
