@@ -54,19 +54,30 @@ SEED, N_PAGES = 5, 400
 
 @dataclass
 class Block:
-    """A leaf block: its text, open block elements from the outside in, their hints, and how much of it is links."""
+    """A leaf block: its text, its element, the elements around that, all their hints, and how much of it is links."""
 
     text: str
-    tags: tuple[str, ...]
+    near: str
+    around: frozenset[str]
     hints: frozenset[str]
     linked: int
 
 
+@dataclass
+class _Open:
+    """An open block element with what it and those around it say, so that deep nesting costs nothing more."""
+
+    name: str
+    around: frozenset[str] = frozenset()
+    hints: frozenset[str] = frozenset()
+
+
 def blocks(page: str | None) -> list[Block]:
     """The non-empty leaf blocks of a page, in order."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack = [_Open("none")]
+    opened: dict[str, int] = {}
     parts: list[str] = []
     linked, in_link, at, size = 0, False, 0, len(page)
 
@@ -75,16 +86,17 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(t for t, _ in stack), frozenset().union(*(h for _, h in stack)), linked))
+                out.append(Block(text, stack[-1].name, stack[-1].around, stack[-1].hints, linked))
             parts.clear()
         linked = 0
 
     def close(name: str, only: tuple[str, ...] | None = None) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                del stack[k:]
-                return
-            if only is not None and stack[k][0] not in only:
+        if not opened.get(name) or (only is not None and stack[-1].name not in only):
+            return
+        while True:
+            last = stack.pop()
+            opened[last.name] -= 1
+            if last.name == name:
                 return
 
     while at < size:
@@ -138,7 +150,11 @@ def blocks(page: str | None) -> list[Block]:
                 for sibling in SIBLINGS.get(name, ()):
                     close(sibling, SIBLINGS[name])
                 words = {w.lower() for value in _named.findall(m[3]) for w in _parts.findall("".join(value))}
-                stack.append((name, frozenset(_hint[w] for w in words if w in _hint)))
+                outer = stack[-1]
+                around = outer.around if outer.name in outer.around or outer.name == "none" else outer.around | {outer.name}
+                own = frozenset(_hint[w] for w in words if w in _hint)
+                stack.append(_Open(name, around, outer.hints | own if own - outer.hints else outer.hints))
+                opened[name] = opened.get(name, 0) + 1
     flush()
     return out
 
@@ -148,10 +164,9 @@ def features(found: list[Block]) -> list[list[str]]:
     out = []
     for k, b in enumerate(found):
         words, last = b.text.count(" ") + 1, b.text[-1]
-        near = b.tags[-1] if b.tags else "none"
-        names = ["bias", f"tag={near}", f"words={min(6, words.bit_length())}", f"links={min(4, 5 * b.linked // max(1, len(b.text)))}", f"end={'stop' if last in '.!?…\"»' else 'other'}", f"place={min(4, 5 * k // len(found))}"]
-        names += [f"in={t}" for t in set(b.tags[:-1])] + [f"hint={h}" for h in b.hints]
-        if not any(t in ("article", "main") for t in b.tags):
+        names = ["bias", f"tag={b.near}", f"words={min(6, words.bit_length())}", f"links={min(4, 5 * b.linked // max(1, len(b.text)))}", f"end={'stop' if last in '.!?…\"»' else 'other'}", f"place={min(4, 5 * k // len(found))}"]
+        names += [f"in={t}" for t in b.around] + [f"hint={h}" for h in b.hints]
+        if not {"article", "main"} & (b.around | {b.near}):
             names.append("outside")
         if "©" in b.text or "copyright" in b.text.lower():
             names.append("copyright")

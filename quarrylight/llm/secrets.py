@@ -13,6 +13,7 @@ Texts are scanned whole; offsets are code points. Null and empty texts have no f
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -51,11 +52,15 @@ def base_spans(text: str) -> list[Span]:
 
 def candidates(text: str, taken: list[Span]) -> list[tuple[int, int]]:
     """Runs that the network judges: none that overlaps a span already found."""
+    starts = sorted(s for _, s, _ in taken)
+    ends = sorted(e for _, _, e in taken)
     out = []
     for m in _run.finditer(text):
         run = m[0]
-        if (any(c.isdigit() for c in run) or _mixed.search(run)) and not any(s < m.end() and m.start() < e for _, s, e in taken):
-            out.append(m.span())
+        if any(c.isdigit() for c in run) or _mixed.search(run):
+            # spans that start before the run's end, less those that end by its start, overlap it
+            if bisect.bisect_left(starts, m.end()) == bisect.bisect_right(ends, m.start()):
+                out.append(m.span())
     return out
 
 

@@ -55,3 +55,10 @@ def test_extract(spark):
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
     assert [tuple(r) for r in got] == [(1, "u", "Hällo 😀", 7), (2, None, "", 0), (1, "u", "Hällo 😀", 7), (None, "v", "", 0)]
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_deep_nesting_and_stray_closings():
+    deep = "<div>" * 60_000 + "<article><p>text</p></article>" + "</section>" * 60_000
+    assert [b.text for b in html.blocks(deep)] == ["text"]
+    items = html.blocks("<ul><li>a<ul><li>b<li>c</ul><li>d</ul><p>e<div>f</div>g")
+    assert [(b.text, b.near) for b in items] == [("a", "li"), ("b", "li"), ("c", "li"), ("d", "li"), ("e", "p"), ("f", "div"), ("g", "none")]

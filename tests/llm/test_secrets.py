@@ -54,3 +54,10 @@ def test_redact(spark):
     rows = [(1, TEXTS[2], 7), (2, None, None), (3, TEXTS[9], 42)]
     got = secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()
     assert [tuple(r) for r in got] == [(1, "[secret]\" and", 13), (2, None, None), (3, TEXTS[9], len(TEXTS[9]))]
+
+
+def test_many_spans_in_one_text():
+    text = " ".join(f"token={k:016x} plainwordwithnumber{k}x" for k in range(5000))
+    base = secrets.base_spans(text)
+    found = secrets.candidates(text, base)
+    assert len(found) == 5000 and all(not any(s < e2 and s2 < e for _, s, e in base[:40]) for s2, e2 in found[:40])
