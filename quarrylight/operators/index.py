@@ -67,14 +67,14 @@ def postings(texts: DataFrame, key: str = "chunk_id", text: str = "text", only:
 def corpus_stats(texts: DataFrame, posted: DataFrame | None = None, text: str = "text") -> DataFrame:
     """One row: n texts and their mean token count avgdl (0 for none); texts without tokens count.
 
-    With the postings of all terms, token counts come from them: with the same columns read, Spark
-    runs the tokenizer once and reuses its exchange.
+    With the postings of all terms, token counts come from them. A reader of n alone does not
+    compute them.
     """
     if posted is None:
         return texts.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size(tokenize(F.col(text)))), F.lit(0.0)).alias("avgdl"))
-    total = posted.agg(F.coalesce(F.sum(F.when(F.col("dl") > 0, F.col("tf"))), F.lit(0)).alias("total"))
+    total = posted.agg(F.coalesce(F.sum(F.when(F.col("dl") > 0, F.col("tf"))), F.lit(0))).scalar()
     n = texts.agg(F.count("*").alias("n"))
-    return n.join(F.broadcast(total), F.lit(True)).select("n", F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(0.0).alias("avgdl"))
+    return n.select("n", F.when(F.col("n") > 0, total / F.col("n")).otherwise(0.0).alias("avgdl"))
 
 
 def term_stats(posted: DataFrame, stats: DataFrame) -> DataFrame:
