@@ -75,6 +75,15 @@ def parent_texts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("parent_id").agg(size.alias("chars")).select("parent_id", F.repeat(F.lit("x"), F.col("chars")).alias("parent_text"))
 
 
+def section_chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Children and parents that chunking makes of each document, whole texts, under its source and owner."""
+    es = F.col("lang") == "es"
+    docs = read(spark, sf_dir, "documents").select(F.concat_ws("\x1f", F.col("doc_id").cast("string"), "source").alias("source_id"), F.col("source").alias("title"), "text", F.when(es, "es").otherwise("").alias("owner"), F.when(es, "upload").otherwise("corpus").alias("origin"))
+    rows = chunking.chunk_documents(docs).withColumn("source_id", F.get(F.split("source_id", "\x1f", 2), F.lit(1)))
+    children = rows.filter("role = 'child'").select("chunk_id", "parent_id", "source_id", "owner", "display_text", "embed_text", F.col("display_text").alias("text"))
+    return children, rows.filter("role = 'parent'").select(F.col("chunk_id").alias("parent_id"), F.col("display_text").alias("parent_text"))
+
+
 def sparse_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, queries = child_chunks(spark, sf_dir), text_queries(spark, sf_dir)
     return retrieval.sparse(queries, *text_index(chunks, queries), chunks.select("chunk_id", "owner"))
@@ -999,10 +1008,13 @@ def e12_isolation(spark, sf_dir):
 
 @query()
 def e5_scored_both_units(spark, sf_dir):
-    chunks = child_chunks(spark, sf_dir)
+    """Children and their section parents as chunked, each scored by its own text."""
+    chunks, parents = section_chunks(spark, sf_dir)
+    queries = text_queries(spark, sf_dir)
+    ranked = retrieval.sparse(queries, *text_index(chunks, queries), chunks.select("chunk_id", "owner"))
     accept = needle_hits(spark, sf_dir).groupBy("item_id").agg(F.collect_set("source_id").alias("accept"))
     items = needles(spark, sf_dir).join(accept, "item_id", "left")
-    return evaluate.run(items, sparse_hits(spark, sf_dir), chunks, parent_texts(chunks)).filter(F.col("unit").isNotNull())
+    return evaluate.run(items, ranked, chunks, parents).filter(F.col("unit").isNotNull())
 
 
 @query("SELECT conv_id AS conversation_id, max(turn) AS turn_index FROM conversations GROUP BY conv_id")
