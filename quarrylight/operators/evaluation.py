@@ -89,9 +89,10 @@ def score_items(items: DataFrame, delivered: DataFrame) -> DataFrame:
     """Per item and unit: needles contained, strict, partial, source hit, rank of the first accepted source.
 
     items: item_id, needle, accept (sources); delivered: item_id, unit, rank, source_id, text. Every
-    needle's best cover over the delivered texts counts; an item with nothing delivered fails.
+    needle's best cover over the delivered texts counts; an item with nothing delivered fails. Where
+    ``items`` name a unit, that holds for each item and unit.
     """
-    met = items.join(delivered, "item_id", "left")
+    met = items.join(delivered, ["item_id", "unit"] if "unit" in items.columns else "item_id", "left")
     share = F.max(cover(squash(F.col("needle")), squash(F.col("text"))))
     per_needle = met.groupBy("item_id", "unit", "needle").agg(F.coalesce(share, F.lit(0.0)).alias("share"), F.min(F.when(F.array_contains("accept", F.col("source_id")), F.col("rank"))).alias("first_hit"))
     state = cover_state(F.col("share"))

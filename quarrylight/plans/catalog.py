@@ -1014,7 +1014,7 @@ def e5_scored_both_units(spark, sf_dir):
     ranked = retrieval.sparse(queries, *text_index(chunks, queries), chunks.select("chunk_id", "owner"))
     accept = needle_hits(spark, sf_dir).groupBy("item_id").agg(F.collect_set("source_id").alias("accept"))
     items = needles(spark, sf_dir).join(accept, "item_id", "left")
-    return evaluate.run(items, ranked, chunks, parents).filter(F.col("unit").isNotNull())
+    return evaluate.run(items, ranked, chunks, parents)
 
 
 @query("SELECT conv_id AS conversation_id, max(turn) AS turn_index FROM conversations GROUP BY conv_id")

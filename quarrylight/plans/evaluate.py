@@ -21,5 +21,6 @@ def delivered(ranked: DataFrame, chunks: DataFrame, parents: DataFrame, budget:
 
 
 def run(items: DataFrame, ranked: DataFrame, chunks: DataFrame, parents: DataFrame, budget: int = retrieval.HEADLINE_BUDGET) -> DataFrame:
-    """Scored items at one budget, one row an item and unit. items: item_id, needle, accept."""
-    return evaluation.score_items(items, delivered(ranked, chunks, parents, budget))
+    """Scored items at one budget, one row an item and unit; without delivery it fails. items: item_id, needle, accept."""
+    asked = items.withColumn("unit", F.explode(F.array(F.lit("child"), F.lit("parent"))))
+    return evaluation.score_items(asked, delivered(ranked, chunks, parents, budget))

@@ -1,4 +1,4 @@
-"""e5_scored_both_units against a brute force over the ranking."""
+"""Both units scored by their texts: e5_scored_both_units against a brute force over the ranking."""
 
 import os
 import re
@@ -8,7 +8,7 @@ import oracle
 import pytest
 
 from quarrylight.operators import chunking, retrieval
-from quarrylight.plans import catalog
+from quarrylight.plans import catalog, evaluate
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(oracle.TABLES), reason="no tables")
 
@@ -71,3 +71,20 @@ def test_units_are_scored_by_their_texts(spark):
     got = scored(spark)
     assert {k: got[k] for k in want} == want
     assert any(v[1] for (_, unit), v in got.items() if unit == "parent")
+
+
+def test_every_item_has_a_row_for_each_unit(spark):
+    frame = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    items = frame([("a", "needle of a", ["s"]), ("b", "needle of b", ["s"]), ("none", "needle of none", None)], "item_id string, needle string, accept array<string>")
+    chunks = frame([(1, "p", "s", "needle of a", "needle of a"), (2, "q", "s", "needle of b " * 900, "x")], "chunk_id long, parent_id string, source_id string, display_text string, embed_text string")
+    parents = frame([("p", "needle of a " * 900), ("q", "needle of b")], "parent_id string, parent_text string")
+    ranked = frame([("a", 1, 0), ("b", 2, 0)], "query_id string, chunk_id long, rank int")
+    got = {(r.item_id, r.unit): (r.needle_fraction, r.strict, r.partial, r.source_hit, r.rank_first_hit) for r in evaluate.run(items, ranked, chunks, parents).collect()}
+    failed, held = (0.0, False, False, False, None), (1.0, True, True, True, 0)
+    assert got == {("a", "child"): held, ("a", "parent"): failed, ("b", "child"): failed, ("b", "parent"): held, ("none", "child"): failed, ("none", "parent"): failed}
+    assert evaluate.run(items, ranked, chunks, parents).count() == 6
+
+
+def test_catalogue_scores_every_item_in_both_units(spark):
+    want = {k: v[1:] for k, v in brute(spark).items()}
+    assert scored(spark) == want
