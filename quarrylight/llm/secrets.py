@@ -2,7 +2,7 @@
 
 A candidate is a run of 16 or more key characters with a digit or mixed case that no fixed
 pattern covers. The network reads a window of the candidate's characters and of the text on
-both sides; a mask tells them apart. It is trained in numpy on labelled findings (generated
+both sides; a mask tells them apart. A candidate longer than the window is judged by several, the highest score counts. It is trained in numpy on labelled findings (generated
 from a seed: keys of many alphabets and lengths in assignments, headers, URLs and prose
 against words, identifiers, paths, versions, numbers, dates, addresses and slugs). A held-out
 part of the findings calibrates the scores (Platt) and sets the threshold: the highest one
@@ -21,6 +21,7 @@ import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,13 @@ HEX = re.compile("[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "network")
 _run = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 _mixed = re.compile("[a-z][A-Z].*[a-z][A-Z]")
+#: A run between separators, and one with those that keys may hold.
+_parts = (re.compile("[A-Za-z0-9]{16,}"), re.compile("[A-Za-z0-9+_-]{16,}"))
 
 LEFT, BODY, RIGHT = 24, 40, 12
 WIDTH = LEFT + BODY + RIGHT
+#: Characters between the windows over a long candidate; windows scored at once.
+STEP, AT_ONCE = 20, 8192
 MIN_RECALL = 0.98
 N_FINDINGS, SEED = 6000, 11
 
@@ -65,13 +70,25 @@ def candidates(text: str, taken: list[Span]) -> list[tuple[int, int]]:
 
 
 def window(text: str, start: int, end: int) -> str:
-    """The characters that the network sees; the middle of a long candidate is left out, absent ones are NUL."""
+    """The characters that the network sees of a span; the middle of a long one is left out, absent ones are NUL."""
     body = text[start:end]
     if len(body) > BODY:
         body = body[: BODY - 12] + body[-12:]
     return text[max(0, start - LEFT) : start].rjust(LEFT, "\0") + body.ljust(BODY, "\0") + text[end : end + RIGHT].ljust(RIGHT, "\0")
 
 
+def views(text: str, start: int, end: int) -> list[str]:
+    """The windows that judge a candidate: one of a short candidate; of a long one, its head with its
+    tail, and overlapping windows over the whole of it and over its parts between separators."""
+    if end - start <= BODY:
+        return [window(text, start, end)]
+    out = {(start, end)}
+    for s, e in [(start, end), *(m.span() for part in _parts for m in part.finditer(text, start, end))]:
+        out.update((k, k + BODY) for k in range(s, e - BODY, STEP))
+        out.add((max(s, e - BODY), e))
+    return [window(text, s, e) for s, e in sorted(out)]
+
+
 def codes(windows: list[str]) -> np.ndarray:
     """Character codes: ASCII as it is, letters beyond it as 1, the candidate's own shifted by 128."""
     wide = np.frombuffer("".join(windows).encode("utf-32-le"), np.uint32).reshape(len(windows), WIDTH)
@@ -247,7 +264,10 @@ def joined(spans: list[Span]) -> str:
 def _all_spans(texts: list[str], net: CharNetwork) -> tuple[list[list[Span]], list[list[Span]]]:
     base = [base_spans(t) for t in texts]
     found = [(k, s, e) for k, t in enumerate(texts) for s, e in candidates(t, base[k])]
-    scores = net.probability([window(texts[k], s, e) for k, s, e in found])
+    scores = np.zeros(len(found))
+    for part in batched(((i, w) for i, (k, s, e) in enumerate(found) for w in views(texts[k], s, e)), AT_ONCE):
+        at, windows = zip(*part)
+        np.maximum.at(scores, np.array(at), net.probability(list(windows)))
     added: list[list[Span]] = [[] for _ in texts]
     for (k, s, e), p in zip(found, scores):
         if p >= net.threshold:

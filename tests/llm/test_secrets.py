@@ -61,3 +61,24 @@ def test_many_spans_in_one_text():
     base = secrets.base_spans(text)
     found = secrets.candidates(text, base)
     assert len(found) == 5000 and all(not any(s < e2 and s2 < e for _, s, e in base[:40]) for s2, e2 in found[:40])
+
+
+def test_keys_in_the_middle_of_long_candidates():
+    key = "qL8vTz3RkW9sYp2NdX5hBc7G"
+    texts = [f"see https://config/prod/service-a/settings/{key}/rotate/index.html today", f"see quarterly-report-of-the-harbour-office-{key}-as-printed-in-march today", "see config/prod/service-a/settings/of/the/harbour/office/rotate/index7.html today"]
+    _, added = secrets._all_spans(texts, secrets.default_network())
+    for text, spans in zip(texts[:2], added):
+        at = text.index(key)
+        assert any(s <= at and at + len(key) <= e for _, s, e in spans), text
+    assert added[2] == []
+
+
+def test_views_show_every_character_and_grow_with_the_candidate():
+    text = "".join(chr(33 + k % 90) if k % 90 else "a" for k in range(90))
+    for n in (16, 40, 41, 60, 61, 100, 1000, 5000):
+        body = "".join(f"{k:x}" for k in range(n))[:n]
+        shown = [v[secrets.LEFT : secrets.LEFT + secrets.BODY].rstrip("\0") for v in secrets.views(f"{text} {body} {text}", 91, 91 + n)]
+        at = sorted({body.find(v) for v in shown} - {-1})
+        assert at[0] == 0 and all(b - a <= secrets.BODY for a, b in zip(at, at[1:])) and at[-1] + secrets.BODY >= n
+        assert len(shown) <= 3 + n / secrets.STEP * 3
+        assert secrets.window(f"{text} {body} {text}", 91, 91 + n) in secrets.views(f"{text} {body} {text}", 91, 91 + n)
