@@ -104,7 +104,7 @@ GRANTS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """Signature: both keywords must occur before ``pattern`` is tried; larger priority wins."""
+    """Signature: ``pattern`` is tried where both keywords occur, words that a match needs unless a rule of the same pattern tries it too. Larger priority wins."""
 
     gate: str
     keyword: str
@@ -121,10 +121,11 @@ def rules() -> tuple[Rule, ...]:
     for keyword, stem, names, versions in FAMILIES:
         for name in names:
             for lead, gain in GRANTS:
+                gate = "licen" if "licensed" in lead else name
                 out.append(Rule("licen", keyword, stem, f"{lead}{name} licen[cs]es?", 40 + gain))
                 for version in versions:
                     label = f"{stem}-{version.removesuffix(' 0').replace(' ', '.')}"
-                    out.append(Rule("licen", keyword, label, f"{lead}{name} (?:licen[cs]e )?(?:version |v)?{version}(?: or (?:any )?later)?", 60 + gain))
+                    out.append(Rule(gate, keyword, label, f"{lead}{name} (?:licen[cs]e )?(?:version |v)?{version}(?: or (?:any )?later)?", 60 + gain))
     for label, short, long in COMMONS:
         for lead, gain in GRANTS[:2] + GRANTS[-1:]:
             out.append(Rule("creative commons", "attribution", label, f"{lead}creative commons {long}(?: (?:{'|'.join(COMMONS_VERSIONS)}))?(?: (?:international|unported|generic))?", 60 + gain + len(short)))

@@ -51,3 +51,33 @@ def test_rules_are_ordered_and_stay_within_the_longest_match():
     assert [r.priority for r in rules] == sorted((r.priority for r in rules), reverse=True)
     for r in rules:
         assert len(re.sub(r"\(\?:|\)|\?", "", r.pattern).split(" ")) <= licenses.LONGEST
+
+
+def test_gates_lose_no_match_of_any_rule(spark):
+    rnd = random.Random(8)
+
+    def example(pattern):
+        text = re.sub(r"\(\?:((?:[^()]|\([^()]*\))*)\)\?", lambda m: f"(?:{m[1]})" if rnd.random() < 0.5 else "", pattern)
+        while "(?:" in text:
+            text = re.sub(r"\(\?:([^()]*)\)(\?)?", lambda m: "" if m[2] and rnd.random() < 0.5 else rnd.choice(m[1].split("|")), text)
+        text = re.sub(r"\[([a-z]+)\]", lambda m: rnd.choice(m[1]), text)
+        return re.sub(r"(\w)\?", lambda m: rnd.choice([m[1], ""]), text.replace("(?:", "").replace(")", ""))
+
+    every = licenses.rules()
+    texts = ["released under GPL v3 or later", "distributed under Apache 2.0", *(example(r.pattern) for r in every)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = licenses.scan(frame).withColumn("labels", licenses.labels_of(licenses.F.col("detections"))).withColumn("score", licenses.score_of(licenses.F.col("detections"))).collect()
+    compiled = [(k, r, re.compile(f"(?<= )(?:{r.pattern})(?= )")) for k, r in enumerate(every)]
+    n_hits = 0
+    for text, row in zip(texts, got):
+        form = f" {' '.join(words_of(text))} "
+        found = []
+        for k, r, pattern in compiled:
+            for m in pattern.finditer(form):
+                start = form[: m.start()].count(" ") - 1
+                found.append((start, start + len(m[0].split(" ")), r.priority, k, r.label, r.base))
+        kept = [b for b in found if b[5] or not any((a[0] < b[1] and b[0] < a[1] and a[2] > b[2]) or (a[0] <= b[0] and b[1] <= a[1] and a[2] == b[2] and a[3] < b[3]) for a in found)]
+        n_hits += bool(kept)
+        assert (row.labels, row.score) == (",".join(sorted({d[4] for d in kept})), max([d[2] for d in kept], default=0) / 100), text
+    assert n_hits == len(texts)
+    assert [(r.labels, r.score) for r in got[:2]] == [("gpl-3", 0.8), ("apache-2", 0.8)]
