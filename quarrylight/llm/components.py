@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm._common import write_shared
+from quarrylight.llm._common import drop_shared, write_shared
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     current = write_shared(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     before = None
     while True:
-        current = write_shared(_small_star(_large_star(current)), "edges")
+        last, current = current, write_shared(_small_star(_large_star(current)), "edges")
+        drop_shared(last)
         state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return current.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
