@@ -4,20 +4,27 @@ Every byte covered by a ``LENGTH``-byte string that also starts in a document wi
 id goes. The order of suffixes matters to ``LENGTH`` bytes only, so the sort stops there:
 
 1. Exact copies of a whole text are set aside: all their bytes are repeats of the smallest id.
+   Rows that repeat both id and text are sorted once and share the result.
 2. A string's minimizer is the least hash of its ``GRAM``-byte substrings; equal strings have
    equal minimizers. Minimizers met in a single document rule their strings out, so only text
    under repeated minimizers is sorted. Their counts are combined per batch, then per bucket.
-3. The remaining text is dealt by minimizer, in runs of strings that share one. A run that
-   a smaller document of the same map batch holds too is settled there and not sent. Under a
-   minimizer that many batches hold, strings are dealt one by one, by their own hash, so that
-   the texts around a very common passage do not meet in one task.
-4. Each bucket's suffixes are sorted: the sort takes a difference cover of 3: sampled positions (1 and 2 modulo 3) are named by
-   sorted triples of words, the names are named again by sorted pairs until they span all but
-   two bytes of the string, the remaining positions are merged through the names that follow
-   them, and neighbours with equal prefixes form the classes whose least id keeps the string.
-
-Null texts count as empty. Rows without an id neither lose bytes nor take any. Rows that share
-an id are not smaller than one another, whatever their texts.
+3. The remaining text is dealt by minimizer, in runs of strings that share one. The sorted
+   order is thus by bucket, then by bytes, and equal strings are neighbours in it. A run that
+   a smaller document of the same map batch holds too is settled there and not sent.
+4. Each bucket's suffixes are sorted by a difference cover of 3: sampled positions (1 and 2 modulo 3)
+   are named by sorted triples of words, the names are named again by sorted pairs until they span
+   all but two bytes of the string, the remaining positions are sorted by one byte and the name that
+   follows and merged in, and neighbours with equal prefixes form the classes whose least id keeps
+   the string.
+5. A minimizer with ``HOT_STRINGS`` strings or more (a very common passage, a text of one
+   repeated phrase) is not sorted in one bucket: its strings are named by 128-bit digests, one
+   by one, reduced to their least documents per batch and dealt by name, so that neither the
+   passage nor the differing texts around it meet in one task.
+
+Null texts count as empty, an empty table gives no rows. Rows without an id neither lose bytes
+nor take any. Rows that share an id are not smaller than one another, whatever their texts;
+rows that repeat id and text lose the same bytes. Very long texts are worked on in parts of
+``HASHED`` bytes and dealt in runs; only one text at a time is held whole.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,14 +44,19 @@ from quarrylight.llm._common import write_shared
 LENGTH, GRAM = 50, 24
 #: Bytes hashed at a time, strings sorted at a time; bytes that may be broadcast to a text scan.
 HASHED, SORTED, BROADCAST_BYTES = 1 << 17, 1 << 20, 32 << 20
-#: The least number of partitions that minimizers are dealt to, in buckets.
-PARTS = 32
-#: Documents of a batch, whose numbers fit in 15 bits.
-MOST_ROWS = 1 << 14
-#: Batches with a minimizer from which on its strings are dealt one by one.
-HOT_BATCHES = 2048
+#: Partitions that minimizers are dealt to: at least PARTS and one for each PART_BYTES of text; buckets of each.
+PARTS, PART_BYTES, BUCKETS = 32, 128 << 20, 8
+#: Documents and bytes of text of a batch; document numbers fit in 14 bits.
+MOST_ROWS, MOST_BYTES = 1 << 14, 16 << 20
+#: Strings under a minimizer from which on they are named and dealt one by one.
+HOT_STRINGS = 1 << 18
+#: Strings that a batch is taken to have under a minimizer for which it sends no count; it sends those above.
+FEW_STRINGS = 32
 #: Ways that the copies of one text are dealt.
 SALTS = 32
+#: What identifies a text: its document and the hash that tells the texts of one document apart.
+KEY = ["doc_id", "rid"]
+RUNS, NAMES, SPANS = 0, 1, 2
 _low = np.uint64((1 << 48) - 1)
 _all = np.array([[0, 1 << 40]], np.int64).tobytes()
 
@@ -59,30 +71,24 @@ def _ranks(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _least(keys: np.ndarray, owners: np.ndarray) -> np.ndarray:
-    """For each key, the least owner of the keys equal to it: neighbours in sorted order are compared."""
-    order = np.argsort(keys)
-    ordered = keys[order]
-    heads = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    least = np.minimum.reduceat(owners[order], np.flatnonzero(heads))
-    out = np.empty(len(keys), owners.dtype)
-    out[order] = least[np.cumsum(heads) - 1]
+def _least_of_classes(order: np.ndarray, heads: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """For each element, the least owner in its class; ``heads`` marks where classes begin in ``order``."""
+    out = np.empty(len(owners), owners.dtype)
+    out[order] = np.minimum.reduceat(owners[order], np.flatnonzero(heads))[np.cumsum(heads) - 1]
     return out
 
 
-def least_owners(text: np.ndarray, starts: np.ndarray, owners: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """For each string of ``length`` bytes at ``starts`` in ``text``, the least owner of an equal string.
+def sorted_classes(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the strings of ``length`` bytes at ``starts`` in ``text``, and where in it a new string begins.
 
     ``length`` is between 26 and 50. Names of 24 bytes come from sorted triples of 8-byte words
-    at sampled positions, names of ``length`` - 2 from pairs of those.
+    at sampled positions, names of ``length`` - 2 from sorted pairs of those.
     """
-    if not len(starts):
-        return owners.copy()
     padded = np.concatenate([text, np.zeros(length + 64, np.uint8)])
-    modulus = starts % 3
+    residue = starts % 3
     needed = np.zeros(len(text) + length, bool)
     for delta in (0, 1, 2):
-        needed[(starts + delta)[(modulus + delta) % 3 != 0]] = True
+        needed[(starts + delta)[(residue + delta) % 3 != 0]] = True
     second = length - 2 - 24
     sampled = np.flatnonzero(needed | np.concatenate([np.zeros(second, bool), needed])[: len(needed)])
     words = np.lib.stride_tricks.sliding_window_view(padded, 8)
@@ -105,35 +111,86 @@ def least_owners(text: np.ndarray, starts: np.ndarray, owners: np.ndarray, lengt
     def byte(at: np.ndarray) -> np.ndarray:
         return padded[at].astype(np.uint64)
 
-    shift = np.uint64(8)
-    last = length - 2
-    out = owners.copy()
-    for without, key in (
-        (0, lambda at: (((name(at) << shift) | byte(at + last)) << shift) | byte(at + last + 1)),
-        (2, lambda at: (((name(at + 1) << shift) | byte(at)) << shift) | byte(at + last + 1)),
-        (1, lambda at: (((name(at + 2) << shift) | byte(at)) << shift) | byte(at + 1)),
-    ):
-        rows = np.flatnonzero(modulus != without)
-        if len(rows):
-            out[rows] = np.minimum(out[rows], _least(key(starts[rows]), owners[rows]))
+    eight, wide, last = np.uint64(8), np.uint64(40), length - 2
+
+    def whole(at: np.ndarray) -> np.ndarray:
+        return (((name(at) << eight) | byte(at + last)) << eight) | byte(at + last + 1)
+
+    def after_one(at: np.ndarray) -> np.ndarray:
+        return (byte(at) << wide) | (name(at + 1) << eight) | byte(at + last + 1)
+
+    def after_two(at: np.ndarray) -> np.ndarray:
+        return (((byte(at) << eight) | byte(at + 1)) << np.uint64(32)) | name(at + 2)
+
+    cover = np.flatnonzero(residue != 0)
+    rest = np.flatnonzero(residue == 0)
+    cover_keys, rest_keys = whole(starts[cover]), after_one(starts[rest])
+    by = np.argsort(cover_keys)
+    cover, cover_keys = cover[by], cover_keys[by]
+    by = np.argsort(rest_keys)
+    rest, rest_keys = rest[by], rest_keys[by]
+    ahead = np.arange(len(rest))
+    for r, key in ((1, after_one), (2, after_two)):
+        ahead = ahead + np.searchsorted(key(starts[cover[residue[cover] == r]]), key(starts[rest]))
+    merged = np.empty(len(starts), np.int64)
+    from_rest = np.zeros(len(starts), bool)
+    from_rest[ahead] = True
+    merged[from_rest], merged[~from_rest] = rest, cover
+    heads = np.ones(len(starts), bool)
+    own = np.empty(len(starts), np.uint64)
+    own[from_rest], own[~from_rest] = rest_keys, cover_keys
+    heads[1:] = (from_rest[1:] != from_rest[:-1]) | (own[1:] != own[:-1])
+    # a string of the rest comes before its equals of the cover, never after
+    step = np.flatnonzero(from_rest[:-1] & ~from_rest[1:])
+    left, right = starts[merged[step]], starts[merged[step + 1]]
+    for r, key in ((1, after_one), (2, after_two)):
+        at = right % 3 == r
+        heads[step[at] + 1] = key(left[at]) != key(right[at])
+    return merged, heads
+
+
+def least_owners(text: np.ndarray, starts: np.ndarray, owners: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For each string of ``length`` bytes at ``starts`` in ``text``, the least owner of an equal string."""
+    return _least_of_classes(*sorted_classes(text, starts, length), owners) if len(starts) else owners.copy()
+
+
+def _mixed_spans(text: np.ndarray, seed: int, spans: tuple[int, ...]) -> dict[int, np.ndarray]:
+    """Hashes of all substrings of 2, 4, ... bytes, by length; each joins two of half its length."""
+    h = text.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 ^ seed)
+    out = {}
+    for span, factor in zip(spans, (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0x8CB92BA72F3D8DD7)):
+        h = h[:-span] * np.uint64(factor) + h[span:]
+        h ^= h >> np.uint64(29)
+        out[2 * span] = h
     return out
 
 
+def _finished(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(32))
+    h *= np.uint64(0x8EBC6AF09C88C6E3)
+    return h ^ (h >> np.uint64(29))
+
+
+def digests(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each string of ``length`` bytes (32 to 64) of ``text``, by its start."""
+    out = []
+    n = max(len(text) - length + 1, 0)
+    for seed in (0x51ED270B, 0x2545F491):
+        if not n:
+            out.append(np.zeros(0, np.uint64))
+            continue
+        half = _mixed_spans(text, seed, (1, 2, 4, 8, 16))[32]
+        out.append(_finished(_finished(half[:n]) * np.uint64(0xE7037ED1A0B428DB) + half[length - 32 : length - 32 + n]))
+    return out[0], out[1]
+
+
 def minimizers(text: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
     """The minimizer of each string of ``length`` bytes of ``text``, by its start. ``gram`` is 24."""
     grams = length - gram + 1
     if len(text) < length:
         return np.zeros(0, np.uint64)
-    h = text.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    by_span = {}
-    for span, factor in ((1, 0xC2B2AE3D27D4EB4F), (2, 0x165667B19E3779F9), (4, 0xD6E8FEB86659FD93), (8, 0xA0761D6478BD642F)):
-        h = h[:-span] * np.uint64(factor) + h[span:]
-        h ^= h >> np.uint64(29)
-        by_span[2 * span] = h
-    h = h[: len(text) - gram + 1] * np.uint64(0xE7037ED1A0B428DB) + by_span[8][16 : 16 + len(text) - gram + 1]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0x8EBC6AF09C88C6E3)
-    h ^= h >> np.uint64(29)
+    by_span = _mixed_spans(text, 0, (1, 2, 4, 8))
+    h = _finished(by_span[16][: len(text) - gram + 1] * np.uint64(0xE7037ED1A0B428DB) + by_span[8][16 : 16 + len(text) - gram + 1])
     span = 1
     while 2 * span <= grams:
         h = np.minimum(h[:-span], h[span:])
@@ -142,7 +199,7 @@ def minimizers(text: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.n
 
 
 def _grouped(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of texts of about HASHED bytes."""
+    """Consecutive ranges of pieces of about HASHED bytes."""
     start = total = 0
     for k, size in enumerate(sizes):
         total += size
@@ -154,109 +211,143 @@ def _grouped(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def _runs_of(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, first start, number of starts and minimizer of each run of strings with one minimizer."""
+    """Text number, first start, number of starts and minimizer of each run of strings with one minimizer.
+
+    A long text is cut into pieces of HASHED bytes that overlap by ``length`` - 1; runs end there too.
+    """
+    pieces = [(k, at) for k, text in enumerate(texts) for at in range(0, max(len(text) - length + 1, 0), HASHED)]
+    ends_at = [min(len(texts[k]), at + HASHED + length - 1) for k, at in pieces]
+    sizes = [end - at for (_, at), end in zip(pieces, ends_at)]
     parts: list[list[np.ndarray]] = [[], [], [], []]
-    sizes = [len(t) for t in texts]
     for low, high in _grouped(sizes):
-        found = minimizers(np.frombuffer(b"".join(texts[low:high]), np.uint8), length)
-        if not len(found):
-            continue
+        found = minimizers(np.frombuffer(b"".join(texts[k][at:end] for (k, at), end in zip(pieces[low:high], ends_at[low:high])), np.uint8), length)
         ends = np.cumsum(sizes[low:high])
         begins = ends - sizes[low:high]
-        owner = np.searchsorted(ends, np.arange(len(found)), side="right")
-        valid = np.arange(len(found)) + length <= ends[owner]
-        heads = np.concatenate([[True], (found[1:] != found[:-1]) | (owner[1:] != owner[:-1]) | (valid[1:] != valid[:-1])])
+        piece = np.searchsorted(ends, np.arange(len(found)), side="right")
+        valid = np.arange(len(found)) + length <= ends[piece]
+        heads = np.concatenate([[True], (found[1:] != found[:-1]) | (piece[1:] != piece[:-1]) | (valid[1:] != valid[:-1])])
         at = np.flatnonzero(heads)
         counts = np.diff(np.append(at, len(found)))
         good = valid[at]
         at, counts = at[good], counts[good]
-        for part, column in zip(parts, (owner[at] + low, at - begins[owner[at]], counts, found[at])):
+        whose, offset = np.array(pieces[low:high], np.int64).T
+        for part, column in zip(parts, (whose[piece[at]], at - begins[piece[at]] + offset[piece[at]], counts, found[at])):
             part.append(column)
     return tuple(np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(parts, (np.int64, np.int64, np.int64, np.uint64)))
 
 
-def _repeated_minimizers(texts: DataFrame, length: int, parts: int, buckets: int, hot_batches: int = HOT_BATCHES) -> DataFrame:
-    """rid and the packed low 48 bits of its minimizers that other documents hold too, and of the hot ones.
+def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most MOST_ROWS, and of at most MOST_BYTES of text but for one longer text."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            end = min(max(int(np.searchsorted(ends, before + MOST_BYTES, side="right")), start + 1), start + MOST_ROWS)
+            yield batch.slice(start, end - start)
+            start = end
 
-    Each batch sends a minimizer to its bucket once, whatever number of its documents hold it. One
-    that ``hot_batches`` batches send is hot. Both are decided by the low 48 bits alone, for all texts alike.
-    """
-    batch_schema = "deal int, uid long, kind int, entries binary"
 
-    def rows(found: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        columns = list(zip(*found)) if found else [(), (), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["deal", "uid", "kind", "entries"])
+def _rows(columns: dict[str, pa.DataType], found: list[tuple]) -> pa.RecordBatch:
+    made = zip(*found) if found else [()] * len(columns)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(made, columns.values())], names=list(columns))
+
+
+def _repeated_minimizers(texts: DataFrame, length: int, parts: int) -> DataFrame:
+    """doc_id, rid, the packed low 48 bits of a text's minimizers that other texts hold too, and those of the hot ones.
+
+    Each batch sends a minimizer to its bucket once, whatever number of its documents hold it, with the
+    number of its strings if they are not few. The bucket adds them up, so that a minimizer is hot, or
+    repeated, for all texts alike.
+    """
+    buckets = BUCKETS * parts
+    columns = {"deal": pa.int32(), "uid": pa.int64(), "kind": pa.int32(), "entries": pa.binary()}
+    schema = "deal int, uid long, kind int, entries binary"
+    few, hot_strings = FEW_STRINGS, HOT_STRINGS
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part = context.partitionId() if context else 0
-        slices = (b.slice(k, MOST_ROWS) for b in batches for k in range(0, b.num_rows, MOST_ROWS))
-        for number, batch in enumerate(slices):
-            owner, _, _, value = _runs_of([(t.as_py() or "").encode() for t in batch.column(1)], length)
+        for number, batch in enumerate(_slices(batches, 2)):
+            owner, _, count, value = _runs_of([t.as_py().encode() for t in batch.column(2)], length)
             if not len(owner):
                 continue
             uid = (part << 32) | number
-            value, owner = _distinct(value, owner)
-            heads = np.concatenate([[True], value[1:] != value[:-1]])
-            repeated = ~heads | np.concatenate([~heads[1:], [False]])
-            out = [(buckets + uid % buckets, uid, 0, batch.column(0).to_numpy().astype(np.int64).tobytes())]
+            value &= _low
+            order = np.lexsort((owner, value))
+            value, owner, count = value[order], owner[order], count[order]
+            first = np.concatenate([[True], value[1:] != value[:-1]])
+            weight = np.add.reduceat(count, np.flatnonzero(first))
+            new = first | np.concatenate([[True], owner[1:] != owner[:-1]])
+            value, owner, first = value[new], owner[new], first[new]
+            repeated = ~first | np.concatenate([~first[1:], [False]])
+            keys = np.concatenate([batch.column(k).to_numpy().astype(np.int64) for k in (0, 1)])
+            out = [(buckets + uid % buckets, uid, 0, keys.tobytes())]
             if repeated.any():
                 out.append((buckets + uid % buckets, uid, 1, _packed(value[repeated], owner[repeated])))
-            value, owner, known = value[heads], owner[heads], repeated[heads]
-            bucket = ((value & _low) >> np.uint64(32)) % np.uint64(buckets)
+            value, owner, known, many = value[first], owner[first], repeated[first], weight > few
+            owner = owner | (known.astype(np.int64) << 15) | (many.astype(np.int64) << 14)
+            bucket = (value >> np.uint64(32)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in range(buckets):
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
                 own = order[cuts[b] : cuts[b + 1]]
-                if len(own):
-                    out.append((b, uid, 2, _packed(value[own], owner[own] | (known[own].astype(np.int64) << 15))))
-            yield rows(out)
+                out.append((b, uid, 2, np.int64(len(own)).tobytes() + _packed(value[own], owner[own]) + weight[own][many[own]].astype(np.int64).tobytes()))
+            yield _rows(columns, out)
+
+    def met(deal: int, blobs: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        sizes = [int(np.frombuffer(e, np.int64, 1)[0]) for _, e in blobs]
+        value, owner = _unpacked(b"".join(e[8 : 8 + 8 * n] for (_, e), n in zip(blobs, sizes)))
+        weight = np.full(len(value), few, np.int64)
+        weight[owner & 0x4000 != 0] = np.frombuffer(b"".join(e[8 + 8 * n :] for (_, e), n in zip(blobs, sizes)), np.int64)
+        order = np.argsort(value)
+        ordered = value[order]
+        heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        times = np.diff(np.append(heads, len(value)))
+        batches, strings = np.empty(len(value), np.int64), np.empty(len(value), np.int64)
+        batches[order] = np.repeat(times, times)
+        strings[order] = np.repeat(np.add.reduceat(weight[order], heads), times)
+        hot = strings >= hot_strings
+        told = (batches > 1) | (hot & (owner & 0x8000 != 0))
+        out = []
+        ends = np.cumsum(sizes)
+        for (uid, _), end, size in zip(blobs, ends.tolist(), sizes):
+            at = np.flatnonzero(told[end - size : end]) + end - size
+            if len(at):
+                out.append((deal, uid, 1, _packed(value[at], (owner[at] & 0x3FFF) | (hot[at].astype(np.int64) << 15))))
+        return _rows(columns, out)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[int, bytes]]] = {}
+        current, held = None, []
         for batch in batches:
             passed = []
-            for deal, uid, kind, entries in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if kind == 2:
-                    held.setdefault(deal, []).append((uid, entries))
-                else:
-                    passed.append((deal, uid, kind, entries))
-            if passed:
-                yield rows(passed)
-        for deal, blobs in held.items():
-            values, owners = zip(*(_unpacked(e) for _, e in blobs))
-            sizes = [len(v) for v in values]
-            value = np.concatenate(values)
-            order = np.argsort(value)
-            ordered = value[order]
-            heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-            met = np.diff(np.append(heads, len(value)))
-            batches_of = np.empty(len(value), np.int64)
-            batches_of[order] = np.repeat(met, met)
-            repeated, hot = batches_of > 1, batches_of >= hot_batches
-            at = 0
-            out = []
-            for (uid, _), v, o, size in zip(blobs, values, owners, sizes):
-                hit, common = repeated[at : at + size], hot[at : at + size]
-                at += size
-                if hit.any():
-                    out.append((deal, uid, 1, _packed(v[hit], (o[hit] & 0x7FFF) | (common[hit].astype(np.int64) << 15))))
-            yield rows(out)
+            for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if row[2] != 2:
+                    passed.append(row)
+                    continue
+                if row[0] != current and held:
+                    yield met(current, held)
+                    held = []
+                current = row[0]
+                held.append((row[1], row[3]))
+            yield _rows(columns, passed)
+        if held:
+            yield met(current, held)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid, ids, found = None, None, []
+        uid, keys, found = None, None, []
 
         def done() -> pa.RecordBatch:
-            values, owners = zip(*(_unpacked(e) for e in found)) if found else ((np.zeros(0, np.uint64),), (np.zeros(0, np.int64),))
-            value, owner = np.concatenate(values), np.concatenate(owners)
+            value, owner = _unpacked(b"".join(found))
             common = np.unique(value[owner >= 1 << 15])
-            value, owner = _distinct(value, owner & 0x7FFF)
+            value, owner = _distinct(value, owner & 0x3FFF)
             order = np.argsort(owner, kind="stable")
             owner, value = owner[order], value[order]
             heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-            parts = np.split(value, heads[1:]) if len(heads) else []
-            hot = [v[np.isin(v, common)].tobytes() for v in parts] if len(common) else [b""] * len(parts)
-            return pa.RecordBatch.from_arrays([pa.array(ids[owner[heads]] if len(heads) else [], pa.int64()), pa.array([v.tobytes() for v in parts], pa.binary()), pa.array(hot, pa.binary())], names=["rid", "repeated", "hot"])
+            lists = np.split(value, heads[1:]) if len(heads) else []
+            hot = [v[np.isin(v, common)].tobytes() for v in lists] if len(common) else [b""] * len(lists)
+            at = owner[heads] if len(heads) else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(keys[0][at]), pa.array(keys[1][at]), pa.array([v.tobytes() for v in lists], pa.binary()), pa.array(hot, pa.binary())], names=[*KEY, "repeated", "hot"])
 
         for batch in batches:
             for own, kind, entries in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -265,15 +356,15 @@ def _repeated_minimizers(texts: DataFrame, length: int, parts: int, buckets: int
                         yield done()
                     uid, found = own, []
                 if kind == 0:
-                    ids = np.frombuffer(entries, np.int64)
+                    keys = np.frombuffer(entries, np.int64).reshape(2, -1)
                 else:
                     found.append(entries)
         if uid is not None:
             yield done()
 
-    dealt = texts.select("rid", "text").mapInArrow(select, batch_schema).repartition(parts, "deal")
-    met = dealt.mapInArrow(meet, batch_schema).select("uid", "kind", "entries")
-    return met.repartition("uid").sortWithinPartitions("uid", "kind").mapInArrow(name, "rid long, repeated binary, hot binary")
+    dealt = texts.select(*KEY, "text").mapInArrow(select, schema).repartition(parts, "deal").sortWithinPartitions("deal")
+    told = dealt.mapInArrow(meet, schema).select("uid", "kind", "entries")
+    return told.repartition("uid").sortWithinPartitions("uid", "kind").mapInArrow(name, "doc_id long, rid long, repeated binary, hot binary")
 
 
 def _packed(value: np.ndarray, owner: np.ndarray) -> bytes:
@@ -304,15 +395,51 @@ def _spans(starts: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
     return np.stack([begin[at], end[np.append(at[1:], len(begin)) - 1]], 1) if len(at) else np.zeros((0, 2), np.int64)
 
 
-def _one_by_one(texts: list[bytes], owner: np.ndarray, start: np.ndarray, count: np.ndarray, value: np.ndarray, hot: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The runs with hot ones cut to single strings, each under its own hash in place of the minimizer."""
-    n = count[hot]
-    single = np.repeat(owner[hot], n)
-    first = np.repeat(start[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(texts[k][s : s + length]) for k, s in zip(single.tolist(), first.tolist())), np.uint64, len(single))
-    columns = (np.concatenate([owner[~hot], single]), np.concatenate([start[~hot], first]), np.concatenate([count[~hot], np.ones(len(single), np.int64)]), np.concatenate([value[~hot], hashes]))
-    order = np.lexsort((columns[1], columns[0]))
-    return tuple(c[order] for c in columns)
+def _named(texts: list[bytes], owner: np.ndarray, start: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
+    """owner, start and the two digests (as int64) of each string of the given runs, one column a string."""
+    sizes = (count + length - 1).tolist()
+    parts = []
+    for low, high in _grouped(sizes):
+        own, first, n = owner[low:high], start[low:high], count[low:high]
+        joined = np.frombuffer(b"".join(texts[k][s : s + size] for k, s, size in zip(own.tolist(), first.tolist(), sizes[low:high])), np.uint8)
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(np.cumsum([0, *sizes[low : high - 1]]), n) + inside
+        one, two = digests(joined, length)
+        parts.append(np.stack([np.repeat(own, n), np.repeat(first, n) + inside, one[at].view(np.int64), two[at].view(np.int64)]))
+    return np.concatenate(parts, 1) if parts else np.zeros((4, 0), np.int64)
+
+
+def _lost_names(one: np.ndarray, two: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Whether a smaller document has the same name: names are sorted, neighbours compared."""
+    order = np.lexsort((two, one))
+    heads = np.ones(len(order), bool)
+    heads[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    return _least_of_classes(order, heads, docs) < docs if len(docs) else np.zeros(0, bool)
+
+
+def _pack_names(rids: np.ndarray, ids: np.ndarray, named: np.ndarray) -> bytes:
+    """Named strings and the texts that own them; see _settle_names."""
+    who, number = np.unique(named[0], return_inverse=True)
+    return b"".join([np.array([named.shape[1], len(who)], np.int64).tobytes(), rids[who].tobytes(), ids[who].tobytes(), np.ascontiguousarray(named[2:]).tobytes(), np.stack([number, named[1]]).astype(np.int32).tobytes()])
+
+
+def _settle_names(blobs: list[bytes], length: int) -> Iterator[tuple[int, int, bytes]]:
+    """doc_id, rid and packed spans of the named strings that a smaller id holds too."""
+    columns: list[list[np.ndarray]] = [[], [], [], [], []]
+    for blob in blobs:
+        n, m = np.frombuffer(blob, np.int64, 2).tolist()
+        rids, ids = np.frombuffer(blob, np.int64, 2 * m, 16).reshape(2, m)
+        names = np.frombuffer(blob, np.int64, 2 * n, 16 + 16 * m).reshape(2, n)
+        number, start = np.frombuffer(blob, np.int32, 2 * n, 16 + 16 * m + 16 * n).reshape(2, n).astype(np.int64)
+        for column, part in zip(columns, (rids[number], ids[number], names[0], names[1], start)):
+            column.append(part)
+    rid, doc, one, two, start = map(np.concatenate, columns)
+    gone = np.flatnonzero(_lost_names(one, two, doc))
+    rid, doc, start = rid[gone], doc[gone], start[gone]
+    order = np.lexsort((rid, doc))
+    cuts = np.flatnonzero((rid[order][1:] != rid[order][:-1]) | (doc[order][1:] != doc[order][:-1])) + 1
+    for part in np.split(order, cuts) if len(order) else ():
+        yield int(doc[part[0]]), int(rid[part[0]]), _spans(start[part], np.ones(len(part), np.int64), length).tobytes()
 
 
 def _pack_runs(rids: np.ndarray, ids: np.ndarray, owner: np.ndarray, start: np.ndarray, count: np.ndarray, value: np.ndarray, strings: list[bytes]) -> bytes:
@@ -330,8 +457,8 @@ def _unpack_runs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return owners[0], owners[1], np.frombuffer(blob, np.int32, 4 * n, at).reshape(4, n).astype(np.int64), np.frombuffer(blob, np.uint8, -1, at + 16 * n)
 
 
-def _settle_runs(blobs: list[bytes], length: int) -> Iterator[tuple[int, bytes]]:
-    """rid and packed spans of the strings in a bucket's runs that a smaller id holds too, sorted SORTED strings at a time."""
+def _settle_runs(blobs: list[bytes], length: int) -> Iterator[tuple[int, int, bytes]]:
+    """doc_id, rid and packed spans of the strings in a bucket's runs that a smaller id holds too, sorted SORTED strings at a time."""
     rids, ids, runs, texts = zip(*map(_unpack_runs, blobs))
     shift = np.cumsum([0, *map(len, rids)])
     owner = np.concatenate([r[0] + k for r, k in zip(runs, shift)])
@@ -352,7 +479,7 @@ def _settle_runs(blobs: list[bytes], length: int) -> Iterator[tuple[int, bytes]]
         run, first, counts, flags = _split(lost, n, start[own])
         gone = np.flatnonzero(flags)
         for k, spans in _by_owner(owner[own][run[gone]], first[gone], counts[gone], length):
-            yield int(rid[k]), spans
+            yield int(doc[k]), int(rid[k]), spans
 
 
 def _split(flags: np.ndarray, count: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -365,26 +492,33 @@ def _split(flags: np.ndarray, count: np.ndarray, first: np.ndarray) -> tuple[np.
 
 
 def repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
-    """rid and ``spans``: packed [start, end) byte ranges that go from each text that loses any; rows of one rid add up.
+    """doc_id, rid and ``spans``: packed [start, end) byte ranges that go from each text that loses any; rows of one key add up.
 
-    ``docs`` has rid (a hash of id and text), doc_id and text.
+    ``docs`` has rid (a hash of the text), doc_id and text.
     """
     spark = docs.sparkSession
-    parts = max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets = 8 * parts
     owned = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    digests = owned.select("rid", "doc_id", F.md5("text").alias("digest"))
-    first = digests.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")).filter("other > rep").drop("other")
+    size = F.octet_length("text").cast("long")
+    seen = write_shared(owned.select(*KEY, F.unhex(F.md5("text")).alias("digest"), size.alias("size")), "digests")
+    total = seen.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    parts = max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+    buckets = BUCKETS * parts
+    first = seen.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")).filter("other > rep").drop("other")
     first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = digests.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int"))
-    copies = write_shared(salted.join(first, ["digest", "salt"]).filter("doc_id > rep").select("rid").distinct(), "copies")
-    texts = owned.join(_limited(copies), "rid", "left_anti")
-    known = write_shared(_repeated_minimizers(texts, length, parts, buckets), "minimizers")
+    salted = seen.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int"))
+    copies = write_shared(salted.join(first, ["digest", "salt"]).filter("doc_id > rep").select(*KEY).distinct(), "copies")
+    texts = owned.join(_limited(copies), KEY, "left_anti")
+    again = write_shared(seen.groupBy(*KEY).agg(F.count("*").alias("n")).filter("n > 1").select(*KEY).join(_limited(copies), KEY, "left_anti"), "repeated-rows")
+    if not again.isEmpty():
+        once = _limited(again)
+        texts = texts.join(once, KEY, "left_anti").unionByName(texts.join(once, KEY, "left_semi").dropDuplicates(KEY))
+    known = write_shared(_repeated_minimizers(texts, length, parts), "minimizers")
+    columns = {"deal": pa.int32(), "kind": pa.int32(), "doc_id": pa.int64(), "rid": pa.int64(), "held": pa.binary()}
 
     def deal_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = [(t.as_py() or "").encode() for t in batch.column(2)]
-            rids, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for batch in _slices(batches, 2):
+            held = [t.as_py().encode() for t in batch.column(2)]
+            ids, rids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             owner, start, count, value = _runs_of(held, length)
             low = value & _low
             repeated, hot = np.zeros(len(owner), bool), np.zeros(len(owner), bool)
@@ -394,53 +528,71 @@ def repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
                 repeated[part] = np.isin(low[part], np.frombuffer(packed, np.uint64))
                 if common:
                     hot[part] = np.isin(low[part], np.frombuffer(common, np.uint64))
-            owner, start, count, value, hot = owner[repeated], start[repeated], count[repeated], value[repeated], hot[repeated]
-            if hot.any():
-                owner, start, count, value = _one_by_one(held, owner, start, count, value, hot, length)
+            out: list[tuple] = []
+            if (hot & repeated).any():
+                own = hot & repeated
+                named = _named(held, owner[own], start[own], count[own], length)
+                lost = _lost_names(named[2], named[3], ids[named[0]])
+                gone = named[:, lost]
+                for k, spans in _by_owner(gone[0], gone[1], np.ones(gone.shape[1], np.int64), length):
+                    out.append((buckets + k % buckets, SPANS, int(ids[k]), int(rids[k]), spans))
+                named = named[:, ~lost]
+                bucket = (named[2].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                for b in np.flatnonzero(np.diff(cuts)).tolist():
+                    out.append((b, NAMES, None, None, _pack_names(rids, ids, named[:, order[cuts[b] : cuts[b + 1]]])))
+            plain = repeated & ~hot
+            owner, start, count, value = owner[plain], start[plain], count[plain], value[plain]
             strings = [held[k][s : s + n] for k, s, n in zip(owner.tolist(), start.tolist(), (count + length - 1).tolist())]
             least: dict[bytes, int] = {}
             for string, doc in zip(strings, ids[owner].tolist()):
                 if least.setdefault(string, doc) > doc:
                     least[string] = doc
             lost = np.fromiter(map(least.__getitem__, strings), np.int64, len(strings)) < ids[owner]
-            out: list[list] = [[], [], []]
             gone = np.flatnonzero(lost)
             for k, spans in _by_owner(owner[gone], start[gone], count[gone], length):
-                for column, v in zip(out, (buckets + k % buckets, int(rids[k]), spans)):
-                    column.append(v)
+                out.append((buckets + k % buckets, SPANS, int(ids[k]), int(rids[k]), spans))
             stay = np.flatnonzero(~lost)
             bucket = ((value[stay] >> np.uint64(31)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 own = stay[order[cuts[b] : cuts[b + 1]]]
-                for column, v in zip(out, (b, None, _pack_runs(rids, ids, owner[own], start[own], count[own], value[own], [strings[r] for r in own]))):
-                    column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.binary()))], names=["deal", "rid", "held"])
+                out.append((b, RUNS, None, None, _pack_runs(rids, ids, owner[own], start[own], count[own], value[own], [strings[r] for r in own])))
+            yield _rows(columns, out)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
+        current: tuple[int, int] | None = None
+        held: list[bytes] = []
+
+        def done() -> pa.RecordBatch:
+            work = _settle_runs if current[1] == RUNS else _settle_names
+            return _found(list(work(held, length)))
+
         for batch in batches:
-            passed: list[list] = [[], []]
-            for deal, rid, blob in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if deal < buckets:
-                    held.setdefault(deal, []).append(blob)
-                else:
-                    passed[0].append(rid)
-                    passed[1].append(blob)
-            yield _found(*passed)
-        for deal in list(held):
-            found = list(_settle_runs(held.pop(deal), length))
-            yield _found([k for k, _ in found], [v for _, v in found])
+            passed = []
+            for deal, kind, doc, rid, blob in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if kind == SPANS:
+                    passed.append((doc, rid, blob))
+                    continue
+                if (deal, kind) != current and held:
+                    yield done()
+                    held = []
+                current = (deal, kind)
+                held.append(blob)
+            yield _found(passed)
+        if held:
+            yield done()
 
-    wanted = texts.join(_limited(known.select("rid")), "rid", "left_semi").select("rid", "doc_id", "text").join(known.hint("shuffle_merge"), "rid")
-    dealt = wanted.mapInArrow(deal_batch, "deal int, rid long, held binary").repartition(parts, "deal")
-    settled = dealt.mapInArrow(settle, "rid long, spans binary")
-    return settled.unionByName(copies.select("rid", F.lit(_all).alias("spans")))
+    wanted = texts.join(_limited(known.select(*KEY)), KEY, "left_semi").select(*KEY, "text").join(known.hint("shuffle_merge"), KEY)
+    dealt = wanted.mapInArrow(deal_batch, "deal int, kind int, doc_id long, rid long, held binary").repartition(parts, "deal").sortWithinPartitions("deal", "kind")
+    settled = dealt.mapInArrow(settle, "doc_id long, rid long, spans binary")
+    return settled.unionByName(copies.select(*KEY, F.lit(_all).alias("spans")))
 
 
-def _found(rids: list, spans: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(spans, pa.binary())], names=["rid", "spans"])
+def _found(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return _rows({"doc_id": pa.int64(), "rid": pa.int64(), "spans": pa.binary()}, rows)
 
 
 def _by_owner(owner: np.ndarray, starts: np.ndarray, counts: np.ndarray, length: int) -> Iterator[tuple[int, bytes]]:
@@ -451,8 +603,8 @@ def _by_owner(owner: np.ndarray, starts: np.ndarray, counts: np.ndarray, length:
 
 
 def _limited(rows: DataFrame) -> DataFrame:
-    """``rows`` (rid and perhaps spans), marked for broadcast if their size, as counted, is within the bound."""
-    width = F.octet_length("spans") + 8 if "spans" in rows.columns else F.lit(8)
+    """``rows`` (a key and perhaps spans), marked for broadcast if their size, as counted, is within the bound."""
+    width = F.octet_length("spans") + 16 if "spans" in rows.columns else F.lit(16)
     size = rows.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
     return F.broadcast(rows) if size <= BROADCAST_BYTES else rows
 
@@ -461,18 +613,18 @@ def _joined_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """A text's ranges from all buckets as disjoint ranges, in order."""
     for batch in batches:
         out = []
-        for packed in batch.column(1).to_pylist():
+        for doc, rid, packed in zip(*(batch.column(k).to_pylist() for k in range(3))):
             ranges = np.frombuffer(b"".join(packed), np.int64).reshape(-1, 2)
-            out.append(_spans(ranges[:, 0], ranges[:, 1] - ranges[:, 0], 1).tobytes())
-        yield _found(batch.column(0).to_pylist(), out)
+            out.append((doc, rid, _spans(ranges[:, 0], ranges[:, 1] - ranges[:, 0], 1).tobytes()))
+        yield _found(out)
 
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
     """The rows of ``docs`` with rid and ``spans``, packed disjoint ranges that are null where nothing goes."""
-    rows = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
-    found = repeats(rows.select("rid", "doc_id", "text"), length=length).groupBy("rid").agg(F.collect_list("spans").alias("spans"))
-    merged = write_shared(found.mapInArrow(_joined_spans, "rid long, spans binary"), "spans")
-    return rows.join(_limited(merged), "rid", "left")
+    rows = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "rid": F.xxhash64("text")})
+    found = repeats(rows.select("rid", "doc_id", "text"), length=length).groupBy(*KEY).agg(F.collect_list("spans").alias("spans"))
+    merged = write_shared(found.mapInArrow(_joined_spans, "doc_id long, rid long, spans binary"), "spans")
+    return rows.join(_limited(merged), KEY, "left")
 
 
 def _cut(text: bytes, packed: bytes | None, length: int) -> tuple[bytes, int, int]:
@@ -500,7 +652,7 @@ def removal_report(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    rows = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length)
+    rows = _with_spans(docs.select("doc_id", "text"), length)
     return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
