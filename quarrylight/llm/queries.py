@@ -22,10 +22,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (
-  SELECT doc_id, t, regexp_extract_all(t, '[^ 	-
-]+') AS ws,
-         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
-]')) AS ls
+  SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM d),
 g AS (
   SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n
@@ -36,8 +34,7 @@ r AS (
   FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM g WHERE n > 1) GROUP BY doc_id),
 m AS (
   SELECT w.doc_id, len(ws)::BIGINT AS n_words,
-    length(regexp_replace(t, '[ 	-
-]', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
     coalesce(n_repeat, 0)::BIGINT AS n_repeat_words,
@@ -155,6 +152,25 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removal_report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+c AS (SELECT doc_id, k * 512 AS base, substr(h, k * 1024 + 1, 1122) AS part, least(n - k * 512, 512) AS m, n
+  FROM (SELECT *, unnest(range(0, (n + 511) // 512)) AS k FROM d)),
+s AS (SELECT doc_id, base + i AS pos, substr(part, 2 * i + 1, 100) AS string
+  FROM (SELECT *, unnest(range(0, least(512, n - 49 - base))) AS i FROM c)),
+l AS (SELECT doc_id, pos, doc_id > min(doc_id) OVER (PARTITION BY string) AS lost FROM s),
+g AS (SELECT doc_id, pos, pos - coalesce(lag(pos) OVER w, -1000) > 50 AS head FROM l WHERE lost WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+p AS (SELECT doc_id, pos, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM g),
+r AS (SELECT doc_id, run, min(pos) AS b, max(pos) + 50 AS e FROM p GROUP BY ALL),
+q AS (SELECT doc_id, b, e, lead(b) OVER (PARTITION BY doc_id ORDER BY b) AS next, row_number() OVER (PARTITION BY doc_id ORDER BY b) AS k FROM r),
+z AS (SELECT d.doc_id, count(*) AS n_spans, sum(e - b) AS n_removed,
+    string_agg((CASE WHEN k = 1 THEN substr(h, 1, 2 * b) ELSE '' END) || substr(h, 2 * e + 1, 2 * (coalesce(next, n) - e)), '' ORDER BY b) AS kept
+  FROM q JOIN d ON d.doc_id = q.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN z ON d.doc_id = z.doc_id
+"""
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document's encoding and of its decoding."""
     arrow_batches(spark)
@@ -167,6 +183,20 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=4)
 
 
+OP10_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS shingle FROM (SELECT *, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT a AS doc_id, a AS other FROM u UNION SELECT r.doc_id, u.b FROM reach r JOIN u ON u.a = r.other),
+m AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, w.doc_id)::BIGINT AS component_id, component_id IS NULL OR component_id = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.doc_id = w.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to function of (spark, sf_dir)."""
     return {
@@ -189,4 +219,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_quality_rules": OP1_SQL,
         "op5_license_scans": _op5_sql(),
         "op7_exact_top_k": OP7_SQL,
+        "op8_suffix_array_dedup": OP8_SQL,
+        "op10_minhash_near_dedup": OP10_SQL,
     }
