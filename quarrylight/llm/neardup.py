@@ -1,19 +1,23 @@
 """Near-duplicate groups from bottom-k sketches of word shingles under one hash function.
 
 1. Every document's shingles are hashed; the ``K`` smallest values are its sketch. Documents
-   with equal shingle sets form a class, and only its smallest id goes on.
+   with equal shingle sets form a class; one row per class goes on, whatever ids its rows have.
 2. Inverted lists of retained values give candidates. A linked pair shares at least a ``SHARE``
    of its sketches, so it also shares one of the values that are left when the most frequent
-   ones are set aside: each document enters the lists of its rarest values only, which keeps
+   ones are set aside: each class enters the lists of its rarest values only, which keeps
    common passages from joining unrelated texts.
-3. Within a list, sketches of both sides, cut at the smaller of their largest values, are a
-   sketch of the union; pairs estimated under ``ESTIMATE`` are dropped. A pair is looked at in
-   the list of its smallest common value only. Lists are cut into blocks, so that no task
-   holds more than two blocks, however long a list is.
-4. The documents left are verified in their lists on full shingle sets: exact Jaccard, and no
+3. Lists longer than a block are linked through representatives first, in at most ``STARS``
+   rounds: the member that shares most values with others is compared with all members, and
+   members linked to it need not be compared with one another. This is linear in the list.
+4. Within a list, sketches of both sides, cut at the smaller of their largest values, are a
+   sketch of the union; pairs estimated under ``ESTIMATE`` are dropped, as are pairs that are
+   connected already. A pair is looked at in the list of its smallest common value only. Lists
+   are cut into blocks, so that no task holds more than two blocks, however long a list is;
+   in a long list, only blocks of members that no representative took meet the other blocks.
+5. What is left is verified in its lists on full shingle sets: exact Jaccard, and no
    pair that the list's links already connect. Links are joined to components.
 
-Steps 2 and 3 can lose a link only where a sketch is far from the pair's similarity: less than
+Steps 2 to 4 can lose a link only where a sketch is far from the pair's similarity: less than
 1e-8 for a pair at the threshold; sets of at most ``K`` shingles are compared exactly.
 """
 
@@ -32,8 +36,8 @@ from quarrylight.llm.components import components
 
 WORDS, PERCENT = 5, 80
 K, SHARE, ESTIMATE = 48, 0.36, 0.4
-#: Rows of a block of a list; ids that may be broadcast to the text scan (8 bytes each).
-BLOCK, BROADCAST_IDS = 512, 4_000_000
+#: Rows of a block of a list; ids that may be broadcast to the text scan (8 bytes each); rounds of representatives.
+BLOCK, BROADCAST_IDS, STARS = 512, 4_000_000, 4
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 MEMO = 400_000
 
@@ -155,36 +159,76 @@ def _shared(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return spread[: len(left)] @ spread[len(left) :].T
 
 
-def similar_by_sketch(sketch: np.ndarray, n: np.ndarray, k: int, percent: int, estimate: float) -> np.ndarray:
-    """Pairs whose union sketch puts their similarity at ``estimate`` or more and whose sizes allow a link."""
-    common = _shared(sketch, sketch)
-    whole = n <= k
-    largest = np.where(whole, TOP, sketch[:, k - 1])
-    within = (sketch[:, None, :] <= largest[None, :, None]).sum(2) if len(sketch) <= 64 else np.stack([(row[None, :] <= largest[:, None]).sum(1) for row in sketch])
-    pad = (sketch == TOP).sum(1)
-    within = within - np.where(largest[None, :] == TOP, pad[:, None], 0)
-    union = within + within.T - common
-    sizes = 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+def similar_by_sketch(left: np.ndarray, n: np.ndarray, right: np.ndarray, m: np.ndarray, k: int, percent: int, estimate: float) -> np.ndarray:
+    """Pairs of a left and a right set whose union sketch puts their similarity at ``estimate`` or more and whose sizes allow a link."""
+    common = _shared(left, right)
+
+    def largest(sketch: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return np.where(size <= k, TOP, sketch[:, k - 1])
+
+    def within(sketch: np.ndarray, size: np.ndarray, tops: np.ndarray) -> np.ndarray:
+        return np.stack([np.minimum(np.searchsorted(row, tops, side="right"), held) for row, held in zip(sketch, np.minimum(size, k))])
+
+    union = within(left, n, largest(right, m)) + within(right, m, largest(left, n)).T - common
+    sizes = 100 * np.minimum(n[:, None], m[None, :]) >= percent * np.maximum(n[:, None], m[None, :])
     return (common >= estimate * union) & sizes
 
 
-def _flag(k: int, percent: int, estimate: float, share: float):
+def _flag(k: int, percent: int, estimate: float):
+    """Members of a list's block pair that look linked to another one they are not connected with."""
+
     def work(table: pa.Table) -> list[list] | None:
         value = np.uint64(table["value"][0].as_py() & 0xFFFFFFFFFFFFFFFF)
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        sketch, n = _matrix(table["sketch"], k), table["n"].to_numpy()
-        passed = similar_by_sketch(sketch, n, k, percent, estimate)
-        np.fill_diagonal(passed, False)
-        if i != j:
-            block = table["block"].to_numpy()
-            passed &= block[:, None] != block[None, :]
+        sketch, n, label, block = _matrix(table["sketch"], k), table["n"].to_numpy(), table["label"].to_numpy(), table["block"].to_numpy()
+        passed = np.zeros((len(n), len(n)), bool)
+        if i == j:
+            passed[:] = similar_by_sketch(sketch, n, sketch, n, k, percent, estimate)
+        else:
+            own, other = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            if not len(own) or not len(other):
+                return None
+            passed[np.ix_(own, other)] = similar_by_sketch(sketch[own], n[own], sketch[other], n[other], k, percent, estimate)
+            passed |= passed.T
+        passed &= label[:, None] != label[None, :]
         if not passed.any():
             return None
         prefix = _matrix(table["prefix"], k)
         passed &= _shared(np.where(prefix < value, prefix, TOP), np.where(prefix < value, prefix, TOP)) == 0
         at = np.flatnonzero(passed.any(1))
-        ids, blocks = table["doc"].to_numpy()[at], table["block"].to_numpy()[at]
-        return [[table["value"][0].as_py()] * len(at), [i] * len(at), [j] * len(at), ids.tolist(), blocks.tolist()]
+        return [[table["value"][0].as_py()] * len(at), [i] * len(at), [j] * len(at), table["doc"].to_numpy()[at].tolist(), block[at].tolist(), label[at].tolist()]
+
+    return work
+
+
+def _flag_star(k: int, percent: int, estimate: float):
+    """Members of a block that look linked to the representative, and the representative if there are any."""
+
+    def work(table: pa.Table) -> list[list] | None:
+        sketch, n, docs = _matrix(table["sketch"], k), table["n"].to_numpy(), table["doc"].to_numpy()
+        rep = table["value"][0].as_py()
+        at = int(np.flatnonzero(docs == rep)[0])
+        passed = similar_by_sketch(sketch[at : at + 1], n[at : at + 1], sketch, n, k, percent, estimate)[0]
+        passed[at] = True
+        found = docs[passed].tolist()
+        return [[rep] * len(found), [table["i"][0].as_py()] * len(found), [0] * len(found), found] if len(found) > 1 else None
+
+    return work
+
+
+def _verify_star(percent: int):
+    """Links of a block's members with the representative, by exact Jaccard."""
+
+    def work(table: pa.Table) -> list[list] | None:
+        docs, rep = table["doc"].to_numpy(), table["value"][0].as_py()
+        sets = [np.frombuffer(s.as_py(), np.uint64) for s in table["shingles"]]
+        own = sets[int(np.flatnonzero(docs == rep)[0])]
+        size = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        both = np.diff(np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], np.cumsum(size)])])
+        found = docs[(100 * both >= percent * (len(own) + size - both)) & (docs != rep)].tolist()
+        return [[rep] * len(found), found]
 
     return work
 
@@ -196,22 +240,13 @@ def _verify(percent: int):
         sets = [np.frombuffer(s.as_py(), np.uint64) for s in table["shingles"]]
         size = np.array([len(s) for s in sets])
         order = np.argsort(ids, kind="stable")
-        root = np.arange(len(ids))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
+        _, root = np.unique(table["label"].to_numpy(), return_inverse=True)
         found: list[list] = [[], []]
         flat = np.concatenate(sets)
         starts = np.cumsum([0, *size])
         for at, p in enumerate(order):
-            own = find(p)
-            others = np.array([q for q in order[at + 1 :] if find(q) != own], np.int64)
-            if not len(others):
-                continue
+            others = order[at + 1 :]
+            others = others[root[others] != root[p]]
             others = others[100 * np.minimum(size[others], size[p]) >= percent * np.maximum(size[others], size[p])]
             if across:
                 others = others[block[others] != block[p]]
@@ -226,49 +261,109 @@ def _verify(percent: int):
             else:
                 ends = np.cumsum(size[others])
                 both = total[ends] - total[ends - size[others]]
-            for q in others[100 * both >= percent * (size[p] + size[others] - both)]:
-                root[find(q)] = own
-                found[0].append(int(ids[p]))
-                found[1].append(int(ids[q]))
+            linked = others[100 * both >= percent * (size[p] + size[others] - both)]
+            found[0] += [int(ids[p])] * len(linked)
+            found[1] += ids[linked].tolist()
+            root[np.isin(root, root[linked])] = root[p]
         return found
 
     return work
 
 
-def links(docs: DataFrame, known: DataFrame, classes: DataFrame, *, words: int = WORDS, percent: int = PERCENT, k: int = K, share: float = SHARE, estimate: float = ESTIMATE, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) that connect all linked classes; ``known`` has the sketches and ``classes`` a column rep."""
-    own = known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "n", "sketch").dropDuplicates(["doc"])
-    own = write_shared(own, "sketches")
-    values = own.select("doc", F.explode("sketch").alias("value"))
-    often = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = values.join(often, "value").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("found"))
-    length = F.size("sketch")
-    kept = length - F.greatest(F.lit(1), F.floor(F.lit(share) * length).cast("int")) + 1 - (length - F.size("found"))
-    entered = own.join(shared, "doc").withColumn("left", kept).filter("left > 0")
-    entered = write_shared(entered.select("doc", "n", "sketch", F.transform(F.slice("found", F.lit(1), F.col("left")), lambda x: x["value"]).alias("prefix")), "prefixes")
-    entries = entered.select("doc", "n", "sketch", F.sort_array("prefix").alias("prefix"), F.explode("prefix").alias("value"))
-    lists = entries.groupBy("value").agg(F.count("*").alias("rows")).filter("rows > 1").select("value", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = entries.join(lists, "value").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).select("*", other)
-    dealt = dealt.select("value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "n", "sketch", "prefix", "block")
-
-    def grouped(df: DataFrame) -> DataFrame:
-        return df.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
-
-    names, types = ["value", "i", "j", "doc", "block"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-    flagged = write_shared(grouped(dealt).mapInArrow(_runs(_flag(k, percent, estimate, share), names, types), "value long, i int, j int, doc long, block int"), "flagged")
-    wanted = flagged.select(F.col("doc").alias("doc_id")).distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+def _grouped(df: DataFrame) -> DataFrame:
+    return df.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
+
+
+def _limited(rows: DataFrame) -> DataFrame:
+    """``rows`` of a few numbers, marked for broadcast if their count is within the bound."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """doc and shingles (the whole set, packed) of the classes in ``wanted`` (doc, rep, n, digest), from the texts of their least ids."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["doc", "shingles"])
-
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").mapInArrow(whole, "doc long, shingles binary").dropDuplicates(["doc"])
-    verified = grouped(flagged.join(sets, "doc").select("value", "i", "j", "doc", "block", "shingles"))
-    return verified.mapInArrow(_runs(_verify(percent), ["a", "b"], [pa.int64(), pa.int64()]), "a long, b long")
+            sets = [shingles(t.as_py()).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["rep", "digest", "shingles"])
+
+    wanted = _limited(wanted.select("rep", "digest", "doc"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi")
+    return texts.mapInArrow(whole, "rep long, digest binary, shingles binary").join(wanted, ["rep", "digest"]).select("doc", "shingles").dropDuplicates(["doc"])
+
+
+def _star_links(entered: DataFrame, long: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, k: int, estimate: float, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, labels, mains): links of the long lists' members with representatives, the component of each
+    linked member (doc, label), and of each list's first representative (value, main)."""
+    members = write_shared(entered.select("doc", "weight", F.explode("prefix").alias("value")).join(_limited(long), "value"), "members")
+    edges = labels = firsts = mains = None
+    for _ in range(STARS):
+        if edges is None:
+            labelled = members.withColumn("label", F.col("doc"))
+            open_ = labelled
+        else:
+            labelled = members.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+            open_ = labelled.join(_limited(mains), "value").filter("label <> main")
+            open_ = open_.join(_limited(open_.groupBy("value").count().filter(F.col("count") > block).select("value")), "value", "left_semi")
+        best = F.max(F.struct("weight", (-F.col("doc")).alias("minus"), "label"))
+        reps = write_shared(open_.groupBy("value").agg(best.alias("best")).select("value", (-F.col("best.minus")).alias("rep"), F.col("best.label").alias("own")), "representatives")
+        if reps.isEmpty():
+            break
+        pairs = write_shared(labelled.join(_limited(reps), "value").filter("label <> own").select("rep", "doc").distinct(), "stars")
+        blocks = pairs.groupBy("rep").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        blocks = _limited(write_shared(blocks, "star-blocks"))
+        dealt = pairs.join(blocks, "rep").select(F.col("rep").alias("value"), F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("i"), "doc")
+        dealt = dealt.unionByName(blocks.select(F.col("rep").alias("value"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("rep").alias("doc")))
+        dealt = dealt.withColumn("j", F.lit(0)).join(entered.select("doc", "n", "sketch"), "doc").select("value", "i", "j", "doc", "n", "sketch")
+        names, types = ["value", "i", "j", "doc"], [pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+        flagged = write_shared(_grouped(dealt).mapInArrow(_runs(_flag_star(k, percent, estimate), names, types), "value long, i int, j int, doc long"), "star-flagged")
+        verified = _grouped(flagged.join(sets(flagged), "doc").select("value", "i", "j", "doc", "shingles"))
+        found = verified.mapInArrow(_runs(_verify_star(percent), ["a", "b"], [pa.int64(), pa.int64()]), "a long, b long")
+        edges = write_shared(found if edges is None else found.unionByName(edges), "star-links")
+        labels = components(edges).select(F.col("vertex").alias("doc"), F.col("component").alias("label"))
+        firsts = firsts if firsts is not None else reps.select("value", F.col("rep").alias("doc"))
+        mains = write_shared(firsts.join(labels, "doc", "left").select("value", F.coalesce("label", "doc").alias("main")), "mains")
+    return edges, labels, mains
+
+
+def links(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], *, percent: int = PERCENT, k: int = K, share: float = SHARE, estimate: float = ESTIMATE, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) that connect all linked classes (doc, n, sketch); ``sets`` gives the whole sets of a table's docs."""
+    values = classes.select("doc", F.explode("sketch").alias("value"))
+    often = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = values.join(often, "value").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("found"))
+    length = F.size("sketch")
+    kept = length - F.greatest(F.lit(1), F.floor(F.lit(share) * length).cast("int")) + 1 - (length - F.size("found"))
+    weight = F.aggregate("found", F.lit(0).cast("long"), lambda total, x: total + x["df"])
+    entered = classes.join(shared, "doc").withColumn("left", kept).filter("left > 0")
+    entered = write_shared(entered.select("doc", "n", "sketch", weight.alias("weight"), F.transform(F.slice("found", F.lit(1), F.col("left")), lambda x: x["value"]).alias("prefix")), "prefixes")
+    narrow = entered.select("doc", F.explode("prefix").alias("value"))
+    sizes = write_shared(narrow.groupBy("value").agg(F.count("*").alias("rows")).filter("rows > 1"), "lists")
+    long = sizes.filter(F.col("rows") > block).select("value")
+    stars = None if long.isEmpty() else _star_links(entered, long, sets, percent, k, estimate, block)
+    one = F.lit(1)
+    if stars:
+        edges, labels, mains = stars
+        labels = _limited(labels)
+        open_ = narrow.join(labels, "doc", "left").join(_limited(mains), "value").select("value", (F.coalesce("label", "doc") == F.col("main")).alias("taken"))
+        cut = open_.groupBy("value").agg(F.count_if("taken").alias("taken"), F.count_if(~F.col("taken")).alias("open"))
+        lists = sizes.join(cut, "value", "left").join(_limited(mains), "value", "left")
+        lists = lists.select("value", "main", F.ceil(F.coalesce("open", "rows") / block).cast("int").alias("opens"), F.ceil(F.coalesce("taken", F.lit(0)) / block).cast("int").alias("takens")).filter("opens > 0")
+        entries = entered.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    else:
+        lists = sizes.select("value", F.lit(None).cast("long").alias("main"), one.alias("opens"), F.lit(0).alias("takens"))
+        entries = entered.withColumn("label", F.col("doc"))
+    entries = entries.select("doc", "n", "sketch", "label", F.sort_array("prefix").alias("prefix"), F.explode("prefix").alias("value")).join(lists, "value")
+    taken = F.coalesce(F.col("label") == F.col("main"), F.lit(False))
+    number = F.xxhash64("doc")
+    entries = entries.withColumn("taken", taken).withColumn("block", F.when(F.col("taken"), F.col("opens") + F.pmod(number, F.greatest("takens", one))).otherwise(F.pmod(number, F.col("opens"))).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("taken"), F.col("opens")).otherwise(F.col("opens") + F.col("takens")) - 1)).alias("other")
+    dealt = entries.select("*", other).select("value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "n", "sketch", "prefix", "block", "label")
+    names, types = ["value", "i", "j", "doc", "block", "label"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
+    flagged = write_shared(_grouped(dealt).mapInArrow(_runs(_flag(k, percent, estimate), names, types), "value long, i int, j int, doc long, block int, label long"), "flagged")
+    verified = _grouped(flagged.join(sets(flagged), "doc").select("value", "i", "j", "doc", "block", "label", "shingles"))
+    found = verified.mapInArrow(_runs(_verify(percent), ["a", "b"], [pa.int64(), pa.int64()]), "a long, b long")
+    return found.unionByName(edges) if stars else found
 
 
 def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -276,14 +371,27 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
 
     A document with fewer than ``words`` words has its whole sequence as one shingle. Null, empty
     and blank texts have no shingles and link with nothing. Rows without an id link with nothing
-    and have a null component; repeated rows of one id share theirs. Other columns are not read.
+    and have a null component; repeated rows of one id share theirs, and different texts of one id
+    are linked through it. Texts are read whole, however long; an empty table gives no rows. Other
+    columns are not read.
     """
     known = write_shared(sketches(docs, words=words), "shingles")
     linkable = known.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = write_shared(linkable.groupBy("n", "digest").agg(F.min("doc_id").alias("rep")), "classes")
-    edges = links(docs.filter(F.col("doc_id").isNotNull()), known.filter("n > 0"), classes, words=words, percent=percent)
-    found = components(edges)
-    labelled = classes.join(found, classes["rep"] == found["vertex"], "left").select("n", "digest", F.coalesce("component", "rep").alias("component"))
+    classes = linkable.groupBy("n", "digest").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+    # numbered as they are written, so that every reader sees the same numbers
+    classes = write_shared(classes.withColumn("doc", F.monotonically_increasing_id()), "classes")
+    owned = docs.filter(F.col("doc_id").isNotNull())
+
+    def sets(flagged: DataFrame) -> DataFrame:
+        return _sets(owned, classes.join(_limited(flagged.select("doc").distinct()), "doc", "left_semi"), words)
+
+    several = linkable.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("doc_id")
+    own = linkable.join(_limited(write_shared(several, "several-texts")), "doc_id", "left_semi").select("doc_id", "n", "digest").distinct().join(classes, ["n", "digest"]).select("doc_id", "doc")
+    of_one_id = own.groupBy("doc_id").agg(F.min("doc").alias("a")).join(own, "doc_id").select("a", F.col("doc").alias("b")).filter("a <> b")
+    found = components(links(classes.select("doc", "n", "sketch"), sets, percent=percent).unionByName(of_one_id))
+    labelled = classes.select("n", "digest", "rep", "doc").join(found, classes["doc"] == found["vertex"], "left").select("n", "digest", "rep", F.coalesce("component", "doc").alias("group"))
+    least = labelled.groupBy("group").agg(F.min("rep").alias("component"))
+    labelled = labelled.join(least, "group").select("n", "digest", "component")
     joined = known.select("doc_id", "n", "digest").join(labelled, ["n", "digest"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -27,7 +27,7 @@ def brute(rows):
             if 100 * both >= 80 * (len(flat[a][1]) + len(flat[b][1]) - both):
                 x, y = find(flat[a][0]), find(flat[b][0])
                 parent[max(x, y)] = min(x, y)
-    return Counter((i, len(s), None if i is None else find(i), i is None or find(i) == i) for i, many in sets.items() for s in many)
+    return Counter((i, len(s), None if i is None else find(i) if s else i, i is None or not s or find(i) == i) for i, many in sets.items() for s in many)
 
 
 def corpus(seed, families, members):
@@ -44,18 +44,35 @@ def corpus(seed, families, members):
             if rnd.random() < 0.3:
                 text.insert(rnd.randrange(len(text)), passage)
             rows.append((len(rows), " ".join(text)))
+    # one id with several texts: linked through the id, each text with its own links
+    rows += [(8, rows[-1][1]), (10, rows[-2][1]), (10, ""), (len(rows) + 90, rows[10][1] + " and one more word")]
     return rows + [(len(rows) + 5, rows[9][1]), (9, rows[9][1]), (None, rows[9][1])]
 
 
-@pytest.mark.parametrize(("block", "families", "members"), [(512, 12, 12), (7, 3, 40)])
-def test_against_brute_force(spark, monkeypatch, block, families, members):
-    monkeypatch.setattr(neardup, "BLOCK", block)
+@pytest.mark.parametrize(("block", "families", "members", "stars"), [(512, 12, 12, 4), (7, 3, 40, 4), (7, 3, 40, 1)])
+def test_against_brute_force(spark, monkeypatch, block, families, members, stars):
+    monkeypatch.setattr(neardup, "STARS", stars)
     monkeypatch.setattr(neardup.links, "__kwdefaults__", neardup.links.__kwdefaults__ | {"block": block})
     rows = corpus(block, families, members)
     got = neardup.near_duplicates(spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n string"), words=4).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute(rows)
 
 
+def test_thousands_of_near_copies(spark):
+    rnd = random.Random(9)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(120)]
+    rows = [(k, " ".join(base[:at] + [f"own{k}"] + base[at + 1 :])) for k in range(3000) for at in [rnd.randrange(120)]] + [(9000, "an unrelated text of six words")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    assert {(r.component_id, r.kept) for r in got} == {(0, True), (0, False), (9000, True)} and sum(r.kept for r in got) == 2
+
+
+def test_very_long_text(spark):
+    words = [f"w{k}" for k in range(250_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-9] + ["x"] * 9)), (3, " ".join(words[:100_000]))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 249_997, 1), (2, 249_995 - 3, 1), (3, 99_997, 3)]
+
+
 def test_empty_table(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -66,7 +83,8 @@ def test_sketch_estimate_is_exact_for_small_sets():
     matrix = np.full((30, 48), neardup.TOP)
     for row, s in zip(matrix, sets):
         row[: len(s)] = s
-    got = neardup.similar_by_sketch(matrix, np.array([len(s) for s in sets]), 48, 50, 0.5)
+    n = np.array([len(s) for s in sets])
+    got = neardup.similar_by_sketch(matrix, n, matrix, n, 48, 50, 0.5)
     for a in range(30):
         for b in range(30):
             both, union = len(np.intersect1d(sets[a], sets[b])), len(np.union1d(sets[a], sets[b]))
