@@ -1,15 +1,17 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text's terms are its lower-case words and their stems of three to seven letters, hashed to
-32 bits; a term's value is its count over the root of the text's word count. The machine
-scores bias + linear weights + the pairwise interactions of the terms' factors, so a pair of
-terms (an insult with a group mention) can count for more than its parts.
+A text's terms are its lower-case words, of any length, and their stems of three to seven letters.
+Words are hashed to ``DIMENSION`` rows of weights and factors; none is left out. A term's value is
+its count over the root of the text's word count. The machine scores bias + linear weights + the
+pairwise interactions of the terms' factors, so a pair of terms (an insult with a group mention)
+can count for more than its parts, even if each part alone says nothing.
 
 Training reads at most ``MAX_PER_CLASS`` labelled texts of each class, chosen by hash. Terms
-whose mean value differs between the classes (Welch's t of ``MIN_T`` or more) get weights, as do
-terms that one class alone has too often for chance; at most ``MAX_TERMS`` in all. Every document
-is scored, over its whole text. Only the text is an input. A null or empty text has no terms and
-scores the bias.
+whose mean value differs between the classes (Welch's t of ``MIN_T`` or more), or that one class
+alone has too often for chance, enter at full value, and so do their stems; all other words enter
+at ``FLOOR`` of it, which keeps thousands of rare words from outweighing them. Every document is scored, over its
+whole text. Only the text is an input. A null or empty text has no terms and scores the bias.
+Repeated rows are scored alike; repeated labelled rows count once per label and text.
 """
 
 from __future__ import annotations
@@ -30,8 +32,9 @@ from quarrylight.llm._common import write_shared
 
 _words = re.compile(r"[^\W\d_]+").findall
 STEMS = range(3, 8)
-MAX_PER_CLASS, MIN_T, PURITY, MAX_TERMS = 5000, 3.5, 14.0, 20_000
-FACTORS, EPOCHS, STEPS, SEED = 8, 12, 100_000, 7
+MAX_PER_CLASS, MIN_T, PURITY, MAX_TELLING = 5000, 3.5, 14.0, 20_000
+DIMENSION, FLOOR = 1 << 18, 0.2
+FACTORS, EPOCHS, STEPS, SEED = 8, 12, 50_000, 7
 MEMO = 400_000
 #: Per term: sums of values and of their squares and texts, by class.
 SUMS = ("s0", "q0", "s1", "q1", "c0", "c1")
@@ -39,81 +42,92 @@ THRESHOLD = 0.7
 
 
 def term_hashes(word: str) -> tuple[int, ...]:
-    """The hashes of a word and of its stems."""
-    return (*([zlib.crc32(word.encode())] if len(word) >= STEMS[0] else []), *(zlib.crc32(f"^{word[:n]}".encode()) for n in STEMS if n <= len(word)))
+    """The hash of a word and those of its stems."""
+    return (zlib.crc32(word.encode()), *(zlib.crc32(f"^{word[:n]}".encode()) for n in STEMS if n <= len(word)))
 
 
 class Terms:
-    """Term values of texts, with the hashes of words kept between texts; ``index`` limits and renames the terms."""
+    """Term values of texts, with the terms of words kept between texts.
 
-    def __init__(self, index: dict[int, int] | None = None):
-        self.index = index
-        self.memo: dict[str, tuple[int, ...]] = {}
+    Without ``telling``, every term under its hash; with it, every word and every telling stem under its row.
+    """
+
+    def __init__(self, telling: frozenset[int] | None = None, dimension: int = DIMENSION, floor: float = FLOOR):
+        self.telling, self.dimension, self.floor = telling, dimension, floor
+        self.memo: dict[str, tuple[tuple[int, float], ...]] = {}
+
+    def _terms(self, word: str) -> tuple[tuple[int, float], ...]:
+        whole, *stems = term_hashes(word)
+        if self.telling is None:
+            return tuple((h, 1.0) for h in (whole, *stems))
+        own = [(whole % self.dimension, 1.0 if whole in self.telling else self.floor)]
+        return (*own, *((h % self.dimension, 1.0) for h in stems if h in self.telling))
 
     def __call__(self, text: str | None) -> dict[int, float]:
         words = _words((text or "").lower())
-        found: dict[int, int] = {}
+        found: dict[int, float] = {}
         if len(self.memo) > MEMO:
             self.memo.clear()
+        root = max(1, len(words)) ** 0.5
         for word, n in Counter(words).items():
             terms = self.memo.get(word)
             if terms is None:
-                terms = term_hashes(word)
-                if self.index is not None:
-                    terms = tuple(self.index[h] for h in terms if h in self.index)
-                self.memo[word] = terms
-            for h in terms:
-                found[h] = found.get(h, 0) + n
-        root = max(1, len(words)) ** 0.5
-        return {h: n / root for h, n in found.items()}
+                terms = self.memo[word] = self._terms(word)
+            for h, scale in terms:
+                found[h] = found.get(h, 0.0) + n * scale / root
+        return found
 
 
 @dataclass
 class FactorMachine:
-    """Weights and factors of the terms in ``index`` (hash to row)."""
+    """The telling terms, and a weight (first column) and factors (the others) of each row of the hashed terms."""
 
-    index: dict[int, int]
+    telling: frozenset[int]
     bias: float
-    weights: np.ndarray
-    factors: np.ndarray
+    table: np.ndarray
 
     def logit(self, rows: np.ndarray, values: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """The score before the logistic, the terms' scaled factors and their sum."""
-        own = self.factors[rows] * values[:, None]
+        """The score before the logistic, the terms' scaled rows and their sum."""
+        own = self.table[rows] * values[:, None]
         total = own.sum(0)
-        return self.bias + float(self.weights[rows] @ values) + 0.5 * float(total @ total - np.einsum("ij,ij->", own, own)), own, total
+        return self.bias + float(total[0]) + 0.5 * float(total[1:] @ total[1:] - np.einsum("ij,ij->", own[:, 1:], own[:, 1:])), own, total
 
     def score(self, terms: dict[int, float]) -> float:
         """Probability for a text with these values by row."""
-        rows = np.fromiter(terms, np.int64, len(terms))
-        return float(1 / (1 + np.exp(-np.clip(self.logit(rows, np.fromiter(terms.values(), float, len(terms)))[0], -30, 30))))
+        rows, values = np.fromiter(terms, np.int64, len(terms)), np.fromiter(terms.values(), float, len(terms))
+        return 1 / (1 + math.exp(-min(max(self.logit(rows, values)[0], -30.0), 30.0)))
 
 
-def train(index: dict[int, int], texts: list[dict[int, float]], labels: list[int], *, factors: int = FACTORS, epochs: int | None = None, rate: float = 0.3, decay: float = 1e-4, seed: int = SEED) -> FactorMachine:
-    """Fit by AdaGrad on the log loss, classes weighted alike. Without texts the machine scores its bias.
+def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: list[int], *, telling: frozenset[int] = frozenset(), dimension: int = DIMENSION, factors: int = FACTORS, epochs: int | None = None, rate: float = 0.3, decay: float = 1e-4, seed: int = SEED) -> FactorMachine:
+    """Fit by AdaGrad on the log loss, classes weighted alike; a text is its rows and values.
 
-    Without ``epochs``, there are EPOCHS of them, or as many as make STEPS steps.
+    Without ``epochs``, there are EPOCHS of them, or as many as make STEPS steps. Without texts the
+    machine scores its bias.
     """
     epochs = epochs or max(EPOCHS, -(-STEPS // max(1, len(texts))))
     rng = np.random.default_rng(seed)
     share = min(max(sum(labels) / max(1, len(labels)), 1e-3), 1 - 1e-3)
-    machine = FactorMachine(index, -2.0, np.zeros(len(index)), rng.normal(0, 0.05, (len(index), factors)))
-    w, v = machine.weights, machine.factors
-    gw, gv, gb = np.full(len(w), 1e-2), np.full(v.shape, 1e-2), 1e-2
-    designs = [(np.fromiter(t, np.int64, len(t)), np.fromiter(t.values(), float, len(t))) for t in texts]
+    table = rng.normal(0, 0.05, (dimension, 1 + factors)) if texts else np.zeros((dimension, 1 + factors))
+    table[:, 0] = 0
+    machine = FactorMachine(telling, -2.0, table)
+    squares, squares_bias = np.full(table.shape, 1e-2), 1e-2
+    rates = np.full(1 + factors, 0.3 * rate)
+    rates[0] = rate
     for _ in range(epochs):
-        for k in rng.permutation(len(designs)):
-            at, x = designs[k]
+        for k in rng.permutation(len(texts)):
+            at, x = texts[k]
             z, own, total = machine.logit(at, x)
-            d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[k]) * (0.5 / share if labels[k] else 0.5 / (1 - share))
-            gb += d * d
-            machine.bias -= rate * d / gb**0.5
-            step = d * x + decay * w[at]
-            gw[at] += step * step
-            w[at] -= rate * step / np.sqrt(gw[at])
-            step = d * x[:, None] * (total - own) + decay * v[at]
-            gv[at] += step * step
-            v[at] -= 0.3 * rate * step / np.sqrt(gv[at])
+            d = (1 / (1 + math.exp(-min(max(z, -30.0), 30.0))) - labels[k]) * (0.5 / share if labels[k] else 0.5 / (1 - share))
+            squares_bias += d * d
+            machine.bias -= rate * d / squares_bias**0.5
+            step = total - own
+            step[:, 0] = 1
+            step *= d * x[:, None]
+            held = table[at]
+            step += decay * held
+            square = squares[at] + step * step
+            squares[at] = square
+            table[at] = held - rates * step / np.sqrt(square)
     return machine
 
 
@@ -130,11 +144,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, *, per_class: int = MAX_
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
 
-def telling_terms(sample: DataFrame, *, min_t: float = MIN_T, purity: float = PURITY, most: int = MAX_TERMS) -> dict[int, int]:
-    """Hash to row of the terms whose mean value tells the classes of (doc_id, label, text) apart.
+def telling_terms(sample: DataFrame, *, min_t: float = MIN_T, purity: float = PURITY, most: int = MAX_TELLING) -> frozenset[int]:
+    """Hashes of the terms whose mean value tells the classes of (doc_id, label, text) apart, at most ``most``.
 
     A term also counts if only one class has it and chance would give that less than exp(-purity).
-    Each task sums its texts' values and squares by term and class before the shuffle.
+    Each task sums its texts' values and squares by term and class before the shuffle. A sample
+    without both classes has none.
     """
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,33 +167,39 @@ def telling_terms(sample: DataFrame, *, min_t: float = MIN_T, purity: float = PU
 
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
-        return {}
+        return frozenset()
     n0, n1 = float(n[0]), float(n[1])
     sums = sample.select(F.col("label").cast("int"), "text").mapInArrow(summed, "term long, " + ", ".join(f"{c} double" for c in SUMS)).groupBy("term").agg(*[F.sum(c).alias(c) for c in SUMS])
     spread = F.greatest((F.col("q0") / n0 - (F.col("s0") / n0) ** 2) / n0, F.lit(0.0)) + F.greatest((F.col("q1") / n1 - (F.col("s1") / n1) ** 2) / n1, F.lit(0.0)) + F.lit(1e-9)
     t = F.round((F.col("s1") / n1 - F.col("s0") / n0) / F.sqrt(spread), 6)
     pure = ((F.col("c0") == 0) & (F.col("c1") * -math.log(n1 / (n0 + n1)) >= purity)) | ((F.col("c1") == 0) & (F.col("c0") * -math.log(n0 / (n0 + n1)) >= purity))
     kept = sums.select("term", t.alias("t"), pure.alias("pure")).filter((F.abs("t") >= min_t) | F.col("pure")).orderBy(F.abs("t").desc(), "term").limit(most)
-    return {h: k for k, h in enumerate(sorted(r["term"] for r in kept.collect()))}
+    return frozenset(r["term"] for r in kept.collect())
 
 
 def fit(sample: DataFrame, **options) -> FactorMachine:
-    """The machine for a bounded sample of (doc_id, label, text); terms are counted on the executors.
+    """The machine for a bounded sample of (doc_id, label, text); terms are counted and valued on the executors.
 
-    A sample without both classes gives a machine that scores its bias.
+    The driver holds a row number and a value for each distinct word of each text of the sample. A
+    sample without both classes gives a machine that scores its bias.
     """
     sample = write_shared(sample.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"), "text"), "toxicity-sample")
-    index = telling_terms(sample)
+    if sample.select("label").distinct().count() < 2:
+        return train([], [], **options)
+    telling = telling_terms(sample)
 
     def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(index)
+        terms = Terms(telling)
         for batch in batches:
             found = [dict(sorted(terms(t).items())) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.float64()))], names=["doc_id", "label", "rows", "x"])
+            rows = [np.fromiter(f, np.int32, len(f)) for f in found]
+            values = [np.fromiter(f.values(), np.float64, len(f)) for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([v.tobytes() for v in values], pa.binary())], names=["doc_id", "label", "rows", "x"])
 
-    rows = sample.mapInArrow(valued, "doc_id long, label int, rows array<int>, x array<double>").toArrow().to_pylist() if index else []
-    rows.sort(key=lambda r: (r["doc_id"], r["label"], r["rows"], r["x"]))
-    return train(index, [dict(zip(r["rows"], r["x"])) for r in rows], [r["label"] for r in rows], **options)
+    held = sample.mapInArrow(valued, "doc_id long, label int, rows binary, x binary").toArrow()
+    held = sorted(set(zip(*(c.to_pylist() for c in held.columns))))
+    texts = [(np.frombuffer(rows, np.int32).astype(np.int64), np.frombuffer(x, np.float64)) for _, _, rows, x in held]
+    return train(texts, [label for _, label, _, _ in held], telling=telling, **options)
 
 
 def score(docs: DataFrame, machine: FactorMachine, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -187,7 +208,7 @@ def score(docs: DataFrame, machine: FactorMachine, *, threshold: float = THRESHO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.value
-        terms = Terms(machine.index)
+        terms = Terms(machine.telling, len(machine.table))
         for batch in batches:
             scores = [machine.score(terms(text.as_py())) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["doc_id", "score", "predicted"])

@@ -42,10 +42,45 @@ def test_factors_learn_pairs_that_weights_miss():
         insult, group = rnd.random() < 0.5, rnd.random() < 0.5
         texts.append({**({0: 1.0} if insult else {}), **({1: 1.0} if group else {}), 2 + rnd.randrange(5): 1.0})
         labels.append(int(insult == group))
-    machine = toxicity.train({k: k for k in range(7)}, texts, labels, epochs=20)
+    arrays = [(np.array(list(t)), np.array(list(t.values()))) for t in texts]
+    machine = toxicity.train(arrays, labels, dimension=7, epochs=20)
     assert np.mean([(machine.score(t) > 0.5) == y for t, y in zip(texts, labels)]) > 0.95
 
 
+def test_fit_learns_a_pair_whose_parts_say_nothing(spark):
+    """Toxic if both words stand there or neither: each word alone is as common in both classes."""
+    rnd = random.Random(4)
+    filler = [f"mot{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    rows = []
+    for k in range(1200):
+        one, two = rnd.random() < 0.5, rnd.random() < 0.5
+        words = [rnd.choice(filler) for _ in range(12)] + ["grobian"] * (2 * one) + ["volk"] * (2 * two)
+        rnd.shuffle(words)
+        rows.append((k, " ".join(words), int(one == two)))
+    docs = spark.createDataFrame([(i, t, "clash", 7) for i, t, _ in rows], "doc_id long, text string, label string, predicted int")
+    labels = spark.createDataFrame([(i, y, "clash") for i, _, y in rows if i % 3], "doc_id long, toxic int, text string")
+    sample = toxicity.training_sample(docs, labels)
+    told = toxicity.telling_terms(sample)
+    assert not told & {h for w in ("grobian", "volk") for h in toxicity.term_hashes(w)}
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, toxicity.fit(sample), threshold=0.5).collect()}
+    assert np.mean([got[i] == y for i, _, y in rows if i % 3 == 0]) > 0.95
+
+
+def test_no_word_is_left_out():
+    terms = toxicity.Terms(frozenset())
+    rows = terms("A bc déf ghijklmnop x2y")
+    assert len(rows) == 6 and all(v > 0 for v in rows.values())
+    assert toxicity.Terms(frozenset())(None) == {}
+
+
+def test_very_long_text_is_scored_whole(spark):
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" for k in range(300_000)]
+    machine = toxicity.train([(np.array([1]), np.array([1.0])), (np.array([2]), np.array([1.0]))], [0, 1], epochs=2)
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words) + " grobian" * 5000)], "doc_id long, text string")
+    one, two = sorted(toxicity.score(docs, machine).collect(), key=lambda r: r.doc_id)
+    assert 0 <= one.score <= 1 and one.score != two.score
+
+
 def test_odd_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
