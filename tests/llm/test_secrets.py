@@ -73,6 +73,23 @@ def test_keys_in_the_middle_of_long_candidates():
     assert added[2] == []
 
 
+def test_pieces_beside_base_spans_and_runs_of_letters_are_candidates():
+    digest, key = "0123456789abcdef0123", "qL8vTz3RkW9sYp2NdX5hBc7G"
+    text = f"repo/{digest}/raw/{key} QWVXZKJHGPLMQRTXWZ averyordinaryword token=abcdefghijkl0 short0run"
+    base = secrets.base_spans(text)
+    found = [text[s:e] for s, e in secrets.candidates(text, base)]
+    assert found == [f"/raw/{key}", "QWVXZKJHGPLMQRTXWZ", "averyordinaryword"]
+    _, added = secrets._all_spans([text], secrets.default_network())
+    assert [text[s:e] for _, s, e in added[0]] == found[:2]
+
+
+def test_very_long_runs():
+    text = "x" * 300_000 + " " + "deadbeef" * 10_000 + "G" * 20 + "/" + "ab/" * 50_000
+    base = secrets.base_spans(text)
+    assert base == [("hex", 300_001, 380_001)]
+    assert secrets.candidates(text, base) == [(0, 300_000), (380_001, len(text))]
+
+
 def test_views_show_every_character_and_grow_with_the_candidate():
     text = "".join(chr(33 + k % 90) if k % 90 else "a" for k in range(90))
     for n in (16, 40, 41, 60, 61, 100, 1000, 5000):
