@@ -13,19 +13,20 @@ from quarrylight.operators.blocks import against
 STRATA = ("simple_factual", "multi_hop", "aggregative", "out_of_scope", "ambiguous", "exact_identifier", "table_or_image")
 NEEDLE_CHARS, WINDOW_CHARS = (14, 160), 200
 TOLERANCE, KAPPA, JUDGE_ITEMS = 0.03, 0.6, 30
+#: What marks an identifier in a page where the caller names no marks of their own corpus.
 IDENTIFIERS = ("ERR_", "PN-", "efSearch", "@10", "k1", "_RRF")
 #: Failure point of each cause.
 FAILURE_POINTS = {"partial": "FP2", "starved": "FP2", "no_candidates": "FP2", "absent": "FP3", "present": "FP4", "miss_answered": "FP2"}
 
 
-def windows(blocks: DataFrame) -> DataFrame:
-    """Page texts of at least 200 characters with hints. blocks: source_id, doc_type, page, ordinal, kind, text, asset_path."""
+def windows(blocks: DataFrame, identifiers: tuple[str, ...] = IDENTIFIERS) -> DataFrame:
+    """Page texts of at least 200 characters with hints; ``identifiers`` mark pages that hold codes. blocks: source_id, doc_type, page, ordinal, kind, text, asset_path."""
     filled = F.length(F.trim("text")) > 0
     ordered = F.sort_array(F.collect_list(F.when(filled, F.struct("ordinal", "text"))))
     text = F.trim(F.array_join(F.transform(ordered, lambda b: b["text"]), "\n\n"))
     grouped = blocks.groupBy("source_id", "doc_type", "page").agg(text.alias("text"), F.bool_or(F.col("kind") == "table").alias("has_table"), F.min_by("asset_path", F.when(F.col("asset_path").isNotNull(), F.col("ordinal"))).alias("asset_path"))
     marks = F.lit(False)
-    for mark in IDENTIFIERS:
+    for mark in identifiers:
         marks = marks | F.contains("text", F.lit(mark))
     return grouped.filter(F.length("text") >= WINDOW_CHARS).withColumn("has_identifier", marks)
 
@@ -92,8 +93,9 @@ def score_items(items: DataFrame, delivered: DataFrame) -> DataFrame:
     needle's best cover over the delivered texts counts; an item with nothing delivered fails. Where
     ``items`` name a unit, that holds for each item and unit.
     """
-    met = items.join(delivered, ["item_id", "unit"] if "unit" in items.columns else "item_id", "left")
-    share = F.max(cover(squash(F.col("needle")), squash(F.col("text"))))
+    asked, given = items.withColumn("__needle", squash(F.col("needle"))), delivered.withColumn("__text", squash(F.col("text"))).drop("text")
+    met = asked.join(given, ["item_id", "unit"] if "unit" in items.columns else "item_id", "left")
+    share = F.max(F.when(F.col("__text").isNotNull(), cover(F.col("__needle"), F.col("__text"))))
     per_needle = met.groupBy("item_id", "unit", "needle").agg(F.coalesce(share, F.lit(0.0)).alias("share"), F.min(F.when(F.array_contains("accept", F.col("source_id")), F.col("rank"))).alias("first_hit"))
     state = cover_state(F.col("share"))
     return per_needle.groupBy("item_id", "unit").agg(

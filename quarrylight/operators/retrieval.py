@@ -96,15 +96,16 @@ def leg_contribution(fused: DataFrame, legs: list[str], top: int = 50) -> DataFr
 def costed(hits: DataFrame, chunks: DataFrame, parents: DataFrame | None = None, *, unit: str = "child", basis: str = "delivered") -> DataFrame:
     """Hits with ``target`` (the unit delivered) and ``cost`` in tokens.
 
-    chunks: chunk_id, parent_id, display_text, embed_text; parents: parent_id, parent_text. A child
-    costs its display text (delivered) or its embedding text (indexed). A parent is charged at its
+    chunks: chunk_id, parent_id, display_text, embed_text; parents: parent_id and parent_text, or its
+    size as parent_tokens. A child costs its display text (delivered) or its embedding text (indexed). A parent is charged at its
     first child in rank order; a child without a known parent stands for it.
     """
     text = F.col("display_text" if basis == "delivered" else "embed_text")
     joined = hits.join(chunks.select("chunk_id", "parent_id", count_tokens(text).alias("__tokens")), "chunk_id")
     if unit == "child":
         return joined.select("query_id", "rank", "chunk_id", F.col("chunk_id").cast("string").alias("target"), F.col("__tokens").alias("cost"))
-    known = parents.select("parent_id", count_tokens(F.col("parent_text")).alias("__parent_tokens"))
+    size = F.col("parent_tokens") if "parent_tokens" in parents.columns else count_tokens(F.col("parent_text"))
+    known = parents.select("parent_id", size.alias("__parent_tokens"))
     resolved = joined.join(known, "parent_id", "left").withColumn("target", F.when(F.col("__parent_tokens").isNull(), F.concat(F.lit("child:"), F.col("chunk_id").cast("string"))).otherwise(F.concat(F.lit("parent:"), F.col("parent_id").cast("string"))))
     first = F.row_number().over(Window.partitionBy("query_id", "target").orderBy("rank")) == 1
     return resolved.select("query_id", "rank", "chunk_id", "target", F.when(first, F.coalesce("__parent_tokens", "__tokens")).otherwise(0).alias("cost"))

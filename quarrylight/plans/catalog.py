@@ -1,6 +1,6 @@
 """The query catalogue: each operator over the driver's tables, with DuckDB SQL that restates it.
 
-Stand-ins: a document is a child chunk, its source the parent, Spanish documents have an owner;
+Stand-ins: a document is a child chunk, the documents of a source with ids of one hundred its parent, Spanish documents have an owner;
 an embedding is the vector of the document with its id; benchmark texts are questions and needles;
 labels are two raters; conversation turns and events stand for turns, requests and spend.
 Dense queries are the vectors whose id is divisible by 50, against all rows.
@@ -45,7 +45,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def child_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     owner = F.when(F.col("lang") == "es", "es").otherwise("")
-    return docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("parent_id"), F.col("source").alias("source_id"), owner.alias("owner"), F.col("text").alias("display_text"), F.concat("source", F.lit("\n\n"), "text").alias("embed_text"), "lang", "text")
+    return docs.select(F.col("doc_id").alias("chunk_id"), F.concat_ws("/", "source", F.floor(F.col("doc_id") / 100).cast("string")).alias("parent_id"), F.col("source").alias("source_id"), owner.alias("owner"), F.col("text").alias("display_text"), F.concat("source", F.lit("\n\n"), "text").alias("embed_text"), "lang", "text")
 
 
 def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,10 +69,10 @@ def text_index(chunks: DataFrame, queries: DataFrame | None = None) -> tuple[Dat
     return posted, index.term_stats(posted, stats), stats
 
 
-def parent_texts(chunks: DataFrame) -> DataFrame:
-    """Parents without materialising their bodies: as many characters as their children have, at most 1200 tokens."""
-    size = F.least(F.sum(F.length("display_text")), F.lit(4800)).cast("int")
-    return chunks.groupBy("parent_id").agg(size.alias("chars")).select("parent_id", F.repeat(F.lit("x"), F.col("chars")).alias("parent_text"))
+def parent_costs(chunks: DataFrame) -> DataFrame:
+    """parent_id and the tokens of its text: all its children in order, a blank line between them. The text itself is not built."""
+    joined = F.coalesce(F.sum(F.length("display_text")) + 2 * (F.count("display_text") - 1), F.lit(0))
+    return chunks.groupBy("parent_id").agg(F.greatest(F.lit(1), F.floor(joined / 4)).cast("long").alias("parent_tokens"))
 
 
 def section_chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -95,7 +95,7 @@ TOKENS = r"""list_reduce(list_transform(regexp_extract_all({c}, '[A-Za-z0-9]+(?:
     || (CASE WHEN len(string_split(regexp_replace(t, '([a-z0-9])([A-Z])', '\1' || chr(10) || '\2', 'g'), chr(10))) > 1 THEN list_transform(string_split(regexp_replace(t, '([a-z0-9])([A-Z])', '\1' || chr(10) || '\2', 'g'), chr(10)), lambda p: lower(p)) ELSE [] END)
     ), lambda a, b: a || b, []::VARCHAR[])"""
 SQUASH = "regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9]', '', 'g')"
-CHUNKS_SQL = "chunks AS (SELECT doc_id AS chunk_id, source AS parent_id, CASE WHEN lang = 'es' THEN 'es' ELSE '' END AS owner, text, lang FROM documents)"
+CHUNKS_SQL = "chunks AS (SELECT doc_id AS chunk_id, concat_ws('/', source, doc_id // 100) AS parent_id, source AS source_id, CASE WHEN lang = 'es' THEN 'es' ELSE '' END AS owner, text, lang FROM documents)"
 VECTORS_SQL = f"""{CHUNKS_SQL},
 vchunks AS (SELECT c.*, list_transform(e.embedding, lambda x: x::DOUBLE) AS vec FROM chunks c JOIN embeddings e ON e.vec_id = c.chunk_id),
 vq AS (SELECT chunk_id AS query_id, vec AS qvec, text AS query_text, CASE WHEN lang = 'es' THEN 'es' END AS caller FROM vchunks WHERE chunk_id % 50 = 0)"""
@@ -325,7 +325,7 @@ def r2_index_report(spark, sf_dir):
     provenance = F.when(F.col("lang") == "es", "model_generated").when(F.col("lang") == "fr", "prefixed").otherwise("verbatim")
     children = child_chunks(spark, sf_dir).select("chunk_id", "parent_id", provenance.alias("text_provenance"), F.lit(True).alias("has_contextual_prefix"), F.lit("corpus").alias("origin"))
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
-    parents = children.select("parent_id").filter("parent_id <> 'src3'").distinct()
+    parents = children.select("parent_id").filter("NOT startswith(parent_id, 'src3/')").distinct()
     return index.build_report(children, vectors, parents)
 
 
@@ -388,7 +388,7 @@ COST_SQL = "greatest(1, length({c}) // 4)"
 CHILD_FILL_SQL = f"""costed AS (SELECT h.query_id, h.rank, h.chunk_id, {COST_SQL.format(c="c.text")} AS cost FROM {{hits}} h JOIN chunks c ON c.chunk_id = h.chunk_id),
 run AS (SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY rank) AS spent FROM costed WHERE rank < 200)"""
 SPARSE_HITS_SQL = f"WITH {CHUNKS_SQL}, {TQ_SQL}, {index_sql()}, {sparse_sql('tq')}"
-PARENT_FILL_SQL = f"""parents AS (SELECT parent_id, greatest(1, least(sum(length(text)), 4800) // 4) AS tokens FROM chunks GROUP BY parent_id),
+PARENT_FILL_SQL = f"""parents AS (SELECT parent_id, greatest(1, length(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY chunk_id), '')) // 4) AS tokens FROM chunks GROUP BY parent_id),
 targets AS (SELECT h.query_id, h.rank, h.chunk_id, 'parent:' || c.parent_id AS target, p.tokens FROM sparse h JOIN chunks c ON c.chunk_id = h.chunk_id JOIN parents p ON p.parent_id = c.parent_id),
 costed AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY query_id, target ORDER BY rank) = 1 THEN tokens ELSE 0 END AS cost FROM targets),
 run AS (SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY rank) AS spent FROM costed WHERE rank < 200)"""
@@ -403,11 +403,11 @@ def r14_budget_fill(spark, sf_dir):
 @query(f"{SPARSE_HITS_SQL}, {PARENT_FILL_SQL} SELECT query_id, chunk_id, rank::INT AS rank, target, cost::BIGINT AS cost, spent::BIGINT AS spent FROM run WHERE spent <= 12000")
 def r15_parent_fill(spark, sf_dir):
     chunks = child_chunks(spark, sf_dir)
-    filled = retrieval.fill(retrieval.costed(sparse_hits(spark, sf_dir), chunks, parent_texts(chunks), unit="parent"), retrieval.BUDGET)
+    filled = retrieval.fill(retrieval.costed(sparse_hits(spark, sf_dir), chunks, parent_costs(chunks), unit="parent"), retrieval.BUDGET)
     return filled.select("query_id", "chunk_id", "rank", "target", "cost", "spent")
 
 
-@query(f"{SPARSE_HITS_SQL}, costed AS (SELECT h.query_id, h.rank, h.chunk_id, {COST_SQL.format(c='(c.parent_id || chr(10) || chr(10) || c.text)')} AS cost FROM sparse h JOIN chunks c ON c.chunk_id = h.chunk_id), run AS (SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY rank) AS spent FROM costed WHERE rank < 200) SELECT query_id, count(*) FILTER (spent <= 3000) AS n_delivered, coalesce(max(spent) FILTER (spent <= 3000), 0)::BIGINT AS tokens FROM run GROUP BY query_id")
+@query(f"{SPARSE_HITS_SQL}, costed AS (SELECT h.query_id, h.rank, h.chunk_id, {COST_SQL.format(c='(c.source_id || chr(10) || chr(10) || c.text)')} AS cost FROM sparse h JOIN chunks c ON c.chunk_id = h.chunk_id), run AS (SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY rank) AS spent FROM costed WHERE rank < 200) SELECT query_id, count(*) FILTER (spent <= 3000) AS n_delivered, coalesce(max(spent) FILTER (spent <= 3000), 0)::BIGINT AS tokens FROM run GROUP BY query_id")
 def r16_indexed_cost(spark, sf_dir):
     ranked = retrieval.costed(sparse_hits(spark, sf_dir), child_chunks(spark, sf_dir), basis="indexed")
     return retrieval.sweep(ranked, (3000,)).select("query_id", "n_delivered", "tokens")
@@ -416,7 +416,7 @@ def r16_indexed_cost(spark, sf_dir):
 @query(f"{SPARSE_HITS_SQL}, {PARENT_FILL_SQL}, best AS (SELECT query_id, target, min(rank) AS child_rank FROM run WHERE spent <= 12000 GROUP BY ALL) SELECT query_id, target, child_rank::INT AS child_rank, (row_number() OVER (PARTITION BY query_id ORDER BY child_rank) - 1)::INT AS rank FROM best")
 def r17_parents(spark, sf_dir):
     chunks = child_chunks(spark, sf_dir)
-    filled = retrieval.fill(retrieval.costed(sparse_hits(spark, sf_dir), chunks, parent_texts(chunks), unit="parent"), retrieval.BUDGET)
+    filled = retrieval.fill(retrieval.costed(sparse_hits(spark, sf_dir), chunks, parent_costs(chunks), unit="parent"), retrieval.BUDGET)
     return retrieval.resolve_parents(filled)
 
 
@@ -452,7 +452,7 @@ def a19_mode_grid(spark, sf_dir):
     return out.select("mode", "budget", "n_queries", "n_delivered")
 
 
-@query(f"""{SPARSE_HITS_SQL}, rel AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains({SQUASH.format(c='d.text')}, left({SQUASH.format(c='b.text')}, 80))),
+@query(f"""{SPARSE_HITS_SQL}, rel AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains({SQUASH.format(c='d.text')}, {SQUASH.format(c='b.text')})),
 g AS (SELECT query_id, sum(1 / log2(rank + 2)) AS dcg FROM sparse JOIN rel USING (query_id, chunk_id) WHERE rank < 5 GROUP BY query_id),
 i AS (SELECT query_id, list_sum(list_transform(range(1, least(count(*), 5) + 1), lambda k: 1 / log2(k + 1))) AS ideal FROM rel GROUP BY query_id)
 SELECT query_id, round(coalesce(dcg, 0) / ideal, 6) AS ndcg FROM i LEFT JOIN g USING (query_id)""")
@@ -465,8 +465,8 @@ def a24_ndcg(spark, sf_dir):
 
 
 def needles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 80 squashed characters of each benchmark text."""
-    return read(spark, sf_dir, "benchmark").select("item_id", F.substring(text.squash(F.col("text")), 1, 80).alias("needle"))
+    """Each whole benchmark text, squashed."""
+    return read(spark, sf_dir, "benchmark").select("item_id", text.squash(F.col("text")).alias("needle"))
 
 
 def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -477,7 +477,7 @@ def needle_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.occurrences(needles(spark, sf_dir), pages_of(spark, sf_dir))
 
 
-NEEDLE_SQL = f"""nd AS (SELECT item_id, left({SQUASH.format(c='text')}, 80) AS needle FROM benchmark),
+NEEDLE_SQL = f"""nd AS (SELECT item_id, {SQUASH.format(c='text')} AS needle FROM benchmark),
 occ AS (SELECT item_id, needle, d.source AS source_id, d.doc_id AS page FROM nd JOIN (SELECT source, doc_id, {SQUASH.format(c='text')} AS t FROM documents) d ON contains(d.t, nd.needle))"""
 
 
@@ -509,7 +509,7 @@ def delivered_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SCORE_SQL = f"""{SPARSE_HITS_SQL}, {CHILD_FILL_SQL.format(hits='sparse')}, {NEEDLE_SQL},
 acc AS (SELECT item_id, list(DISTINCT source_id) AS accept FROM occ GROUP BY item_id),
-del AS (SELECT query_id AS item_id, rank, c.parent_id AS source_id, {SQUASH.format(c='c.text')} AS t, run.cost FROM run JOIN chunks c ON c.chunk_id = run.chunk_id WHERE spent <= 1500),
+del AS (SELECT query_id AS item_id, rank, c.source_id, {SQUASH.format(c='c.text')} AS t, run.cost FROM run JOIN chunks c ON c.chunk_id = run.chunk_id WHERE spent <= 1500),
 cov AS (SELECT nd.item_id, any_value(nd.needle) AS needle, count(del.rank) AS n_delivered, coalesce(sum(del.cost), 0)::BIGINT AS tokens,
   coalesce(max(CASE WHEN contains(del.t, nd.needle) THEN 1.0::DOUBLE ELSE list_max([0] || list_filter(range(1, length(nd.needle) + 1), lambda k: contains(del.t, left(nd.needle, k::INT)))) / length(nd.needle) END), 0.0) AS share,
   min(del.rank) FILTER (list_contains(acc.accept, del.source_id)) AS first_hit
@@ -700,7 +700,7 @@ def e3_out_of_scope(spark, sf_dir):
 def sample_answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Each benchmark text as an answer that quotes it under three labels; sent are the documents that hold it, then others."""
     turns = read(spark, sf_dir, "benchmark")
-    quote = F.substring("text", 1, 60)
+    quote = F.col("text")
     cites = F.array(*[F.struct(F.lit(label).alias("label"), q.alias("quote")) for label, q in (("1", quote), ("2", F.upper(quote)), ("x", quote), ("9", quote), ("1", F.lit("short")))])
     none = F.array().cast("array<struct<label:string,quote:string>>")
     claims = F.array(F.struct(F.lit("documents").alias("source"), cites.alias("citations")), F.struct(F.when(F.col("item_id") % 3 == 0, "conversation").otherwise("documents").alias("source"), none.alias("citations")))
@@ -710,7 +710,7 @@ def sample_answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return answered, sent.select("answer_id", "s.label", F.concat_ws("-", F.col("answer_id"), F.col("s.label")).alias("chunk_id"), F.col("s.t").alias("verbatim_text"), F.lit("verbatim").alias("text_provenance"))
 
 
-CITE_SQL = f"""cl AS (SELECT item_id AS answer_id, text, 0 AS claim_index, k - 1 AS citation_index, CASE WHEN item_id % 2 = 0 THEN ['1'][k] ELSE ['1', '2', 'x', '9', '1'][k] END AS raw, CASE k WHEN 2 THEN upper(left(text, 60)) WHEN 5 THEN 'short' ELSE left(text, 60) END AS quote
+CITE_SQL = f"""cl AS (SELECT item_id AS answer_id, text, 0 AS claim_index, k - 1 AS citation_index, CASE WHEN item_id % 2 = 0 THEN ['1'][k] ELSE ['1', '2', 'x', '9', '1'][k] END AS raw, CASE k WHEN 2 THEN upper(text) WHEN 5 THEN 'short' ELSE text END AS quote
   FROM benchmark, (SELECT unnest(range(1, 6)) AS k) WHERE item_id % 2 = 1 OR k = 1),
 ck AS (SELECT answer_id, claim_index, citation_index, try_cast(raw AS INTEGER) AS label, quote, CASE try_cast(raw AS INTEGER) WHEN 1 THEN 'a ' || text WHEN 2 THEN CASE WHEN answer_id % 4 = 0 THEN '' ELSE reverse(text) END END AS verbatim FROM cl),
 checks AS (SELECT *, verbatim IS NULL AS fabricated, CASE WHEN verbatim IS NULL THEN 'no_quote' WHEN verbatim = '' THEN 'unquotable' WHEN length({SQUASH.format(c='quote')}) < 12 THEN 'no_quote' WHEN contains({SQUASH.format(c='verbatim')}, {SQUASH.format(c='quote')}) THEN 'verified' ELSE 'absent' END AS quote_status FROM ck)"""
@@ -751,16 +751,23 @@ def f2_quote_overlap(spark, sf_dir):
     return answers.with_overlap(answers.citation_checks(answered, sent)).select("answer_id", "citation_index", "quote_status", F.round("overlap", 6).alias("overlap"))
 
 
-@query()
+@query(r"""WITH q AS (SELECT item_id, text, substr(text, 10) AS passage FROM benchmark),
+n AS (SELECT item_id, list_filter(range(1, length(text) + 1), lambda i: regexp_matches(substr(text, i, 1), '[\p{L}\p{N}]')) AS places,
+  strpos(regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g'), regexp_replace(lower(passage), '[^\p{L}\p{N}]', '', 'g')) AS found, length(regexp_replace(passage, '[^\p{L}\p{N}]', '', 'g')) AS n FROM q)
+SELECT item_id, CASE WHEN found > 0 AND n > 0 THEN places[found] - 1 END::INT AS span_start, CASE WHEN found > 0 AND n > 0 THEN places[found + n - 1] END::INT AS span_end FROM n""")
 def f3_locate_span(spark, sf_dir):
-    rows = read(spark, sf_dir, "benchmark").select("item_id", F.upper(F.substring("text", 10, 40)).alias("quote"), "text")
+    """Each benchmark text's passage from its tenth character on, other marks between its words, found in the text."""
+    quote = F.regexp_replace(F.substring("text", 10, 2**31 - 1), " ", " - ")
+    rows = read(spark, sf_dir, "benchmark").select("item_id", quote.alias("quote"), "text")
     return answers.located(rows, "quote", "text").select("item_id", "span_start", "span_end")
 
 
-@query()
+@query(r"""WITH j AS (SELECT item_id, text, '{"answer_markdown":' || to_json(text) || '}' AS raw FROM benchmark)
+SELECT item_id, CASE WHEN item_id % 2 = 0 THEN text ELSE json_extract_string('"' || regexp_replace(substr(left(raw, length(raw) // 2), 21), '\\$', '') || '"', '$') END AS answer_markdown, item_id % 2 = 1 AS truncated FROM j""")
 def f6_salvaged_answers(spark, sf_dir):
+    """Every other answer's JSON breaks off in the middle; what stands before is saved."""
     whole = F.to_json(F.struct(F.col("text").alias("answer_markdown")))
-    raw = F.when(F.col("item_id") % 2 == 0, whole).otherwise(F.substring(whole, 1, 60))
+    raw = F.when(F.col("item_id") % 2 == 0, whole).otherwise(F.substring(whole, F.lit(1), F.floor(F.length(whole) / 2).cast("int")))
     return answers.parsed_answers(read(spark, sf_dir, "benchmark").select("item_id", raw.alias("raw"))).select("item_id", "answer_markdown", "truncated")
 
 
@@ -950,14 +957,23 @@ def t2_daily_counts(spark, sf_dir):
     return limits.daily_counts(read(spark, sf_dir, "events"))
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT user_id::VARCHAR AS client, epoch_us(ts::TIMESTAMP) / 1e6 AS moment, event_id AS request_id, row_number() OVER (PARTITION BY user_id ORDER BY ts::TIMESTAMP, event_id) AS k FROM events),
+s AS (SELECT DISTINCT client, 0::BIGINT AS k, []::DOUBLE[] AS log, NULL::BIGINT AS request_id, false AS admitted FROM r
+  UNION ALL
+  SELECT client, k, CASE WHEN len(held) < 3 THEN list_append(held, moment) ELSE held END, request_id, len(held) < 3
+  FROM (SELECT r.client, r.k, r.moment, r.request_id, list_filter(s.log, lambda x: r.moment - x <= 432000) AS held FROM s JOIN r ON r.client = s.client AND r.k = s.k + 1))
+SELECT client, request_id, admitted FROM s WHERE k > 0""")
 def t1_rate_limit(spark, sf_dir):
     requests = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("client"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("micros"), F.col("event_id").alias("request_id"))
     requests = requests.select("client", (F.col("micros") / 1e6).alias("at"), "request_id")
     return limits.limited(requests, most=3, seconds=5 * 86_400).select("client", "request_id", "admitted")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT ts::DATE AS day, event_id AS seq, floor(value * 10)::BIGINT AS tokens, row_number() OVER (PARTITION BY ts::DATE ORDER BY event_id) AS k FROM events),
+s AS (SELECT DISTINCT day, 0::BIGINT AS k, 0::BIGINT AS spent, NULL::BIGINT AS seq, false AS admitted FROM o
+  UNION ALL
+  SELECT o.day, o.k, s.spent + CASE WHEN tokens + 5 <= 900 AND s.spent + tokens + 5 <= 5000 THEN tokens ELSE 0 END, o.seq, tokens + 5 <= 900 AND s.spent + tokens + 5 <= 5000 FROM s JOIN o ON o.day = s.day AND o.k = s.k + 1)
+SELECT day, seq, admitted FROM s WHERE k > 0""")
 def t3_daily_cap(spark, sf_dir):
     rows = operations(spark, sf_dir).select("day", "seq", (F.col("tokens") + 5).alias("estimated_tokens"), F.col("tokens").alias("actual_tokens"))
     return limits.capped(rows, daily=5000, single=900).select("day", "seq", "admitted")
@@ -987,7 +1003,7 @@ def e10_budget_check(spark, sf_dir):
 
 
 @query(f"""{FUSED_SQL}, costed AS (SELECT r.query_id, r.rank, 'parent:' || c.parent_id AS target, {COST_SQL.format(c="c.text")} AS t FROM rrf r JOIN chunks c ON c.chunk_id = r.chunk_id),
-parents AS (SELECT parent_id, greatest(1, least(sum(length(text)), 4800) // 4) AS tokens FROM vchunks GROUP BY parent_id),
+parents AS (SELECT parent_id, greatest(1, length(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY chunk_id), '')) // 4) AS tokens FROM vchunks GROUP BY parent_id),
 priced AS (SELECT query_id, rank, target, CASE WHEN row_number() OVER (PARTITION BY query_id, target ORDER BY rank) = 1 THEN tokens ELSE 0 END AS cost FROM costed JOIN parents ON target = 'parent:' || parent_id),
 run AS (SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY rank) AS spent FROM priced WHERE rank < 200),
 best AS (SELECT query_id, target, min(rank) AS child_rank FROM run WHERE spent <= 12000 GROUP BY ALL)
@@ -995,11 +1011,23 @@ SELECT * FROM (SELECT query_id, target, child_rank::INT AS child_rank, row_numbe
 def r20_retrieve(spark, sf_dir):
     """The flagship: fused ranking, parents charged once, strict budget, six sources at most."""
     chunks = vector_chunks(spark, sf_dir)
-    found = ask.retrieve(vector_queries(chunks), chunks, parent_texts(chunks), text_index(chunks), mode="rrf")
+    found = ask.retrieve(vector_queries(chunks), chunks, parent_costs(chunks), text_index(chunks), mode="rrf")
     return found.select("query_id", "target", "child_rank", "label")
 
 
-@query()
+ISOLATION_SQL = f"""WITH chunks AS (SELECT doc_id AS chunk_id, text, CASE doc_id % 97 WHEN 1 THEN 'b' WHEN 2 THEN 'a' ELSE '' END AS owner FROM documents JOIN embeddings ON vec_id = doc_id),
+vchunks AS (SELECT c.*, list_transform(e.embedding, lambda x: x::DOUBLE) AS vec FROM chunks c JOIN embeddings e ON e.vec_id = c.chunk_id),
+who AS (SELECT * FROM (VALUES (0, 'cross_session', 'a'), (1, 'public', NULL), (2, 'own', 'b')) t(k, who, caller)),
+vq AS (SELECT 3 * chunk_id + k AS query_id, vec AS qvec, text AS query_text, caller FROM vchunks, who WHERE owner = 'b'),
+{DENSE_SQL}, {index_sql('vchunks')}, {sparse_sql('vq')}, {RRF_SQL},
+hits AS (SELECT 'dense' AS mode, query_id, chunk_id FROM dense UNION ALL SELECT 'sparse', query_id, chunk_id FROM sparse UNION ALL SELECT 'rrf', query_id, chunk_id FROM rrf),
+seen AS (SELECT k, who, m.mode, count(h.query_id) AS n, count(*) FILTER (c.owner = 'b') AS seen FROM who CROSS JOIN (VALUES ('dense'), ('sparse'), ('rrf')) m(mode)
+  LEFT JOIN hits h ON h.mode = m.mode AND h.query_id % 3 = k LEFT JOIN chunks c ON c.chunk_id = h.chunk_id GROUP BY ALL)
+SELECT 'isolation_' || who || '_' || mode AS name, CASE WHEN k = 2 THEN 'own chunks are found' ELSE 'no chunk of another owner' END AS rule, seen::VARCHAR AS observed,
+  CASE WHEN n = 0 THEN 'NOT_MEASURED' WHEN CASE WHEN k = 2 THEN seen > 0 ELSE seen = 0 END THEN 'HOLDS' ELSE 'FAILS' END AS state, n, '' AS fingerprint FROM seen"""
+
+
+@query(ISOLATION_SQL)
 def e12_isolation(spark, sf_dir):
     chunks = vector_chunks(spark, sf_dir)
     probes = chunks.select("chunk_id", "text", F.when(F.col("chunk_id") % 97 == 1, "b").when(F.col("chunk_id") % 97 == 2, "a").otherwise("").alias("owner"))

@@ -1,5 +1,6 @@
 """Both units scored by their texts: e5_scored_both_units against a brute force over the ranking."""
 
+import hashlib
 import os
 import re
 from collections import defaultdict
@@ -23,7 +24,7 @@ def cover(needle, text):
 
 def tables(spark):
     docs = [r.asDict() for r in catalog.read(spark, oracle.TABLES, "documents").collect()]
-    items = {r.item_id: squash(r.text)[:80] for r in catalog.read(spark, oracle.TABLES, "benchmark").collect()}
+    items = {r.item_id: squash(r.text) for r in catalog.read(spark, oracle.TABLES, "benchmark").collect()}
     return docs, items
 
 
@@ -32,8 +33,12 @@ def brute(spark):
     children, parents = {}, {}
     for d in docs:
         source = {"source_id": f"{d['doc_id']}\x1f{d['source']}", "title": d["source"], "owner": "es" if d["lang"] == "es" else "", "origin": ""}
-        for c in chunking.chunk_parts(source, chunking.markdown_parts(d["text"])):
-            (children if c["role"] == "child" else parents)[c["chunk_id"]] = (c["parent_id"], d["source"], c["display_text"])
+        last = None
+        for c in chunking.cut_parts(source, chunking.markdown_parts(d["text"])):
+            digest = hashlib.sha256(((d["source"] or "") + "\n\n" + c["display_text"] if c["role"] == "child" and re.search("[a-z0-9]", d["source"] or "") else c["display_text"]).encode()).hexdigest()
+            key = hashlib.sha256(f"{c['role']}|{source['source_id']}|{c['ordinal']}|{digest}".encode()).hexdigest()[:24]
+            last = key if c["role"] == "parent" else last
+            (children if c["role"] == "child" else parents)[key] = (last, d["source"], c["display_text"])
     chunks, _ = catalog.section_chunks(spark, oracle.TABLES)
     queries = catalog.text_queries(spark, oracle.TABLES)
     ranked = defaultdict(list)
