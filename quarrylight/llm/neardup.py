@@ -37,7 +37,7 @@ from quarrylight.llm.components import components
 WORDS, PERCENT = 5, 80
 K, SHARE, ESTIMATE = 48, 0.36, 0.4
 #: Rows of a block of a list; ids that may be broadcast to the text scan (8 bytes each); rounds of representatives.
-BLOCK, BROADCAST_IDS, STARS = 512, 4_000_000, 4
+BLOCK, BROADCAST_IDS, STARS = 512, 4_000_000, 2
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 MEMO = 400_000
 
