@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows per Arrow batch; with texts of some 100 KB a batch stays near 200 MB at worst.
 BATCH_ROWS = 2000
+#: Rows of a few numbers that one task writes as one file.
+FILE_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -37,9 +39,15 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there and lost executors lose nothing."""
+def write_shared(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there and lost executors lose nothing.
+
+    ``rows`` bounds the rows of a narrow table where a count of its source does: it is then written by as many
+    tasks as the bound needs, not by one for each shuffle partition.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(rows // FILE_ROWS + 1)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)

@@ -25,6 +25,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _state(edges: DataFrame):
+    """The count and the order-free hash of an edge table."""
+    return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``vertex`` and ``component`` (the least vertex it reaches) of each vertex that has an edge to a smaller one.
 
@@ -32,11 +37,12 @@ def components(edges: DataFrame) -> DataFrame:
     ones count once. Vertices that are the least of their component are not listed.
     """
     current = write_shared(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    before = None
+    before = _state(current)
     while True:
-        last, current = current, write_shared(_small_star(_large_star(current)), "edges")
+        # neither star makes more edges than it is given, so the count before bounds the count after
+        last, current = current, write_shared(_small_star(_large_star(current)), "edges", rows=before[0])
         drop_shared(last)
-        state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        state = _state(current)
         if state == before:
             return current.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
         before = state

@@ -297,6 +297,7 @@ def _star_links(entered: DataFrame, long: DataFrame, sets: Callable[[DataFrame],
     """(links, labels, mains): links of the long lists' members with representatives, the component of each
     linked member (doc, label), and of each list's first representative (value, main)."""
     members = write_shared(entered.select("doc", "weight", F.explode("prefix").alias("value")).join(_limited(long), "value"), "members")
+    entries, lists = members.count(), long.count()
     edges = labels = firsts = mains = None
     for _ in range(STARS):
         if edges is None:
@@ -307,12 +308,12 @@ def _star_links(entered: DataFrame, long: DataFrame, sets: Callable[[DataFrame],
             open_ = labelled.join(_limited(mains), "value").filter("label <> main")
             open_ = open_.join(_limited(open_.groupBy("value").count().filter(F.col("count") > block).select("value")), "value", "left_semi")
         best = F.max(F.struct("weight", (-F.col("doc")).alias("minus"), "label"))
-        reps = write_shared(open_.groupBy("value").agg(best.alias("best")).select("value", (-F.col("best.minus")).alias("rep"), F.col("best.label").alias("own")), "representatives")
+        reps = write_shared(open_.groupBy("value").agg(best.alias("best")).select("value", (-F.col("best.minus")).alias("rep"), F.col("best.label").alias("own")), "representatives", lists)
         if reps.isEmpty():
             break
-        pairs = write_shared(labelled.join(_limited(reps), "value").filter("label <> own").select("rep", "doc").distinct(), "stars")
+        pairs = write_shared(labelled.join(_limited(reps), "value").filter("label <> own").select("rep", "doc").distinct(), "stars", entries)
         blocks = pairs.groupBy("rep").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-        blocks = _limited(write_shared(blocks, "star-blocks"))
+        blocks = _limited(write_shared(blocks, "star-blocks", lists))
         dealt = pairs.join(blocks, "rep").select(F.col("rep").alias("value"), F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("i"), "doc")
         dealt = dealt.unionByName(blocks.select(F.col("rep").alias("value"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("rep").alias("doc")))
         dealt = dealt.withColumn("j", F.lit(0)).join(entered.select("doc", "n", "sketch"), "doc").select("value", "i", "j", "doc", "n", "sketch")
@@ -323,7 +324,7 @@ def _star_links(entered: DataFrame, long: DataFrame, sets: Callable[[DataFrame],
         edges = write_shared(found if edges is None else found.unionByName(edges), "star-links")
         labels = components(edges).select(F.col("vertex").alias("doc"), F.col("component").alias("label"))
         firsts = firsts if firsts is not None else reps.select("value", F.col("rep").alias("doc"))
-        mains = write_shared(firsts.join(labels, "doc", "left").select("value", F.coalesce("label", "doc").alias("main")), "mains")
+        mains = write_shared(firsts.join(labels, "doc", "left").select("value", F.coalesce("label", "doc").alias("main")), "mains", lists)
     return edges, labels, mains
 
 
