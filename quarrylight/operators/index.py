@@ -52,31 +52,38 @@ def build_report(children: DataFrame, vectors: DataFrame, parents: DataFrame) ->
     )
 
 
-def postings(texts: DataFrame, key: str = "chunk_id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
-    """key, term, tf and the text's token count dl; texts without tokens have no rows.
-
-    ``only`` (term) keeps the postings of those terms: where an index is built for known queries,
-    other tokens leave before the shuffle.
-    """
+def postings(texts: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """key, term, tf and the text's token count dl; texts without tokens have no rows."""
     tokens = texts.select(key, tokenize(F.col(text)).alias("tokens")).select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    if only is not None:
-        tokens = tokens.join(only.select("term").distinct(), "term", "left_semi")
     return tokens.groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
 
-def corpus_stats(texts: DataFrame, posted: DataFrame | None = None, text: str = "text") -> DataFrame:
+def corpus_stats(texts: DataFrame, posted: DataFrame) -> DataFrame:
     """One row: n texts and their mean token count avgdl (0 for none); texts without tokens count.
 
-    With the postings of all terms, token counts come from them. A reader of n alone does not
-    compute them.
+    Token counts come from the postings of all terms. A reader of n alone does not compute them.
     """
-    if posted is None:
-        return texts.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size(tokenize(F.col(text)))), F.lit(0.0)).alias("avgdl"))
     total = posted.agg(F.coalesce(F.sum(F.when(F.col("dl") > 0, F.col("tf"))), F.lit(0))).scalar()
     n = texts.agg(F.count("*").alias("n"))
     return n.select("n", F.when(F.col("n") > 0, total / F.col("n")).otherwise(0.0).alias("avgdl"))
 
 
+def reached(texts: DataFrame, only: DataFrame, key: str = "chunk_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(postings of the terms of ``only``, corpus statistics of all texts): texts are tokenized once for both.
+
+    Other tokens leave before the shuffle. Each text sends one row of its length along under the empty
+    term, which no token equals. Postings and statistics read the same columns of one aggregate, so that
+    its exchange is reused.
+    """
+    tokens = texts.select(key, tokenize(F.col(text)).alias("tokens")).select(key, F.size("tokens").alias("dl"), F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term"))
+    wanted = only.select("term").unionByName(only.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    whole = F.max(F.col("term") == "")
+    rows = tokens.join(wanted, "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.when(whole, F.sum("dl")).otherwise(F.max("dl")).alias("dl"), whole.alias("whole"))
+    # n reads the lengths too, so that a reader of n alone prunes no column and still reuses the exchange.
+    stats = rows.filter("whole").agg(F.coalesce(F.sum(F.when(F.col("dl").isNotNull(), F.col("tf"))), F.lit(0)).alias("n"), F.sum("dl").alias("total"))
+    return rows.filter("NOT whole").drop("whole"), stats.select("n", F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(0.0).alias("avgdl"))
+
+
 def term_stats(posted: DataFrame, stats: DataFrame) -> DataFrame:
     """term, df and idf (never negative)."""
     df = posted.groupBy("term").agg(F.count(F.when((F.col("dl") > 0) & (F.col("tf") > 0), 1)).alias("df"))

@@ -64,8 +64,11 @@ def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_index(chunks: DataFrame, queries: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The whole index, or the part of it that ``queries`` reach."""
-    posted = index.postings(chunks, only=None if queries is None else retrieval.query_terms(queries))
-    stats = index.corpus_stats(chunks, posted if queries is None else None)
+    if queries is None:
+        posted = index.postings(chunks)
+        stats = index.corpus_stats(chunks, posted)
+    else:
+        posted, stats = index.reached(chunks, retrieval.query_terms(queries))
     return posted, index.term_stats(posted, stats), stats
 
 
