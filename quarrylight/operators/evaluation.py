@@ -143,6 +143,20 @@ def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return whole.join(F.broadcast(margins), F.lit(True)).select(F.round(value, 3).alias("kappa"), F.round(po, 3).alias("raw_agreement"), F.round(pe, 3).alias("chance_agreement"), "n", F.round(top, 3).alias("dominant_class_share"), (top > 0.8).alias("prevalence_warning"), (F.col("n") >= JUDGE_ITEMS).alias("sufficient"))
 
 
+def rated(labels: DataFrame, verdicts: DataFrame, key: str = "item_id") -> DataFrame:
+    """key, label and verdict of items that a person labelled and the judge decided; failed verdicts pair with nothing.
+
+    labels: key, label; verdicts: key, verdict, failed. The tables are kept apart until here, so labels are made blind.
+    """
+    decided = verdicts.filter(~F.coalesce(F.col("failed"), F.lit(True)) & F.col("verdict").isNotNull())
+    return labels.select(key, "label").join(decided.select(key, "verdict"), key)
+
+
+def unjudged(items: DataFrame, verdicts: DataFrame, key: str = "item_id") -> DataFrame:
+    """The items that a resumed run still has to judge: those without a verdict that did not fail."""
+    return items.join(verdicts.filter(~F.coalesce(F.col("failed"), F.lit(True))).select(key), key, "left_anti")
+
+
 def judge_gate(agreement: DataFrame, judge: str, generator: str) -> DataFrame:
     """Whether judged metrics may be shown: kappa and items suffice and no model grades itself."""
     ok = (F.col("kappa") >= KAPPA) & (F.col("n") >= JUDGE_ITEMS)

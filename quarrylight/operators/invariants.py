@@ -76,6 +76,17 @@ def prefix_checks(chunks: DataFrame) -> DataFrame:
     return check(both, "prefix_containment", "breadcrumbs stay out of parents", F.col("body") == 0, F.col("n"), F.col("body")).unionByName(check(both, "prefix_uniform", "siblings are prefixed alike", F.col("uneven") == 0, F.col("n"), F.col("uneven")))
 
 
+def round_trip_check(left: DataFrame, right: DataFrame, keys: list[str], name: str, rule: str) -> DataFrame:
+    """Every key of one table is in the other and the other way round: manifest and chunks, assets and blocks, uploads and index.
+
+    Null keys are equal to nothing and count as faults.
+    """
+    a, b = left.select(*keys).distinct(), right.select(*keys).distinct()
+    lost, extra = a.join(b, keys, "left_anti").agg(F.count("*").alias("lost")), b.join(a, keys, "left_anti").agg(F.count("*").alias("extra"))
+    told = a.agg(F.count("*").alias("n")).join(F.broadcast(lost), F.lit(True)).join(F.broadcast(extra), F.lit(True))
+    return check(told, name, rule, F.col("lost") + F.col("extra") == 0, F.col("n") + F.col("extra"), F.col("lost") + F.col("extra"))
+
+
 def artifact_checks(names: DataFrame, required: list[str]) -> DataFrame:
     """One check an artifact: it exists and has rows. names: name, n."""
     want = names.sparkSession.createDataFrame([(r,) for r in required], "name string")

@@ -122,6 +122,17 @@ def summaries(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conversation_id").agg(F.coalesce(F.substring(F.trim(first), 1, TITLE), F.lit("")).alias("title"), F.count("*").alias("n_turns"), F.sum((F.col("role") == "user").cast("long")).alias("n_questions"))
 
 
+def opened(conversations: DataFrame, new: DataFrame) -> DataFrame:
+    """``conversations`` with the rows of ``new`` whose id is not taken. Both: conversation_id, owner, created_at."""
+    return conversations.unionByName(new.join(conversations.select("conversation_id"), "conversation_id", "left_anti"))
+
+
+def closed(conversations: DataFrame, turns: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations and turns without those that their own owner asked to delete. asked: conversation_id, owner."""
+    own = conversations.select("conversation_id", "owner").join(asked.select("conversation_id", "owner"), ["conversation_id", "owner"], "left_semi").select("conversation_id")
+    return conversations.join(own, "conversation_id", "left_anti"), turns.join(own, "conversation_id", "left_anti")
+
+
 def feedback_matrix(feedback: DataFrame, verdicts: list[str]) -> DataFrame:
     """Counts by evidence kind and verdict, one column a verdict."""
     return feedback.groupBy(F.coalesce("evidence_kind", F.lit("unknown")).alias("evidence_kind")).pivot("verdict", verdicts).count().na.fill(0)

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import ids, rates, text
 from quarrylight.operators import answers, chunking, evaluation, index, invariants, lifecycle, retrieval, tables
-from quarrylight.plans import ask, evaluate
+from quarrylight.plans import ask, evaluate, ingest
+from quarrylight.sources import artifacts, uploads
 from quarrylight.streaming import limits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1074,3 +1075,209 @@ def t5_interrupted_jobs(spark, sf_dir):
     kind = F.col("event_type")
     jobs = read(spark, sf_dir, "events").select("event_id", F.when(kind == "click", "queued").when(kind == "view", "running").otherwise(kind).alias("state"), F.lit(None).cast("string").alias("error"))
     return lifecycle.interrupted(jobs).select("event_id", "state")
+
+
+# ---- injected models, uploads, stored tables: the models are deterministic stand-ins --------------------
+
+
+def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns with one key a turn."""
+    return read(spark, sf_dir, "conversations").withColumn("key", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+
+
+TALK_SQL = "talk AS (SELECT *, conv_id || '-' || turn AS key FROM conversations)"
+
+
+@query(f"WITH {TALK_SQL} SELECT key AS chunk_id, CASE WHEN text IN (SELECT text FROM talk WHERE role = 'user') THEN 0.6 ELSE round(length(text) / sqrt(length(text) * length(text) + 1), 9) END AS x, text NOT IN (SELECT text FROM talk WHERE role = 'user') AS made FROM talk")
+def r23_embed(spark, sf_dir):
+    """Vectors of turns; those of user texts are cached, and no cached text reaches the model."""
+    chunks = talk(spark, sf_dir).select(F.col("key").alias("chunk_id"), F.col("text").alias("embed_text"), F.lit("child").alias("role"), F.col("role").alias("speaker"))
+    keys = ids.cache_key(F.lit("1"), F.lit("lengths"), F.lit("2"), F.lit("document"), F.sha2("embed_text", 256))
+    cache = chunks.filter("speaker = 'user'").select(keys.alias("cache_key"), F.array(F.lit(3.0), F.lit(4.0)).alias("value")).dropDuplicates(["cache_key"])
+    vectors, made = ingest.embed(chunks, cache, lambda texts: [[float(len(t)), 1.0] for t in texts], name="lengths", dim=2)
+    known = chunks.select("chunk_id", keys.alias("cache_key")).join(made.select("cache_key", F.lit(True).alias("made")), "cache_key", "left")
+    return vectors.join(known, "chunk_id").select("chunk_id", F.round(F.get("vec", F.lit(0)), 9).alias("x"), F.coalesce("made", F.lit(False)).alias("made"))
+
+
+@query(f"""WITH {TALK_SQL} SELECT key AS chunk_id, CASE WHEN role = 'user' THEN 'cached' WHEN length(text) % 7 = 0 THEN '' ELSE 'on ' || conv_id || ': ' || length(text) END AS context,
+key IN (SELECT key FROM talk WHERE role <> 'user' AND length(text) % 7 <> 0) AS made FROM talk""")
+def c11_situated(spark, sf_dir):
+    """A sentence a child from its synopsis and body; calls that fail leave none and are not cached."""
+
+    def situate(synopsis: str, parent: str, body: str) -> str:
+        if len(body) % 7 == 0:
+            raise ValueError("no answer")
+        return f"{synopsis}: {len(body)}"
+
+    children = talk(spark, sf_dir).select(F.col("key").alias("chunk_id"), F.concat(F.lit("on "), F.col("conv_id").cast("string")).alias("synopsis"), F.col("key").alias("parent_text"), F.col("text").alias("display_text"), "role")
+    cache = children.filter("role = 'user'").select(ids.cache_key(F.col("synopsis"), F.col("parent_text"), F.col("display_text")).alias("cache_key"), F.lit("cached").alias("value"))
+    placed, made = chunking.contextualize(children, situate, cache)
+    return placed.join(made.select("cache_key", F.lit(True).alias("made")), "cache_key", "left").select("chunk_id", "context", F.coalesce("made", F.lit(False)).alias("made"))
+
+
+@query(f"WITH {TALK_SQL} SELECT key, 'count' AS stage, 'has ' || length(text) AS text, greatest(1, length(text) // 4)::BIGINT AS prompt_tokens, greatest(1, length('has ' || length(text)) // 4)::BIGINT AS text_tokens FROM talk")
+def g10_generated(spark, sf_dir):
+    prompts = talk(spark, sf_dir).select("key", F.col("text").alias("prompt"))
+    return answers.generated(prompts, lambda p: f"has {len(p)}", "count")
+
+
+@query(f"""WITH {TALK_SQL}, h AS (SELECT key, text, coalesce(string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), '') AS history FROM talk)
+SELECT key, 'read ' || length('Conversation so far:' || chr(10) || history || chr(10) || chr(10) || 'Question: ' || text) AS text, 'conversation' AS source, 'not_applicable' AS verification FROM h""")
+def g4_from_conversation(spark, sf_dir):
+    turns = lifecycle.history(talk(spark, sf_dir).select("key", F.col("conv_id").alias("conversation_id"), F.col("turn").alias("turn_index"), "text"))
+    return answers.from_conversation(turns.select("key", "history", F.col("text").alias("question")), lambda p: f"read {len(p)}")
+
+
+@query("""SELECT page_id AS image_id, CASE WHEN page_id % 5 = 0 THEN 'seen before' WHEN octet_length(encode(html)) % 3 <> 0 THEN octet_length(encode(html)) || ' bytes' END AS caption FROM pages""")
+def g11_captioned(spark, sf_dir):
+    """Captions of pages taken as images; a third has none, a fifth is cached under its hash and context."""
+    images = read(spark, sf_dir, "pages").select(F.col("page_id").alias("image_id"), F.encode("html", "UTF-8").alias("content"), F.col("url").alias("context"))
+    cache = images.filter("image_id % 5 = 0").select(ids.cache_key(F.sha2("content", 256), F.col("context")).alias("cache_key"), F.lit("seen before").alias("value"))
+    shown, _ = answers.captioned(images, cache, lambda raw: f"{len(raw)} bytes" if len(raw) % 3 else None)
+    return shown.select("image_id", "caption")
+
+
+@query("""WITH s AS (SELECT item_id, ('0x' || substr(sha256(item_id || '|7'), 1, 8))::BIGINT % 2 = 1 AS order_swapped, substr(text, 1, 1) AS a, right(text, 1) AS b FROM benchmark)
+SELECT item_id::VARCHAR AS item_id, CASE WHEN order_swapped THEN b ELSE a END AS faithfulness, order_swapped FROM s""")
+def g13_judged(spark, sf_dir):
+    """A judge that names the first source it sees shows the recorded order."""
+    items = read(spark, sf_dir, "benchmark").select("item_id", F.lit("q").alias("question"), F.lit("a").alias("answer"), F.array(F.substring("text", 1, 1), F.right("text", F.lit(1))).alias("sources"))
+    return answers.judged(answers.swapped(items, "item_id", 7), lambda question, answer, sources: sources[0], "judge", "generator")
+
+
+VERDICTS_SQL = "v AS (SELECT doc_id, CASE WHEN length(text) % 2 = 0 THEN 1 ELSE 0 END AS verdict, lang = 'es' AS failed FROM documents)"
+
+
+def sample_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.when(F.length("text") % 2 == 0, 1).otherwise(0).alias("verdict"), (F.col("lang") == "es").alias("failed"))
+
+
+@query(f"WITH {VERDICTS_SQL} SELECT l.doc_id, l.quality AS label, verdict FROM labels l JOIN v ON v.doc_id = l.doc_id AND NOT failed")
+def j8_labels_and_verdicts(spark, sf_dir):
+    labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return evaluation.rated(labels, sample_verdicts(spark, sf_dir), "doc_id")
+
+
+@query(f"WITH {VERDICTS_SQL} SELECT vec_id AS doc_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM v WHERE NOT failed AND doc_id % 3 = 0)")
+def j12_unjudged(spark, sf_dir):
+    items = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    return evaluation.unjudged(items, sample_verdicts(spark, sf_dir).filter("doc_id % 3 = 0"), "doc_id")
+
+
+@query("""WITH RECURSIVE l AS (SELECT l_orderkey, l_linenumber, max(l_quantity)::INT AS q FROM lineitem GROUP BY ALL),
+b AS (SELECT l_orderkey AS k, l_linenumber AS ordinal, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS step, 'total' || (q % 5) || 'price' || (q % 3) AS text FROM l),
+c AS (SELECT l_orderkey AS k, list({'no': l_linenumber, 'total': 'total' || (l_linenumber % 5), 'price': 'price' || (l_linenumber % 3)} ORDER BY l_linenumber) AS free FROM l GROUP BY l_orderkey),
+s AS (SELECT k, 0::BIGINT AS step, free, 0::BIGINT AS ordinal, NULL::BIGINT AS hit FROM c
+  UNION ALL
+  SELECT k, step, list_filter(free, lambda x: hit IS NULL OR x.no <> hit), ordinal, hit
+  FROM (SELECT b.k, b.step, s.free, b.ordinal, (list_filter(s.free, lambda x: contains(b.text, x.total) AND contains(b.text, x.price))[1]).no AS hit FROM s JOIN b ON b.k = s.k AND b.step = s.step + 1))
+SELECT k::VARCHAR AS source_id, 1 AS page, ordinal::INT AS ordinal, hit::INT AS table_no FROM s WHERE step > 0 AND hit IS NOT NULL""")
+def d7_matched_tables(spark, sf_dir):
+    """Blocks take the first free candidate whose two probes they hold, in the order of their page."""
+    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("source_id"), F.lit(1).alias("page"), F.col("l_linenumber").cast("int").alias("n")).agg(F.max("l_quantity").cast("int").alias("q"))
+    blocks = lines.select("source_id", "page", F.col("n").alias("ordinal"), F.concat(F.lit("Total "), (F.col("q") % 5).cast("string"), F.lit(" | Price "), (F.col("q") % 3).cast("string")).alias("text"))
+    offered = lines.select("source_id", "page", F.col("n").alias("table_no"), F.array(F.concat(F.lit("TOTAL-"), (F.col("n") % 5).cast("string")), F.lit("no"), F.concat(F.lit("Price "), (F.col("n") % 3).cast("string"))).alias("first_row"))
+    return tables.matched(blocks, offered)
+
+
+@query("""WITH k AS (SELECT page_id, page_id % 6 AS k FROM pages)
+SELECT page_id || CASE k WHEN 3 THEN '.png' WHEN 4 THEN '.docx' ELSE '.pdf' END AS path, CASE k WHEN 0 THEN 'ok' WHEN 1 THEN 'active_content' WHEN 2 THEN 'encrypted' WHEN 3 THEN 'too_many_pixels' WHEN 4 THEN 'unreadable' ELSE 'unknown_type' END AS code, k = 0 AS accepted FROM k""")
+def d11_d12_upload_gate(spark, sf_dir):
+    """Pages as uploads: behind a PDF's, an image's or an archive's first bytes, or bare."""
+    k, html = F.col("page_id") % 6, F.encode("html", "UTF-8")
+    pdf = [F.concat(F.encode(F.lit(head), "UTF-8"), html) for head in ("%PDF-1.7 ", "%PDF-1.7 /OpenAction ", "%PDF-1.7 /Encrypt ")]
+    png = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D494844520000FFFF0000FFFF")), html)
+    content = F.when(k == 0, pdf[0]).when(k == 1, pdf[1]).when(k == 2, pdf[2]).when(k == 3, png).when(k == 4, F.concat(F.unhex(F.lit("504B0304")), html)).otherwise(html)
+    name = F.concat(F.col("page_id").cast("string"), F.when(k == 3, ".png").when(k == 4, ".docx").otherwise(".pdf"))
+    return uploads.gated(read(spark, sf_dir, "pages").select(name.alias("path"), content.alias("content"))).select("path", "code", "accepted")
+
+
+@query("SELECT doc_id AS chunk_id, 'fp' AS pipeline_fingerprint, 'corpus' AS origin FROM documents UNION ALL SELECT page_id, 'fp', 'upload' FROM pages")
+def m4_appended(spark, sf_dir):
+    held = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.lit("fp").alias("pipeline_fingerprint"), F.lit("corpus").alias("origin"))
+    new = read(spark, sf_dir, "pages").select(F.col("page_id").alias("chunk_id"), F.lit("fp").alias("pipeline_fingerprint"), F.lit("upload").alias("origin"))
+    return lifecycle.appended(held, new, "fp")
+
+
+@query(f"""WITH {PLAN_SQL}, new AS (SELECT DISTINCT item_id::VARCHAR AS source_id FROM benchmark), old AS (SELECT doc_id::VARCHAR AS source_id FROM labels)
+SELECT 'manifest' AS kept_in, source_id, 'Doc ' || source_id AS title FROM old WHERE source_id NOT IN (SELECT source_id FROM new) UNION ALL SELECT 'manifest', source_id, 'Again' FROM new
+UNION ALL SELECT 'tombstones', source_id, 'Doc ' || source_id FROM p WHERE action = 'delete' AND source_id NOT IN (SELECT source_id FROM new)""")
+def m10_recorded(spark, sf_dir):
+    """Sources that come back replace their manifest row and leave the tombstones."""
+    present, manifest = snapshots(spark, sf_dir)
+    graves = lifecycle.tombstones(lifecycle.plan(present, manifest).filter("action = 'delete'"), manifest, F.lit("2024-01-01").cast("timestamp"))
+    new = read(spark, sf_dir, "benchmark").select(F.lit("").alias("owner"), F.col("item_id").cast("string").alias("source_id"), F.lit("Again").alias("title"))
+    kept, left = lifecycle.record(manifest.select("owner", "source_id", "title"), graves.select("owner", "source_id", "title"), new)
+    return kept.select(F.lit("manifest").alias("kept_in"), "source_id", "title").unionByName(left.select(F.lit("tombstones").alias("kept_in"), "source_id", "title"))
+
+
+CONVERSATIONS_SQL = "c AS (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'a' ELSE 'b' END AS owner FROM conversations GROUP BY conv_id)"
+
+
+def sample_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conversation_id"), F.when(F.col("conv_id") % 2 == 0, "a").otherwise("b").alias("owner"), F.lit(0).alias("created_at")).distinct()
+
+
+@query(f"WITH {CONVERSATIONS_SQL} SELECT conv_id AS conversation_id, owner FROM c UNION ALL SELECT item_id, 'new' FROM benchmark WHERE item_id NOT IN (SELECT conv_id FROM c)")
+def m12_opened(spark, sf_dir):
+    new = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("conversation_id"), F.lit("new").alias("owner"), F.lit(1).alias("created_at"))
+    return lifecycle.opened(sample_conversations(spark, sf_dir), new).select("conversation_id", "owner")
+
+
+@query(f"WITH {CONVERSATIONS_SQL} SELECT conv_id AS conversation_id, turn AS turn_index FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM c WHERE owner = 'a' AND conv_id % 3 = 0)")
+def m12_closed(spark, sf_dir):
+    """A caller deletes every third conversation, but only their own go."""
+    held = sample_conversations(spark, sf_dir)
+    asked = held.filter("conversation_id % 3 = 0").select("conversation_id", F.lit("a").alias("owner"))
+    return lifecycle.closed(held, sample_turns(spark, sf_dir).select("conversation_id", "turn_index"), asked)[1]
+
+
+@query("""SELECT 'labels' AS section, '{"quality":' || quality || ',"n":' || count(*) || '}' AS row FROM labels GROUP BY quality
+UNION ALL SELECT 'stages', '{"stage":"' || event_type || '","n":' || count(*) || '}' FROM events GROUP BY event_type""")
+def m15_inspector(spark, sf_dir):
+    """Two stored tables are shown; judged rates stay hidden, as the gate does not hold."""
+    label_counts = read(spark, sf_dir, "labels").groupBy("quality").agg(F.count("*").alias("n"))
+    stages = read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("n"))
+    gate = spark.range(1).select(F.lit(False).alias("may_emit"))
+    return evaluate.inspector({"labels": label_counts, "stages": stages, "judged": label_counts}, gate, ("judged",))
+
+
+@query("""SELECT 'round_trip_' || name AS name, bad::VARCHAR AS observed, CASE WHEN n = 0 THEN 'NOT_MEASURED' WHEN bad = 0 THEN 'HOLDS' ELSE 'FAILS' END AS state, n FROM (
+  SELECT 'labels' AS name, count(*) FILTER (l.doc_id IS NULL OR d.doc_id IS NULL) AS bad, count(*) AS n FROM (SELECT DISTINCT doc_id FROM labels) l FULL JOIN (SELECT DISTINCT doc_id FROM documents) d ON l.doc_id = d.doc_id
+  UNION ALL SELECT 'orders', count(*) FILTER (o.k IS NULL OR l.k IS NULL), count(*) FROM (SELECT DISTINCT o_orderkey AS k FROM orders) o FULL JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem) l ON o.k = l.k)""")
+def e15_round_trips(spark, sf_dir):
+    docs, marked = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    orders, lines = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"))
+    parts = [invariants.round_trip_check(marked, docs, ["doc_id"], "round_trip_labels", "labels name documents"), invariants.round_trip_check(orders, lines, ["k"], "round_trip_orders", "orders have lines")]
+    return parts[0].unionByName(parts[1]).select("name", "observed", "state", "n")
+
+
+@query("SELECT event_type AS metric, round(avg((value > 50)::INT), 6) AS rate, count(*) AS n, 'fp' AS fingerprint FROM events GROUP BY 1")
+def e9_baseline(spark, sf_dir):
+    current = read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("metric")).agg(F.round(F.avg((F.col("value") > 50).cast("int")), 6).alias("rate"), F.count("*").alias("n"))
+    chunks = child_chunks(spark, sf_dir).select(F.lit("fp").alias("pipeline_fingerprint"), F.lit("child").alias("role"), F.lit("prefixed").alias("text_provenance"), F.lit(True).alias("has_contextual_prefix"))
+    return evaluation.baseline(current, chunks)
+
+
+@query("SELECT 'artifact_' || name AS name, coalesce(n::VARCHAR, 'absent') AS observed, CASE WHEN n IS NULL THEN 'NOT_MEASURED' WHEN n > 0 THEN 'HOLDS' ELSE 'FAILS' END AS state FROM (SELECT 'labels' AS name, count(*) AS n FROM labels UNION ALL SELECT 'pages', count(*) FROM pages WHERE page_id < 0 UNION ALL SELECT 'kappa', NULL)")
+def e14_artifacts(spark, sf_dir):
+    counts = [read(spark, sf_dir, name).filter(keep).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, keep in (("labels", "true"), ("pages", "page_id < 0"))]
+    return invariants.artifact_checks(counts[0].unionByName(counts[1]), ["labels", "pages", "kappa"]).select("name", "observed", "state")
+
+
+@query("SELECT doc_id, quality, 'fp' AS fingerprint, 'p1' AS parser, 'c1' AS chunker, 1500 AS token_budget FROM labels")
+def e19_stamped(spark, sf_dir):
+    return artifacts.stamped(read(spark, sf_dir, "labels").select("doc_id", "quality"), fingerprint="fp", parser="p1", chunker="c1", budget=1500)
+
+
+@query("SELECT doc_id, 'r1' AS rubric, quality AS value FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 2 = 0) UNION ALL SELECT vec_id, 'r1', 9 FROM embeddings WHERE vec_id % 2 = 0")
+def e20_upserted(spark, sf_dir):
+    old = read(spark, sf_dir, "labels").select("doc_id", F.lit("r1").alias("rubric"), F.col("quality").alias("value"))
+    new = read(spark, sf_dir, "embeddings").filter("vec_id % 2 = 0").select(F.col("vec_id").alias("doc_id"), F.lit("r1").alias("rubric"), F.lit(9).alias("value"))
+    return artifacts.upsert(old, new, ["doc_id", "rubric"])
+
+
+@query("SELECT event_id, ts::TIMESTAMP AS ts FROM events ORDER BY ts DESC, event_id LIMIT 25")
+def t5_latest_jobs(spark, sf_dir):
+    """The 25 latest rows, as a job list shows them."""
+    return lifecycle.latest(read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")), "ts", "event_id", 25)

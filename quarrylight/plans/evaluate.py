@@ -24,3 +24,17 @@ def run(items: DataFrame, ranked: DataFrame, chunks: DataFrame, parents: DataFra
     """Scored items at one budget, one row an item and unit; without delivery it fails. items: item_id, needle, accept."""
     asked = items.withColumn("unit", F.explode(F.array(F.lit("child"), F.lit("parent"))))
     return evaluation.score_items(asked, delivered(ranked, chunks, parents, budget))
+
+
+def inspector(artifacts: dict[str, DataFrame], gate: DataFrame | None = None, gated: tuple[str, ...] = ()) -> DataFrame:
+    """section and row (JSON) of every stored metric table, as an inspector shows them; nothing is computed anew.
+
+    Sections named in ``gated`` are shown only where the one row of ``gate`` says may_emit.
+    """
+    out = None
+    for name, df in artifacts.items():
+        part = df.select(F.lit(name).alias("section"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row"))
+        if name in gated:
+            part = part.filter(F.lit(False) if gate is None else F.coalesce(gate.select("may_emit").scalar(), F.lit(False)))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -82,3 +82,26 @@ def test_balanced_sample_is_the_same_however_it_is_partitioned(spark):
     items = spark.createDataFrame([(k, "a" if k % 3 else "b") for k in range(90)], "item_id int, c string")
     one = sorted(r.item_id for r in E.balanced_sample(items, "c", 10, 5).collect())
     assert one == sorted(r.item_id for r in E.balanced_sample(items.repartition(7), "c", 10, 5).collect()) and len(one) == 20
+
+
+def test_failed_verdicts_pair_with_nothing_and_are_judged_again(spark):
+    labels = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "item_id int, label string")
+    verdicts = spark.createDataFrame([(1, "x", False), (2, "y", True), (3, None, None)], "item_id int, verdict string, failed boolean")
+    assert [tuple(r) for r in E.rated(labels, verdicts).collect()] == [(1, "x", "x")]
+    assert {r.item_id for r in E.unjudged(labels, verdicts).collect()} == {2, 3}
+
+
+def test_gated_sections_show_only_behind_a_held_gate(spark):
+    from quarrylight.plans import evaluate
+
+    stored = {"rates": spark.createDataFrame([(1, None)], "n int, rate double"), "judged": spark.createDataFrame([(2,)], "n int")}
+    shown = lambda ok: {tuple(r) for r in evaluate.inspector(stored, spark.createDataFrame([(ok,)], "may_emit boolean"), ("judged",)).collect()}
+    assert shown(True) == {("rates", '{"n":1,"rate":null}'), ("judged", '{"n":2}')}
+    assert shown(False) == shown(None) == {("rates", '{"n":1,"rate":null}')}
+
+
+def test_round_trip_counts_faults_on_both_sides(spark):
+    left, right = spark.createDataFrame([(1,), (2,), (2,)], "k int"), spark.createDataFrame([(2,), (3,)], "k int")
+    row = invariants.round_trip_check(left, right, ["k"], "x", "y").first()
+    assert (row["state"], row["observed"], row["n"]) == ("FAILS", "2", 3)
+    assert invariants.round_trip_check(left.limit(0), right.limit(0), ["k"], "x", "y").first()["state"] == "NOT_MEASURED"

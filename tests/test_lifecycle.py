@@ -133,3 +133,13 @@ def test_streams_agree_with_batches(spark, tmp_path):
     assert sorted(map(tuple, drain(limits.daily_counts(streamed), "daily", "complete"))) == want
     limits.append_feedback(spark.readStream.schema(frame.schema).parquet(source), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.json(str(tmp_path / "out")).count() == frame.count()
+
+
+def test_conversations_open_once_and_close_by_their_owner(spark):
+    held = spark.createDataFrame([(1, "a"), (2, "b")], "conversation_id int, owner string")
+    new = spark.createDataFrame([(2, "a"), (3, "a")], "conversation_id int, owner string")
+    assert {tuple(r) for r in L.opened(held, new).collect()} == {(1, "a"), (2, "b"), (3, "a")}
+    turns = spark.createDataFrame([(1, 0), (2, 0), (2, 1)], "conversation_id int, turn_index int")
+    asked = spark.createDataFrame([(1, "a"), (2, "a")], "conversation_id int, owner string")
+    kept, left = L.closed(held, turns, asked)
+    assert {tuple(r) for r in kept.collect()} == {(2, "b")} and left.count() == 2

@@ -126,3 +126,24 @@ def test_retrieve_numbers_at_most_the_sources(spark):
         assert sorted(r.label for r in rows) == list(range(1, len(rows) + 1)) and 0 < len(rows) <= 2
     with pytest.raises(ValueError, match="unknown mode"):
         ask.retrieve(queries, chunks, parents, built, mode="x")
+
+
+def test_reached_equals_the_whole_index(spark):
+    from quarrylight.operators import index
+
+    texts = spark.createDataFrame([(1, "Alpha beta alpha"), (2, ""), (3, None), (4, "gamma v1.2"), (1, "beta"), (5, "--")], "chunk_id int, text string")
+    wanted = spark.createDataFrame([("alpha",), ("alpha",), ("v1.2",), ("absent",)], "term string")
+    posted, stats = index.reached(texts, wanted)
+    whole = index.postings(texts)
+    assert {tuple(r) for r in posted.collect()} == {tuple(r) for r in whole.filter("term in ('alpha', 'v1.2')").collect()}
+    assert stats.first() == index.corpus_stats(texts, whole).first()
+
+
+def test_reached_without_texts_or_terms(spark):
+    from quarrylight.operators import index
+
+    none = spark.createDataFrame([], "chunk_id int, text string")
+    posted, stats = index.reached(none, spark.createDataFrame([("a",)], "term string"))
+    assert posted.count() == 0 and tuple(stats.first()) == (0, 0.0)
+    posted, stats = index.reached(spark.createDataFrame([(1, "a b")], "chunk_id int, text string"), spark.createDataFrame([], "term string"))
+    assert posted.count() == 0 and tuple(stats.first()) == (1, 2.0)
