@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bpe, html, licenses, neardup, packing, quality, secrets, suffixes, topk, toxicity
+from quarrylight.llm import bpe, html, licenses, neardup, packing, quality, resampling, secrets, suffixes, topk, toxicity
 from quarrylight.llm._common import arrow_batches, table
 
 
@@ -197,6 +197,36 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.doc_id = w.doc_id
 """
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, noisy score and rank of every document, drawn a tenth towards the benchmark's texts by word buckets."""
+    return resampling.resample(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text")).drop("n_words")
+
+
+#: CTEs: ``crc_table`` with one row tab, the CRC-32 table by its polynomial.
+CRC_TABLE = """crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab)"""
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB expression for the unsigned CRC-32 of a string; needs ``crc_table`` beside it."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)), lambda a, b: xor(a >> 8, tab[xor(a & 255, b) + 1])), 4294967295)"
+
+
+OP13_SQL = rf"""
+WITH {CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT r, unnest(ws) AS w FROM d),
+bw AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+vocabulary AS (SELECT w, {crc_sql('w')} % 10000 AS b FROM (SELECT w FROM w UNION SELECT w FROM bw), crc_table),
+s AS (SELECT b, count(*) AS n FROM w JOIN vocabulary USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM bw JOIN vocabulary USING (w) GROUP BY b),
+g AS (SELECT s.b, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (sum(s.n) OVER () + 10000)::DOUBLE / ((s.n + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t ON t.b = s.b),
+m AS (SELECT r, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM w JOIN vocabulary USING (w) JOIN g USING (b) GROUP BY r),
+e AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN m ON m.r = d.r),
+k AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id, n_features) END AS place, 10 * count(*) FILTER (n_features >= 20) OVER () // 100 AS drawn FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM k
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to function of (spark, sf_dir)."""
     return {
@@ -210,6 +240,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
+        "op13_importance_resampling": op13_importance_resampling,
     }
 
 
@@ -221,4 +252,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_exact_top_k": OP7_SQL,
         "op8_suffix_array_dedup": OP8_SQL,
         "op10_minhash_near_dedup": OP10_SQL,
+        "op13_importance_resampling": OP13_SQL,
     }

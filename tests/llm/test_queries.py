@@ -21,7 +21,7 @@ def test_one_row_for_each_document_or_page(spark, name):
         assert frame.count() == spark.read.parquet(f"{oracle.TABLES}/pages.parquet").count()
     elif name == "op2_best_fit_packing":
         assert frame.select("doc_id").distinct().count() == docs.count()
-    elif name != "op7_exact_top_k":
+    elif name not in ("op7_exact_top_k", "op11_prefix_trie"):
         assert sorted(r.doc_id for r in frame.select("doc_id").collect()) == sorted(r.doc_id for r in docs.select("doc_id").collect())
 
 
