@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bpe, html, licenses, neardup, packing, quality, resampling, secrets, suffixes, topk, toxicity
+from quarrylight.llm import bpe, html, licenses, neardup, packing, quality, resampling, secrets, subwords, suffixes, topk, toxicity, tries
 from quarrylight.llm._common import arrow_batches, table
 
 
@@ -197,6 +197,21 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.doc_id = w.doc_id
 """
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each node of the trie of rebuilt conversations."""
+    arrow_batches(spark)
+    return tries.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from labels outside the held-out fold (crc32 of the id, modulo 5, is 0)."""
+    arrow_batches(spark)
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = subwords.fit(subwords.training_sample(docs, labels.filter(~held_out)))
+    return subwords.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight, noisy score and rank of every document, drawn a tenth towards the benchmark's texts by word buckets."""
     return resampling.resample(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text")).drop("n_words")
@@ -211,6 +226,33 @@ def crc_sql(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)), lambda a, b: xor(a >> 8, tab[xor(a & 255, b) + 1])), 4294967295)"
 
 
+OP11_SQL = f"""
+WITH {CRC_TABLE},
+t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos, role, text
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, {crc_sql('id')} % 9 AS h FROM (SELECT DISTINCT conv_id, conv_id::VARCHAR AS id FROM t), crc_table),
+r AS (
+  SELECT c.conv_id, 0 AS own, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND pos <= h
+  UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+p AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(sha256(role) || sha256(text), '') OVER (w ROWS UNBOUNDED PRECEDING) AS path, strlen(text) AS n
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos)),
+a AS (SELECT conv_id, depth, path, n FROM p UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = length), '')) AS ends_sha256
+  FROM a JOIN (SELECT conv_id, max(depth) AS length FROM a GROUP BY conv_id) l USING (conv_id) GROUP BY path, depth),
+kids AS (SELECT left(path, length(path) - 128) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+up AS (
+  SELECT left(path, 128 * i) AS path, sum((n_convs - 1) * n) AS saved, sum(leaf) AS leaves
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS i FROM (SELECT nodes.*, (kids.n IS NULL)::INT AS leaf FROM nodes LEFT JOIN kids ON kids.path = nodes.path)) GROUP BY ALL)
+SELECT nodes.conv_id, nodes.depth::BIGINT AS depth, above.conv_id AS parent_conv_id, nodes.n_convs, coalesce(kids.n, 0) AS n_children,
+  up.leaves::BIGINT AS n_leaves, up.saved::BIGINT AS saved_tokens, nodes.ends_sha256
+FROM nodes JOIN up ON up.path = nodes.path LEFT JOIN kids ON kids.path = nodes.path
+LEFT JOIN nodes above ON nodes.depth > 0 AND above.path = left(nodes.path, length(nodes.path) - 128)
+"""
+
 OP13_SQL = rf"""
 WITH {CRC_TABLE},
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
@@ -240,6 +282,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_quality_classifier": op12_quality_classifier,
         "op13_importance_resampling": op13_importance_resampling,
     }
 
@@ -252,5 +296,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_exact_top_k": OP7_SQL,
         "op8_suffix_array_dedup": OP8_SQL,
         "op10_minhash_near_dedup": OP10_SQL,
+        "op11_prefix_trie": OP11_SQL,
         "op13_importance_resampling": OP13_SQL,
     }
