@@ -74,7 +74,7 @@ def gains(docs: DataFrame, target: DataFrame, *, orders: tuple[int, int] = ORDER
     """bucket and gain of every bucket that the documents use: floor(1000 ln of the smoothed target share over the smoothed share)."""
     own = bucket_counts(docs, orders=orders, buckets=buckets).withColumnRenamed("n", "s")
     wanted = bucket_counts(target, orders=orders, buckets=buckets).withColumnRenamed("n", "t")
-    counts = write_shared(own.join(wanted, "bucket", "full").select("bucket", F.coalesce("s", F.lit(0)).alias("s"), F.coalesce("t", F.lit(0)).alias("t")), "bucket-counts", buckets)
+    counts = write_shared(own.join(wanted, "bucket", "full").select("bucket", F.coalesce("s", F.lit(0)).alias("s"), F.coalesce("t", F.lit(0)).alias("t")), "bucket-counts")
     total = counts.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("s"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
     s, t = F.col("s").cast("double"), F.col("t").cast("double")
     ratio = ((t + 1) * F.lit(float(total["s"] + buckets))) / ((s + 1) * F.lit(float(total["t"] + buckets)))
