@@ -2,9 +2,11 @@
 
 A text's features are its words (runs of other than white space, case and punctuation kept) and the
 character n-grams of each word between boundary marks, all hashed to ``DIMENSION`` rows of learned
-vectors. A document's vector is the mean over all its features, repeats counted; a linear layer and
-softmax give each class's probability. Numpy stochastic gradient descent fits both, as the learning
-rate falls to nothing.
+vectors. Of word pairs only the pair of equal words is learnt, under one row that counts as often as
+the word has features: other pairs are too rare in a bounded sample. A document's vector is the mean
+over all its features, repeats counted, and over ``BLANKS`` null vectors, so that a text of one word is
+not sure of anything; a linear layer and softmax give each class's probability. Numpy stochastic
+gradient descent fits both, as the learning rate falls to nothing.
 
 Training reads at most ``MAX_PER_CLASS`` labelled texts of each class, chosen by hash, of which
 texts above ``MAX_BYTES`` bytes and texts beyond a running total of ``MAX_TOTAL`` bytes are left out:
@@ -25,6 +27,8 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +42,7 @@ DIMENSION, VECTOR, SEED = 1 << 17, 16, 11
 MAX_PER_CLASS, MAX_BYTES, MAX_TOTAL = 4000, 1 << 20, 16 << 20
 #: Passes over the sample, or as many as make STEPS steps; rate at the start.
 EPOCHS, STEPS, RATE = 4, 24_000, 1.0
+BLANKS = 50
 MEMO = 400_000
 THRESHOLD = 0.3
 
@@ -49,20 +54,34 @@ def features(word: str, dimension: int = DIMENSION) -> list[int]:
     return [zlib.crc32(f"\0{word}".encode()) % dimension, *(zlib.crc32(g.encode()) % dimension for g in grams)]
 
 
+def words_of(text: str | None) -> tuple[Counter[str], Counter[str]]:
+    """How often a text has each word, and how often right after itself."""
+    words = (text or "").split()
+    return Counter(words), Counter(compress(words, map(eq, words, words[1:])))
+
+
+def again_row(dimension: int = DIMENSION) -> int:
+    """The row of a pair of equal words."""
+    return zlib.crc32(b"\1") % dimension
+
+
 def counts(text: str | None, memo: dict[str, list[int]], dimension: int = DIMENSION) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a text, ascending, and each row's share of all features."""
     found: Counter[int] = Counter()
     if len(memo) > MEMO:
         memo.clear()
-    for word, n in Counter((text or "").split()).items():
+    each, again = words_of(text)
+    for word, n in each.items():
         own = memo.get(word)
         if own is None:
             own = memo[word] = features(word, dimension)
         for row in own:
             found[row] += n
+        if word in again:
+            found[again_row(dimension)] += again[word] * len(own)
     rows = np.array(sorted(found), np.int32)
     share = np.array([found[r] for r in rows.tolist()], np.float32)
-    return rows, share / max(1.0, float(share.sum()))
+    return rows, share / (BLANKS + float(share.sum()))
 
 
 @dataclass
@@ -175,18 +194,23 @@ def score(docs: DataFrame, model: Embeddings, *, threshold: float = THRESHOLD) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bias = shared.value
-        margins = _Margins(table)
+        margins, pair = _Margins(table), float(table[again_row(len(table))])
         for batch in batches:
             scores = []
             for text in batch.column(1):
                 total, n = 0.0, 0
-                for word, times in Counter((text.as_py() or "").split()).items():
+                each, again = words_of(text.as_py())
+                for word, times in each.items():
                     margin, size = margins[word]
                     total += times * margin
                     n += times * size
+                for word, times in again.items():
+                    size = times * margins[word][1]
+                    total += size * pair
+                    n += size
                 if len(margins) > MEMO:
                     margins.clear()
-                scores.append(1 / (1 + math.exp(-min(max(bias + total / max(1, n), -30.0), 30.0))))
+                scores.append(1 / (1 + math.exp(-min(max(bias + total / (BLANKS + n), -30.0), 30.0))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
