@@ -7,26 +7,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight.sources import versions
 
-def save_version(tables: dict[str, DataFrame], root: str) -> str:
-    """Write all tables of one version, then point to it; readers see the old version or the new one, never a part."""
-    version = uuid.uuid4().hex
-    for name, df in tables.items():
-        df.write.parquet(f"{root}/{version}/{name}")
-    spark = next(iter(tables.values())).sparkSession
-    order = F.current_timestamp().cast("double")
-    spark.range(1).select(F.lit(version).alias("version"), order.alias("at")).write.mode("append").parquet(f"{root}/_versions")
-    return version
 
+def save_version(tables: dict[str, DataFrame], root: str, after: int | None = None) -> int:
+    """Write all tables of one version, then publish it; readers see the old version or the new one, never a part.
 
-def current_version(spark: SparkSession, root: str) -> str:
-    """The version that was pointed to last."""
-    return spark.read.schema("version string, at double").parquet(f"{root}/_versions").orderBy(F.desc("at"), "version").first()["version"]
+    A failing task leaves the old version. ``after`` is the version that the writer began from, the newest by
+    default: of two writers that began from the same, the second gets a Conflict.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    began = max(versions.numbers(spark, root), default=0) if after is None else after
+    folder = uuid.uuid4().hex
+    for name, df in tables.items():
+        df.write.parquet(f"{root}/{folder}/{name}")
+    return versions.publish(spark, root, began, {"folder": folder, "tables": sorted(tables)})
 
 
-def load(spark: SparkSession, root: str, name: str, version: str | None = None) -> DataFrame:
-    """A table of the current or a named version."""
-    return spark.read.parquet(f"{root}/{version or current_version(spark, root)}/{name}")
+def load(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
+    """A table of the newest or a named version."""
+    return spark.read.parquet(f"{root}/{versions.manifest(spark, root, version)[1]['folder']}/{name}")
 
 
 def write_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:

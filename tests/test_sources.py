@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylight.plans.ingest import ingest
-from quarrylight.sources import artifacts, corpus, uploads
+from quarrylight.sources import artifacts, corpus, uploads, versions
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -94,6 +94,7 @@ def test_artifacts(spark, tmp_path):
     artifacts.save_version({"t": one.withColumn("v", F.lit("b"))}, str(tmp_path / "index"))
     assert artifacts.load(spark, str(tmp_path / "index"), "t").first().v == "b"
     assert artifacts.load(spark, str(tmp_path / "index"), "t", first).first().v == "a"
+
     lines = tmp_path / "f.jsonl"
     lines.write_text('{"k": 1, "v": "x"}\n\nnot json\n{"k": 2}\n')
     assert sorted((r.k, r.v) for r in artifacts.read_lines(spark, str(lines), "k int, v string").collect()) == [(1, "x"), (2, None)]
@@ -117,3 +118,15 @@ def test_ingest(spark):
     assert made["vectors"].count() == 1 and made["terms"].filter("term = 'fox'").count() == 1 and made["cache"].count() == 1
     with pytest.raises(Exception, match="another number"):
         ingest(docs, manifest, cache, lambda texts: [], fingerprint="fp")["vectors"].collect()
+
+
+def test_a_failing_task_and_a_second_writer_leave_the_published_version(spark, tmp_path):
+    root, one = str(tmp_path), spark.createDataFrame([("a", 1)], "v string, k int")
+    first = artifacts.save_version({"t": one}, root)
+    with pytest.raises(Exception, match="lost"):
+        artifacts.save_version({"t": one, "u": one.withColumn("v", F.raise_error(F.lit("lost")))}, root)
+    assert versions.numbers(spark, root) == [first] and artifacts.load(spark, root, "t").first().v == "a"
+    second = artifacts.save_version({"t": one.withColumn("v", F.lit("b"))}, root, first)
+    with pytest.raises(versions.Conflict):
+        artifacts.save_version({"t": one.withColumn("v", F.lit("c"))}, root, first)
+    assert second == first + 1 and artifacts.load(spark, root, "t").first().v == "b"
