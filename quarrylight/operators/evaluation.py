@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions.rates import MIN_ITEMS, rate
 from quarrylight.functions.text import cover, cover_state, squash
-from quarrylight.operators.blocks import against
+from quarrylight.operators.containment import contained
+from quarrylight.operators.numbering import numbered
+from quarrylight.sources.shared import write_shared
 
 #: Question strata; needle lengths; gate tolerance and judge limits; page text that makes a window.
 STRATA = ("simple_factual", "multi_hop", "aggregative", "out_of_scope", "ambiguous", "exact_identifier", "table_or_image")
@@ -34,11 +36,11 @@ def windows(blocks: DataFrame, identifiers: tuple[str, ...] = IDENTIFIERS) -> Da
 def occurrences(needles: DataFrame, pages: DataFrame) -> DataFrame:
     """item_id, needle, source_id and page of every window that contains a needle, both squashed.
 
-    needles: item_id, needle; pages: source_id, page, text. Needles meet all windows in blocks.
+    needles: item_id, needle; pages: source_id, page, text. Needles meet the windows that list their rarest grams.
     """
-    asked = needles.select("item_id", "needle", squash(F.col("needle")).alias("__needle")).filter("__needle <> ''")
-    held = pages.select("source_id", "page", squash(F.col("text")).alias("__text"))
-    return against(asked, held, "source_id").filter(F.contains("__text", F.col("__needle"))).select("item_id", "needle", "source_id", "page")
+    asked = needles.select("item_id", F.col("needle").alias("__own"), squash(F.col("needle")).alias("needle"))
+    held = pages.select("source_id", "page", squash(F.col("text")).alias("text"))
+    return asked.join(contained(asked, held), "needle").select("item_id", F.col("__own").alias("needle"), "source_id", "page")
 
 
 def verify_items(items: DataFrame, found: DataFrame) -> DataFrame:
@@ -65,17 +67,22 @@ def answerable(questions: DataFrame, pages: DataFrame) -> DataFrame:
     words = F.array_distinct(F.transform(F.filter(F.split(F.regexp_replace("question", r"\s+", " "), " "), lambda w: F.length(w) > 5), lambda w: F.lower(F.regexp_replace(w, r"^[?,.]+|[?,.]+$", ""))))
     longest = F.slice(F.transform(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("k"), w.alias("w")))), lambda x: x["w"]), 1, 4)
     asked = questions.select("question_id", longest.alias("__words"))
-    met = against(asked, pages.select("source_id", F.lower("text").alias("__text")), "source_id")
-    hits = F.size(F.filter("__words", lambda w: F.contains("__text", w)))
-    counts = met.filter(hits >= F.greatest(F.lit(2), F.size("__words") - 1)).groupBy("question_id").agg(F.count("*").alias("n_windows"))
+    # A word of stops alone is empty once they are cut off, and stands in every window.
+    needed = F.greatest(F.lit(2), F.size("__words") - 1) - F.array_contains("__words", "").cast("int")
+    words = asked.select("question_id", needed.alias("needed"), F.explode("__words").alias("needle"))
+    hits = words.join(contained(words, pages.select(F.lower("text").alias("text"))), "needle").groupBy("question_id", "text_id").agg(F.count("*").alias("n"), F.max("needed").alias("needed"))
+    counts = hits.filter("n >= needed").groupBy("question_id").agg(F.count("*").alias("n_windows"))
     return asked.select("question_id").join(counts, "question_id", "left").select("question_id", F.coalesce("n_windows", F.lit(0)).alias("n_windows"), F.col("n_windows").isNotNull().alias("rejected"))
 
 
 def select_windows(pages: DataFrame, target: int) -> DataFrame:
-    """A bounded, strided choice: all images, tables to a half, identifiers to a quarter, the rest evenly; ``target`` in all."""
+    """A bounded, strided choice: all images, tables to a half, identifiers to a quarter, the rest evenly; ``target`` in all.
+
+    Windows are numbered by ranges, so no bucket is sorted in one task.
+    """
     bucket = F.when(F.col("doc_type") == "image", 0).when(F.col("has_table"), 1).when(F.col("has_identifier"), 2).otherwise(3)
-    own = Window.partitionBy("bucket").orderBy("source_id", F.coalesce("page", F.lit(0)))
-    rows = pages.withColumn("bucket", bucket).withColumn("at", F.row_number().over(own) - 1)
+    narrow = write_shared(pages.select("source_id", "page", bucket.alias("bucket")), "windows")
+    rows = numbered(narrow, "bucket", "source_id", F.coalesce("page", F.lit(0)), within="bucket").withColumn("at", F.col("number") - 1)
     sizes = rows.groupBy().pivot("bucket", [0, 1, 2, 3]).count().na.fill(0)
     sizes = sizes.select(F.col("0").alias("n0"), F.least(F.col("1"), F.lit(target // 2)).alias("n1"), F.least(F.col("2"), F.lit(target // 4)).alias("n2"), F.col("3").alias("n3"))
     need = F.greatest(F.lit(target) - F.col("n0") - F.col("n1") - F.col("n2"), F.lit(0))
