@@ -8,15 +8,17 @@ Dense queries are the vectors whose id is divisible by 50, against all rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions import ids, rates, text
-from quarrylight.operators import answers, chunking, evaluation, index, invariants, lifecycle, retrieval, tables
+from quarrylight.operators import answers, chunking, evaluation, geometry, index, invariants, lifecycle, retrieval, segments, tables
 from quarrylight.plans import ask, evaluate, ingest
 from quarrylight.sources import artifacts, uploads
+from quarrylight.sources.shared import shared_dir
 from quarrylight.streaming import limits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -272,6 +274,56 @@ def d8_continuations(spark, sf_dir):
     return tables.continuations(rows)
 
 
+RULED_SQL = """l AS (
+  SELECT l_orderkey::VARCHAR AS source_id, ((l_linenumber + 1) // 2)::INT AS page, 50.0::DOUBLE + l_partkey % 4 AS x, l_tax * 2000 + (l_linenumber % 2) * 400 AS y,
+    (1 + l_quantity % 3)::INT AS c, (1 + l_suppkey % 2)::INT AS r, l_returnflag <> 'R' AS closed FROM lineitem),
+s AS (
+  SELECT source_id, page, TRUE AS flat, y + 20 * unnest(range(0, r + 1)) AS place, x AS low, x + 30 * c AS high FROM l
+  UNION ALL SELECT source_id, page, TRUE, y + 20 * unnest(range(0, r + 1)), x + 30 * c + 1, x + 60 * c FROM l
+  UNION ALL SELECT source_id, page, FALSE, x + 60 * unnest(range(0, CASE WHEN closed THEN c + 1 ELSE 1 END)), y, y + 20 * r FROM l),
+rules AS (SELECT *, row_number() OVER () AS id FROM s),
+e AS (
+  SELECT a.id AS a, b.id AS b FROM rules a JOIN rules b ON a.source_id = b.source_id AND a.page = b.page AND a.flat AND NOT b.flat
+    AND b.place BETWEEN a.low - 3 AND a.high + 3 AND a.place BETWEEN b.low - 3 AND b.high + 3
+  UNION ALL SELECT a.id, b.id FROM rules a JOIN rules b ON a.source_id = b.source_id AND a.page = b.page AND a.flat = b.flat AND round(a.place, 1) = round(b.place, 1) AND a.id < b.id AND b.low <= a.high + 3 AND a.low <= b.high + 3),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT id, id AS other FROM rules UNION SELECT reach.id, u.b FROM reach JOIN u ON u.a = reach.other),
+m AS (SELECT source_id, page, flat, place, part FROM rules JOIN (SELECT id, min(other) AS part FROM reach GROUP BY id) USING (id)),
+f AS (SELECT *, coalesce(place - lag(place) OVER (PARTITION BY source_id, page, part, flat ORDER BY place) > 3, TRUE) AS first FROM (SELECT DISTINCT * FROM m)),
+p AS (SELECT source_id, page, part, list(place ORDER BY place) FILTER (NOT flat AND first) AS xs, list(place ORDER BY place) FILTER (flat AND first) AS ys FROM f GROUP BY ALL HAVING len(xs) > 1 AND len(ys) > 1),
+t AS (SELECT source_id, page, row_number() OVER (PARTITION BY source_id, page ORDER BY ys[1], xs[1])::INT AS table_no, (len(ys) - 1)::INT AS n_rows, (len(xs) - 1)::INT AS n_cols,
+  round(xs[1], 1) AS first_x, round(xs[-2], 1) AS last_x, round(792 - ys[-1], 1) AS bottom_gap, round(ys[1], 1) AS top_gap FROM p)"""
+
+
+def ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of pages that hold a grid for each order line, two to a page, rules in two pieces; lines that were returned lack all but the first upright."""
+    items = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("source_id"), F.floor((F.col("l_linenumber") + 1) / 2).cast("int").alias("page"), (50.0 + F.col("l_partkey") % 4).alias("x"), (F.col("l_tax") * 2000 + F.col("l_linenumber") % 2 * 400).alias("y"), (1 + F.col("l_quantity") % 3).cast("int").alias("c"), (1 + F.col("l_suppkey") % 2).cast("int").alias("r"), (F.col("l_returnflag") != "R").alias("closed"))
+    place = lambda side, step, k: F.col(side) + step * k
+    line = lambda x0, y0, x1, y1: F.struct(x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), x1.cast("double").alias("x1"), y1.cast("double").alias("y1"))
+    middle, right, bottom = place("x", 30, F.col("c")), place("x", 60, F.col("c")), place("y", 20, F.col("r"))
+    counted = lambda n: F.sequence(F.lit(0), n)
+    flat = F.flatten(F.transform(counted(F.col("r")), lambda k: F.array(line(F.col("x"), place("y", 20, k), middle, place("y", 20, k)), line(middle + 1, place("y", 20, k), right, place("y", 20, k)))))
+    upright = F.transform(counted(F.when(F.col("closed"), F.col("c")).otherwise(0)), lambda k: line(place("x", 60, k), F.col("y"), place("x", 60, k), bottom))
+    segments_ = items.select("source_id", "page", F.explode(F.concat(flat, upright)).alias("s")).select("source_id", "page", "s.*")
+    pages = items.select("source_id", "page").distinct().withColumn("height", F.lit(792.0))
+    return geometry.ruled_tables(segments_, pages)
+
+
+@query(f"WITH RECURSIVE {RULED_SQL} SELECT * FROM t")
+def d9_ruled_tables(spark, sf_dir):
+    found = ruled(spark, sf_dir)
+    return found.withColumns({"first_x": F.get("col_xs", F.lit(0)), "last_x": F.element_at("col_xs", -1)}).drop("col_xs")
+
+
+@query(f"""WITH RECURSIVE {RULED_SQL},
+q AS (SELECT c.source_id, c.page, b.table_no AS previous_no, c.table_no, 1 + (c.n_cols = b.n_cols)::INT + (c.n_cols = b.n_cols AND abs(c.first_x - b.first_x) <= 6)::INT + (b.bottom_gap <= 80)::INT + (c.n_rows = 1)::INT AS signals
+  FROM t c JOIN t b ON b.source_id = c.source_id AND b.page = c.page - 1 WHERE c.top_gap <= 120)
+SELECT *, signals >= 3 AS suspect FROM q""")
+def d9_d8_continued_tables(spark, sf_dir):
+    """Continuations among the tables found; a table of one row counts as one without a header."""
+    return tables.continuations(ruled(spark, sf_dir).withColumn("header_ok", F.col("n_rows") > 1))
+
+
 @query("""SELECT source AS source_id, repaired, labelled, problem IS NULL AS ok, problem FROM (
   SELECT *, CASE WHEN repaired > 0 AND labelled = 0 THEN 'repairs without a label' WHEN repaired = 0 AND labelled > 0 THEN 'labels without a repair' WHEN labelled < repaired THEN 'fewer labels than repairs' END AS problem
   FROM (SELECT source, count(*) FILTER (lang = 'fr') AS repaired, count(*) FILTER (lang = 'de') AS labelled FROM documents GROUP BY source))""")
@@ -363,6 +415,43 @@ def r10_sparse_top_k(spark, sf_dir):
     return hits.select("query_id", "chunk_id", "rank", "matched", F.round("score", 6).alias("score"))
 
 
+def stored_index(spark: SparkSession) -> segments.Index:
+    """A new stored index in the shared folder."""
+    return segments.load(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+
+
+def maintained_index(spark: SparkSession, sf_dir: str) -> segments.Index:
+    """All chunks, by way of adding most, removing some of these and some absent ones, adding the others, adding the removed again and replacing a few."""
+    chunks = child_chunks(spark, sf_dir).select("chunk_id", "owner", "text")
+    part = F.col("chunk_id") % 10
+    shortened = chunks.filter(part == 3).withColumn("text", F.lit("a text that is replaced"))
+    index = segments.add(stored_index(spark), chunks.filter(part.isin(0, 1, 2, 4, 5, 6)).unionByName(shortened))
+    index = segments.remove(index, chunks.filter(part.isin(2, 8, 9)).select("chunk_id"))
+    return segments.add(index, chunks.filter(part.isin(2, 3, 7, 8, 9)))
+
+
+def stored_hits(index: segments.Index, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.search(index, text_queries(spark, sf_dir), 10).select("query_id", "chunk_id", "rank", "matched", F.round("score", 6).alias("score"))
+
+
+@query(SQL["r10_sparse_top_k"])
+def r10_stored_top_k(spark, sf_dir):
+    """The same rows from a stored index, by blocks with bounds."""
+    return stored_hits(segments.add(stored_index(spark), child_chunks(spark, sf_dir).select("chunk_id", "owner", "text")), spark, sf_dir)
+
+
+@query(SQL["r10_sparse_top_k"])
+def m4_maintained_top_k(spark, sf_dir):
+    """The same rows from an index that was changed in three steps."""
+    return stored_hits(maintained_index(spark, sf_dir), spark, sf_dir)
+
+
+@query(SQL["r8_term_stats"])
+def m3_maintained_terms(spark, sf_dir):
+    """The same term statistics after the changed index is merged."""
+    return segments.merge(maintained_index(spark, sf_dir)).terms().select("term", "df", F.round("idf", 9).alias("idf"))
+
+
 RRF_SQL = """legs AS (SELECT 'dense' AS leg, query_id, chunk_id, rank + 1 AS r FROM dense UNION ALL SELECT 'sparse', query_id, chunk_id, rank + 1 FROM sparse),
 fused AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + r)), 12) AS score, min(r) AS best, count(*) AS n_legs, min(r) FILTER (leg = 'dense') AS dense_rank, min(r) FILTER (leg = 'sparse') AS sparse_rank FROM legs GROUP BY query_id, chunk_id),
 rrf AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best, chunk_id) - 1 AS rank FROM fused)"""
