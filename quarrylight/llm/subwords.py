@@ -47,11 +47,26 @@ MEMO = 400_000
 THRESHOLD = 0.3
 
 
-def features(word: str, dimension: int = DIMENSION) -> list[int]:
-    """Rows of a word and of its character n-grams; n-grams carry their marks, so they never equal a word."""
-    marked = f"<{word}>"
-    grams = (marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1))
-    return [zlib.crc32(f"\0{word}".encode()) % dimension, *(zlib.crc32(g.encode()) % dimension for g in grams)]
+def features(words: list[str], dimension: int = DIMENSION) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the words and of their character n-grams, and the number of the word that each is of.
+
+    All n-grams of all words are hashed at once: a polynomial of the characters, mixed by a product.
+    """
+    marked = [f"<{w}>" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    owner = np.repeat(np.arange(len(marked)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))
+    rows, owners = [np.fromiter((zlib.crc32(w.encode()) % dimension for w in words), np.int64, len(words))], [np.arange(len(words))]
+    polynomial = np.zeros(len(codes), np.uint64)
+    for n in range(1, NGRAMS[-1] + 1):
+        polynomial = polynomial[: max(0, len(codes) - n + 1)] * np.uint64(1_000_003) + codes[n - 1 :]
+        if n in NGRAMS:
+            whole = left[: len(polynomial)] >= n
+            mixed = (polynomial[whole] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+            rows.append(((mixed >> np.uint64(32)) % np.uint64(dimension)).astype(np.int64))
+            owners.append(owner[: len(polynomial)][whole])
+    return np.concatenate(rows), np.concatenate(owners)
 
 
 def words_of(text: str | None) -> tuple[Counter[str], Counter[str]]:
@@ -65,23 +80,16 @@ def again_row(dimension: int = DIMENSION) -> int:
     return zlib.crc32(b"\1") % dimension
 
 
-def counts(text: str | None, memo: dict[str, list[int]], dimension: int = DIMENSION) -> tuple[np.ndarray, np.ndarray]:
+def counts(text: str | None, dimension: int = DIMENSION) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a text, ascending, and each row's share of all features."""
-    found: Counter[int] = Counter()
-    if len(memo) > MEMO:
-        memo.clear()
     each, again = words_of(text)
-    for word, n in each.items():
-        own = memo.get(word)
-        if own is None:
-            own = memo[word] = features(word, dimension)
-        for row in own:
-            found[row] += n
-        if word in again:
-            found[again_row(dimension)] += again[word] * len(own)
-    rows = np.array(sorted(found), np.int32)
-    share = np.array([found[r] for r in rows.tolist()], np.float32)
-    return rows, share / (BLANKS + float(share.sum()))
+    rows, owner = features(list(each), dimension)
+    times = np.fromiter(each.values(), np.int64, len(each))
+    pairs = np.fromiter((again[w] for w in each), np.int64, len(each))
+    found = np.bincount(rows, times[owner], dimension)
+    found[again_row(dimension)] += int((pairs * np.bincount(owner, minlength=len(each))).sum())
+    held = np.flatnonzero(found)
+    return held.astype(np.int32), (found[held] / (BLANKS + found.sum())).astype(np.float32)
 
 
 @dataclass
@@ -161,9 +169,8 @@ def fit(sample: DataFrame, *, most_bytes: int = MAX_BYTES, most_total: int = MAX
     held = stored.join(F.broadcast(kept), (F.col("doc_id") == F.col("id")) & (F.col("label") == F.col("of")) & F.sha2("text", 256).eqNullSafe(F.col("sha"))).select("doc_id", "label", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, list[int]] = {}
         for batch in batches:
-            found = [counts(t.as_py(), memo) for t in batch.column(2)]
+            found = [counts(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r, _ in found], pa.binary()), pa.array([x.tobytes() for _, x in found], pa.binary())], names=["doc_id", "label", "rows", "share"])
 
     table = held.mapInArrow(counted, "doc_id long, label int, rows binary, share binary").toArrow().combine_chunks()
@@ -173,18 +180,6 @@ def fit(sample: DataFrame, *, most_bytes: int = MAX_BYTES, most_total: int = MAX
     return train(texts, table["label"].to_pylist(), **options)
 
 
-class _Margins(dict):
-    """A word's summed margin and number of features, computed where it is missing."""
-
-    def __init__(self, table: np.ndarray):
-        self.table = table
-
-    def __missing__(self, word: str) -> tuple[float, int]:
-        rows = features(word, len(self.table))
-        self[word] = found = (float(self.table[rows].sum()), len(rows))
-        return found
-
-
 def score(docs: DataFrame, model: Embeddings, *, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score and predicted (1 at or above ``threshold``) of each row; other columns are not read.
 
@@ -194,22 +189,27 @@ def score(docs: DataFrame, model: Embeddings, *, threshold: float = THRESHOLD) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bias = shared.value
-        margins, pair = _Margins(table), float(table[again_row(len(table))])
+        known: dict[str, tuple[float, int]] = {}
+        pair = float(table[again_row(len(table))])
         for batch in batches:
             scores = []
             for text in batch.column(1):
                 total, n = 0.0, 0
                 each, again = words_of(text.as_py())
+                if len(known) > MEMO:
+                    known.clear()
+                new = [w for w in each if w not in known]
+                if new:
+                    rows, owner = features(new, len(table))
+                    known |= zip(new, zip(np.bincount(owner, table[rows]).tolist(), np.bincount(owner).tolist()))
                 for word, times in each.items():
-                    margin, size = margins[word]
+                    margin, size = known[word]
                     total += times * margin
                     n += times * size
                 for word, times in again.items():
-                    size = times * margins[word][1]
+                    size = times * known[word][1]
                     total += size * pair
                     n += size
-                if len(margins) > MEMO:
-                    margins.clear()
                 scores.append(1 / (1 + math.exp(-min(max(bias + total / (BLANKS + n), -30.0), 30.0))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["doc_id", "score", "predicted"])
 

@@ -11,14 +11,21 @@ from quarrylight.llm import queries, subwords
 ODD = [(1, None), (2, ""), (3, " \n "), (4, "a"), (4, "a"), (5, "ÄÖ ß x x x y"), (None, "null id"), (6, "word " * 200_000), (7, "###*** !! |"), (8, "a b a b")]
 
 
+def row(gram, size):
+    code = 0
+    for c in gram:
+        code = (code * 1_000_003 + ord(c)) % 2**64
+    return ((code + len(gram)) * 0x9E3779B97F4A7C15 % 2**64 >> 32) % size
+
+
 def brute_score(model, text):
     """Softmax of the mean, features listed one by one."""
     words, found = (text or "").split(), []
     size = len(model.vectors)
     for k, w in enumerate(words):
-        own = [zlib.crc32(f"\0{w}".encode()) % size] + [zlib.crc32(f"<{w}>"[i : i + n].encode()) % size for n in (3, 4, 5) for i in range(len(w) + 3 - n)]
+        own = [zlib.crc32(w.encode()) % size] + [row(f"<{w}>"[i : i + n], size) for n in (3, 4, 5) for i in range(len(w) + 3 - n)]
         found += own + ([zlib.crc32(b"\1") % size] * len(own) if k and words[k - 1] == w else [])
-    mean = model.vectors[found].astype(float).sum(0) / (len(found) + subwords.BLANKS)
+    mean = np.bincount(found, minlength=size) @ model.vectors.astype(float) / (len(found) + subwords.BLANKS)
     z = model.output.astype(float) @ mean + model.bias
     return float(np.exp(z[1]) / np.exp(z).sum())
 
