@@ -17,6 +17,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -45,8 +46,8 @@ HINTS = {
     "main": "content article main post entry story body text prose page",
 }
 _hint = {word: kind for kind, words in HINTS.items() for word in words.split()}
-_tag = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
-_plain_tag = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_tag = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_mark = re.compile("[>\"']")
 _named = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _parts = re.compile(r"[A-Za-z]+")
 SEED, N_PAGES = 5, 400
@@ -72,6 +73,30 @@ class _Open:
     hints: frozenset[str] = frozenset()
 
 
+class TagEnds:
+    """Where the tags of a page end: the first > that no quoted attribute value holds.
+
+    All marks are looked at once, from the last to the first, so that unclosed quotes cost nothing more.
+    """
+
+    def __init__(self, page: str):
+        self.places = [m.start() for m in _mark.finditer(page)]
+        self.ends = [-1] * (len(self.places) + 1)
+        after: dict[str, int] = {}
+        for k in range(len(self.places) - 1, -1, -1):
+            mark = page[self.places[k]]
+            if mark == ">":
+                self.ends[k] = self.places[k]
+            else:
+                closing = after.get(mark)
+                self.ends[k] = -1 if closing is None else self.ends[closing + 1]
+                after[mark] = k
+
+    def __call__(self, at: int) -> int:
+        """The end of a tag whose attributes begin at ``at``; -1 if its quotes or the page leave it open."""
+        return self.ends[bisect_left(self.places, at)]
+
+
 def blocks(page: str | None) -> list[Block]:
     """The non-empty leaf blocks of a page, in order."""
     page = page or ""
@@ -80,6 +105,7 @@ def blocks(page: str | None) -> list[Block]:
     opened: dict[str, int] = {}
     parts: list[str] = []
     linked, in_link, at, size = 0, False, 0, len(page)
+    tag_end = TagEnds(page)
 
     def flush() -> None:
         nonlocal linked
@@ -118,8 +144,11 @@ def blocks(page: str | None) -> list[Block]:
             end = page.find(">", start)
             at = end + 1 if end >= 0 else size
             continue
-        m = _tag.match(page, start) or _plain_tag.match(page, start)
-        if not m:
+        m = _tag.match(page, start)
+        end = tag_end(m.end()) if m else -1
+        if m and end < 0:
+            end = page.find(">", m.end())
+        if end < 0:
             if start + 1 < size and (page[start + 1].isalpha() or page[start + 1] == "/"):
                 end = page.find(">", start)
                 at = end + 1 if end >= 0 else size
@@ -127,14 +156,14 @@ def blocks(page: str | None) -> list[Block]:
                 parts.append("<")
                 at = start + 1
             continue
-        at, closing, name = m.end(), m[1], m[2].lower()
+        at, closing, name, attributes = end + 1, m[1], m[2].lower(), page[m.end() : end]
         if name in SKIPPED and not closing:
             if name == "head":
                 flush()
                 continue
-            if not m[3].endswith("/"):
-                end = re.compile(f"</{name}\\b[^>]*>?", re.IGNORECASE).search(page, at)
-                at = end.end() if end else size
+            if not attributes.endswith("/"):
+                closed = re.compile(f"</{name}\\b[^>]*>?", re.IGNORECASE).search(page, at)
+                at = closed.end() if closed else size
             parts.append(" ")
         elif name == "br":
             parts.append(" ")
@@ -149,7 +178,7 @@ def blocks(page: str | None) -> list[Block]:
                 close("p", ("p",))
                 for sibling in SIBLINGS.get(name, ()):
                     close(sibling, SIBLINGS[name])
-                words = {w.lower() for value in _named.findall(m[3]) for w in _parts.findall("".join(value))}
+                words = {w.lower() for value in _named.findall(attributes) for w in _parts.findall("".join(value))}
                 outer = stack[-1]
                 around = outer.around if outer.name in outer.around or outer.name == "none" else outer.around | {outer.name}
                 own = frozenset(_hint[w] for w in words if w in _hint)
@@ -328,7 +357,12 @@ def main_text(page: str | None, chain: ChainField) -> str:
 
 
 def extract(pages: DataFrame, chain: ChainField | None = None) -> DataFrame:
-    """page_id, url, text and n_chars (code points) of each row of ``pages``; other columns are not read."""
+    """page_id, url, text and n_chars (code points) of each row of ``pages``; other columns are not read.
+
+    Null and empty pages, and pages without a main block, have the empty text. A null page_id or url stays null, repeated rows
+    are extracted alike, an empty table gives no rows. Pages of any length are read whole, in time
+    proportional to their length, whatever is left unclosed in them.
+    """
     chain = chain or default_field()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
