@@ -51,10 +51,11 @@ def scoring_check(results: DataFrame) -> DataFrame:
 def isolation_checks(chunks: DataFrame, vectors: DataFrame, index, owner_a: str, owner_b: str) -> DataFrame:
     """Over all modes: A and the public never see B's chunks although they ask with B's own text and vector; B does (control).
 
-    chunks: chunk_id, owner, text; vectors: chunk_id, vec; index: postings, terms, corpus stats.
+    chunks: chunk_id, owner, text; vectors: chunk_id, vec, of some of the chunks; index: postings, terms, corpus stats.
+    B asks with those of its chunks that have a vector.
     """
-    ranked = chunks.join(vectors, "chunk_id")
-    target = ranked.filter(F.col("owner") == owner_b)
+    ranked = chunks.join(vectors, "chunk_id", "left")
+    target = ranked.filter((F.col("owner") == owner_b) & F.col("vec").isNotNull())
     parts = []
     for who, caller, control in (("cross_session", owner_a, False), ("public", None, False), ("own", owner_b, True)):
         queries = target.select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("query_vec"), F.col("text").alias("query_text"), F.lit(caller).cast("string").alias("caller"))

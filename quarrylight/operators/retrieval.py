@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions.text import count_tokens, tokenize
-from quarrylight.operators.blocks import against
-from quarrylight.operators.index import dot, norm
+from quarrylight.operators.matrix import best_of_blocks
 
 #: BM25 saturation and length weight, fusion constant, pools and limits.
 K1, B, RRF_K = 1.5, 0.75, 60
@@ -34,13 +33,10 @@ def top_k(scored: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
 def dense(queries: DataFrame, chunks: DataFrame, k: int = POOL) -> DataFrame:
     """Exact cosine top-k. queries: query_id, query_vec, caller; chunks: chunk_id, vec (unit), owner.
 
-    Scores are rounded to 9 digits before ranking, so that the order of sums decides no tie.
-    A zero query has no hits; an empty side gives none.
+    Scores are rounded to 9 digits before ranking, so that the order of sums decides no tie. A zero query has no
+    hits, a chunk without a vector of the queries' length is no hit; an empty side gives none.
     """
-    asked = queries.select("query_id", "caller", F.col("query_vec"), norm(F.col("query_vec")).alias("__norm")).filter("__norm > 0")
-    pairs = against(asked, chunks.select("chunk_id", "vec", "owner"), "chunk_id").filter(visible(F.col("owner"), F.col("caller")))
-    scored = pairs.select("query_id", "chunk_id", F.round(dot(F.col("query_vec"), F.col("vec")) / F.col("__norm"), DIGITS).alias("score"))
-    return top_k(scored, k)
+    return top_k(best_of_blocks(queries, chunks, k, DIGITS), k)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

@@ -56,9 +56,15 @@ def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return child_chunks(spark, sf_dir).join(vectors, "chunk_id")
 
 
+def all_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, with its vector where it has one: the lexical leg ranks all, the dense leg those with a vector."""
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
+    return child_chunks(spark, sf_dir).join(vectors, "chunk_id", "left")
+
+
 def vector_queries(chunks: DataFrame) -> DataFrame:
     caller = F.when(F.col("lang") == "es", "es")
-    return chunks.filter(F.col("chunk_id") % 50 == 0).select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("query_vec"), F.col("text").alias("query_text"), caller.alias("caller"))
+    return chunks.filter((F.col("chunk_id") % 50 == 0) & F.col("vec").isNotNull()).select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("query_vec"), F.col("text").alias("query_text"), caller.alias("caller"))
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -455,13 +461,13 @@ def m3_maintained_terms(spark, sf_dir):
 RRF_SQL = """legs AS (SELECT 'dense' AS leg, query_id, chunk_id, rank + 1 AS r FROM dense UNION ALL SELECT 'sparse', query_id, chunk_id, rank + 1 FROM sparse),
 fused AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + r)), 12) AS score, min(r) AS best, count(*) AS n_legs, min(r) FILTER (leg = 'dense') AS dense_rank, min(r) FILTER (leg = 'sparse') AS sparse_rank FROM legs GROUP BY query_id, chunk_id),
 rrf AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best, chunk_id) - 1 AS rank FROM fused)"""
-FUSED_SQL = f"WITH {VECTORS_SQL}, {DENSE_SQL}, {index_sql('vchunks')}, {sparse_sql('vq')}, {RRF_SQL}"
+FUSED_SQL = f"WITH {VECTORS_SQL}, {DENSE_SQL}, {index_sql()}, {sparse_sql('vq')}, {RRF_SQL}"
 
 
 def fused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    chunks = vector_chunks(spark, sf_dir)
+    chunks = all_chunks(spark, sf_dir)
     queries = vector_queries(chunks)
-    legs = {"dense": retrieval.dense(queries, chunks), "sparse": retrieval.sparse(queries, *text_index(chunks), chunks.select("chunk_id", "owner"))}
+    legs = {"dense": retrieval.dense(queries, chunks), "sparse": retrieval.sparse(queries, *text_index(chunks, queries), chunks.select("chunk_id", "owner"))}
     return chunks, retrieval.rrf(legs)
 
 
@@ -535,8 +541,9 @@ run AS (SELECT mode, query_id, rank, sum({COST_SQL.format(c="c.text")}) OVER (PA
 b AS (SELECT unnest([500, 1500, 3000]) AS budget)
 SELECT mode, budget, count(DISTINCT query_id) AS n_queries, count(*) FILTER (spent <= budget) AS n_delivered FROM run, b GROUP BY mode, budget""")
 def a19_mode_grid(spark, sf_dir):
-    chunks = vector_chunks(spark, sf_dir)
-    queries, built = vector_queries(chunks), text_index(chunks)
+    chunks = all_chunks(spark, sf_dir)
+    queries = vector_queries(chunks)
+    built = text_index(chunks, queries)
     out = None
     for mode in ("dense", "sparse", "rrf"):
         swept = retrieval.sweep(retrieval.costed(retrieval.ranked_ids(mode, queries, chunks, built), chunks), (500, 1500, 3000))
@@ -1096,23 +1103,24 @@ def e10_budget_check(spark, sf_dir):
 
 
 @query(f"""{FUSED_SQL}, costed AS (SELECT r.query_id, r.rank, 'parent:' || c.parent_id AS target, {COST_SQL.format(c="c.text")} AS t FROM rrf r JOIN chunks c ON c.chunk_id = r.chunk_id),
-parents AS (SELECT parent_id, greatest(1, length(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY chunk_id), '')) // 4) AS tokens FROM vchunks GROUP BY parent_id),
+parents AS (SELECT parent_id, greatest(1, length(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY chunk_id), '')) // 4) AS tokens FROM chunks GROUP BY parent_id),
 priced AS (SELECT query_id, rank, target, CASE WHEN row_number() OVER (PARTITION BY query_id, target ORDER BY rank) = 1 THEN tokens ELSE 0 END AS cost FROM costed JOIN parents ON target = 'parent:' || parent_id),
 run AS (SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY rank) AS spent FROM priced WHERE rank < 200),
 best AS (SELECT query_id, target, min(rank) AS child_rank FROM run WHERE spent <= 12000 GROUP BY ALL)
 SELECT * FROM (SELECT query_id, target, child_rank::INT AS child_rank, row_number() OVER (PARTITION BY query_id ORDER BY child_rank)::INT AS label FROM best) WHERE label <= 6""")
 def r20_retrieve(spark, sf_dir):
     """The flagship: fused ranking, parents charged once, strict budget, six sources at most."""
-    chunks = vector_chunks(spark, sf_dir)
-    found = ask.retrieve(vector_queries(chunks), chunks, parent_costs(chunks), text_index(chunks), mode="rrf")
+    chunks = all_chunks(spark, sf_dir)
+    queries = vector_queries(chunks)
+    found = ask.retrieve(queries, chunks, parent_costs(chunks), text_index(chunks, queries), mode="rrf")
     return found.select("query_id", "target", "child_rank", "label")
 
 
-ISOLATION_SQL = f"""WITH chunks AS (SELECT doc_id AS chunk_id, text, CASE doc_id % 97 WHEN 1 THEN 'b' WHEN 2 THEN 'a' ELSE '' END AS owner FROM documents JOIN embeddings ON vec_id = doc_id),
+ISOLATION_SQL = f"""WITH chunks AS (SELECT doc_id AS chunk_id, text, CASE doc_id % 97 WHEN 1 THEN 'b' WHEN 2 THEN 'a' ELSE '' END AS owner FROM documents),
 vchunks AS (SELECT c.*, list_transform(e.embedding, lambda x: x::DOUBLE) AS vec FROM chunks c JOIN embeddings e ON e.vec_id = c.chunk_id),
 who AS (SELECT * FROM (VALUES (0, 'cross_session', 'a'), (1, 'public', NULL), (2, 'own', 'b')) t(k, who, caller)),
 vq AS (SELECT 3 * chunk_id + k AS query_id, vec AS qvec, text AS query_text, caller FROM vchunks, who WHERE owner = 'b'),
-{DENSE_SQL}, {index_sql('vchunks')}, {sparse_sql('vq')}, {RRF_SQL},
+{DENSE_SQL}, {index_sql()}, {sparse_sql('vq')}, {RRF_SQL},
 hits AS (SELECT 'dense' AS mode, query_id, chunk_id FROM dense UNION ALL SELECT 'sparse', query_id, chunk_id FROM sparse UNION ALL SELECT 'rrf', query_id, chunk_id FROM rrf),
 seen AS (SELECT k, who, m.mode, count(h.query_id) AS n, count(*) FILTER (c.owner = 'b') AS seen FROM who CROSS JOIN (VALUES ('dense'), ('sparse'), ('rrf')) m(mode)
   LEFT JOIN hits h ON h.mode = m.mode AND h.query_id % 3 = k LEFT JOIN chunks c ON c.chunk_id = h.chunk_id GROUP BY ALL)
@@ -1122,9 +1130,10 @@ SELECT 'isolation_' || who || '_' || mode AS name, CASE WHEN k = 2 THEN 'own chu
 
 @query(ISOLATION_SQL)
 def e12_isolation(spark, sf_dir):
-    chunks = vector_chunks(spark, sf_dir)
+    chunks = all_chunks(spark, sf_dir)
     probes = chunks.select("chunk_id", "text", F.when(F.col("chunk_id") % 97 == 1, "b").when(F.col("chunk_id") % 97 == 2, "a").otherwise("").alias("owner"))
-    return invariants.isolation_checks(probes, chunks.select("chunk_id", "vec"), text_index(chunks), "a", "b")
+    asked = probes.filter(F.col("owner") == "b").select(F.col("chunk_id").alias("query_id"), F.col("text").alias("query_text"), F.lit(None).cast("string").alias("caller"))
+    return invariants.isolation_checks(probes, chunks.select("chunk_id", "vec"), text_index(chunks, asked), "a", "b")
 
 
 @query()
