@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import json
 from collections.abc import Callable, Iterator
 
@@ -10,13 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.functions.matching import overlap
 from quarrylight.functions.text import QUOTE_CHARS, squash
 
 #: Routes, which of them search, and how much longer a rewrite of a new topic may be.
 ROUTES = ("documents", "documents_and_conversation", "conversation_only", "ask_fresh")
 SEARCHING, REWRITE_GROWTH = ("documents", "documents_and_conversation"), 1.6
-#: Fixed value: matching runs shorter than this are chance.
-LEAST_RUN = 3
 
 
 def quote_status(quote: Column, verbatim: Column, provenance: Column) -> Column:
@@ -25,12 +23,6 @@ def quote_status(quote: Column, verbatim: Column, provenance: Column) -> Column:
     return F.when((provenance == "model_generated") | verbatim.isNull() | (verbatim == ""), "unquotable").when(F.length(q) < QUOTE_CHARS, "no_quote").when(F.contains(squash(verbatim), q), "verified").otherwise("absent")
 
 
-def overlap(quote: str, text: str) -> float:
-    """Share of a squashed quote in matching runs of three or more characters of a squashed text."""
-    runs = difflib.SequenceMatcher(None, quote, text).get_matching_blocks()
-    return sum(r.size for r in runs if r.size >= LEAST_RUN) / max(len(quote), 1)
-
-
 def with_overlap(checks: DataFrame, quote: str = "quote", verbatim: str = "verbatim_text") -> DataFrame:
     """``checks`` with ``overlap``: 1 for verified quotes, measured in Python for absent ones only, else 0."""
 
