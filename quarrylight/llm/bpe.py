@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by monoid tree reduction.
 
 A piece's encoding is reduced over a binary tree. Leaves of at most ``LEAF`` bytes are encoded
-by the rank table; two neighbours are joined by re-encoding a window of tokens around their
+by merging pairs in the order of the rank table; two neighbours are joined by re-encoding a window of tokens around their
 boundary and growing that window until both of its edges are stable. A token sequence is the
 encoding of its bytes exactly if each adjacent pair is the encoding of its own bytes, so an
 edge is proven stable once the pair across it encodes to itself; tokens outside the window
@@ -15,17 +15,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import threading
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quarrylight.llm.pieces import Memo, splitter
 
-LEAF = 64
-
-Encode = Callable[[bytes], list[int]]
+#: Bytes of a leaf; bytes up to which a window's pairs are looked through again after each merge; windows that are kept.
+LEAF, SHORT, WINDOWS = 4, 48, 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,13 +38,70 @@ class TreeCodec:
     """Encoder and decoder over one rank table."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import tiktoken
-
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        core = tiktoken.Encoding("tree", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.leaf: Encode = core.encode_single_piece
         self.split = splitter(pattern)
+        self.kept: dict[bytes, list[int]] = {}
+
+    def leaf(self, window: bytes) -> list[int]:
+        """The encoding of a few bytes; not to be changed by the caller."""
+        found = self.kept.get(window)
+        if found is None:
+            if len(self.kept) > WINDOWS:
+                self.kept.clear()
+            found = self.merged(window)
+            if len(window) <= SHORT:
+                self.kept[window] = found
+        return found
+
+    def merged(self, window: bytes) -> list[int]:
+        """Always merge the pair of lowest rank, the first of equals, until no pair has a rank."""
+        if len(window) > SHORT:
+            return self._merged_by_heap(window)
+        ranks, parts = self.ranks, [window[i : i + 1] for i in range(len(window))]
+        none = len(ranks) + max(self.bytes_of, default=0)
+        while len(parts) > 1:
+            least, at, before = none, -1, parts[0]
+            for i in range(1, len(parts)):
+                rank = ranks.get(before + parts[i], none)
+                if rank < least:
+                    least, at = rank, i
+                before = parts[i]
+            if at < 0:
+                break
+            parts[at - 1 : at + 1] = [parts[at - 1] + parts[at]]
+        return [ranks[p] for p in parts]
+
+    def _merged_by_heap(self, window: bytes) -> list[int]:
+        """The same over a linked list of parts and a heap of pairs; pairs that have changed since are passed over."""
+        ranks, end = self.ranks, len(window)
+        stop = list(range(1, end + 1))
+        before = list(range(-1, end - 1))
+        heap: list[tuple[int, int, int]] = []
+
+        def offer(at: int) -> None:
+            if at >= 0 and stop[at] < end:
+                rank = ranks.get(window[at : stop[stop[at]]])
+                if rank is not None:
+                    heapq.heappush(heap, (rank, at, stop[stop[at]]))
+
+        for at in range(end - 1):
+            offer(at)
+        while heap:
+            _, at, until = heapq.heappop(heap)
+            middle = stop[at]
+            if middle < 0 or middle >= end or stop[middle] != until:
+                continue
+            stop[at], stop[middle] = until, -1
+            if until < end:
+                before[until] = at
+            offer(before[at])
+            offer(at)
+        out, at = [], 0
+        while at < end:
+            out.append(ranks[window[at : stop[at]]])
+            at = stop[at]
+        return out
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the bytes of two encodings, one after the other."""

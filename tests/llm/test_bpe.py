@@ -38,7 +38,7 @@ def test_long_pieces_join_up_the_tree(text):
     assert CODEC.encode(text) == WHOLE.encode_ordinary(text)
 
 
-@pytest.mark.parametrize("text", ["a" * 5000, "ab" * 3000, " " * 3000 + "x", "中文" * 900, "!" * 2000, "\x1c\x1d  x", "½ ² Ⅷ 12"])
+@pytest.mark.parametrize("text", ["a" * 5000, "ab" * 3000, " " * 3000 + "x", "中文" * 900, "!" * 2000, "\x1c\x1d  x", "½ ² Ⅷ 12", "abcdefghij" * 3000, "x" * 50_000])
 def test_runs(text):
     assert CODEC.encode(text) == WHOLE.encode_ordinary(text)
 
@@ -49,3 +49,9 @@ def test_round_trip_query(spark):
     want = [(i, len(ids := WHOLE.encode_ordinary(t or "")), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _ in rows]
     assert [tuple(r) for r in got] == want
     assert bpe.round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.binary(min_size=1, max_size=200) | st.text(alphabet="the iona", min_size=1, max_size=200).map(str.encode))
+def test_merges_as_the_library(window):
+    assert CODEC.merged(window) == CODEC._merged_by_heap(window) == WHOLE._core_bpe.encode_single_piece(window)
