@@ -16,7 +16,7 @@ blocks whose bound reaches it: the same rows as scoring everything.
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +26,7 @@ from quarrylight.operators.index import postings
 from quarrylight.operators.numbering import numbered
 from quarrylight.operators.retrieval import B, DIGITS, K1, POOL, query_terms, top_k, visible
 from quarrylight.sources.shared import drop_shared, write_shared
-from quarrylight.sources.versions import manifest, publish
+from quarrylight.sources.versions import manifest, numbers, publish
 
 #: Chunks of a block; hash buckets of terms, each a folder that a reader of few terms prunes by.
 BLOCK, BUCKETS = 256, 32
@@ -36,14 +36,18 @@ BROADCAST_ROWS = 200_000
 SALTS = 16
 SLACK = 1e-7
 
-POSTED = "term string, block long, max_tf long, min_dl int, entries array<struct<chunk_id: long, tf: long, dl: int>>, bucket int"
-CHUNKS = "chunk_id long, owner string, dl int, terms array<string>"
+POSTED = "term string, block long, max_tf long, min_dl int, entries array<struct<chunk_id: {key}, tf: long, dl: int>>, bucket int"
+CHUNKS = "chunk_id {key}, owner string, dl int, terms array<string>"
 TERMS = "term string, df long"
 
 
 @dataclass(frozen=True)
 class Index:
-    """One version: ``segments`` (id, seq, kind), live counts, and its folder."""
+    """One version: ``segments`` (id, seq, kind), live counts, the type of chunk ids (that of the first added), and its folder.
+
+    As ``part`` of something that publishes its own versions, which name the index's, an index may be changed from
+    any of its versions: what follows takes the next free number, and versions that nothing names are never read.
+    """
 
     spark: SparkSession
     root: str
@@ -51,6 +55,8 @@ class Index:
     segments: tuple[dict, ...]
     n: int
     tokens: int
+    key: str = "bigint"
+    part: bool = False
 
     @property
     def avgdl(self) -> float:
@@ -62,6 +68,7 @@ class Index:
 
     def read(self, table: str, schema: str, kinds: tuple[str, ...]) -> DataFrame:
         """A table of all segments of these kinds, with their ``seq``."""
+        schema = schema.format(key=self.key)
         parts = [self.spark.read.schema(schema).parquet(f"{self.root}/{s['id']}/{table}").withColumn("seq", F.lit(s["seq"])) for s in self.segments if s["kind"] in kinds]
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], f"{schema}, seq int")
 
@@ -69,7 +76,7 @@ class Index:
         """chunk_id and the number below which it is hidden; None if nothing was removed."""
         if not any(s["kind"] == "removed" for s in self.segments):
             return None
-        gone = self.read("removed", "chunk_id long", ("removed",)).groupBy("chunk_id").agg(F.max("seq").alias("until"))
+        gone = self.read("removed", "chunk_id {key}", ("removed",)).groupBy("chunk_id").agg(F.max("seq").alias("until"))
         return F.broadcast(gone) if sum(s["n"] for s in self.segments if s["kind"] == "removed") <= BROADCAST_ROWS else gone
 
     def live(self, rows: DataFrame) -> DataFrame:
@@ -92,25 +99,26 @@ class Index:
         return df.select("term", "df", F.greatest(F.lit(0.0), F.log(1 + (self.n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
 
 
-def load(spark: SparkSession, root: str, version: int | None = None) -> Index:
-    """The newest or a named version of the index in ``root``; an empty one for a new folder."""
+def load(spark: SparkSession, root: str, version: int | None = None, *, part: bool = False) -> Index:
+    """The newest or a named version of the index in ``root``; an empty one for a new folder, or for version 0."""
     number, held = manifest(spark, root, version)
-    return Index(spark, root, number, tuple(held.get("segments", ())), held.get("n", 0), held.get("tokens", 0))
+    return Index(spark, root, number, tuple(held.get("segments", ())), held.get("n", 0), held.get("tokens", 0), held.get("key", "bigint"), part)
 
 
 def _next(index: Index, segments: list[dict], n: int, tokens: int) -> Index:
-    number = publish(index.spark, index.root, index.version, {"segments": segments, "n": n, "tokens": tokens})
-    return Index(index.spark, index.root, number, tuple(segments), n, tokens)
+    after = max(numbers(index.spark, index.root), default=0) if index.part else index.version
+    number = publish(index.spark, index.root, after, {"segments": segments, "n": n, "tokens": tokens, "key": index.key})
+    return Index(index.spark, index.root, number, tuple(segments), n, tokens, index.key, index.part)
 
 
 def _write_segment(index: Index, flat: DataFrame, chunks: DataFrame, name: str) -> tuple[int, int]:
     """Write chunks, signed terms and blocked postings of flat postings (chunk_id, term, tf, dl); counts of chunks and tokens."""
     path = f"{index.root}/{name}"
     own = flat.groupBy(F.col("chunk_id").alias("id")).agg(F.max("dl").alias("dl"), F.collect_list("term").alias("terms"))
-    chunks.join(own, F.col("chunk_id") == F.col("id"), "left").select(F.col("chunk_id").cast("long").alias("chunk_id"), "owner", F.coalesce("dl", F.lit(0)).alias("dl"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms")).write.parquet(f"{path}/chunks")
-    written = index.spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
+    chunks.join(own, F.col("chunk_id") == F.col("id"), "left").select("chunk_id", "owner", F.coalesce("dl", F.lit(0)).alias("dl"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms")).write.parquet(f"{path}/chunks")
+    written = index.spark.read.schema(CHUNKS.format(key=index.key)).parquet(f"{path}/chunks")
     placed = numbered(written.select("chunk_id", "dl"), "dl", "chunk_id").select("chunk_id", F.floor((F.col("number") - 1) / BLOCK).alias("block"))
-    entries = F.sort_array(F.collect_list(F.struct(F.col("chunk_id").cast("long").alias("chunk_id"), "tf", "dl")))
+    entries = F.sort_array(F.collect_list(F.struct("chunk_id", "tf", "dl")))
     blocked = flat.join(placed, "chunk_id").groupBy("term", "block").agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), entries.alias("entries"))
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
     blocked.withColumn("bucket", bucket).repartition("bucket", F.pmod("block", F.lit(SALTS))).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
@@ -127,7 +135,7 @@ def remove(index: Index, ids: DataFrame) -> Index:
 def _removal(index: Index, ids: DataFrame) -> tuple[list[dict], int, int]:
     name, seq = uuid.uuid4().hex, index.seq + 1
     path = f"{index.root}/{name}"
-    gone = write_shared(index.chunks().join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", "dl", "terms"), "removed-chunks")
+    gone = write_shared(index.chunks().join(ids.select(F.col("chunk_id").cast(index.key).alias("chunk_id")).distinct(), "chunk_id", "left_semi").select("chunk_id", "dl", "terms"), "removed-chunks")
     gone.select("chunk_id").write.parquet(f"{path}/removed")
     gone.select(F.explode("terms").alias("term")).groupBy("term").agg((-F.count("*")).alias("df")).write.parquet(f"{path}/terms")
     told = gone.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
@@ -141,11 +149,13 @@ def add(index: Index, texts: DataFrame) -> Index:
 
     Only the added texts are tokenized. Rows without a chunk_id are left out; ids must not repeat.
     """
-    known = texts.filter("chunk_id IS NOT NULL")
+    if not index.segments:
+        index = replace(index, key=texts.schema["chunk_id"].dataType.simpleString())
+    known = texts.filter("chunk_id IS NOT NULL").withColumn("chunk_id", F.col("chunk_id").cast(index.key))
     segments, n, tokens = _removal(index, known) if index.n else (list(index.segments), 0, 0)
     seq = max((s["seq"] for s in segments), default=0) + 1
     name = uuid.uuid4().hex
-    flat = write_shared(postings(known).select(F.col("chunk_id").cast("long").alias("chunk_id"), "term", "tf", "dl"), "flat-postings")
+    flat = write_shared(postings(known).select("chunk_id", "term", "tf", "dl"), "flat-postings")
     added, own = _write_segment(index, flat, known.select("chunk_id", "owner"), name)
     drop_shared(flat)
     return _next(index, [*segments, {"id": name, "seq": seq, "kind": "added", "n": added}], n + added, tokens + own)

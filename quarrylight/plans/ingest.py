@@ -21,13 +21,18 @@ MODEL, DIM, SCHEME, MAX_INPUT, BATCH = "stub", 64, "document", 8192, 16
 Embed = Callable[[list[str]], list[list[float]]]
 
 
+def child_keys(chunks: DataFrame, *, name: str = MODEL, dim: int = DIM, scheme: str = SCHEME) -> DataFrame:
+    """The children with the ``cache_key`` of their vectors."""
+    return chunks.filter("role = 'child'").withColumn("cache_key", cache_key(F.lit("1"), F.lit(name), F.lit(str(dim)), F.lit(scheme), F.sha2("embed_text", 256)))
+
+
 def embed(chunks: DataFrame, cache: DataFrame, model: Embed, *, name: str = MODEL, dim: int = DIM, scheme: str = SCHEME) -> tuple[DataFrame, DataFrame]:
     """(chunk_id, vec) of every child by an injected model, and the new cache rows.
 
     The key covers model, dimension, scheme and text. A text over the input limit is an error, never
     cut. A call that returns another number of vectors than texts is one too.
     """
-    children = chunks.filter("role = 'child'").select("chunk_id", "embed_text", cache_key(F.lit("1"), F.lit(name), F.lit(str(dim)), F.lit(scheme), F.sha2("embed_text", 256)).alias("cache_key"))
+    children = child_keys(chunks, name=name, dim=dim, scheme=scheme).select("chunk_id", "embed_text", "cache_key")
     fits = F.when(count_tokens(F.col("embed_text")) > MAX_INPUT, F.raise_error(F.lit("a text is over the input limit")).cast("boolean")).otherwise(True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
