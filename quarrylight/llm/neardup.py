@@ -31,13 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm._common import write_shared
-from quarrylight.llm.components import components
+from quarrylight.llm._common import Scratch, write_shared
+from quarrylight.operators.components import components
 
 WORDS, PERCENT = 5, 80
 K, SHARE, ESTIMATE = 48, 0.36, 0.4
-#: Rows of a block of a list; ids that may be broadcast to the text scan (8 bytes each); rounds of representatives.
-BLOCK, BROADCAST_IDS, STARS = 512, 4_000_000, 2
+#: Rows of a block of a list; rounds of representatives.
+BLOCK, STARS = 512, 2
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 MEMO = 400_000
 
@@ -274,12 +274,7 @@ def _grouped(df: DataFrame) -> DataFrame:
     return df.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
 
 
-def _limited(rows: DataFrame) -> DataFrame:
-    """``rows`` of a few numbers, marked for broadcast if their count is within the bound."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, words: int, scratch: Scratch) -> DataFrame:
     """doc and shingles (the whole set, packed) of the classes in ``wanted`` (doc, rep, n, digest), from the texts of their least ids."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,15 +283,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             sets = [shingles(t.as_py()).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["rep", "digest", "shingles"])
 
-    wanted = _limited(wanted.select("rep", "digest", "doc"))
+    wanted = scratch.limited(wanted.select("rep", "digest", "doc"), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi")
     return texts.mapInArrow(whole, "rep long, digest binary, shingles binary").join(wanted, ["rep", "digest"]).select("doc", "shingles").dropDuplicates(["doc"])
 
 
-def _star_links(entered: DataFrame, long: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, k: int, estimate: float, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _star_links(entered: DataFrame, long: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, k: int, estimate: float, block: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(links, labels, mains): links of the long lists' members with representatives, the component of each
     linked member (doc, label), and of each list's first representative (value, main)."""
-    members = write_shared(entered.select("doc", "weight", F.explode("prefix").alias("value")).join(_limited(long), "value"), "members")
+    members = scratch.write(entered.select("doc", "weight", F.explode("prefix").alias("value")).join(scratch.limited(long, "long-lists"), "value"), "members")
     entries, lists = members.count(), long.count()
     edges = labels = firsts = mains = None
     for _ in range(STARS):
@@ -305,31 +300,35 @@ def _star_links(entered: DataFrame, long: DataFrame, sets: Callable[[DataFrame],
             open_ = labelled
         else:
             labelled = members.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-            open_ = labelled.join(_limited(mains), "value").filter("label <> main")
-            open_ = open_.join(_limited(open_.groupBy("value").count().filter(F.col("count") > block).select("value")), "value", "left_semi")
+            open_ = scratch.write(labelled.join(scratch.limited(mains, "mains"), "value").filter("label <> main"), "open")
+            open_ = open_.join(scratch.limited(open_.groupBy("value").count().filter(F.col("count") > block).select("value"), "open-lists"), "value", "left_semi")
         best = F.max(F.struct("weight", (-F.col("doc")).alias("minus"), "label"))
-        reps = write_shared(open_.groupBy("value").agg(best.alias("best")).select("value", (-F.col("best.minus")).alias("rep"), F.col("best.label").alias("own")), "representatives", lists)
+        reps = scratch.write(open_.groupBy("value").agg(best.alias("best")).select("value", (-F.col("best.minus")).alias("rep"), F.col("best.label").alias("own")), "representatives", lists)
         if reps.isEmpty():
             break
-        pairs = write_shared(labelled.join(_limited(reps), "value").filter("label <> own").select("rep", "doc").distinct(), "stars", entries)
+        pairs = scratch.write(labelled.join(scratch.limited(reps, "representatives"), "value").filter("label <> own").select("rep", "doc").distinct(), "stars", entries)
         blocks = pairs.groupBy("rep").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-        blocks = _limited(write_shared(blocks, "star-blocks", lists))
+        blocks = scratch.limited(scratch.write(blocks, "star-blocks", lists), "star-blocks")
         dealt = pairs.join(blocks, "rep").select(F.col("rep").alias("value"), F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("i"), "doc")
         dealt = dealt.unionByName(blocks.select(F.col("rep").alias("value"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("rep").alias("doc")))
         dealt = dealt.withColumn("j", F.lit(0)).join(entered.select("doc", "n", "sketch"), "doc").select("value", "i", "j", "doc", "n", "sketch")
         names, types = ["value", "i", "j", "doc"], [pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-        flagged = write_shared(_grouped(dealt).mapInArrow(_runs(_flag_star(k, percent, estimate), names, types), "value long, i int, j int, doc long"), "star-flagged")
+        flagged = scratch.write(_grouped(dealt).mapInArrow(_runs(_flag_star(k, percent, estimate), names, types), "value long, i int, j int, doc long"), "star-flagged")
         verified = _grouped(flagged.join(sets(flagged), "doc").select("value", "i", "j", "doc", "shingles"))
         found = verified.mapInArrow(_runs(_verify_star(percent), ["a", "b"], [pa.int64(), pa.int64()]), "a long, b long")
-        edges = write_shared(found if edges is None else found.unionByName(edges), "star-links")
+        edges = scratch.write(found if edges is None else found.unionByName(edges), "star-links")
         labels = components(edges).select(F.col("vertex").alias("doc"), F.col("component").alias("label"))
         firsts = firsts if firsts is not None else reps.select("value", F.col("rep").alias("doc"))
-        mains = write_shared(firsts.join(labels, "doc", "left").select("value", F.coalesce("label", "doc").alias("main")), "mains", lists)
+        mains = scratch.write(firsts.join(labels, "doc", "left").select("value", F.coalesce("label", "doc").alias("main")), "mains", lists)
     return edges, labels, mains
 
 
-def links(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], *, percent: int = PERCENT, k: int = K, share: float = SHARE, estimate: float = ESTIMATE, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) that connect all linked classes (doc, n, sketch); ``sets`` gives the whole sets of a table's docs."""
+def links(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], *, percent: int = PERCENT, k: int = K, share: float = SHARE, estimate: float = ESTIMATE, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
+    """Edges (a, b) that connect all linked classes (doc, n, sketch); ``sets`` gives the whole sets of a table's docs.
+
+    The edges are read from tables of ``scratch``.
+    """
+    scratch = scratch or Scratch()
     values = classes.select("doc", F.explode("sketch").alias("value"))
     often = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     shared = values.join(often, "value").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("found"))
@@ -337,18 +336,18 @@ def links(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], *, percent
     kept = length - F.greatest(F.lit(1), F.floor(F.lit(share) * length).cast("int")) + 1 - (length - F.size("found"))
     weight = F.aggregate("found", F.lit(0).cast("long"), lambda total, x: total + x["df"])
     entered = classes.join(shared, "doc").withColumn("left", kept).filter("left > 0")
-    entered = write_shared(entered.select("doc", "n", "sketch", weight.alias("weight"), F.transform(F.slice("found", F.lit(1), F.col("left")), lambda x: x["value"]).alias("prefix")), "prefixes")
+    entered = scratch.write(entered.select("doc", "n", "sketch", weight.alias("weight"), F.transform(F.slice("found", F.lit(1), F.col("left")), lambda x: x["value"]).alias("prefix")), "prefixes")
     narrow = entered.select("doc", F.explode("prefix").alias("value"))
-    sizes = write_shared(narrow.groupBy("value").agg(F.count("*").alias("rows")).filter("rows > 1"), "lists")
+    sizes = scratch.write(narrow.groupBy("value").agg(F.count("*").alias("rows")).filter("rows > 1"), "lists")
     long = sizes.filter(F.col("rows") > block).select("value")
-    stars = None if long.isEmpty() else _star_links(entered, long, sets, percent, k, estimate, block)
+    stars = None if long.isEmpty() else _star_links(entered, long, sets, percent, k, estimate, block, scratch)
     one = F.lit(1)
     if stars:
         edges, labels, mains = stars
-        labels = _limited(labels)
-        open_ = narrow.join(labels, "doc", "left").join(_limited(mains), "value").select("value", (F.coalesce("label", "doc") == F.col("main")).alias("taken"))
+        labels, mains = scratch.limited(labels, "labels"), scratch.limited(mains, "mains")
+        open_ = narrow.join(labels, "doc", "left").join(mains, "value").select("value", (F.coalesce("label", "doc") == F.col("main")).alias("taken"))
         cut = open_.groupBy("value").agg(F.count_if("taken").alias("taken"), F.count_if(~F.col("taken")).alias("open"))
-        lists = sizes.join(cut, "value", "left").join(_limited(mains), "value", "left")
+        lists = sizes.join(cut, "value", "left").join(mains, "value", "left")
         lists = lists.select("value", "main", F.ceil(F.coalesce("open", "rows") / block).cast("int").alias("opens"), F.ceil(F.coalesce("taken", F.lit(0)) / block).cast("int").alias("takens")).filter("opens > 0")
         entries = entered.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     else:
@@ -361,7 +360,7 @@ def links(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], *, percent
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("taken"), F.col("opens")).otherwise(F.col("opens") + F.col("takens")) - 1)).alias("other")
     dealt = entries.select("*", other).select("value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "n", "sketch", "prefix", "block", "label")
     names, types = ["value", "i", "j", "doc", "block", "label"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
-    flagged = write_shared(_grouped(dealt).mapInArrow(_runs(_flag(k, percent, estimate), names, types), "value long, i int, j int, doc long, block int, label long"), "flagged")
+    flagged = scratch.write(_grouped(dealt).mapInArrow(_runs(_flag(k, percent, estimate), names, types), "value long, i int, j int, doc long, block int, label long"), "flagged")
     verified = _grouped(flagged.join(sets(flagged), "doc").select("value", "i", "j", "doc", "block", "label", "shingles"))
     found = verified.mapInArrow(_runs(_verify(percent), ["a", "b"], [pa.int64(), pa.int64()]), "a long, b long")
     return found.unionByName(edges) if stars else found
@@ -372,8 +371,8 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
 
     A document with fewer than ``words`` words has its whole sequence as one shingle. Null, empty
     and blank texts have no shingles and link with nothing. Rows without an id link with nothing
-    and have a null component; repeated rows of one id share theirs, and different texts of one id
-    are linked through it. Texts are read whole, however long; an empty table gives no rows. Other
+    and have a null component; repeated rows of one id share theirs, with or without a text, and different
+    texts of one id are linked through it. Texts are read whole, however long; an empty table gives no rows. Other
     columns are not read.
     """
     known = write_shared(sketches(docs, words=words), "shingles")
@@ -381,26 +380,28 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     classes = linkable.groupBy("n", "digest").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     # numbered as they are written, so that every reader sees the same numbers
     classes = write_shared(classes.withColumn("doc", F.monotonically_increasing_id()), "classes")
-    owned = docs.filter(F.col("doc_id").isNotNull())
+    owned, scratch = docs.filter(F.col("doc_id").isNotNull()), Scratch()
 
     def sets(flagged: DataFrame) -> DataFrame:
-        return _sets(owned, classes.join(_limited(flagged.select("doc").distinct()), "doc", "left_semi"), words)
+        return _sets(owned, classes.join(scratch.limited(flagged.select("doc").distinct(), "flagged-docs"), "doc", "left_semi"), words, scratch)
 
     several = linkable.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("doc_id")
-    own = linkable.join(_limited(write_shared(several, "several-texts")), "doc_id", "left_semi").select("doc_id", "n", "digest").distinct().join(classes, ["n", "digest"]).select("doc_id", "doc")
+    own = linkable.join(scratch.limited(several, "several-texts"), "doc_id", "left_semi").select("doc_id", "n", "digest").distinct().join(classes, ["n", "digest"]).select("doc_id", "doc")
     of_one_id = own.groupBy("doc_id").agg(F.min("doc").alias("a")).join(own, "doc_id").select("a", F.col("doc").alias("b")).filter("a <> b")
-    found = components(links(classes.select("doc", "n", "sketch"), sets, percent=percent).unionByName(of_one_id))
+    found = components(links(classes.select("doc", "n", "sketch"), sets, percent=percent, scratch=scratch).unionByName(of_one_id))
+    scratch.drop()
     labelled = classes.select("n", "digest", "rep", "doc").join(found, classes["doc"] == found["vertex"], "left").select("n", "digest", "rep", F.coalesce("component", "doc").alias("group"))
     least = labelled.groupBy("group").agg(F.min("rep").alias("component"))
     labelled = labelled.join(least, "group").select("n", "digest", "component")
-    joined = known.select("doc_id", "n", "digest").join(labelled, ["n", "digest"], "left")
+    joined = known.filter("n > 0").select("doc_id", "n", "digest").join(labelled, ["n", "digest"], "left").select("doc_id", "n", "component")
+    blank = known.filter("n = 0").select("doc_id", "n")
+    of_id = joined.join(blank.filter("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component").alias("component"))
+    joined = joined.unionByName(blank.join(of_id, "doc_id", "left"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the documents whose component has a smaller id; rows that repeat an id stay or go together."""
-    gone = write_shared(near_duplicates(docs, words=words, percent=percent).filter("NOT kept").select("doc_id").distinct(), "duplicates")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
+    gone = Scratch().limited(near_duplicates(docs, words=words, percent=percent).filter("NOT kept").select("doc_id").distinct(), "duplicates")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
