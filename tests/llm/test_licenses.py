@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from quarrylight.llm import licenses
 
@@ -57,10 +58,11 @@ def test_gates_lose_no_match_of_any_rule(spark):
     rnd = random.Random(8)
 
     def example(pattern):
+        pattern = pattern.replace("(?:[^ ]+ ){1,5}", "some owner ")
         text = re.sub(r"\(\?:((?:[^()]|\([^()]*\))*)\)\?", lambda m: f"(?:{m[1]})" if rnd.random() < 0.5 else "", pattern)
         while "(?:" in text:
             text = re.sub(r"\(\?:([^()]*)\)(\?)?", lambda m: "" if m[2] and rnd.random() < 0.5 else rnd.choice(m[1].split("|")), text)
-        text = re.sub(r"\[([a-z]+)\]", lambda m: rnd.choice(m[1]), text)
+        text = re.sub(r"\[([a-z0-9-]+)\]", lambda m: rnd.choice(m[1].replace("-", "")), text)
         return re.sub(r"(\w)\?", lambda m: rnd.choice([m[1], ""]), text.replace("(?:", "").replace(")", ""))
 
     every = licenses.rules()
@@ -81,3 +83,89 @@ def test_gates_lose_no_match_of_any_rule(spark):
         assert (row.labels, row.score) == (",".join(sorted({d[4] for d in kept})), max([d[2] for d in kept], default=0) / 100), text
     assert n_hits == len(texts)
     assert [(r.labels, r.score) for r in got[:2]] == [("gpl-3", 0.8), ("apache-2", 0.8)]
+
+
+#: Pieces of license texts as people write them, with the labels that a reader would give them.
+TEXTS = [
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit"),
+    ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "mit"),
+    ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED', "mit"),
+    ("Released under the MIT License.", "mit"),
+    ("The Software shall be used for Good, not Evil.", "json"),
+    ("shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software", "x11"),
+    ("to deal with the Software without restriction, including without limitation", "ncsa"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ('THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES', "isc"),
+    ("Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted", "postgresql"),
+    ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "bsd"),
+    ("Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived", "bsd-3"),
+    ("All advertising materials mentioning features or use of this software must display the following acknowledgement:", "bsd-4"),
+    ('THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES', "bsd"),
+    ("you may not use this file except in compliance with the License.", "apache-2"),
+    ("http://www.apache.org/licenses/LICENSE-2.0", "apache-2"),
+    ('Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS', "apache-2"),
+    ("This product includes software developed by the Apache Software Foundation", "apache"),
+    ("either version 2 of the License, or (at your option) any later version.", "gpl-2"),
+    ("either version 3 of the License, or (at your option) any later version.", "gpl-3"),
+    ("either version 2.1 of the License, or (at your option) any later version.", "lgpl-2.1"),
+    ("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY", "gpl"),
+    ("Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.", "gpl"),
+    ("an opportunity to receive the source for all users interacting with it remotely through a computer network", "agpl-3"),
+    ("with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts.", "gfdl"),
+    ("If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org", "mpl-2"),
+    ("The contents of this file are subject to the Mozilla Public License Version 1.1", "mpl-1.1"),
+    ("This Source Code may also be made available under the following Secondary Licenses", "epl-2"),
+    ("Licensed under the EUPL", "eupl"),
+    ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation", "boost-1"),
+    ("copy at https://www.boost.org/LICENSE_1_0.txt)", "boost-1"),
+    ("In no event will the authors be held liable for any damages arising from the use of this software.", "zlib"),
+    ("Altered source versions must be plainly marked as such", "zlib"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", "unlicense"),
+    ("Everyone may DO WHAT THE FUCK YOU WANT TO.", "wtfpl"),
+    ("The person who associated a work with this deed has dedicated the work to the public domain", "cc0"),
+    ("http://creativecommons.org/publicdomain/zero/1.0/", "cc0"),
+    ("https://creativecommons.org/licenses/by/4.0/", "cc-by"),
+    ("https://creativecommons.org/licenses/by-sa/3.0/", "cc-by-sa"),
+    ("see creativecommons.org/licenses/by-nc-sa/4.0 for terms", "cc-by-nc-sa"),
+    ("The intent of this document is to state the conditions under which a Package may be copied", "artistic-1"),
+    ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", "ofl-1.1"),
+    ("PSF hereby grants Licensee a nonexclusive, royalty-free, world-wide license to reproduce", "python-2"),
+    ("This product includes PHP software, freely available from", "php"),
+    ("software developed by the OpenSSL Project for use in the OpenSSL Toolkit", "openssl"),
+    ("you can buy me a beer in return", "beerware"),
+    ("Vim is Charityware.", "vim"),
+    ("This work may be distributed and/or modified under the conditions of the LaTeX Project Public License", "lppl"),
+    ("Contains public sector information licensed under the Open Government Licence", "ogl"),
+    ("Use is governed by the Business Source License 1.1", "busl"),
+    ("under the Server Side Public License, version 1", "sspl"),
+    ("Llama 3 Community License Agreement", "llama"),
+    ("the BigScience OpenRAIL-M license applies", "openrail"),
+    ("PolyForm Noncommercial License", "polyform-noncommercial"),
+    ("Unauthorized copying of this file, via any medium, is strictly prohibited", "proprietary"),
+    ("No part of this book may be reproduced", "all-rights-reserved"),
+    ("No rights are mentioned in this sentence about copies and software.", ""),
+    ("The committee permitted a public version without further agreement.", ""),
+    ("Her license to drive a package van was renewed; the copy is in the file.", ""),
+]
+
+
+def test_texts_get_the_labels_that_a_reader_gives_them(spark):
+    assert len(TEXTS) >= 55 and len(licenses.CLAUSES) > 100
+    got = licenses.scan(spark.createDataFrame(list(enumerate(t for t, _ in TEXTS)), "doc_id long, text string")).select("doc_id", licenses.labels_of(licenses.F.col("detections")).alias("labels"))
+    wrong = [(TEXTS[r.doc_id], r.labels) for r in got.collect() if r.labels != TEXTS[r.doc_id][1]]
+    assert not wrong
+
+
+def test_the_plan_is_built_in_little_time(spark):
+    frame = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    licenses.scan(frame)
+    began = time.time()
+    licenses.scan(frame)
+    assert time.time() - began < 1.5
+
+
+def test_a_very_long_text(spark):
+    text = "word " * 100_000 + "Released under the MIT License. " + "wort " * 100_000
+    row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_words == 200_005 and [(d.start, d.label) for d in row.detections if d.base] == [(100_001, "mit")]
