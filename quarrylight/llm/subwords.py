@@ -32,14 +32,15 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm._common import drop_shared, write_shared
+from quarrylight.llm._labels import MAX_BYTES, MAX_TOTAL, bounded, labelled
 
 NGRAMS = range(3, 6)
 DIMENSION, VECTOR, SEED = 1 << 17, 16, 11
-MAX_PER_CLASS, MAX_BYTES, MAX_TOTAL = 4000, 1 << 20, 16 << 20
+MAX_PER_CLASS = 4000
 #: Passes over the sample, or as many as make STEPS steps; rate at the start.
 EPOCHS, STEPS, RATE = 4, 24_000, 1.0
 BLANKS = 50
@@ -143,16 +144,8 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: list[int], *, dime
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, *, per_class: int = MAX_PER_CLASS, label: str = "quality") -> DataFrame:
-    """doc_id, label and text of at most ``per_class`` labelled documents of each class, lowest hash first.
-
-    Rows with a null label or id are left out, repeated label rows count once. Ids are chosen from
-    the narrow label table; the at most 2 * ``per_class`` chosen ones are broadcast to the texts.
-    """
-    picked = None
-    for value in (0, 1):
-        ids = labels.filter((F.col(label) == value) & F.col("doc_id").isNotNull()).select("doc_id", F.lit(value).alias("label")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        picked = ids if picked is None else picked.unionByName(ids)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    """doc_id, label and text of at most ``per_class`` labelled documents of each class, lowest hash first."""
+    return labelled(docs, labels, label, per_class)
 
 
 def fit(sample: DataFrame, *, most_bytes: int = MAX_BYTES, most_total: int = MAX_TOTAL, **options) -> Embeddings:
@@ -161,12 +154,8 @@ def fit(sample: DataFrame, *, most_bytes: int = MAX_BYTES, most_total: int = MAX
     Texts are counted on the executors. The driver holds a row number and a share for each distinct
     feature of each text: at most ``most_total`` bytes of text a class, as Arrow buffers.
     """
-    size = F.octet_length(F.coalesce("text", F.lit("")))
     stored = write_shared(sample.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"), "text").distinct(), "quality-sample")
-    sizes = stored.select("doc_id", "label", F.sha2("text", 256).alias("digest"), size.cast("long").alias("size")).filter(F.col("size") <= most_bytes)
-    running = F.sum("size").over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", "digest").rowsBetween(Window.unboundedPreceding, 0))
-    kept = sizes.withColumn("running", running).filter(F.col("running") <= most_total).select(F.col("doc_id").alias("id"), F.col("label").alias("of"), F.col("digest").alias("sha"))
-    held = stored.join(F.broadcast(kept), (F.col("doc_id") == F.col("id")) & (F.col("label") == F.col("of")) & F.sha2("text", 256).eqNullSafe(F.col("sha"))).select("doc_id", "label", "text")
+    held = bounded(stored, most_bytes, most_total)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,5 +1,9 @@
+import itertools
 import math
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -44,7 +48,7 @@ def test_factors_learn_pairs_that_weights_miss():
         labels.append(int(insult == group))
     arrays = [(np.array(list(t)), np.array(list(t.values()))) for t in texts]
     machine = toxicity.train(arrays, labels, dimension=7, epochs=20)
-    assert np.mean([(machine.score(t) > 0.5) == y for t, y in zip(texts, labels)]) > 0.95
+    assert np.mean([(machine.score(*t) > 0.5) == y for t, y in zip(arrays, labels)]) > 0.95
 
 
 def test_fit_learns_a_pair_whose_parts_say_nothing(spark):
@@ -60,17 +64,48 @@ def test_fit_learns_a_pair_whose_parts_say_nothing(spark):
     docs = spark.createDataFrame([(i, t, "clash", 7) for i, t, _ in rows], "doc_id long, text string, label string, predicted int")
     labels = spark.createDataFrame([(i, y, "clash") for i, _, y in rows if i % 3], "doc_id long, toxic int, text string")
     sample = toxicity.training_sample(docs, labels)
-    told = toxicity.telling_terms(sample)
-    assert not told & {h for w in ("grobian", "volk") for h in toxicity.term_hashes(w)}
+    n = [sample.filter(f"label = {c}").count() for c in (0, 1)]
+    scale = toxicity.scales(sample, tuple(n))
+    assert scale[[h % toxicity.DIMENSION for w in ("grobian", "volk") for h in toxicity.term_hashes(w)]].max() < 1
     got = {r.doc_id: r.predicted for r in toxicity.score(docs, toxicity.fit(sample), threshold=0.5).collect()}
     assert np.mean([got[i] == y for i, _, y in rows if i % 3 == 0]) > 0.95
 
 
-def test_no_word_is_left_out():
-    terms = toxicity.Terms(frozenset())
-    rows = terms("A bc déf ghijklmnop x2y")
-    assert len(rows) == 6 and all(v > 0 for v in rows.values())
-    assert toxicity.Terms(frozenset())(None) == {}
+def test_no_word_or_stem_is_left_out():
+    rows, values = toxicity.Terms()("A bc déf ghijklmnop x2y")
+    assert len(rows) == 6 + 1 + 5 and (values > 0).all()
+    assert len(toxicity.Terms()(None)[0]) == 0
+
+
+def brute_score(machine, text):
+    """Every pair of rows by itself."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    x = Counter()
+    for w in words:
+        for term in [w] + [f"^{w[:n]}" for n in range(3, 8) if n <= len(w)]:
+            x[zlib.crc32(term.encode()) % len(machine.table)] += 1 / len(words) ** 0.5
+    x = {r: v * machine.scale[r] for r, v in x.items()}
+    z = machine.bias + sum(v * machine.table[r, 0] for r, v in x.items())
+    z += sum(x[a] * x[b] * float(machine.table[a, 1:] @ machine.table[b, 1:]) for a, b in itertools.combinations(x, 2))
+    return 1 / (1 + math.exp(-min(max(z, -30), 30)))
+
+
+def test_score_equals_brute_force_on_odd_rows(spark):
+    rows = corpus(200, 3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    machine = toxicity.fit(toxicity.training_sample(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), labels), epochs=2)
+    odd = [(1, None), (2, ""), (3, "gronkas blithwort " * 3), (3, "gronkas blithwort " * 3), (None, "marake é"), (4, "a bb ccc"), (5, " ".join(rows[0][1].split()[:60]))]
+    got = toxicity.score(spark.createDataFrame([(i, t, "x") for i, t in odd], "doc_id long, text string, score string"), machine).collect()
+    assert sorted(((r.doc_id, round(r.score, 9), r.predicted) for r in got), key=repr) == sorted(((i, round(s := brute_score(machine, t), 9), int(s >= 0.7)) for i, t in odd), key=repr)
+
+
+def test_training_is_bounded_in_rows_and_bytes(spark):
+    rows = corpus(120, 4)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    sample = toxicity.training_sample(docs, labels, per_class=7)
+    assert {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()} == {0: 7, 1: 7}
+    assert toxicity.fit(sample, most_bytes=0).scale is None
 
 
 def test_very_long_text_is_scored_whole(spark):
