@@ -15,14 +15,12 @@ from quarrylight.sources.shared import write_shared
 STRATA = ("simple_factual", "multi_hop", "aggregative", "out_of_scope", "ambiguous", "exact_identifier", "table_or_image")
 NEEDLE_CHARS, WINDOW_CHARS = (14, 160), 200
 TOLERANCE, KAPPA, JUDGE_ITEMS = 0.03, 0.6, 30
-#: What marks an identifier in a page where the caller names no marks of their own corpus.
-IDENTIFIERS = ("ERR_", "PN-", "efSearch", "@10", "k1", "_RRF")
 #: Failure point of each cause.
 FAILURE_POINTS = {"partial": "FP2", "starved": "FP2", "no_candidates": "FP2", "absent": "FP3", "present": "FP4", "miss_answered": "FP2"}
 
 
-def windows(blocks: DataFrame, identifiers: tuple[str, ...] = IDENTIFIERS) -> DataFrame:
-    """Page texts of at least 200 characters with hints; ``identifiers`` mark pages that hold codes. blocks: source_id, doc_type, page, ordinal, kind, text, asset_path."""
+def windows(blocks: DataFrame, identifiers: tuple[str, ...] = ()) -> DataFrame:
+    """Page texts of at least 200 characters with hints; ``identifiers`` are the caller's marks of pages that hold codes. blocks: source_id, doc_type, page, ordinal, kind, text, asset_path."""
     filled = F.length(F.trim("text")) > 0
     ordered = F.sort_array(F.collect_list(F.when(filled, F.struct("ordinal", "text"))))
     text = F.trim(F.array_join(F.transform(ordered, lambda b: b["text"]), "\n\n"))

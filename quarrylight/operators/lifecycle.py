@@ -194,3 +194,10 @@ def interrupted(jobs: DataFrame) -> DataFrame:
 def latest(rows: DataFrame, time: str, key: str, most: int) -> DataFrame:
     """The ``most`` latest rows, ties to the smaller key: job and conversation lists."""
     return rows.orderBy(F.desc(time), key).limit(most)
+
+
+def latest_of_each(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The last row of each key by the columns of ``order``; of rows that tie in all of them, one. Tasks keep one row a key before the shuffle."""
+    rest = [c for c in rows.columns if c != key]
+    last = F.max_by(F.struct(*rest), F.struct(*order))
+    return rows.groupBy(key).agg(last.alias("__row")).select(key, *(F.col("__row")[c].alias(c) for c in rest))

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.functions.text import collapse, corrupt_cells, first_filled_row, header_plausible, squash
+from quarrylight.functions.text import corrupt_cells, first_filled_row, header_plausible, squash
 
 #: Distances in points and lengths of probes.
 BOTTOM, TOP, SAME_X, PROBE_CHARS, PROBES, SIGNALS = 80.0, 120.0, 6.0, 5, 2, 3
@@ -60,8 +60,3 @@ def provenance_propagation(files: DataFrame) -> DataFrame:
     """
     problem = F.when((F.col("repaired") > 0) & (F.col("labelled") == 0), "repairs without a label").when((F.col("repaired") == 0) & (F.col("labelled") > 0), "labels without a repair").when(F.col("labelled") < F.col("repaired"), "fewer labels than repairs")
     return files.select("source_id", "repaired", "labelled", problem.isNull().alias("ok"), problem.alias("problem"))
-
-
-def page_words(text):
-    """A page's text as the detectors compare it."""
-    return collapse(text)

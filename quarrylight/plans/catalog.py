@@ -11,12 +11,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions import ids, rates, text
 from quarrylight.operators import answers, chunking, evaluation, geometry, index, invariants, lifecycle, retrieval, segments, tables
-from quarrylight.plans import ask, evaluate, ingest
+from quarrylight.plans import ask, evaluate, ingest, library
 from quarrylight.sources import artifacts, uploads
 from quarrylight.sources.shared import shared_dir
 from quarrylight.streaming import limits
@@ -890,7 +890,7 @@ def g7_order_swap(spark, sf_dir):
     return answers.swapped(read(spark, sf_dir, "benchmark").select("item_id"), "item_id", 5)
 
 
-@query("""SELECT doc_id, '[' || (doc_id + 1) || '] ' || source || CASE WHEN lang = 'fr' AND doc_id > 0 THEN ' | page ' || doc_id ELSE '' END || CASE WHEN lang = 'de' THEN ' | Section: A > B' || chr(10) || '(This source is tabular data rendered as plain text; values run in row order, one per line.)' WHEN lang = 'es' THEN chr(10) || '(This source is a system-generated description, not document text.)' ELSE '' END || chr(10) || sha256(text) AS shown FROM documents""")
+@query("""SELECT doc_id, '[' || (doc_id + 1) || '] ' || source || CASE WHEN lang = 'fr' AND doc_id > 0 THEN ' | page ' || doc_id ELSE '' END || CASE WHEN lang = 'de' THEN ' | Section: A > B' || chr(10) || '(Read this as a table: each line is one value, row after row.)' WHEN lang = 'es' THEN chr(10) || '(A model wrote this description; the document does not contain it.)' ELSE '' END || chr(10) || sha256(text) AS shown FROM documents""")
 def f7_format_source(spark, sf_dir):
     lang = F.col("lang")
     headings = F.when(lang == "de", F.array(F.lit("A"), F.lit("B"))).otherwise(F.array().cast("array<string>"))
@@ -1147,10 +1147,10 @@ def e5_scored_both_units(spark, sf_dir):
     return evaluate.run(items, ranked, chunks, parents)
 
 
-@query("SELECT conv_id AS conversation_id, max(turn) AS turn_index FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id AS conversation_id, max(turn) AS turn_index, sha256(max_by(text, turn)) AS text FROM conversations GROUP BY conv_id")
 def w9_latest_turn(spark, sf_dir):
-    latest = Window.partitionBy("conversation_id").orderBy(F.desc("turn_index"))
-    return sample_turns(spark, sf_dir).withColumn("at", F.row_number().over(latest)).filter("at = 1").select("conversation_id", "turn_index")
+    rows = lifecycle.latest_of_each(sample_turns(spark, sf_dir), "conversation_id", "turn_index")
+    return rows.select("conversation_id", "turn_index", F.sha2("text", 256).alias("text"))
 
 
 @query(f"""{SCORE_SQL}, arms AS (SELECT 'context' AS arm, item_id, strict FROM scored UNION ALL SELECT 'plain', item_id, partial FROM scored)
@@ -1379,3 +1379,22 @@ def e20_upserted(spark, sf_dir):
 def t5_latest_jobs(spark, sf_dir):
     """The 25 latest rows, as a job list shows them."""
     return lifecycle.latest(read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")), "ts", "event_id", 25)
+
+
+@query("""WITH d AS (SELECT item_id, item_id % 3 <> 0 AND item_id % 5 = 0 AS gone FROM benchmark)
+SELECT 'item ' || item_id AS source_id, CASE WHEN gone THEN 'tombstone' ELSE 'manifest' END AS kept_in, NOT gone AS in_chunks, NOT gone AS in_index, 'Item ' || item_id AS title FROM d""")
+def m3_m10_library(spark, sf_dir):
+    """Benchmark texts as sources of a library: two thirds added, every fifth of these removed, the others added after."""
+    items = read(spark, sf_dir, "benchmark")
+    docs = items.select("item_id", F.lit("").alias("owner"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("source_id"), F.concat(F.lit("Item "), F.col("item_id").cast("string")).alias("title"), "text", F.lit("corpus").alias("origin"), F.sha2("text", 256).alias("content_hash"))
+    model = lambda texts: [[float(len(t) % 7 + 1), float(t.count("e") + 1), *([0.0] * 62)] for t in texts]
+    first = F.col("item_id") % 3 != 0
+    held = library.added(library.load(spark, f"{shared_dir(spark)}/library-{uuid.uuid4().hex}"), docs.filter(first).drop("item_id"), model, fingerprint="fp")
+    held = library.removed(held, docs.filter("item_id % 5 = 0").select("owner", "source_id"), F.lit("2024-01-01").cast("timestamp"))
+    held = library.added(held, docs.filter(~first).drop("item_id"), model, fingerprint="fp")
+    kept = held.table("manifest").select("source_id", "title").withColumn("kept_in", F.lit("manifest"))
+    rows = kept.unionByName(held.table("tombstones").select("source_id", "title").withColumn("kept_in", F.lit("tombstone")))
+    chunks = held.table("chunks")
+    indexed = held.index.chunks().join(chunks.select("chunk_id", "source_id"), "chunk_id").select("source_id").distinct().withColumn("in_index", F.lit(True))
+    rows = rows.join(chunks.select("source_id").distinct().withColumn("in_chunks", F.lit(True)), "source_id", "left").join(indexed, "source_id", "left")
+    return rows.select("source_id", "kept_in", F.coalesce("in_chunks", F.lit(False)).alias("in_chunks"), F.coalesce("in_index", F.lit(False)).alias("in_index"), "title")
