@@ -52,6 +52,19 @@ FROM f
 """
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per rule of policy v1: documents that fail it, that only it rejects, and that stay without it; bits of the ledger, summed."""
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+ABLATIONS_SQL = f"""
+WITH q AS ({OP1_SQL}),
+r(rule, bit) AS (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('duplicate_lines', 8), ('capitals', 16), ('short_words', 32), ('long_words', 64))
+SELECT rule, count(*) FILTER ((failed_bits & bit) <> 0) AS n_failed, count(*) FILTER (failed_bits = bit) AS n_only, count(*) FILTER ((failed_bits & (127 - bit)) = 0) AS n_kept_without
+FROM q, r GROUP BY rule
+"""
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token pieces, packed into sequences of 2048."""
     arrow_batches(spark)
@@ -273,6 +286,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to function of (spark, sf_dir)."""
     return {
         "op1_quality_rules": op1_quality_rules,
+        "quality_ablations": quality_ablations,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_secret_scans": op3_secret_scans,
         "op4_toxicity": op4_toxicity,
@@ -292,6 +306,7 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
     return {
         "op1_quality_rules": OP1_SQL,
+        "quality_ablations": ABLATIONS_SQL,
         "op5_license_scans": _op5_sql(),
         "op7_exact_top_k": OP7_SQL,
         "op8_suffix_array_dedup": OP8_SQL,
