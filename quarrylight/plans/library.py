@@ -17,7 +17,9 @@ from quarrylight.operators.chunking import chunk_documents
 from quarrylight.operators.index import usable_vectors
 from quarrylight.plans.ingest import Embed, child_keys, embed
 from quarrylight.schemas import CHUNKS
+from quarrylight.sources.corpus import parse
 from quarrylight.sources.shared import write_shared
+from quarrylight.sources.uploads import gated
 from quarrylight.sources.versions import manifest as read_manifest
 from quarrylight.sources.versions import publish
 from quarrylight.streaming import citations
@@ -127,6 +129,22 @@ def added(library: Library, docs: DataFrame, model: Embed, *, fingerprint: str,
     return _published(library, {"manifest": manifest, "chunks": whole, "vectors": left["vectors"].unionByName(vectors.join(known, "chunk_id").select(*KEY, "chunk_id", "vec")), "cache": library.table("cache").unionByName(made.select("cache_key", "value")), "tombstones": graves}, index)
 
 
+def uploaded(library: Library, files: DataFrame, model: Embed, *, owner: str, fingerprint: str, **loaders) -> tuple[Library, DataFrame]:
+    """(the next version with a visitor's files in it, verdict of each file): gated, parsed, then added as sources of ``owner``.
+
+    files: path, content (binary). Refused files are not parsed. If none is accepted, or none has text, the library stays as it is.
+    """
+    verdicts = write_shared(gated(files), "verdicts")
+    accepted = files.join(verdicts.filter("accepted").select("path"), "path", "left_semi").withColumn("content_hash", F.sha2("content", 256))
+    blocks = write_shared(parse(accepted, **loaders)[0].select("source_id", "content_hash", "ordinal", "text"), "blocks")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "text"))), lambda b: b["text"])
+    docs = blocks.groupBy("source_id", "content_hash").agg(F.array_join(ordered, "\n\n").alias("text"))
+    if docs.isEmpty():
+        return library, verdicts
+    docs = docs.withColumns({"owner": F.lit(owner), "title": F.col("source_id"), "origin": F.lit("upload")})
+    return added(library, docs, model, fingerprint=fingerprint, doc_type="upload"), verdicts
+
+
 def opened(library: Library, asked: DataFrame, caller: str | None) -> DataFrame:
     """The citations that a caller opens: status, source and text of each asked chunk_id; chunks of others are not found."""
     mine = library.table("chunks").filter((F.col("owner") == "") | F.col("owner").eqNullSafe(F.lit(caller)))

@@ -3,6 +3,7 @@ import hashlib
 
 import pytest
 from pyspark.sql import functions as F
+from test_sources import docx
 
 from quarrylight.operators import segments
 from quarrylight.plans import library as L
@@ -108,3 +109,15 @@ def test_a_writer_that_dies_leaves_tables_and_index_of_one_version(spark, tmp_pa
     assert sorted(r.source_id for r in after.table("manifest").collect()) == ["a", "b"]
     with pytest.raises(versions.Conflict):
         L.removed(held, spark.createDataFrame([("", "a")], GONE), F.lit(AT))
+
+
+def test_uploads_are_gated_parsed_and_added_for_their_owner_alone(spark, tmp_path):
+    held = L.load(spark, str(tmp_path))
+    files = spark.createDataFrame([("/in/notes.docx", docx()), ("/in/evil.pdf", b"not a pdf")], "path string, content binary")
+    none, verdicts = L.uploaded(held, files.filter("path LIKE '%pdf'"), model, owner="me", fingerprint="f")
+    assert none.version == 0 and [r.code for r in verdicts.collect()] == ["unknown_type"]
+    more, verdicts = L.uploaded(held, files, model, owner="me", fingerprint="f")
+    assert {r.path: r.accepted for r in verdicts.collect()} == {"/in/notes.docx": True, "/in/evil.pdf": False}
+    assert [(r.owner, r.source_id, r.n_chunks > 0) for r in more.table("manifest").collect()] == [("me", "notes.docx", True)]
+    chunk = more.table("chunks").filter("role = 'child'").select("chunk_id")
+    assert {r.status for r in L.opened(more, chunk, "me").collect()} == {200} and {r.status for r in L.opened(more, chunk, None).collect()} == {404}
