@@ -391,7 +391,8 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     found = components(links(classes.select("doc", "n", "sketch"), sets, percent=percent, scratch=scratch).unionByName(of_one_id))
     scratch.drop()
     labelled = classes.select("n", "digest", "rep", "doc").join(found, classes["doc"] == found["vertex"], "left").select("n", "digest", "rep", F.coalesce("component", "doc").alias("group"))
-    least = labelled.groupBy("group").agg(F.min("rep").alias("component"))
+    # stored, so that it is broadcast or, beyond that, meets plain shuffled rows, which Spark can split where a group is large
+    least = scratch.limited(labelled.groupBy("group").agg(F.min("rep").alias("component")), "groups")
     labelled = labelled.join(least, "group").select("n", "digest", "component")
     joined = known.filter("n > 0").select("doc_id", "n", "digest").join(labelled, ["n", "digest"], "left").select("doc_id", "n", "component")
     blank = known.filter("n = 0").select("doc_id", "n")
