@@ -42,6 +42,7 @@ class TreeCodec:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.split = splitter(pattern)
         self.kept: dict[bytes, list[int]] = {}
+        self.none = max(self.bytes_of, default=0) + 1
 
     def leaf(self, window: bytes) -> list[int]:
         """The encoding of a few bytes; not to be changed by the caller."""
@@ -58,8 +59,7 @@ class TreeCodec:
         """Always merge the pair of lowest rank, the first of equals, until no pair has a rank."""
         if len(window) > SHORT:
             return self._merged_by_heap(window)
-        ranks, parts = self.ranks, [window[i : i + 1] for i in range(len(window))]
-        none = len(ranks) + max(self.bytes_of, default=0)
+        ranks, none, parts = self.ranks, self.none, [window[i : i + 1] for i in range(len(window))]
         while len(parts) > 1:
             least, at, before = none, -1, parts[0]
             for i in range(1, len(parts)):
