@@ -48,7 +48,7 @@ def test_slices_leave_out_skipped_and_quarantined(spark):
 
 def test_windows_needles_and_questions(spark):
     blocks = [("s", "pdf", 1, 1, "text", "b" * 150, None), ("s", "pdf", 1, 0, "table", "a" * 60 + " ERR_1", "x.png"), ("s", "pdf", 2, 0, "text", "short", None), ("s", "pdf", 1, 2, "text", "  ", None)]
-    pages = E.windows(spark.createDataFrame(blocks, "source_id string, doc_type string, page int, ordinal int, kind string, text string, asset_path string"))
+    pages = E.windows(spark.createDataFrame(blocks, "source_id string, doc_type string, page int, ordinal int, kind string, text string, asset_path string"), ("ERR_",))
     row = pages.collect()[0]
     assert pages.count() == 1 and row.text.startswith("aaa") and row.has_table and row.has_identifier and row.asset_path == "x.png"
     items = spark.createDataFrame([("i", "s", "b" * 13), ("i", "s", "b" * 14), ("j", "t", "b" * 20), ("k", "s", "q" * 20), ("l", "s", "b" * 161)], "item_id string, source_id string, needle string")
