@@ -60,8 +60,9 @@ def mixed_provenance(manifest: DataFrame) -> DataFrame:
 
 
 def expired(sessions: DataFrame, now: Column, seconds: int = SESSION_SECONDS) -> DataFrame:
-    """Sessions older than their life at ``now``."""
-    return sessions.filter(F.unix_timestamp(now) - F.unix_timestamp("created_at") > seconds)
+    """Sessions older than their life at ``now``. Times count in whole seconds, each rounded to the nearest, halves to the even one."""
+    whole = lambda at: F.rint(at.cast("timestamp").cast("double")).cast("long")
+    return sessions.filter(whole(now) - whole(F.col("created_at")) > seconds)
 
 
 def visible_documents(manifest: DataFrame, caller: str | None) -> DataFrame:

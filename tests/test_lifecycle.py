@@ -1,9 +1,12 @@
 import datetime as dt
 
+import duckdb
+import oracle
 import pandas as pd
 from pyspark.sql import functions as F
 
 from quarrylight.operators import lifecycle as L
+from quarrylight.plans import catalog
 from quarrylight.streaming import limits
 
 NOW = dt.datetime(2024, 5, 1, 12)
@@ -143,3 +146,10 @@ def test_conversations_open_once_and_close_by_their_owner(spark):
     asked = spark.createDataFrame([(1, "a"), (2, "a")], "conversation_id int, owner string")
     kept, left = L.closed(held, turns, asked)
     assert {tuple(r) for r in kept.collect()} == {(2, "b")} and left.count() == 2
+
+
+def test_parts_of_a_second_round_as_in_sql(spark, tmp_path):
+    last = dt.datetime(2024, 5, 1, 12, 0, 0, 261702)
+    at = [last] + [last - dt.timedelta(days=10) + dt.timedelta(milliseconds=k) for k in (-1600, -1000, -800, -762, -761, -700, -262, -261, 0, 238, 239, 500)]
+    duckdb.sql(f"COPY (SELECT row_number() OVER () AS event_id, t::TIMESTAMP AS ts FROM (SELECT unnest({[str(t) for t in at]}) AS t)) TO '{tmp_path}/events.parquet'")
+    oracle.same(spark, catalog.m5_expired_sessions, catalog.SQL["m5_expired_sessions"], str(tmp_path))
