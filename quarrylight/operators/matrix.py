@@ -11,8 +11,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Queries of a block: with 1024 components of 8 bytes, 32 MB are broadcast.
-QUERIES = 4096
+#: Queries of a block: with 1024 components of 8 bytes, 32 MB are broadcast. Rows scored at once against a block: 16 MB of scores.
+QUERIES, ROWS = 4096, 512
+
+
+class Best:
+    """The ``k`` best rows of each of ``n`` queries so far, ties to the smaller id; memory for k and one call's rows a query."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.scores, self.at, self.extra = np.empty((n, 0)), np.empty((n, 0), np.int64), None
+        self.ids: np.ndarray | None = None
+
+    def add(self, scores: np.ndarray, ids: np.ndarray, extra: np.ndarray | None = None) -> None:
+        """Scores of each query (-inf: no hit) for the rows ``ids``, and another number for each, carried along."""
+        if not len(ids):
+            return
+        held, base = self.scores.shape[1], 0 if self.ids is None else len(self.ids)
+        every = np.hstack([self.scores, scores])
+        self.ids = ids if self.ids is None else np.concatenate([self.ids, ids])
+        mask = every > -np.inf
+        if every.shape[1] > self.k:
+            least = np.partition(every, -self.k, axis=1)[:, -self.k]
+            mask &= every >= least[:, None]
+            self._break_ties(every, mask, least, held, base)
+        q, c = np.nonzero(mask)
+        counts = np.bincount(q, minlength=len(every))
+        to = np.arange(len(q)) - np.repeat(np.cumsum(counts) - counts, counts)
+        width = int(counts.max(initial=0))
+        at, kept = np.zeros((len(every), width), np.int64), np.full((len(every), width), -np.inf)
+        at[q, to], kept[q, to] = self._places(q, c, held, base), every[q, c]
+        if extra is not None:
+            both = extra if self.extra is None else np.hstack([self.extra, extra])
+            self.extra = np.zeros((len(every), width), both.dtype)
+            self.extra[q, to] = both[q, c]
+        self.scores, self.at = kept, at
+        if len(self.ids) > 4 * at.size + 10_000:
+            used, back = np.unique(at, return_inverse=True)
+            self.ids, self.at = self.ids[used], back.reshape(at.shape)
+
+    def _places(self, q: np.ndarray, c: np.ndarray, held: int, base: int) -> np.ndarray:
+        old = c < held
+        places = base + c - held
+        places[old] = self.at[q[old], c[old]]
+        return places
+
+    def _break_ties(self, every: np.ndarray, mask: np.ndarray, least: np.ndarray, held: int, base: int) -> None:
+        over = np.flatnonzero(mask.sum(1) > self.k)
+        if not len(over):
+            return
+        tied = mask[over] & (every[over] == least[over, None])
+        room = self.k - (mask[over].sum(1) - tied.sum(1))
+        r, c = np.nonzero(tied)
+        order = np.lexsort((self.ids[self._places(over[r], c, held, base)], r))
+        r, c = r[order], c[order]
+        counts = tied.sum(1)
+        late = np.arange(len(r)) - np.repeat(np.cumsum(counts) - counts, counts) >= room[r]
+        mask[over[r[late]], c[late]] = False
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+        """Query positions, ids, scores and carried numbers of all hits."""
+        q, c = np.nonzero(self.scores > -np.inf)
+        ids = self.ids[self.at[q, c]] if len(q) else np.empty(0, np.int64)
+        return q, ids, self.scores[q, c], None if self.extra is None else self.extra[q, c]
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -54,33 +115,20 @@ def _best(queries: DataFrame, rows: DataFrame, k: int, digits: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, asked, norms, callers, names = shared.value
-        scores = chunks = None
-        for batch in batches:
-            at, held = _matrix(batch.column(2), asked.shape[1] if len(ids) else 0)
-            if not len(at) or not len(ids):
-                continue
+        best = Best(len(ids), k)
+        for batch in batches if len(ids) else ():
+            at, held = _matrix(batch.column(2), asked.shape[1])
             own = np.array(batch.column(0).to_pylist())[at]
-            owner = np.array([-1 if o == "" else names.get(o, -2) for o in batch.column(1).take(pa.array(at)).to_pylist()])
-            new = np.round(asked @ held.T / norms[:, None], digits)
-            new[(owner != -1) & (owner != callers[:, None])] = -np.inf
-            own = np.broadcast_to(own, new.shape)
-            scores, chunks = _kept(new, own, k) if scores is None else _kept(np.hstack([scores, new]), np.hstack([chunks, own]), k)
-        if scores is not None:
-            q, c = np.nonzero(np.isfinite(scores))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q].tolist(), types[0]), pa.array(chunks[q, c].tolist(), types[1]), pa.array(scores[q, c], pa.float64())], names=["query_id", "chunk_id", "score"])
+            owner = np.array([-1 if o == "" else names.get(o, -2) for o in batch.column(1).take(pa.array(at)).to_pylist()], int)
+            for low in range(0, len(at), ROWS):
+                part = slice(low, low + ROWS)
+                new = np.round(asked @ held[part].T / norms[:, None], digits)
+                new[(owner[part] != -1) & (owner[part] != callers[:, None])] = -np.inf
+                best.add(new, own[part])
+        q, c, scores, _ = best.rows()
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q].tolist(), types[0]), pa.array(c.tolist(), types[1]), pa.array(scores, pa.float64())], names=["query_id", "chunk_id", "score"])
 
     kinds = queries.schema["query_id"].dataType, rows.schema["chunk_id"].dataType
     types = [to_arrow_type(kind) for kind in kinds]
     return rows.select("chunk_id", "owner", "vec").mapInArrow(run, f"query_id {kinds[0].simpleString()}, chunk_id {kinds[1].simpleString()}, score double")
-
-
-def _kept(scores: np.ndarray, chunks: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` best of each row, ties to the smaller chunk."""
-    if scores.shape[1] <= k:
-        return scores, chunks
-    least = np.partition(scores, -k, axis=1)[:, -k, None]
-    # columns above or at the k-th score; among ties only the smaller ids, by a stable order of ids, then of scores
-    some = (scores >= least).any(axis=0)
-    scores, chunks = scores[:, some], chunks[:, some]
-    order = np.lexsort((chunks, -scores), axis=1)[:, :k]
-    return np.take_along_axis(scores, order, 1), np.take_along_axis(chunks, order, 1)
