@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions.text import tokenize
+from quarrylight.sources.shared import write_shared
 
 #: Fixed value: vectors shorter than this are empty and leave the index.
 LEAST_NORM = 1e-6
@@ -72,14 +73,13 @@ def reached(texts: DataFrame, only: DataFrame, key: str = "chunk_id", text: str
     """(postings of the terms of ``only``, corpus statistics of all texts): texts are tokenized once for both.
 
     Other tokens leave before the shuffle. Each text sends one row of its length along under the empty
-    term, which no token equals. Postings and statistics read the same columns of one aggregate, so that
-    its exchange is reused.
+    term, which no token equals. The aggregate is stored, so that the texts are read and tokenized once for all its readers.
     """
     tokens = texts.select(key, tokenize(F.col(text)).alias("tokens")).select(key, F.size("tokens").alias("dl"), F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term"))
     wanted = only.select("term").unionByName(only.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
     whole = F.max(F.col("term") == "")
     rows = tokens.join(wanted, "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.when(whole, F.sum("dl")).otherwise(F.max("dl")).alias("dl"), whole.alias("whole"))
-    # n reads the lengths too, so that a reader of n alone prunes no column and still reuses the exchange.
+    rows = write_shared(rows, "reached")
     stats = rows.filter("whole").agg(F.coalesce(F.sum(F.when(F.col("dl").isNotNull(), F.col("tf"))), F.lit(0)).alias("n"), F.sum("dl").alias("total"))
     return rows.filter("NOT whole").drop("whole"), stats.select("n", F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(0.0).alias("avgdl"))
 

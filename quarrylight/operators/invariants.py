@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.operators.retrieval import MAX_ITEMS, ranked_ids
+from quarrylight.operators.retrieval import MAX_ITEMS, ranked_modes
 
 
 def check(measured: DataFrame, name: str, rule: str, holds: Column, n: Column, observed: Column, fingerprint: str = "") -> DataFrame:
@@ -56,11 +56,13 @@ def isolation_checks(chunks: DataFrame, vectors: DataFrame, index, owner_a: str,
     """
     ranked = chunks.join(vectors, "chunk_id", "left")
     target = ranked.filter((F.col("owner") == owner_b) & F.col("vec").isNotNull())
+    callers = (("cross_session", owner_a, False), ("public", None, False), ("own", owner_b, True))
+    asked = reduce(DataFrame.unionByName, [target.select(F.concat(F.lit(f"{who}:"), F.col("chunk_id").cast("string")).alias("query_id"), F.col("vec").alias("query_vec"), F.col("text").alias("query_text"), F.lit(caller).cast("string").alias("caller")) for who, caller, _ in callers])
+    modes = ranked_modes(asked, ranked.select("chunk_id", "vec", "owner"), index, MAX_ITEMS)
     parts = []
-    for who, caller, control in (("cross_session", owner_a, False), ("public", None, False), ("own", owner_b, True)):
-        queries = target.select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("query_vec"), F.col("text").alias("query_text"), F.lit(caller).cast("string").alias("caller"))
-        for mode in ("dense", "sparse", "rrf"):
-            hits = ranked_ids(mode, queries, ranked.select("chunk_id", "vec", "owner"), index, MAX_ITEMS)
+    for who, _, control in callers:
+        for mode, found in modes.items():
+            hits = found.filter(F.col("query_id").startswith(f"{who}:"))
             seen = hits.join(chunks.select("chunk_id", "owner"), "chunk_id").agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("owner") == owner_b).cast("long")), F.lit(0)).alias("seen"))
             holds = F.col("seen") > 0 if control else F.col("seen") == 0
             parts.append(check(seen, f"isolation_{who}_{mode}", "own chunks are found" if control else "no chunk of another owner", holds, F.col("n"), F.col("seen")))

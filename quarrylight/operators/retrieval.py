@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions.text import count_tokens, tokenize
+from quarrylight.operators import lexical
 from quarrylight.operators.matrix import best_of_blocks
+from quarrylight.sources.shared import write_shared
 
 #: BM25 saturation and length weight, fusion constant, pools and limits.
 K1, B, RRF_K = 1.5, 0.75, 60
@@ -45,19 +47,16 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return tokens.groupBy("query_id", "caller", "term").agg(F.count("*").alias("qtf"))
 
 
-def sparse(queries: DataFrame, posted: DataFrame, terms: DataFrame, stats: DataFrame, owners: DataFrame | None = None, k: int = POOL) -> DataFrame:
-    """BM25 top-k with the number of matched query tokens. queries: query_id, query_text, caller.
+def sparse(queries: DataFrame, posted: DataFrame, terms: DataFrame, stats: DataFrame, owners: DataFrame | None = None, k: int = POOL, counted: bool = True) -> DataFrame:
+    """BM25 top-k with the number of matched query tokens (0 if not ``counted``). queries: query_id, query_text, caller.
 
     posted, terms and stats are the index; ``owners`` (chunk_id, owner) hides chunks before the
     ranking. Document frequencies count all owners' chunks. Texts that share no term have no hit.
     """
-    length = 1 - B + B * F.col("dl") / stats.select("avgdl").scalar()
-    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
-    hits = query_terms(queries).join(terms.select("term", "idf"), "term").join(posted, "term")
-    if owners is not None:
-        hits = hits.join(owners, "chunk_id").filter(visible(F.col("owner"), F.col("caller")))
-    scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qtf") * gain), DIGITS).alias("score"), F.sum("qtf").alias("matched"))
-    return top_k(scored.filter("score > 0"), k)
+    rows = lexical.packed(posted)
+    rows = rows.withColumn("owner", F.lit("")) if owners is None else rows.join(owners.select("chunk_id", "owner"), "chunk_id")
+    asked = query_terms(queries).join(terms.select("term", "idf"), "term")
+    return top_k(lexical.best_texts(asked, rows, stats.first()["avgdl"], k, DIGITS, K1, B, counted), k)
 
 
 def rrf(legs: dict[str, DataFrame], weights: dict[str, float] | None = None, limit: int | None = None, k: int = RRF_K) -> DataFrame:
@@ -156,9 +155,15 @@ def ranked_ids(mode: str, queries: DataFrame, chunks: DataFrame, index: tuple[Da
     if mode == "dense":
         return dense(queries, chunks, pool).select("query_id", "chunk_id", "score", "rank")
     posted, terms, stats = index
-    lexical = sparse(queries, posted, terms, stats, chunks.select("chunk_id", "owner"), pool)
+    found = sparse(queries, posted, terms, stats, chunks.select("chunk_id", "owner"), pool, counted=False)
     if mode == "sparse":
-        return lexical.select("query_id", "chunk_id", "score", "rank")
+        return found.select("query_id", "chunk_id", "score", "rank")
     if mode == "rrf":
-        return rrf({"dense": dense(queries, chunks, pool), "sparse": lexical}).select("query_id", "chunk_id", "score", "rank")
+        return rrf({"dense": dense(queries, chunks, pool), "sparse": found}).select("query_id", "chunk_id", "score", "rank")
     raise ValueError(f"unknown mode {mode!r}")
+
+
+def ranked_modes(queries: DataFrame, chunks: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], pool: int = POOL) -> dict[str, DataFrame]:
+    """The rankings of all modes; each leg runs once and is stored, for its own mode and for the fusion."""
+    legs = {mode: write_shared(ranked_ids(mode, queries, chunks, index, pool), f"{mode}-leg") for mode in ("dense", "sparse")}
+    return legs | {"rrf": rrf(legs).select("query_id", "chunk_id", "score", "rank")}

@@ -98,7 +98,7 @@ def section_chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 def sparse_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, queries = child_chunks(spark, sf_dir), text_queries(spark, sf_dir)
-    return retrieval.sparse(queries, *text_index(chunks, queries), chunks.select("chunk_id", "owner"))
+    return retrieval.sparse(queries, *text_index(chunks, queries), chunks.select("chunk_id", "owner"), counted=False)
 
 
 TOKENS = r"""list_reduce(list_transform(regexp_extract_all({c}, '[A-Za-z0-9]+(?:[._\-@/#][A-Za-z0-9]+)*'), lambda t:
@@ -467,7 +467,7 @@ FUSED_SQL = f"WITH {VECTORS_SQL}, {DENSE_SQL}, {index_sql()}, {sparse_sql('vq')}
 def fused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     chunks = all_chunks(spark, sf_dir)
     queries = vector_queries(chunks)
-    legs = {"dense": retrieval.dense(queries, chunks), "sparse": retrieval.sparse(queries, *text_index(chunks, queries), chunks.select("chunk_id", "owner"))}
+    legs = {"dense": retrieval.dense(queries, chunks), "sparse": retrieval.sparse(queries, *text_index(chunks, queries), chunks.select("chunk_id", "owner"), counted=False)}
     return chunks, retrieval.rrf(legs)
 
 
@@ -545,8 +545,8 @@ def a19_mode_grid(spark, sf_dir):
     queries = vector_queries(chunks)
     built = text_index(chunks, queries)
     out = None
-    for mode in ("dense", "sparse", "rrf"):
-        swept = retrieval.sweep(retrieval.costed(retrieval.ranked_ids(mode, queries, chunks, built), chunks), (500, 1500, 3000))
+    for mode, hits in retrieval.ranked_modes(queries, chunks, built).items():
+        swept = retrieval.sweep(retrieval.costed(hits, chunks), (500, 1500, 3000))
         part = swept.groupBy("budget").agg(F.count_distinct("query_id").alias("n_queries"), F.sum("n_delivered").alias("n_delivered")).withColumn("mode", F.lit(mode))
         out = part if out is None else out.unionByName(part)
     return out.select("mode", "budget", "n_queries", "n_delivered")
@@ -1141,7 +1141,7 @@ def e5_scored_both_units(spark, sf_dir):
     """Children and their section parents as chunked, each scored by its own text."""
     chunks, parents = section_chunks(spark, sf_dir)
     queries = text_queries(spark, sf_dir)
-    ranked = retrieval.sparse(queries, *text_index(chunks, queries), chunks.select("chunk_id", "owner"))
+    ranked = retrieval.sparse(queries, *text_index(chunks, queries), chunks.select("chunk_id", "owner"), counted=False)
     accept = needle_hits(spark, sf_dir).groupBy("item_id").agg(F.collect_set("source_id").alias("accept"))
     items = needles(spark, sf_dir).join(accept, "item_id", "left")
     return evaluate.run(items, ranked, chunks, parents)
