@@ -1,6 +1,9 @@
+import random
+
 from pyspark.sql import functions as F
 
 from quarrylight.operators import geometry, tables
+from quarrylight.operators.components import components
 
 
 def grid(source, page, left, top, columns, rows, width=60.0, height=20.0, broken=False):
@@ -39,3 +42,21 @@ def test_found_tables_feed_continuations(spark):
     rows = found(spark, segments, [("a", p, 800.0) for p in (1, 2, 3)]).withColumn("header_ok", F.lit(True))
     got = {(r["page"], r["suspect"]) for r in tables.continuations(rows).collect()}
     assert got == {(2, True), (3, False)}
+
+
+def test_pages_in_one_row_equal_distributed_joins(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = []
+    for page in range(60):
+        for _ in range(rng.randrange(1, 40)):
+            x, y, size = rng.randrange(0, 200, 4) + rng.choice([0.0, 0.05, 2.0]), rng.randrange(0, 200, 4) + 0.1, rng.randrange(0, 120)
+            rows.append((str(page % 7), page, x, y, x + size, y) if rng.random() < 0.5 else (str(page % 7), page, x, y, x, y + size))
+    segments = spark.createDataFrame(rows, "source_id string, page int, x0 double, y0 double, x1 double, y1 double")
+    pages = segments.select("source_id", "page").distinct().withColumn("height", F.lit(792.0))
+    found = lambda: sorted(map(tuple, geometry.ruled_tables(segments, pages).collect()))
+    whole = found()
+    calls = []
+    monkeypatch.setattr(geometry, "components", lambda edges: calls.append(1) or components(edges))
+    assert found() == whole and not calls  # pages of few rules need no contraction
+    monkeypatch.setattr(geometry, "PAGE_RULES", 12)
+    assert found() == whole and calls and len(whole) > 30
