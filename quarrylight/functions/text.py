@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -67,8 +68,19 @@ def tokenize(text: Column) -> Column:
         parts = F.filter(F.split(token, SEPARATORS), lambda p: p != "")
         return F.concat(F.array(F.lower(token)), several(parts), several(pieces(token)))
 
-    whole = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
-    return F.flatten(F.transform(whole, lambda t: F.when(t.rlike(COMPOUND), expand(t)).otherwise(F.array(F.lower(t)))))
+    return F.flatten(F.transform(words(text), lambda t: F.when(t.rlike(COMPOUND), expand(t)).otherwise(F.array(F.lower(t)))))
+
+
+def words(text: Column) -> Column:
+    """The whole tokens that ``tokenize`` starts from, in order and raw."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+
+
+def word_tokens(word: str) -> list[str]:
+    """What ``tokenize`` makes of one raw token, for callers that look at each distinct one once."""
+    parts = [p for p in re.split(SEPARATORS, word) if p]
+    pieces = [p for p in re.sub("(?<=[a-z0-9])(?=[A-Z])", "\n", word).split("\n") if p]
+    return [p.lower() for p in (word, *(parts if len(parts) > 1 else ()), *(pieces if len(pieces) > 1 else ()))]
 
 
 def found_prefix(needle: Column, text: Column) -> Column:

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.sources.shared import write_shared
+from quarrylight.sources.shared import bounded, write_shared
 
 #: Block lengths for long needles; grams of short ones.
 BLOCKS, SHORT = (32, 16, 8), 6
@@ -73,6 +73,6 @@ def contained(needles: DataFrame, rows: DataFrame, needle: str = "needle", text:
     if size["n"] == 0:
         return held.drop(text).join(own.select("needle").limit(0)).select("needle", *(c for c in held.columns if c != text))
     few = size["n"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES
-    pairs = candidates(own, held.select("text_id", F.col(text).alias("text")))
-    asked = pairs.join(F.broadcast(own) if few else own, "needle_id").drop("needle_id")
-    return asked.join(held, "text_id").filter(F.contains(F.col(text), F.col("needle"))).select("needle", *(c for c in held.columns if c != text))
+    pairs = bounded(write_shared(candidates(own, held.select("text_id", F.col(text).alias("text"))), "needle-pairs"))
+    asked = held.join(pairs, "text_id").join(F.broadcast(own) if few else own, "needle_id")
+    return asked.filter(F.contains(F.col(text), F.col("needle"))).select("needle", *(c for c in held.columns if c != text))

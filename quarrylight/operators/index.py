@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions.text import tokenize
+from quarrylight.operators import lexical
 from quarrylight.sources.shared import write_shared
 
 #: Fixed value: vectors shorter than this are empty and leave the index.
@@ -84,9 +85,28 @@ def reached(texts: DataFrame, only: DataFrame, key: str = "chunk_id", text: str
     return rows.filter("NOT whole").drop("whole"), stats.select("n", F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(0.0).alias("avgdl"))
 
 
+def reached_texts(texts: DataFrame, only: DataFrame, key: str = "chunk_id", text: str = "text", carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """As ``reached``, with one stored row a text (key, ``carried``, dl, terms, tfs) instead of one a posting.
+
+    Terms are counted within the row and no token is shuffled. Where keys repeat, the texts of one are one, as in ``postings``,
+    with a row for each of their ``carried``; ``twin`` marks all of these but one.
+    """
+    rows = write_shared(lexical.counted_texts(texts, only, key, text, carried), "reached")
+    if not rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        posted, stats = reached(texts, only, key, text)
+        packed = lexical.packed(posted.withColumnRenamed(key, "chunk_id")).withColumnRenamed("chunk_id", key)
+        twin = F.row_number().over(Window.partitionBy(key).orderBy(key, *carried)) > 1
+        return packed.join(texts.select(key, *carried).distinct().withColumn("twin", twin), key), stats
+    n = F.count("*")
+    return rows.filter(F.size("terms") > 0), rows.agg(n.alias("n"), F.when(n > 0, F.sum("dl") / n).otherwise(0.0).alias("avgdl"))
+
+
 def term_stats(posted: DataFrame, stats: DataFrame) -> DataFrame:
-    """term, df and idf (never negative)."""
-    df = posted.groupBy("term").agg(F.count(F.when((F.col("dl") > 0) & (F.col("tf") > 0), 1)).alias("df"))
+    """term, df and idf (never negative), of postings or of rows that list each text's terms."""
+    if "terms" in posted.columns:
+        df = (posted.filter("NOT twin") if "twin" in posted.columns else posted).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    else:
+        df = posted.groupBy("term").agg(F.count(F.when((F.col("dl") > 0) & (F.col("tf") > 0), 1)).alias("df"))
     n = stats.select("n").scalar()
     return df.select("term", "df", F.greatest(F.lit(0.0), F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
 

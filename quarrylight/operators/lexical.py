@@ -1,4 +1,4 @@
-"""BM25 of texts against a stated query set: weights of a block of queries are broadcast, each task scores its texts against all of them, and only the best of each task are shuffled."""
+"""BM25 of texts against a stated query set: each text's terms are counted within its row, weights of a block of queries are broadcast, each task scores its texts against all of them, and only the best of each task are shuffled."""
 
 from __future__ import annotations
 
@@ -12,11 +12,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from quarrylight.functions.text import word_tokens, words
 from quarrylight.operators.matrix import QUERIES, ROWS, Best
 from quarrylight.sources.shared import write_shared
 
 #: Terms that most queries of a block have: these go through a matrix product, the others pair by pair, at most PAIRS at once.
 COMMON, PAIRS = 512, 2_000_000
+#: Terms of queries that are broadcast at most, to leave others out where texts are counted (some 50 bytes each).
+TERMS = 200_000
+
+
+def counted_texts(texts: DataFrame, only: DataFrame | None = None, key: str = "chunk_id", text: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """One row a text: key, ``carried``, its token count dl, its terms and their tfs. Nothing is shuffled.
+
+    only (term): other terms are left out, as far as ``TERMS`` of them are broadcast; of more, all terms are kept. Texts
+    without terms have a row with empty lists.
+    """
+    session = texts.sparkSession
+    wanted = None if only is None else only.select("term").distinct().limit(TERMS + 1).toArrow()["term"].combine_chunks()
+    shared = None if wanted is None or len(wanted) > TERMS else session.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(batch.num_columns - 1)
+            coded = raw.flatten().dictionary_encode()
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(raw.value_lengths(), np.int64))
+            # Each distinct raw token of a batch is cut once.
+            cut = [word_tokens(w) for w in coded.dictionary.to_pylist()]
+            made = pa.array([t for tokens in cut for t in tokens], pa.string()).dictionary_encode()
+            sizes = np.array([len(tokens) for tokens in cut], np.int64)
+            pairs, n = np.unique(row * max(1, len(cut)) + np.asarray(coded.indices, np.int64), return_counts=True)
+            row, code = np.divmod(pairs, max(1, len(cut)))
+            many = sizes[code]
+            dl = np.bincount(row, n * many, batch.num_rows).astype(np.int64)
+            at = np.repeat((np.cumsum(sizes) - sizes)[code] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            row, n, code = np.repeat(row, many), np.repeat(n, many), np.asarray(made.indices, np.int64)[at]
+            names = made.dictionary
+            if shared is not None:
+                met = pc.is_in(names, value_set=shared.value).to_numpy(zero_copy_only=False).astype(bool)[code]
+                row, n, code = row[met], n[met], code[met]
+            pairs, back = np.unique(row * max(1, len(names)) + code, return_inverse=True)
+            tfs = np.bincount(back, n, len(pairs)).astype(np.int64)
+            row, code = np.divmod(pairs, max(1, len(names)))
+            starts = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(starts, names.take(pa.array(code))), pa.ListArray.from_arrays(starts, pa.array(tfs, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(dl, pa.int32()), *lists], names=[*batch.schema.names[:-1], "dl", "terms", "tfs"])
+
+    own = texts.select(key, *carried, words(F.col(text)).alias("words"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
+    return own.mapInArrow(run, f"{kept}, dl int, terms array<string>, tfs array<int>")
 
 
 def packed(posted: DataFrame) -> DataFrame:

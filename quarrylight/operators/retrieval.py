@@ -50,11 +50,15 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def sparse(queries: DataFrame, posted: DataFrame, terms: DataFrame, stats: DataFrame, owners: DataFrame | None = None, k: int = POOL, counted: bool = True) -> DataFrame:
     """BM25 top-k with the number of matched query tokens (0 if not ``counted``). queries: query_id, query_text, caller.
 
-    posted, terms and stats are the index; ``owners`` (chunk_id, owner) hides chunks before the
+    posted, terms and stats are the index; ``posted`` has a row a posting, or one a text with lists of terms and tfs.
+    ``owners`` (chunk_id, owner), or the owner that such a row carries, hides chunks before the
     ranking. Document frequencies count all owners' chunks. Texts that share no term have no hit.
     """
-    rows = lexical.packed(posted)
-    rows = rows.withColumn("owner", F.lit("")) if owners is None else rows.join(owners.select("chunk_id", "owner"), "chunk_id")
+    rows = posted if "terms" in posted.columns else lexical.packed(posted)
+    if owners is not None:
+        rows = rows.drop("owner").join(owners.select("chunk_id", "owner"), "chunk_id")
+    elif "owner" not in rows.columns:
+        rows = rows.withColumn("owner", F.lit(""))
     asked = query_terms(queries).join(terms.select("term", "idf"), "term")
     return top_k(lexical.best_texts(asked, rows, stats.first()["avgdl"], k, DIGITS, K1, B, counted), k)
 

@@ -18,7 +18,7 @@ from quarrylight.functions import ids, rates, text
 from quarrylight.operators import answers, chunking, evaluation, geometry, index, invariants, lifecycle, retrieval, segments, tables
 from quarrylight.plans import ask, evaluate, ingest, library
 from quarrylight.sources import artifacts, uploads
-from quarrylight.sources.shared import shared_dir
+from quarrylight.sources.shared import bounded, shared_dir, write_shared
 from quarrylight.streaming import limits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,12 +72,12 @@ def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_index(chunks: DataFrame, queries: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The whole index, or the part of it that ``queries`` reach."""
+    """The whole index, or the part of it that ``queries`` reach, a row a text with its owner."""
     if queries is None:
         posted = index.postings(chunks)
         stats = index.corpus_stats(chunks, posted)
     else:
-        posted, stats = index.reached(chunks, retrieval.query_terms(queries))
+        posted, stats = index.reached_texts(chunks, retrieval.query_terms(queries), carried=("owner",))
     return posted, index.term_stats(posted, stats), stats
 
 
@@ -98,7 +98,7 @@ def section_chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 def sparse_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, queries = child_chunks(spark, sf_dir), text_queries(spark, sf_dir)
-    return retrieval.sparse(queries, *text_index(chunks, queries), chunks.select("chunk_id", "owner"), counted=False)
+    return retrieval.sparse(queries, *text_index(chunks, queries), counted=False)
 
 
 TOKENS = r"""list_reduce(list_transform(regexp_extract_all({c}, '[A-Za-z0-9]+(?:[._\-@/#][A-Za-z0-9]+)*'), lambda t:
@@ -417,7 +417,7 @@ def r22_vocabulary(spark, sf_dir):
 @query(f"WITH {CHUNKS_SQL}, {TQ_SQL}, {index_sql()}, {sparse_sql('tq')} SELECT query_id, chunk_id, rank::INT AS rank, matched, round(score, 6) AS score FROM sparse WHERE rank < 10")
 def r10_sparse_top_k(spark, sf_dir):
     chunks, queries = child_chunks(spark, sf_dir), text_queries(spark, sf_dir)
-    hits = retrieval.sparse(queries, *text_index(chunks, queries), chunks.select("chunk_id", "owner"), 10)
+    hits = retrieval.sparse(queries, *text_index(chunks, queries), k=10)
     return hits.select("query_id", "chunk_id", "rank", "matched", F.round("score", 6).alias("score"))
 
 
@@ -467,7 +467,7 @@ FUSED_SQL = f"WITH {VECTORS_SQL}, {DENSE_SQL}, {index_sql()}, {sparse_sql('vq')}
 def fused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     chunks = all_chunks(spark, sf_dir)
     queries = vector_queries(chunks)
-    legs = {"dense": retrieval.dense(queries, chunks), "sparse": retrieval.sparse(queries, *text_index(chunks, queries), chunks.select("chunk_id", "owner"), counted=False)}
+    legs = {"dense": retrieval.dense(queries, chunks), "sparse": retrieval.sparse(queries, *text_index(chunks, queries), counted=False)}
     return chunks, retrieval.rrf(legs)
 
 
@@ -604,7 +604,8 @@ def a13_a14_golden_summary(spark, sf_dir):
 
 def delivered_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = child_chunks(spark, sf_dir)
-    return retrieval.fill(retrieval.costed(sparse_hits(spark, sf_dir), chunks), 1500).join(chunks.select("chunk_id", "source_id", "text"), "chunk_id")
+    filled = write_shared(retrieval.fill(retrieval.costed(sparse_hits(spark, sf_dir), chunks), 1500), "filled")
+    return bounded(filled).join(chunks.select("chunk_id", "source_id", "text"), "chunk_id")
 
 
 SCORE_SQL = f"""{SPARSE_HITS_SQL}, {CHILD_FILL_SQL.format(hits='sparse')}, {NEEDLE_SQL},
@@ -1141,7 +1142,7 @@ def e5_scored_both_units(spark, sf_dir):
     """Children and their section parents as chunked, each scored by its own text."""
     chunks, parents = section_chunks(spark, sf_dir)
     queries = text_queries(spark, sf_dir)
-    ranked = retrieval.sparse(queries, *text_index(chunks, queries), chunks.select("chunk_id", "owner"), counted=False)
+    ranked = retrieval.sparse(queries, *text_index(chunks, queries), counted=False)
     accept = needle_hits(spark, sf_dir).groupBy("item_id").agg(F.collect_set("source_id").alias("accept"))
     items = needles(spark, sf_dir).join(accept, "item_id", "left")
     return evaluate.run(items, ranked, chunks, parents)
@@ -1156,7 +1157,7 @@ def w9_latest_turn(spark, sf_dir):
 @query(f"""{SCORE_SQL}, arms AS (SELECT 'context' AS arm, item_id, strict FROM scored UNION ALL SELECT 'plain', item_id, partial FROM scored)
 SELECT 'delivered' AS basis, 1500 AS budget, count(*) FILTER (arm = 'context' AND strict) AS context_hits, count(*) FILTER (arm = 'context') AS context_n, count(*) FILTER (arm = 'plain' AND strict) AS plain_hits, count(*) FILTER (arm = 'plain') AS plain_n FROM arms""")
 def a20_ab_grid(spark, sf_dir):
-    scored = scored_items(spark, sf_dir)
+    scored = write_shared(scored_items(spark, sf_dir), "scored")
     arms = [scored.select(F.lit(arm).alias("arm"), F.lit(print_).alias("fingerprint"), F.lit("delivered").alias("basis"), F.lit(1500).alias("budget"), F.col(c).alias("strict")) for arm, print_, c in (("context", "f1", "strict"), ("plain", "f2", "partial"))]
     return evaluation.ab_grid(arms[0].unionByName(arms[1]), "context", "plain")
 

@@ -6,13 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.operators import evaluation, retrieval
+from quarrylight.sources.shared import bounded, write_shared
 
 
 def delivered(ranked: DataFrame, chunks: DataFrame, parents: DataFrame, budget: int) -> DataFrame:
     """item_id, unit, rank, source_id, text: what each query of a ranking is delivered, as children and as parents.
 
-    chunks: chunk_id, parent_id, source_id, display_text, embed_text; parents: parent_id, parent_text.
+    chunks: chunk_id, parent_id, source_id, display_text, embed_text; parents: parent_id, parent_text. Both are read once: what
+    follows reads only the ranked chunks and their parents, which are stored.
     """
+    ranked = write_shared(ranked, "ranked")
+    wanted = bounded(write_shared(ranked.select("chunk_id").distinct(), "ranked-chunks"))
+    chunks = write_shared(chunks.join(wanted, "chunk_id", "left_semi").select("chunk_id", "parent_id", "source_id", "display_text", "embed_text"), "ranked-texts")
+    owning = bounded(write_shared(chunks.select("parent_id").distinct(), "ranked-parents"))
+    parents = write_shared(parents.join(owning, "parent_id", "left_semi"), "parent-texts")
     kids = retrieval.fill(retrieval.costed(ranked, chunks), budget).join(chunks.select("chunk_id", "source_id", F.col("display_text").alias("text")), "chunk_id")
     whole = retrieval.fill(retrieval.costed(ranked, chunks, parents, unit="parent"), budget).filter("cost > 0")
     whole = whole.join(chunks.select("chunk_id", "source_id", "parent_id", "display_text"), "chunk_id").join(parents, "parent_id", "left").withColumn("text", F.coalesce("parent_text", "display_text"))

@@ -7,9 +7,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of a few numbers that one task writes as one file.
 FILE_ROWS = 500_000
+#: Rows of a few numbers and ids that are broadcast at most.
+BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +45,11 @@ def write_shared(df: DataFrame, name: str, rows: int | None = None) -> DataFrame
     return written
 
 
+def bounded(written: DataFrame) -> DataFrame:
+    """A stored narrow table, marked for broadcast if it has at most ``BROADCAST_ROWS`` rows: wide tables that meet it are then not shuffled."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 def drop_shared(*written: DataFrame) -> None:
     """Delete tables of ``write_shared`` that no later plan reads."""
     for df in written:

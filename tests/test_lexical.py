@@ -61,3 +61,38 @@ def test_many_blocks_of_queries_find_the_same(spark, monkeypatch):
     whole = once()
     monkeypatch.setattr(lexical, "QUERIES", 9)
     assert once() == whole and len(whole) == 240
+
+
+def odd_texts(spark):
+    rows = [(1, "es", "Alpha beta alpha v1.2 camelCase iPhone4S-x.Y"), (2, "", ""), (3, "", None), (4, "", "a_b__c _d_ é naïve #tag A/B@c fooBarBAZ x.y.x"), (5, "", "--"), (6, "", "Alpha " * 5 + "x.y 9aB9"), (7, "es", "\u212a \u0130 \U0001f600")]
+    return spark.createDataFrame(rows, "chunk_id long, owner string, text string").repartition(2)
+
+
+@pytest.mark.parametrize("most", [200_000, 1])
+def test_texts_counted_in_their_rows_are_the_postings(spark, monkeypatch, most):
+    monkeypatch.setattr(lexical, "TERMS", most)
+    texts, only = odd_texts(spark), spark.createDataFrame([("alpha",), ("x",), ("y",), ("b",), ("case",), ("4s",), ("absent",)], "term string")
+    want = {tuple(r) for r in index.postings(texts).select("chunk_id", "term", "tf", "dl").collect()}
+    kept = {r["term"] for r in only.collect()} if most > 7 else {t for _, t, _, _ in want}
+    for terms, found in ((only, kept), (None, {t for _, t, _, _ in want})):
+        rows = lexical.counted_texts(texts, terms, carried=("owner",))
+        got = {(r.chunk_id, t, n, r.dl) for r in rows.collect() for t, n in zip(r.terms, r.tfs)}
+        assert got == {w for w in want if w[1] in found}
+        assert sorted((r.chunk_id, r.owner) for r in rows.collect()) == sorted((r.chunk_id, r.owner) for r in texts.collect())
+
+
+def test_reached_texts_equal_reached_postings(spark):
+    only = spark.createDataFrame([("alpha",), ("x",), ("b",)], "term string")
+    twice = odd_texts(spark).unionByName(odd_texts(spark).filter("chunk_id IN (1, 5)").withColumns({"text": F.lit("alpha b"), "owner": F.lit("fr")}))
+    for texts in (odd_texts(spark), twice, odd_texts(spark).limit(0)):
+        rows, stats = index.reached_texts(texts, only, carried=("owner",))
+        posted, whole = index.reached(texts, only)
+        assert {(r.chunk_id, t, n, r.dl) for r in rows.collect() for t, n in zip(r.terms, r.tfs)} == {(r.chunk_id, t, n, r.dl) for r in lexical.packed(posted).collect() for t, n in zip(r.terms, r.tfs)}
+        assert tuple(stats.first()) == tuple(whole.first())
+        assert sorted(map(tuple, index.term_stats(rows, stats).collect())) == sorted(map(tuple, index.term_stats(posted, whole).collect()))
+
+
+def test_tokens_are_not_shuffled(spark):
+    texts = odd_texts(spark).coalesce(1)
+    plan = lexical.counted_texts(texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "Aggregate" not in plan
