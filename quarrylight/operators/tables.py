@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions.text import corrupt_cells, first_filled_row, header_plausible, squash
@@ -34,23 +33,22 @@ def matched(blocks: DataFrame, candidates: DataFrame) -> DataFrame:
     """source_id, page, ordinal, table_no: each table block takes the first free candidate of its page whose probes it holds.
 
     blocks: source_id, page, ordinal, text; candidates: source_id, page, table_no, first_row. A candidate is
-    consumed by its first block, so a page is one group; pages are small.
+    consumed by its first block, so a page is one row, in which its blocks are folded in order; pages are small.
     """
     probes = F.slice(F.filter(F.transform("first_row", squash), lambda c: F.length(c) >= PROBE_CHARS), 1, PROBES)
-    left = blocks.select("source_id", "page", "ordinal", squash(F.col("text")).alias("text"))
-    right = candidates.select("source_id", "page", "table_no", probes.alias("probes")).filter(F.size("probes") > 0)
-
-    def run(held: pa.Table, offered: pa.Table) -> pa.Table:
-        free = sorted(offered.to_pylist(), key=lambda r: r["table_no"])
-        out = []
-        for block in sorted(held.to_pylist(), key=lambda r: r["ordinal"]):
-            hit = next((c for c in free if all(p in block["text"] for p in c["probes"])), None)
-            if hit:
-                free.remove(hit)
-                out.append({"source_id": block["source_id"], "page": block["page"], "ordinal": block["ordinal"], "table_no": hit["table_no"]})
-        return pa.Table.from_pylist(out, schema=pa.schema([("source_id", pa.string()), ("page", pa.int32()), ("ordinal", pa.int32()), ("table_no", pa.int32())]))
-
-    return left.groupBy("source_id", "page").cogroup(right.groupBy("source_id", "page")).applyInArrow(run, "source_id string, page int, ordinal int, table_no int")
+    kind = "struct<{0}:int,{1}>".format
+    left = blocks.select("source_id", "page", F.struct(F.col("ordinal").cast("int").alias("ordinal"), squash(F.col("text")).alias("text")).alias("block"), F.lit(None).cast(kind("table_no", "probes:array<string>")).alias("offer"))
+    right = candidates.select("source_id", "page", F.lit(None).cast(kind("ordinal", "text:string")).alias("block"), F.struct(F.col("table_no").cast("int").alias("table_no"), probes.alias("probes")).alias("offer")).filter(F.size("offer.probes") > 0)
+    pages = left.unionByName(right).groupBy("source_id", "page").agg(F.sort_array(F.collect_list("block")).alias("blocks"), F.sort_array(F.collect_list("offer")).alias("offers")).filter((F.size("blocks") > 0) & (F.size("offers") > 0))
+
+    def fold(state: Column, block: Column) -> Column:
+        # Places of candidates that are still free, and for each block so far its candidate's place, or null.
+        hit = F.get(F.filter(state["free"], lambda at: F.forall(F.get("offers", at)["probes"], lambda probe: F.contains(block["text"], probe))), F.lit(0))
+        return F.get(F.transform(F.array(hit), lambda at: F.struct(F.filter(state["free"], lambda x: ~x.eqNullSafe(at)).alias("free"), F.concat(state["taken"], F.array(at)).alias("taken"))), F.lit(0))
+
+    start = F.struct(F.sequence(F.lit(0), F.size("offers") - 1).alias("free"), F.array().cast("array<int>").alias("taken"))
+    told = pages.select("source_id", "page", F.posexplode(F.aggregate("blocks", start, fold, lambda s: s["taken"])).alias("n", "at"), "blocks", "offers")
+    return told.filter("at IS NOT NULL").select("source_id", "page", F.get("blocks", F.col("n"))["ordinal"].alias("ordinal"), F.get("offers", F.col("at"))["table_no"].alias("table_no"))
 
 
 def provenance_propagation(files: DataFrame) -> DataFrame:
