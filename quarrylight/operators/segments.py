@@ -3,7 +3,7 @@
 A segment holds postings by (term, block of ``BLOCK`` chunks of like length), each row with the largest tf
 and the smallest length of its chunks, from which a bound on any score in the block follows under
 any corpus statistics. A frequent term has many rows, so no term is one task's work. Beside them stand the
-chunks with their terms (what a removal needs to take counts back) and signed document frequencies.
+chunks with their terms and tfs (what a removal needs to take counts back, and a merge to post anew) and signed document frequencies.
 
 A version is a manifest of segments; readers of a version are not disturbed by later ones, and of two writers
 one fails. A chunk removed at a sequence number is hidden in all segments of smaller numbers; adding it
@@ -19,10 +19,12 @@ import uuid
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.operators.index import postings
+from quarrylight.operators.lexical import counted_texts
 from quarrylight.operators.numbering import numbered
 from quarrylight.operators.retrieval import B, DIGITS, K1, POOL, query_terms, top_k, visible
 from quarrylight.sources.shared import drop_shared, write_shared
@@ -37,7 +39,7 @@ SALTS = 16
 SLACK = 1e-7
 
 POSTED = "term string, block long, max_tf long, min_dl int, entries array<struct<chunk_id: {key}, tf: long, dl: int>>, bucket int"
-CHUNKS = "chunk_id {key}, owner string, dl int, terms array<string>"
+CHUNKS = "chunk_id {key}, owner string, dl int, terms array<string>, tfs array<int>"
 TERMS = "term string, df long"
 
 
@@ -87,7 +89,7 @@ class Index:
         return rows.join(gone, "chunk_id", "left").filter("until IS NULL OR until <= seq").drop("until")
 
     def chunks(self) -> DataFrame:
-        """Live chunks: chunk_id, owner, dl, terms, seq."""
+        """Live chunks: chunk_id, owner, dl, terms, tfs, seq."""
         return self.live(self.read("chunks", CHUNKS, ("added",)))
 
     def terms(self, only: DataFrame | None = None) -> DataFrame:
@@ -111,22 +113,41 @@ def _next(index: Index, segments: list[dict], n: int, tokens: int) -> Index:
     return Index(index.spark, index.root, number, tuple(segments), n, tokens, index.key, index.part)
 
 
-def _write_segment(index: Index, flat: DataFrame, chunks: DataFrame, name: str) -> tuple[int, int]:
-    """Write chunks, signed terms and blocked postings of flat postings (chunk_id, term, tf, dl); counts of chunks and tokens."""
+def _write_segment(index: Index, rows: DataFrame, name: str) -> tuple[int, int]:
+    """Write chunks, signed terms and blocked postings of stored rows (chunk_id, owner, dl, terms, tfs), one a chunk; counts of chunks and tokens.
+
+    A block's chunks are brought together as rows, and each of its terms becomes a row within their task; these are shuffled once to their folders.
+    """
     path = f"{index.root}/{name}"
-    own = flat.groupBy(F.col("chunk_id").alias("id")).agg(F.max("dl").alias("dl"), F.collect_list("term").alias("terms"))
-    chunks.join(own, F.col("chunk_id") == F.col("id"), "left").select("chunk_id", "owner", F.coalesce("dl", F.lit(0)).alias("dl"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms")).write.parquet(f"{path}/chunks")
-    written = index.spark.read.schema(CHUNKS.format(key=index.key)).parquet(f"{path}/chunks")
-    placed = numbered(written.select("chunk_id", "dl"), "dl", "chunk_id").select("chunk_id", F.floor((F.col("number") - 1) / BLOCK).alias("block"))
-    entries = F.sort_array(F.collect_list(F.struct("chunk_id", "tf", "dl")))
-    blocked = flat.join(placed, "chunk_id").groupBy("term", "block").agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), entries.alias("entries"))
+    rows.select("chunk_id", "owner", "dl", "terms", "tfs").write.parquet(f"{path}/chunks")
+    placed = numbered(rows.select("chunk_id", "dl"), "dl", "chunk_id").select("chunk_id", F.floor((F.col("number") - 1) / BLOCK).alias("block"))
+    # Chunks without terms have no postings.
+    packed = rows.filter(F.size("terms") > 0).select("chunk_id", "dl", "terms", "tfs").join(placed, "chunk_id")
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
-    blocked.withColumn("bucket", bucket).repartition("bucket", F.pmod("block", F.lit(SALTS))).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
-    flat.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
-    told = written.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
+    blocked = packed.groupBy("block").applyInArrow(_postings, POSTED.format(key=index.key).rsplit(",", 1)[0]).withColumn("bucket", bucket)
+    blocked.repartition("bucket", F.pmod("block", F.lit(SALTS))).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
+    rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
+    told = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
     return told["n"], told["tokens"]
 
 
+def _postings(chunks: pa.Table) -> pa.Table:
+    """The rows of postings of one block, of its chunks (chunk_id, dl, terms, tfs, block)."""
+    chunks = chunks.sort_by("chunk_id").combine_chunks()
+    lists, counts = chunks["terms"].combine_chunks(), chunks["tfs"].combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    code, row = np.asarray(coded.indices, np.int64), np.repeat(np.arange(chunks.num_rows), np.asarray(lists.value_lengths(), np.int64))
+    order = np.argsort(code, kind="stable")
+    code, row, tf = code[order], row[order], np.asarray(counts.flatten(), np.int64)[order]
+    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    dl = np.asarray(chunks["dl"].combine_chunks(), np.int32)[row]
+    each = pa.StructArray.from_arrays([chunks["chunk_id"].combine_chunks().take(pa.array(row)), pa.array(tf), pa.array(dl)], ["chunk_id", "tf", "dl"])
+    entries = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(code)], pa.int32()), each)
+    block = pa.array(np.full(len(starts), chunks["block"][0].as_py(), np.int64))
+    most, least = pa.array(np.maximum.reduceat(tf, starts)), pa.array(np.minimum.reduceat(dl, starts))
+    return pa.table([coded.dictionary.take(pa.array(code[starts])), block, most, least, entries], names=["term", "block", "max_tf", "min_dl", "entries"])
+
+
 def remove(index: Index, ids: DataFrame) -> Index:
     """The next version without the chunks of ``ids`` (chunk_id); unknown ids change nothing. Reads the stored chunks, no texts."""
     return _next(index, *_removal(index, ids))
@@ -155,19 +176,18 @@ def add(index: Index, texts: DataFrame) -> Index:
     segments, n, tokens = _removal(index, known) if index.n else (list(index.segments), 0, 0)
     seq = max((s["seq"] for s in segments), default=0) + 1
     name = uuid.uuid4().hex
-    flat = write_shared(postings(known).select("chunk_id", "term", "tf", "dl"), "flat-postings")
-    added, own = _write_segment(index, flat, known.select("chunk_id", "owner"), name)
-    drop_shared(flat)
+    rows = write_shared(counted_texts(known, carried=("owner",)), "counted-texts")
+    added, own = _write_segment(index, rows, name)
+    drop_shared(rows)
     return _next(index, [*segments, {"id": name, "seq": seq, "kind": "added", "n": added}], n + added, tokens + own)
 
 
 def merge(index: Index) -> Index:
-    """The next version with all live postings in one segment. Reads stored postings, no texts."""
-    entries = index.read("postings", POSTED, ("added",)).select("term", "seq", F.explode("entries").alias("e")).select("term", "seq", "e.chunk_id", "e.tf", "e.dl")
-    flat = write_shared(index.live(entries).select("chunk_id", "term", "tf", "dl"), "flat-postings")
+    """The next version with all live chunks in one segment. Reads stored chunks, no texts."""
+    rows = write_shared(index.chunks().select("chunk_id", "owner", "dl", "terms", "tfs"), "live-chunks")
     name = uuid.uuid4().hex
-    n, tokens = _write_segment(index, flat, index.chunks().select("chunk_id", "owner"), name)
-    drop_shared(flat)
+    n, tokens = _write_segment(index, rows, name)
+    drop_shared(rows)
     return _next(index, [{"id": name, "seq": index.seq + 1, "kind": "added", "n": n}], n, tokens)
 
 

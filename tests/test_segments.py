@@ -106,3 +106,14 @@ def test_of_two_writers_one_fails_and_a_dead_writer_leaves_the_old_version(spark
     with pytest.raises(Exception, match="lost"):
         segments.add(won, broken)
     assert versions.numbers(spark, root) == [1] and segments.load(spark, root).n == 10
+
+
+def test_postings_of_a_block_are_made_from_its_rows(spark, tmp_path, small):
+    rows = corpus(5, range(70))
+    index = segments.add(segments.load(spark, str(tmp_path)), frame(spark, rows))
+    got = index.read("postings", segments.POSTED, ("added",)).select("term", "block", "max_tf", "min_dl", "entries").collect()
+    want = {(r.term, r.chunk_id, r.tf, r.dl) for r in I.postings(frame(spark, rows)).select("term", "chunk_id", "tf", "dl").collect()}
+    assert {(r.term, e.chunk_id, e.tf, e.dl) for r in got for e in r.entries} == want and sum(len(r.entries) for r in got) == len(want)
+    assert all((r.max_tf, r.min_dl) == (max(e.tf for e in r.entries), min(e.dl for e in r.entries)) for r in got)
+    assert len({(r.term, r.block) for r in got}) == len(got)
+    assert {(r.chunk_id, t, n) for r in index.chunks().collect() for t, n in zip(r.terms, r.tfs)} == {(c, t, n) for t, c, n, _ in want}
