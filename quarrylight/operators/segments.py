@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quarrylight.operators.lexical import counted_texts
 from quarrylight.operators.numbering import numbered
 from quarrylight.operators.retrieval import B, DIGITS, K1, POOL, query_terms, top_k, visible
-from quarrylight.sources.shared import drop_shared, write_shared
+from quarrylight.sources.shared import bounded, drop_shared, write_shared
 from quarrylight.sources.versions import manifest, numbers, publish
 
 #: Chunks of a block; hash buckets of terms, each a folder that a reader of few terms prunes by.
@@ -218,19 +218,21 @@ def bounds(index: Index, asked: DataFrame, few: bool = True) -> DataFrame:
     return _met(index, asked, few, "max_tf", "min_dl").groupBy("query_id", "seq", "block").agg(F.sum(most).alias("bound"))
 
 
-def _scored(index: Index, cells: DataFrame, asked: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score and matched of every visible live chunk in the cells (query_id, seq, block)."""
-    wanted = cells.join(asked, "query_id")
+def _scored(index: Index, cells: DataFrame, asked: DataFrame, few: bool) -> DataFrame:
+    """query_id, chunk_id, score and matched of every visible live chunk in the cells (query_id, seq, block and least) that scores ``least`` or more, if that is not null."""
+    wanted = bounded(write_shared(cells.join(asked, "query_id"), "wanted"))
     posted = index.read("postings", POSTED, ("added",)).select("bucket", "term", "seq", "block", "entries")
-    hits = posted.join(wanted, ["bucket", "term", "seq", "block"]).select("query_id", "caller", "seq", "qtf", "idf", F.explode("entries").alias("e"))
+    if few:
+        posted = posted.join(F.broadcast(asked.select("bucket", "term").distinct()), ["bucket", "term"], "left_semi")
+    hits = posted.join(wanted, ["bucket", "term", "seq", "block"]).select("query_id", "caller", "least", "seq", "qtf", "idf", F.explode("entries").alias("e"))
     each = F.col("qtf") * gain(F.col("idf"), F.col("e.tf"), F.col("e.dl"), index.avgdl)
-    sums = hits.groupBy("query_id", "caller", "seq", F.col("e.chunk_id").alias("chunk_id")).agg(F.round(F.sum(each), DIGITS).alias("score"), F.sum("qtf").alias("matched"))
+    sums = hits.groupBy("query_id", "caller", "least", "seq", F.col("e.chunk_id").alias("chunk_id")).agg(F.round(F.sum(each), DIGITS).alias("score"), F.sum("qtf").alias("matched"))
     owners = index.read("chunks", CHUNKS, ("added",)).select("chunk_id", "owner", "seq")
-    return index.live(sums.filter("score > 0").join(owners, ["chunk_id", "seq"])).filter(visible(F.col("owner"), F.col("caller"))).select("query_id", "chunk_id", "score", "matched")
+    return index.live(sums.filter("score > 0 AND (least IS NULL OR score >= least)").join(owners, ["chunk_id", "seq"])).filter(visible(F.col("owner"), F.col("caller"))).select("query_id", "chunk_id", "score", "matched")
 
 
 def cells(index: Index, asked: DataFrame, k: int, few: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(query_id, seq, block and whether it must be scored yet; stored hits of the blocks scored first).
+    """(query_id, seq, block, whether it must be scored yet, and the k-th score so far; stored hits of the blocks scored first).
 
     A block is left out if its bound is under the k-th score so far. Bounds and scores differ by rounding alone,
     which ``SLACK`` covers.
@@ -238,11 +240,11 @@ def cells(index: Index, asked: DataFrame, k: int, few: bool = True) -> tuple[Dat
     known = write_shared(bounds(index, asked, few), "bounds")
     first = top_k(known.withColumnRenamed("bound", "score").withColumn("cell", F.struct("seq", "block")), k, "cell").select("query_id", "seq", "block", F.lit(True).alias("seed"))
     seeds = write_shared(first, "seeds")
-    hits = write_shared(_scored(index, seeds.drop("seed"), asked), "seed-hits")
+    hits = write_shared(_scored(index, seeds.drop("seed").withColumn("least", F.lit(None).cast("double")), asked, few), "seed-hits")
     threshold = top_k(hits, k).filter(F.col("rank") == k - 1).select("query_id", F.col("score").alias("least"))
     marked = known.join(seeds, ["query_id", "seq", "block"], "left").join(threshold, "query_id", "left")
     reaches = F.col("least").isNull() | (F.col("bound") + SLACK >= F.col("least"))
-    return marked.select("query_id", "seq", "block", F.coalesce("seed", F.lit(False)).alias("seed"), (F.col("seed").isNull() & reaches).alias("needed")), hits
+    return marked.select("query_id", "seq", "block", F.coalesce("seed", F.lit(False)).alias("seed"), (F.col("seed").isNull() & reaches).alias("needed"), "least"), hits
 
 
 def search(index: Index, queries: DataFrame, k: int = POOL) -> DataFrame:
@@ -250,5 +252,5 @@ def search(index: Index, queries: DataFrame, k: int = POOL) -> DataFrame:
     asked = _asked(index, queries)
     few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     marked, hits = cells(index, asked, k, few)
-    rest = _scored(index, marked.filter("needed").select("query_id", "seq", "block"), asked)
+    rest = _scored(index, marked.filter("needed").select("query_id", "seq", "block", "least"), asked, few)
     return top_k(hits.unionByName(rest), k)
