@@ -27,17 +27,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.llm._common import write_shared
-from quarrylight.llm.pieces import Memo, splitter
+from quarrylight.llm.pieces import PATTERN, Memo, plain, splitter
 
 CAPACITY = 2048
 #: Pieces of a cell, and the most cells that the driver holds counts of.
 CELL_ROWS, CELLS = 500, 100_000
+#: The character that a byte-level vocabulary writes for each byte: printable ones stand for themselves, the others follow from 256.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_NAMES = dict(zip(_SHOWN, _SHOWN)) | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*_SHOWN}))}
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 _tokenizers: dict[tuple[str, str], tuple] = {}
 _lock = threading.Lock()
 
 
+def _cuts_alike(tokenizer) -> bool:
+    """Whether a tokenizer cuts texts by ``PATTERN`` alone and writes their bytes as byte-level vocabularies do, so that its model may be asked piece by piece."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    cutter = tokenizer.pre_tokenizer
+    own = all(t.special for t in tokenizer.get_added_tokens_decoder().values())
+    return own and tokenizer.normalizer is None and isinstance(cutter, ByteLevel) and cutter.use_regex and not cutter.add_prefix_space
+
+
 def _tokenizer(path: str, pattern: str) -> tuple:
     with _lock:
         if (path, pattern) not in _tokenizers:
@@ -49,8 +61,14 @@ def _tokenizer(path: str, pattern: str) -> tuple:
             tokenizer = Tokenizer.from_file(path)
             tokenizer.encode_special_tokens = True
 
+            quick, tokens = pattern == PATTERN and _cuts_alike(tokenizer), tokenizer.model.tokenize
+
             def ids_of(pieces: list[str]) -> list[bytes]:
-                return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False))]
+                bare = {p for p in pieces if plain(p)} if quick else ()
+                rest = [p for p in pieces if p not in bare]
+                made = {p: [t.id for t in tokens(p.encode().decode("latin-1").translate(BYTE_NAMES))] for p in bare}
+                made.update(zip(rest, (e.ids for e in tokenizer.encode_batch_fast(rest, add_special_tokens=False)) if rest else ()))
+                return [struct.pack(f"<{len(ids)}I", *ids) for ids in map(made.__getitem__, pieces)]
 
             _tokenizers[path, pattern] = (splitter(pattern), Memo(ids_of))
         return _tokenizers[path, pattern]

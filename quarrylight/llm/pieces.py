@@ -18,6 +18,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _BLANKS = r"\x20\t\n\r"
 _outside = re.compile(rf"[^\t\n\r\x20-\x7e{_LETTERS}]").search
+#: A piece of these characters alone is its own only match, whichever engine's classes are asked.
+plain = re.compile(rf"[\x20-\x7e{_LETTERS}]+").fullmatch
 _fast = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^{_BLANKS}0-9{_LETTERS}]+|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]+"
 ).findall
@@ -33,21 +35,20 @@ class Memo:
 
     def all(self, pieces: list[str]) -> list:
         """What was made of each piece, in order."""
-        new, own = self.new, list({*pieces})
-        made = list(map(new.get, own))
-        local = dict(zip(own, made))
+        new = self.new
+        made = list(map(new.get, pieces))
         if None in made:
             old, missing = self.old, []
-            for p in [p for p, m in zip(own, made) if m is None]:
+            for p in {p for p, m in zip(pieces, made) if m is None}:
                 if p in old:
-                    new[p] = local[p] = old[p]
+                    new[p] = old[p]
                 else:
                     missing.append(p)
-            for p, m in zip(missing, self.make(missing) if missing else ()):
-                new[p] = local[p] = m
+            new.update(zip(missing, self.make(missing) if missing else ()))
+            made = list(map(new.__getitem__, pieces))
             if len(new) > self.size:
                 self.old, self.new = new, {}
-        return list(map(local.__getitem__, pieces))
+        return made
 
 
 def splitter(pattern: str) -> Callable[[str], list[str]]:

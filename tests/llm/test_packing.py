@@ -78,3 +78,22 @@ def test_documents(spark, monkeypatch):
         assert sum(n for _, n in found) <= 2048
     assert len(by) <= len(best_fit(r.length for r in got))
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_ids_of_pieces_come_from_the_model_where_it_cuts_alike():
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    own = Tokenizer.from_file(PATH)
+    own.encode_special_tokens = True
+    assert packing._cuts_alike(own)
+    split, memo = packing._tokenizer(PATH, public_tokenizers.PATTERN)
+    asked = []
+    inner = memo.make
+    memo.make = lambda pieces: asked.extend(pieces) or inner(pieces)
+    for text in ("Ein Rävich's  ''s qzxv\t\n y", "naïve x y ¼x²", "日本語 12 😀", "<|endoftext|> a", "\x1cy\x85z\x7f", " ", ""):
+        ids = own.encode(text, add_special_tokens=False).ids
+        assert b"".join(memo.all(split(text))) == np.array(ids, "<u4").tobytes()
+    assert " qzxv" in asked and len(asked) == len({*asked})
+    memo.make = inner
+    own.pre_tokenizer = ByteLevel(add_prefix_space=True)
+    assert not packing._cuts_alike(own)
