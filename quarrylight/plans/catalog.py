@@ -602,9 +602,10 @@ def a13_a14_golden_summary(spark, sf_dir):
     return rows.agg(F.count("*").alias("n_items"), F.sum(F.col("kept").cast("long")).alias("n_kept"), F.sum("n_length").alias("n_length"), F.sum("n_unlocatable").alias("n_unlocatable"), F.sum((F.col("kept") & ~F.col("is_unique")).cast("long")).alias("n_ambiguous"))
 
 
-def delivered_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def delivered_texts(spark: SparkSession, sf_dir: str, hits: DataFrame | None = None) -> DataFrame:
+    """What the ranking delivers at 1500 tokens; ``hits`` is the ranking where a caller has it already."""
     chunks = child_chunks(spark, sf_dir)
-    filled = write_shared(retrieval.fill(retrieval.costed(sparse_hits(spark, sf_dir), chunks), 1500), "filled")
+    filled = write_shared(retrieval.fill(retrieval.costed(sparse_hits(spark, sf_dir) if hits is None else hits, chunks), 1500), "filled")
     return bounded(filled).join(chunks.select("chunk_id", "source_id", "text"), "chunk_id")
 
 
@@ -618,10 +619,10 @@ cov AS (SELECT nd.item_id, any_value(nd.needle) AS needle, count(del.rank) AS n_
 scored AS (SELECT item_id, n_delivered, tokens, share >= 1 AS strict, share >= 0.5 AS partial, first_hit IS NOT NULL AS source_hit, first_hit FROM cov)"""
 
 
-def scored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_items(spark: SparkSession, sf_dir: str, hits: DataFrame | None = None) -> DataFrame:
     accept = needle_hits(spark, sf_dir).groupBy("item_id").agg(F.collect_set("source_id").alias("accept"))
     items = needles(spark, sf_dir).join(accept, "item_id", "left")
-    given = delivered_texts(spark, sf_dir).select(F.col("query_id").alias("item_id"), F.lit("child").alias("unit"), "rank", "source_id", "text", "cost")
+    given = delivered_texts(spark, sf_dir, hits).select(F.col("query_id").alias("item_id"), F.lit("child").alias("unit"), "rank", "source_id", "text", "cost")
     sums = given.groupBy("item_id").agg(F.count("*").alias("n_delivered"), F.sum("cost").alias("tokens"))
     scored = evaluation.score_items(items, given.drop("cost"))
     return scored.join(sums, "item_id", "left").na.fill(0, ["n_delivered", "tokens"])
@@ -682,8 +683,9 @@ def a5_partial_covers_strict(spark, sf_dir):
 @query(f"""{SCORE_SQL} SELECT item_id, CASE WHEN n_ranked = 0 THEN 'no_candidates' WHEN n_delivered = 0 THEN 'starved' WHEN strict THEN 'present' WHEN partial THEN 'partial' ELSE 'absent' END AS cause
 FROM scored LEFT JOIN (SELECT query_id, count(*) AS n_ranked FROM sparse GROUP BY query_id) r ON r.query_id = item_id""")
 def a12_abstention_causes(spark, sf_dir):
-    ranked = sparse_hits(spark, sf_dir).groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("n_ranked"))
-    rows = scored_items(spark, sf_dir).join(ranked, "item_id", "left")
+    hits = write_shared(sparse_hits(spark, sf_dir), "hits")
+    ranked = hits.groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("n_ranked"))
+    rows = scored_items(spark, sf_dir, hits).join(ranked, "item_id", "left")
     cause = evaluation.abstention_cause(F.coalesce("n_ranked", F.lit(0)), F.col("n_delivered"), F.col("strict").cast("int"), (F.col("partial") & ~F.col("strict")).cast("int"), F.lit(1))
     return rows.select("item_id", cause.alias("cause"))
 

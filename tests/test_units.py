@@ -93,3 +93,11 @@ def test_every_item_has_a_row_for_each_unit(spark):
 def test_catalogue_scores_every_item_in_both_units(spark):
     want = {k: v[1:] for k, v in brute(spark).items()}
     assert scored(spark) == want
+
+
+def test_abstention_causes_rank_once(spark, monkeypatch):
+    ranked = []
+    inner = catalog.sparse_hits
+    monkeypatch.setattr(catalog, "sparse_hits", lambda *given: ranked.append(1) or inner(*given))
+    assert catalog.a12_abstention_causes(spark, oracle.TABLES).count() == 40
+    assert len(ranked) == 1
