@@ -76,8 +76,15 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
+#: ``words`` of one text, for callers that count them within a task.
+whole_words = re.compile(TOKEN).findall
+_compound = re.compile(COMPOUND).search
+
+
 def word_tokens(word: str) -> list[str]:
     """What ``tokenize`` makes of one raw token, for callers that look at each distinct one once."""
+    if not _compound(word):
+        return [word.lower()]
     parts = [p for p in re.split(SEPARATORS, word) if p]
     pieces = [p for p in re.sub("(?<=[a-z0-9])(?=[A-Z])", "\n", word).split("\n") if p]
     return [p.lower() for p in (word, *(parts if len(parts) > 1 else ()), *(pieces if len(pieces) > 1 else ()))]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quarrylight.functions.text import word_tokens, words
+from quarrylight.functions.text import whole_words, word_tokens
 from quarrylight.operators.matrix import QUERIES, ROWS, Best
 from quarrylight.sources.shared import write_shared
 
@@ -20,6 +21,36 @@ from quarrylight.sources.shared import write_shared
 COMMON, PAIRS = 512, 2_000_000
 #: Terms of queries that are broadcast at most, to leave others out where texts are counted (some 50 bytes each).
 TERMS = 200_000
+#: Raw words of which a task remembers how they are cut (some 200 bytes each).
+KEPT = 200_000
+#: Texts whose terms a task holds at once.
+SLICE = 1024
+
+
+class Words:
+    """Counts a text's terms, and remembers for some ``KEPT`` raw words how they are cut. only: other terms count in the length alone."""
+
+    def __init__(self, only: set[str] | None = None):
+        self.only, self.kept = only, {}
+
+    def cut(self, word: str) -> tuple[int, list[str]]:
+        """How many tokens a raw word is, and which of them are wanted."""
+        tokens = word_tokens(word)
+        return len(tokens), tokens if self.only is None else [t for t in tokens if t in self.only]
+
+    def count(self, text: str) -> tuple[int, dict[str, int]]:
+        """The text's token count, and its wanted terms with their tfs."""
+        if len(self.kept) > KEPT:
+            self.kept = {}
+        kept, size, out = self.kept, 0, {}
+        for word, n in Counter(whole_words(text)).items():
+            known = kept.get(word)
+            if known is None:
+                known = kept[word] = self.cut(word)
+            size += n * known[0]
+            for term in known[1]:
+                out[term] = out.get(term, 0) + n
+        return size, out
 
 
 def counted_texts(texts: DataFrame, only: DataFrame | None = None, key: str = "chunk_id", text: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
@@ -33,32 +64,20 @@ def counted_texts(texts: DataFrame, only: DataFrame | None = None, key: str = "c
     shared = None if wanted is None or len(wanted) > TERMS else session.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = batch.column(batch.num_columns - 1)
-            coded = raw.flatten().dictionary_encode()
-            row = np.repeat(np.arange(batch.num_rows), np.asarray(raw.value_lengths(), np.int64))
-            # Each distinct raw token of a batch is cut once.
-            cut = [word_tokens(w) for w in coded.dictionary.to_pylist()]
-            made = pa.array([t for tokens in cut for t in tokens], pa.string()).dictionary_encode()
-            sizes = np.array([len(tokens) for tokens in cut], np.int64)
-            pairs, n = np.unique(row * max(1, len(cut)) + np.asarray(coded.indices, np.int64), return_counts=True)
-            row, code = np.divmod(pairs, max(1, len(cut)))
-            many = sizes[code]
-            dl = np.bincount(row, n * many, batch.num_rows).astype(np.int64)
-            at = np.repeat((np.cumsum(sizes) - sizes)[code] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            row, n, code = np.repeat(row, many), np.repeat(n, many), np.asarray(made.indices, np.int64)[at]
-            names = made.dictionary
-            if shared is not None:
-                met = pc.is_in(names, value_set=shared.value).to_numpy(zero_copy_only=False).astype(bool)[code]
-                row, n, code = row[met], n[met], code[met]
-            pairs, back = np.unique(row * max(1, len(names)) + code, return_inverse=True)
-            tfs = np.bincount(back, n, len(pairs)).astype(np.int64)
-            row, code = np.divmod(pairs, max(1, len(names)))
-            starts = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(starts, names.take(pa.array(code))), pa.ListArray.from_arrays(starts, pa.array(tfs, pa.int32()))]
+        cut = Words(None if shared is None else set(shared.value.to_pylist()))
+        for batch in (whole.slice(low, SLICE) for whole in batches for low in range(0, whole.num_rows, SLICE)):
+            dl, terms, tfs, ends = [], [], [], [0]
+            for text in batch.column(batch.num_columns - 1):
+                size, own = cut.count(text.as_py() or "")
+                dl.append(size)
+                terms.extend(own)
+                tfs.extend(own.values())
+                ends.append(len(terms))
+            starts = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(starts, pa.array(terms, pa.string())), pa.ListArray.from_arrays(starts, pa.array(tfs, pa.int32()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(dl, pa.int32()), *lists], names=[*batch.schema.names[:-1], "dl", "terms", "tfs"])
 
-    own = texts.select(key, *carried, words(F.col(text)).alias("words"))
+    own = texts.select(key, *carried, F.col(text).alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
     return own.mapInArrow(run, f"{kept}, dl int, terms array<string>, tfs array<int>")
 

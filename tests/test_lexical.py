@@ -96,3 +96,15 @@ def test_tokens_are_not_shuffled(spark):
     texts = odd_texts(spark).coalesce(1)
     plan = lexical.counted_texts(texts)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_texts_reach_the_count_uncut(spark):
+    plan = lexical.counted_texts(odd_texts(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(lexical, "KEPT", 2)
+    words = lexical.Words({"alpha", "v1"})
+    assert words.count("Alpha v1.2 alpha, alpha-ALPHA") == (8, {"alpha": 4, "v1": 1})
+    assert words.count("x") == (1, {}) and len(words.kept) == 1
