@@ -97,8 +97,9 @@ def section_chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 
 def sparse_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored ranking of the benchmark's questions; few hits are broadcast, so that documents which meet them are not shuffled."""
     chunks, queries = child_chunks(spark, sf_dir), text_queries(spark, sf_dir)
-    return retrieval.sparse(queries, *text_index(chunks, queries), counted=False)
+    return bounded(write_shared(retrieval.sparse(queries, *text_index(chunks, queries), counted=False), "hits"))
 
 
 TOKENS = r"""list_reduce(list_transform(regexp_extract_all({c}, '[A-Za-z0-9]+(?:[._\-@/#][A-Za-z0-9]+)*'), lambda t:
