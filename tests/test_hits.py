@@ -22,7 +22,7 @@ def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["r15_parent_fill"])
+@pytest.mark.parametrize("name", ["e5_budget_sweep", "r15_parent_fill"])
 def test_documents_are_not_shuffled_to_meet_hits(wide, name):
     told = plan(catalog.QUERIES[name](wide, oracle.TABLES))
     assert "BroadcastHashJoin [chunk_id" in told and "SortMergeJoin [chunk_id" not in told and "MapInArrow" not in told
