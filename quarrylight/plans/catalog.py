@@ -604,10 +604,10 @@ def a13_a14_golden_summary(spark, sf_dir):
 
 
 def delivered_texts(spark: SparkSession, sf_dir: str, hits: DataFrame | None = None) -> DataFrame:
-    """What the ranking delivers at 1500 tokens; ``hits`` is the ranking where a caller has it already."""
+    """What the ranking delivers at 1500 tokens, stored for its readers; ``hits`` is the ranking where a caller has it already."""
     chunks = child_chunks(spark, sf_dir)
     filled = write_shared(retrieval.fill(retrieval.costed(sparse_hits(spark, sf_dir) if hits is None else hits, chunks), 1500), "filled")
-    return bounded(filled).join(chunks.select("chunk_id", "source_id", "text"), "chunk_id")
+    return write_shared(bounded(filled).join(chunks.select("chunk_id", "source_id", "text"), "chunk_id"), "delivered")
 
 
 SCORE_SQL = f"""{SPARSE_HITS_SQL}, {CHILD_FILL_SQL.format(hits='sparse')}, {NEEDLE_SQL},
@@ -684,7 +684,7 @@ def a5_partial_covers_strict(spark, sf_dir):
 @query(f"""{SCORE_SQL} SELECT item_id, CASE WHEN n_ranked = 0 THEN 'no_candidates' WHEN n_delivered = 0 THEN 'starved' WHEN strict THEN 'present' WHEN partial THEN 'partial' ELSE 'absent' END AS cause
 FROM scored LEFT JOIN (SELECT query_id, count(*) AS n_ranked FROM sparse GROUP BY query_id) r ON r.query_id = item_id""")
 def a12_abstention_causes(spark, sf_dir):
-    hits = write_shared(sparse_hits(spark, sf_dir), "hits")
+    hits = sparse_hits(spark, sf_dir)
     ranked = hits.groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("n_ranked"))
     rows = scored_items(spark, sf_dir, hits).join(ranked, "item_id", "left")
     cause = evaluation.abstention_cause(F.coalesce("n_ranked", F.lit(0)), F.col("n_delivered"), F.col("strict").cast("int"), (F.col("partial") & ~F.col("strict")).cast("int"), F.lit(1))

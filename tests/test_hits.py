@@ -26,3 +26,9 @@ def plan(frame):
 def test_documents_are_not_shuffled_to_meet_hits(wide, name):
     told = plan(catalog.QUERIES[name](wide, oracle.TABLES))
     assert "BroadcastHashJoin [chunk_id" in told and "SortMergeJoin [chunk_id" not in told and "MapInArrow" not in told
+
+
+@pytest.mark.parametrize("name", ["e4_score_items"])
+def test_texts_are_not_read_again_by_the_last_plan(spark, name):
+    files = [f for f in catalog.QUERIES[name](spark, oracle.TABLES).inputFiles() if "documents.parquet" in f]
+    assert files == []
