@@ -669,7 +669,7 @@ def a6_coverage(spark, sf_dir):
 t AS (SELECT coalesce(list_sort(list(stratum)), []) AS thin FROM (SELECT stratum FROM res GROUP BY stratum HAVING count(*) < 10))
 SELECT (CASE WHEN n = 0 THEN 'no items' WHEN n < 10 THEN s || ' of ' || n ELSE s || '/' || n || ' = ' || round(100 * (s / n))::BIGINT || '%' END) || CASE WHEN present < 7 THEN ' on ' || present || ' of 7 strata' ELSE '' END || CASE WHEN len(thin) > 0 THEN ' (' || array_to_string(thin, ', ') || ' thin)' ELSE '' END AS label FROM c, h, t""")
 def f16_scope_label(spark, sf_dir):
-    rows = results(spark, sf_dir)
+    rows = write_shared(results(spark, sf_dir).select("item_id", "stratum", "strict"), "results")
     cover = evaluation.coverage(rows)
     head = rows.agg(rates.rate(F.sum(F.col("strict").cast("long")), F.count("*"))["label"].alias("label"))
     about = cover.agg(F.sum(F.col("present").cast("long")).alias("present"), F.count("*").alias("declared"), F.sort_array(F.collect_list(F.when(F.col("thin"), F.col("stratum")))).alias("thin"))

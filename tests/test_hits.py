@@ -28,7 +28,12 @@ def test_documents_are_not_shuffled_to_meet_hits(wide, name):
     assert "BroadcastHashJoin [chunk_id" in told and "SortMergeJoin [chunk_id" not in told and "MapInArrow" not in told
 
 
-@pytest.mark.parametrize("name", ["e4_score_items"])
+@pytest.mark.parametrize("name", ["e4_score_items", "f16_scope_label"])
 def test_texts_are_not_read_again_by_the_last_plan(spark, name):
     files = [f for f in catalog.QUERIES[name](spark, oracle.TABLES).inputFiles() if "documents.parquet" in f]
     assert files == []
+
+
+@pytest.mark.parametrize("name", ["f16_scope_label"])
+def test_needles_meet_texts_once(spark, name):
+    assert "Contains(" not in plan(catalog.QUERIES[name](spark, oracle.TABLES))
