@@ -558,7 +558,7 @@ g AS (SELECT query_id, sum(1 / log2(rank + 2)) AS dcg FROM sparse JOIN rel USING
 i AS (SELECT query_id, list_sum(list_transform(range(1, least(count(*), 5) + 1), lambda k: 1 / log2(k + 1))) AS ideal FROM rel GROUP BY query_id)
 SELECT query_id, round(coalesce(dcg, 0) / ideal, 6) AS ndcg FROM i LEFT JOIN g USING (query_id)""")
 def a24_ndcg(spark, sf_dir):
-    found = needle_hits(spark, sf_dir).select(F.col("item_id").alias("query_id"), F.col("page").alias("chunk_id"))
+    found = write_shared(needle_hits(spark, sf_dir).select(F.col("item_id").alias("query_id"), F.col("page").alias("chunk_id")), "relevant")
     return retrieval.ndcg(sparse_hits(spark, sf_dir), found)
 
 

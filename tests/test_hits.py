@@ -34,6 +34,6 @@ def test_texts_are_not_read_again_by_the_last_plan(spark, name):
     assert files == []
 
 
-@pytest.mark.parametrize("name", ["f16_scope_label"])
+@pytest.mark.parametrize("name", ["f16_scope_label", "a24_ndcg"])
 def test_needles_meet_texts_once(spark, name):
     assert "Contains(" not in plan(catalog.QUERIES[name](spark, oracle.TABLES))
