@@ -28,7 +28,7 @@ def test_documents_are_not_shuffled_to_meet_hits(wide, name):
     assert "BroadcastHashJoin [chunk_id" in told and "SortMergeJoin [chunk_id" not in told and "MapInArrow" not in told
 
 
-@pytest.mark.parametrize("name", ["e4_score_items", "a5_partial_covers_strict", "f16_scope_label"])
+@pytest.mark.parametrize("name", ["e4_score_items", "a5_partial_covers_strict", "a6_coverage", "f16_scope_label"])
 def test_texts_are_not_read_again_by_the_last_plan(spark, name):
     files = [f for f in catalog.QUERIES[name](spark, oracle.TABLES).inputFiles() if "documents.parquet" in f]
     assert files == []
