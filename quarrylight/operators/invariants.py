@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.operators.retrieval import MAX_ITEMS, ranked_modes
+from quarrylight.sources.shared import write_shared
 
 
 def check(measured: DataFrame, name: str, rule: str, holds: Column, n: Column, observed: Column, fingerprint: str = "") -> DataFrame:
@@ -59,11 +60,13 @@ def isolation_checks(chunks: DataFrame, vectors: DataFrame, index, owner_a: str,
     callers = (("cross_session", owner_a, False), ("public", None, False), ("own", owner_b, True))
     asked = reduce(DataFrame.unionByName, [target.select(F.concat(F.lit(f"{who}:"), F.col("chunk_id").cast("string")).alias("query_id"), F.col("vec").alias("query_vec"), F.col("text").alias("query_text"), F.lit(caller).cast("string").alias("caller")) for who, caller, _ in callers])
     modes = ranked_modes(asked, ranked.select("chunk_id", "vec", "owner"), index, MAX_ITEMS)
+    hits = reduce(DataFrame.unionByName, [found.select(F.substring_index("query_id", ":", 1).alias("who"), F.lit(mode).alias("mode"), "chunk_id") for mode, found in modes.items()])
+    mine = F.coalesce(F.sum((F.col("owner") == owner_b).cast("long")), F.lit(0))
+    counts = write_shared(hits.join(chunks.select("chunk_id", "owner"), "chunk_id").groupBy("who", "mode").agg(F.count("*").alias("n"), mine.alias("seen")), "seen")
     parts = []
     for who, _, control in callers:
-        for mode, found in modes.items():
-            hits = found.filter(F.col("query_id").startswith(f"{who}:"))
-            seen = hits.join(chunks.select("chunk_id", "owner"), "chunk_id").agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("owner") == owner_b).cast("long")), F.lit(0)).alias("seen"))
+        for mode in modes:
+            seen = counts.filter((F.col("who") == who) & (F.col("mode") == mode)).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "seen")))
             holds = F.col("seen") > 0 if control else F.col("seen") == 0
             parts.append(check(seen, f"isolation_{who}_{mode}", "own chunks are found" if control else "no chunk of another owner", holds, F.col("n"), F.col("seen")))
     return reduce(DataFrame.unionByName, parts)

@@ -15,12 +15,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from quarrylight.functions.text import whole_words, word_tokens
 from quarrylight.operators.matrix import QUERIES, ROWS, Best
+from quarrylight.operators.numbering import numbered
 from quarrylight.sources.shared import write_shared
 
 #: Terms that most queries of a block have: these go through a matrix product, the others pair by pair, at most PAIRS at once.
-COMMON, PAIRS = 512, 2_000_000
-#: Terms of queries that are broadcast at most, to leave others out where texts are counted (some 50 bytes each).
-TERMS = 200_000
+COMMON, PAIRS = 512, 131_072
+#: Terms of queries that are broadcast at most, to leave others out where texts are counted (some 100 bytes each in a task).
+TERMS = 1_000_000
 #: Raw words of which a task remembers how they are cut (some 200 bytes each).
 KEPT = 200_000
 #: Texts whose terms a task holds at once.
@@ -33,24 +34,33 @@ class Words:
     def __init__(self, only: set[str] | None = None):
         self.only, self.kept = only, {}
 
-    def cut(self, word: str) -> tuple[int, list[str]]:
-        """How many tokens a raw word is, and which of them are wanted."""
+    def cut(self, word: str) -> str | None | tuple[int, tuple[str, ...]]:
+        """A raw word's one token, None if that is not wanted; or how many tokens it is, and which of them are wanted."""
         tokens = word_tokens(word)
-        return len(tokens), tokens if self.only is None else [t for t in tokens if t in self.only]
+        wanted = tokens if self.only is None else [t for t in tokens if t in self.only]
+        return (wanted[0] if wanted else None) if len(tokens) == 1 else (len(tokens), tuple(wanted))
 
     def count(self, text: str) -> tuple[int, dict[str, int]]:
         """The text's token count, and its wanted terms with their tfs."""
         if len(self.kept) > KEPT:
             self.kept = {}
-        kept, size, out = self.kept, 0, {}
-        for word, n in Counter(whole_words(text)).items():
-            known = kept.get(word)
-            if known is None:
+        kept, out, more = self.kept, {}, 0
+        words = whole_words(text)
+        # Most words are one token: nothing but its string is kept for them, which the garbage collector need not visit.
+        for word, n in Counter(words).items():
+            try:
+                known = kept[word]
+            except KeyError:
                 known = kept[word] = self.cut(word)
-            size += n * known[0]
+            if known is None:
+                continue
+            if known.__class__ is str:
+                out[known] = out.get(known, 0) + n
+                continue
+            more += n * (known[0] - 1)
             for term in known[1]:
                 out[term] = out.get(term, 0) + n
-        return size, out
+        return len(words) + more, out
 
 
 def counted_texts(texts: DataFrame, only: DataFrame | None = None, key: str = "chunk_id", text: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
@@ -89,7 +99,10 @@ def packed(posted: DataFrame) -> DataFrame:
 
 
 class Weights:
-    """The terms of a block of queries, most frequent first; by term the queries that have it, their weights and counts."""
+    """The terms of a block of queries, most frequent first; by term the texts that have it, their weights and counts.
+
+    Queries whose terms and counts are the same are one text: ``first`` has each text's first query in ``keys``, and their end.
+    """
 
     def __init__(self, asked: pa.Table):
         term = asked["term"].combine_chunks().dictionary_encode()
@@ -98,38 +111,54 @@ class Weights:
         order = np.argsort(-n, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
+        place, counts, idf = place[code], np.asarray(asked["qtf"], np.float64), np.asarray(asked["idf"], np.float64)
         self.terms = term.dictionary.take(pa.array(order))
-        self.starts = np.concatenate([[0], np.cumsum(n[order])])
-        self.keys, callers, queries = [], [], {}
-        number = np.empty(len(code), np.int64)
-        for k, key in enumerate(zip(asked["query_id"].to_pylist(), asked["caller"].to_pylist())):
-            number[k] = queries.setdefault(key, len(queries))
-        self.keys = [key for key, _ in queries]
-        self.names = {c: i for i, c in enumerate(dict.fromkeys(c for _, c in queries))}
-        self.callers = np.array([self.names[c] for _, c in queries], np.int64)
-        by = np.argsort(place[code], kind="stable")
-        counts = np.asarray(asked["qtf"], np.float64)[by]
-        self.query, self.counts, self.weights = number[by], counts, counts * np.asarray(asked["idf"], np.float64)[by]
+        query, caller = (asked[c].combine_chunks().dictionary_encode(null_encoding="encode") for c in ("query_id", "caller"))
+        both = np.asarray(query.indices, np.int64) * len(caller.dictionary) + np.asarray(caller.indices, np.int64)
+        by = np.lexsort((place, both))
+        starts = np.flatnonzero(np.r_[len(both) > 0, both[by][1:] != both[by][:-1]])
+        ends = np.r_[starts[1:], len(by)]
+        texts: dict[bytes, int] = {}
+        text = np.array([texts.setdefault(np.r_[place[by[i:j]], counts[by[i:j]]].tobytes(), len(texts)) for i, j in zip(starts, ends)], np.int64)
+        heads = by[starts[np.argsort(text, kind="stable")]]
+        self.keys = query.dictionary.take(query.indices.take(pa.array(heads))).to_pylist()
+        self.first = np.r_[0, np.cumsum(np.bincount(text, minlength=len(texts)))]
+        names = [c.as_py() for c in caller.dictionary]
+        self.names = {c: i for i, c in enumerate(names)}
+        self.callers = np.asarray(caller.indices, np.int64)[heads]
+        alone = np.unique(text, return_index=True)[1]
+        own = np.concatenate([by[starts[k] : ends[k]] for k in alone]) if len(alone) else by
+        number = np.repeat(np.arange(len(texts)), ends[alone] - starts[alone])
+        sort = np.argsort(place[own], kind="stable")
+        own, self.query = own[sort], number[sort]
+        self.starts = np.r_[0, np.cumsum(np.bincount(place[own], minlength=len(self.terms)))]
+        self.counts, self.weights = counts[own], counts[own] * idf[own]
 
     def common(self, values: np.ndarray) -> np.ndarray:
-        """Queries by common terms."""
+        """Texts by common terms."""
         n = min(COMMON, len(self.terms))
-        out = np.zeros((len(self.keys), n))
+        out = np.zeros((len(self.first) - 1, n))
         end = self.starts[n]
         out[self.query[:end], np.repeat(np.arange(n), np.diff(self.starts[: n + 1]))] = values[:end]
         return out
 
     def add_rare(self, out: np.ndarray, values: np.ndarray, term: np.ndarray, row: np.ndarray, gain: np.ndarray) -> None:
-        """Add value * gain of each posting (term, row) to ``out`` at each query that has the term."""
+        """Add value * gain of each posting (term, row) to ``out`` (texts by rows, in either memory order) at each text that has the term."""
+        per_text, per_row = (out.shape[1], 1) if out.flags.c_contiguous else (1, out.shape[0])
         n = self.starts[term + 1] - self.starts[term]
         ends = np.cumsum(n)
-        low = 0
+        flat, low = out.reshape(-1, order="A"), 0
         while low < len(term):
             before = ends[low - 1] if low else 0
             high = max(low + 1, int(np.searchsorted(ends, before + PAIRS, "right")))
             m = n[low:high]
-            at = np.repeat(self.starts[term[low:high]] - (ends[low:high] - m - before), m) + np.arange(ends[high - 1] - before)
-            np.add.at(out.reshape(-1), self.query[at] * out.shape[1] + np.repeat(row[low:high], m), values[at] * np.repeat(gain[low:high], m))
+            at = np.repeat(self.starts[term[low:high]] - (ends[low:high] - m - before), m)
+            at += np.arange(len(at))
+            to = self.query[at] * per_text
+            to += np.repeat(row[low:high] * per_row, m)
+            more = values[at]
+            more *= np.repeat(gain[low:high], m)
+            np.add.at(flat, to, more)
             low = high
 
 
@@ -137,30 +166,57 @@ def best_texts(asked: DataFrame, rows: DataFrame, avgdl: float, k: int, digits:
     """query_id, chunk_id, score (rounded, above 0) and matched (0 if not ``counted``) of at most the ``k`` best visible rows of each query in each task.
 
     asked: query_id, caller, term, qtf, idf; rows: chunk_id, owner, dl, terms, tfs. Ties go to the smaller id. Memory is for a
-    block of queries, ``k`` hits of each and ``ROWS`` texts; nothing is shuffled by pair of query and text.
+    block of queries, some 2 ``k`` hits of each and ``ROWS`` texts; nothing is shuffled by pair of query and text. Queries of the same
+    terms are dealt to the same block, where these are scored once.
     """
     asked = write_shared(asked.select("query_id", "caller", "term", "qtf", "idf"), "asked")
     blocks = max(1, -(-asked.select("query_id").distinct().count() // QUERIES))
-    if blocks > 1:
-        rows = write_shared(rows.select("chunk_id", "owner", "dl", "terms", "tfs"), "packed")
-    dealt = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    parts = [_best(dealt.filter(F.col("block") == n).drop("block"), rows, avgdl, k, digits, k1, b, counted) for n in range(blocks)]
-    return reduce(DataFrame.unionByName, parts)
+    if blocks == 1:
+        return _best(asked, rows, None, avgdl, k, digits, k1, b, counted)
+    words = asked.select("term").distinct().limit(TERMS + 1).toArrow()["term"].combine_chunks()
+    words = words if len(words) <= TERMS else None
+    rows = write_shared(_coded(rows.select("chunk_id", "owner", "dl", "terms", "tfs"), words), "packed")
+    alike = write_shared(asked.groupBy("query_id").agg(F.bit_xor(F.xxhash64("term", "qtf")).alias("alike")), "alike")
+    block = F.floor((F.col("number") - 1) / QUERIES).cast("int")
+    dealt = write_shared(asked.join(numbered(alike, "alike", "query_id").select("query_id", block.alias("block")), "query_id"), "dealt")
+    return reduce(DataFrame.unionByName, [_best(dealt.filter(F.col("block") == n), rows, words, avgdl, k, digits, k1, b, counted) for n in range(blocks)])
+
+
+def _coded(rows: DataFrame, words: pa.Array | None) -> DataFrame:
+    """Rows with the places of their terms in ``words`` for terms; others are left out. Without ``words``, terms stay words."""
+    if words is None:
+        return rows
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = pc.index_in(batch.column(3).flatten(), value_set=shared.value)
+            ends = np.cumsum(np.r_[0, np.asarray(batch.column(3).value_lengths(), np.int64)])
+            starts = pa.array(np.cumsum(np.r_[0, np.asarray(place.is_valid())])[ends], pa.int32())
+            lists = [pa.ListArray.from_arrays(starts, values.filter(place.is_valid())) for values in (place, batch.column(4).flatten())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], names=batch.schema.names)
+
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:3])
+    return rows.mapInArrow(run, f"{kept}, terms array<int>, tfs array<int>")
 
 
-def _best(asked: DataFrame, rows: DataFrame, avgdl: float, k: int, digits: int, k1: float, b: float, counted: bool) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(Weights(asked.toArrow()))
+def _best(asked: DataFrame, rows: DataFrame, words: pa.Array | None, avgdl: float, k: int, digits: int, k1: float, b: float, counted: bool) -> DataFrame:
+    known = Weights(asked.toArrow())
+    place = None if words is None else np.asarray(pc.index_in(words, value_set=known.terms).fill_null(-1), np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast((known, place))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        n = len(known.keys)
-        best, weights, counts = Best(n, k), known.common(known.weights), known.common(known.counts) if counted else None
-        for batch in batches if n else ():
+        known, place = shared.value
+        best, weights, counts = Best(len(known.keys), k), np.ascontiguousarray(known.common(known.weights).T), known.common(known.counts).T if counted else None
+        n, texts = weights.shape
+        slack, each = 10.0**-digits, np.diff(known.first)
+        for batch in batches if texts else ():
             ids = np.array(batch.column(0).to_pylist())
             owner = np.array([-1 if o == "" else known.names.get(o, -2) for o in batch.column(1).to_pylist()], np.int64)
             lengths = np.asarray(batch.column(3).value_lengths(), np.int64)
             starts = np.concatenate([[0], np.cumsum(lengths)])
-            term = np.asarray(pc.index_in(batch.column(3).flatten(), value_set=known.terms).fill_null(-1), np.int64)
+            flat = batch.column(3).flatten()
+            term = place[np.asarray(flat, np.int64)] if place is not None else np.asarray(pc.index_in(flat, value_set=known.terms).fill_null(-1), np.int64)
             tf = np.asarray(batch.column(4).flatten(), np.float64)
             dl = np.repeat(np.asarray(batch.column(2), np.float64), lengths)
             gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
@@ -170,18 +226,31 @@ def _best(asked: DataFrame, rows: DataFrame, avgdl: float, k: int, digits: int,
                 row = np.repeat(np.arange(high - low), lengths[low:high])
                 met = term[own] >= 0
                 at, row, up = term[own][met], row[met], gain[own][met]
-                few = at >= weights.shape[1]
-                often = np.zeros((weights.shape[1], high - low))
-                often[at[~few], row[~few]] = up[~few]
-                scores = weights @ often
-                known.add_rare(scores, known.weights, at[few], row[few], up[few])
+                few = at >= n
+                often = np.zeros((high - low, n))
+                often[row[~few], at[~few]] = up[~few]
+                scores = often @ weights
+                known.add_rare(scores.T, known.weights, at[few], row[few], up[few])
+                # Scores are rounded where they may be among the best of one of the text's queries.
+                least = np.maximum(np.minimum.reduceat(best.least, known.first[:-1]) - slack, slack / 4)
+                hit = np.flatnonzero(np.ascontiguousarray((scores >= least).T))
+                text, c = hit // (high - low), hit % (high - low)
+                q, c = np.repeat(known.first[text], each[text]), np.repeat(c, each[text])
+                if len(q) > len(hit):
+                    q += np.arange(len(q)) - np.repeat(np.cumsum(each[text]) - each[text], each[text])
+                text = np.repeat(text, each[text])
+                found = np.round(scores[c, text], digits)
+                seen = (found > 0) & (found >= best.least[q]) & ((owner[low:high][c] == -1) | (owner[low:high][c] == known.callers[q]))
+                q, c, text, found = q[seen], c[seen], text[seen], found[seen]
                 matched = None
                 if counted:
-                    matched = counts @ (often > 0)
-                    known.add_rare(matched, known.counts, at[few], row[few], np.ones(few.sum()))
-                scores = np.round(scores, digits)
-                scores[(scores <= 0) | ((owner[low:high] != -1) & (owner[low:high] != known.callers[:, None]))] = -np.inf
-                best.add(scores, ids[low:high], matched)
+                    whole = (often > 0) @ counts
+                    known.add_rare(whole.T, known.counts, at[few], row[few], np.ones(few.sum()))
+                    matched = whole[c, text]
+                if len(q) and len(known.keys) > texts:
+                    by = np.argsort(q, kind="stable")
+                    q, c, found, matched = q[by], c[by], found[by], None if matched is None else matched[by]
+                best.push(q, c, found, ids[low:high], matched)
         q, c, scores, matched = best.rows()
         if len(q):
             told = np.zeros(len(q)) if matched is None else matched

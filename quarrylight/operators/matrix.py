@@ -11,59 +11,95 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from quarrylight.sources.shared import write_shared
+
 #: Queries of a block: with 1024 components of 8 bytes, 32 MB are broadcast. Rows scored at once against a block: 16 MB of scores.
 QUERIES, ROWS = 4096, 512
 
 
+#: Under every score that counts as a hit.
+LOWEST = -np.finfo(np.float64).max
+
+
 class Best:
-    """The ``k`` best rows of each of ``n`` queries so far, ties to the smaller id; memory for k and one call's rows a query."""
+    """The ``k`` best rows of each of ``n`` queries so far, ties to the smaller id; memory for 2 k and ``ROWS`` rows a query.
+
+    ``least`` is a score that k rows of the query have reached: lower ones are turned away before anything else is done with them.
+    A query's rows are cut back to k when its room is full, so most slices cost one comparison a score.
+    """
 
     def __init__(self, n: int, k: int):
-        self.k = k
-        self.scores, self.at, self.extra = np.empty((n, 0)), np.empty((n, 0), np.int64), None
-        self.ids: np.ndarray | None = None
+        self.k, self.width = k, 2 * k + ROWS
+        self.least, self.fill = np.full(n, LOWEST), np.zeros(n, np.int64)
+        self.scores, self.at, self.extra = np.empty((n, self.width)), np.empty((n, self.width), np.int64), None
+        self.parts: list[np.ndarray] = []
+        self.known, self.used = 0, 0
+
+    @property
+    def ids(self) -> np.ndarray:
+        if len(self.parts) > 1:
+            self.parts = [np.concatenate(self.parts)]
+        return self.parts[0]
 
     def add(self, scores: np.ndarray, ids: np.ndarray, extra: np.ndarray | None = None) -> None:
         """Scores of each query (-inf: no hit) for the rows ``ids``, and another number for each, carried along."""
-        if not len(ids):
+        for low in range(0, len(ids), ROWS):
+            part = scores[:, low : low + ROWS]
+            q, c = np.nonzero(part >= self.least[:, None])
+            self.push(q, c, part[q, c], ids[low : low + ROWS], None if extra is None else extra[:, low : low + ROWS][q, c])
+
+    def push(self, q: np.ndarray, c: np.ndarray, scores: np.ndarray, ids: np.ndarray, extra: np.ndarray | None = None) -> None:
+        """Scores of the pairs of query ``q`` (ascending) and row ``ids[c]``, of ``ROWS`` rows at most, each pair once."""
+        if not len(q):
             return
-        held, base = self.scores.shape[1], 0 if self.ids is None else len(self.ids)
-        every = np.hstack([self.scores, scores])
-        self.ids = ids if self.ids is None else np.concatenate([self.ids, ids])
-        mask = every > -np.inf
-        if every.shape[1] > self.k:
-            least = np.partition(every, -self.k, axis=1)[:, -self.k]
-            mask &= every >= least[:, None]
-            self._break_ties(every, mask, least, held, base)
-        q, c = np.nonzero(mask)
-        counts = np.bincount(q, minlength=len(every))
-        to = np.arange(len(q)) - np.repeat(np.cumsum(counts) - counts, counts)
-        width = int(counts.max(initial=0))
-        at, kept = np.zeros((len(every), width), np.int64), np.full((len(every), width), -np.inf)
-        at[q, to], kept[q, to] = self._places(q, c, held, base), every[q, c]
+        counts = np.bincount(q, minlength=len(self.fill))
+        full = np.flatnonzero(self.fill + counts > self.width)
+        if len(full):
+            self._cut(full)
+        to = (self.fill - np.cumsum(counts) + counts)[q] + np.arange(len(q))
+        self.scores[q, to], self.at[q, to] = scores, self.known + c
         if extra is not None:
-            both = extra if self.extra is None else np.hstack([self.extra, extra])
-            self.extra = np.zeros((len(every), width), both.dtype)
-            self.extra[q, to] = both[q, c]
-        self.scores, self.at = kept, at
-        if len(self.ids) > 4 * at.size + 10_000:
-            used, back = np.unique(at, return_inverse=True)
-            self.ids, self.at = self.ids[used], back.reshape(at.shape)
-
-    def _places(self, q: np.ndarray, c: np.ndarray, held: int, base: int) -> np.ndarray:
-        old = c < held
-        places = base + c - held
-        places[old] = self.at[q[old], c[old]]
-        return places
-
-    def _break_ties(self, every: np.ndarray, mask: np.ndarray, least: np.ndarray, held: int, base: int) -> None:
+            if self.extra is None:
+                self.extra = np.empty(self.scores.shape, extra.dtype)
+            self.extra[q, to] = extra
+        self.fill += counts
+        self.parts.append(ids)
+        self.known += len(ids)
+        if self.known > 4 * self.used + 100_000:
+            self._forget()
+
+    def _forget(self) -> None:
+        """Drop ids that no query holds."""
+        held = np.arange(self.width) < self.fill[:, None]
+        kept = np.zeros(self.known, bool)
+        kept[self.at[held]] = True
+        self.at[held] = (np.cumsum(kept) - 1)[self.at[held]]
+        self.parts = [self.ids[kept]]
+        self.known = self.used = int(kept.sum())
+
+    def _cut(self, over: np.ndarray) -> None:
+        """Cut the rows of the queries ``over`` back to the k best."""
+        every, at = self.scores[over], self.at[over]
+        every[np.arange(self.width) >= self.fill[over, None]] = -np.inf
+        least = np.partition(every, -self.k, axis=1)[:, -self.k]
+        mask = (every > -np.inf) & (every >= least[:, None])
+        self._break_ties(every, mask, least, at)
+        r, c = np.nonzero(mask)
+        counts = np.bincount(r, minlength=len(over))
+        to = np.arange(len(r)) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.scores[over[r], to], self.at[over[r], to] = every[r, c], at[r, c]
+        if self.extra is not None:
+            self.extra[over[r], to] = self.extra[over[r], c]
+        self.fill[over], self.least[over] = counts, np.maximum(least, LOWEST)
+
+    def _break_ties(self, every: np.ndarray, mask: np.ndarray, least: np.ndarray, at: np.ndarray) -> None:
         over = np.flatnonzero(mask.sum(1) > self.k)
         if not len(over):
             return
         tied = mask[over] & (every[over] == least[over, None])
         room = self.k - (mask[over].sum(1) - tied.sum(1))
         r, c = np.nonzero(tied)
-        order = np.lexsort((self.ids[self._places(over[r], c, held, base)], r))
+        order = np.lexsort((self.ids[at[over[r], c]], r))
         r, c = r[order], c[order]
         counts = tied.sum(1)
         late = np.arange(len(r)) - np.repeat(np.cumsum(counts) - counts, counts) >= room[r]
@@ -71,7 +107,9 @@ class Best:
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
         """Query positions, ids, scores and carried numbers of all hits."""
-        q, c = np.nonzero(self.scores > -np.inf)
+        if self.known:
+            self._cut(np.arange(len(self.fill)))
+        q, c = np.nonzero(np.arange(self.width) < self.fill[:, None])
         ids = self.ids[self.at[q, c]] if len(q) else np.empty(0, np.int64)
         return q, ids, self.scores[q, c], None if self.extra is None else self.extra[q, c]
 
@@ -97,9 +135,11 @@ def best_of_blocks(queries: DataFrame, rows: DataFrame, k: int, digits: int) ->
     to its owner. Ties go to the smaller id. Zero queries have no hits; rows without a vector of the queries' length, or with a
     null or NaN in it, are no hits.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERIES))
-    asked = queries.select("query_id", "caller", "query_vec", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
+    asked = write_shared(queries.select("query_id", "caller", "query_vec"), "asked-vectors")
+    blocks = max(1, -(-asked.count() // QUERIES))
+    if blocks > 1:
+        rows = write_shared(rows.select("chunk_id", "owner", "vec").filter("vec IS NOT NULL"), "vectors")
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     parts = [_best(asked.filter(F.col("block") == b).drop("block"), rows, k, digits) for b in range(blocks)]
     return reduce(DataFrame.unionByName, parts)
 

@@ -155,11 +155,14 @@ def ndcg(hits: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
 
 
 def ranked_ids(mode: str, queries: DataFrame, chunks: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame] | None = None, pool: int = POOL) -> DataFrame:
-    """The ranking of one mode: dense, sparse or rrf, each leg to ``pool``. ``index``: postings, terms, corpus stats."""
+    """The ranking of one mode: dense, sparse or rrf, each leg to ``pool``. ``index``: postings, terms, corpus stats.
+
+    Postings that carry an owner, of these chunks, are not joined with the chunks to learn it.
+    """
     if mode == "dense":
         return dense(queries, chunks, pool).select("query_id", "chunk_id", "score", "rank")
     posted, terms, stats = index
-    found = sparse(queries, posted, terms, stats, chunks.select("chunk_id", "owner"), pool, counted=False)
+    found = sparse(queries, posted, terms, stats, None if "owner" in posted.columns else chunks.select("chunk_id", "owner"), pool, counted=False)
     if mode == "sparse":
         return found.select("query_id", "chunk_id", "score", "rank")
     if mode == "rrf":

@@ -468,7 +468,7 @@ FUSED_SQL = f"WITH {VECTORS_SQL}, {DENSE_SQL}, {index_sql()}, {sparse_sql('vq')}
 def fused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     chunks = all_chunks(spark, sf_dir)
     queries = vector_queries(chunks)
-    legs = {"dense": retrieval.dense(queries, chunks), "sparse": retrieval.sparse(queries, *text_index(chunks, queries), counted=False)}
+    legs = {"dense": retrieval.dense(queries, chunks), "sparse": retrieval.sparse(queries, *text_index(child_chunks(spark, sf_dir), queries), counted=False)}
     return chunks, retrieval.rrf(legs)
 
 
@@ -544,7 +544,7 @@ SELECT mode, budget, count(DISTINCT query_id) AS n_queries, count(*) FILTER (spe
 def a19_mode_grid(spark, sf_dir):
     chunks = all_chunks(spark, sf_dir)
     queries = vector_queries(chunks)
-    built = text_index(chunks, queries)
+    built = text_index(child_chunks(spark, sf_dir), queries)
     out = None
     for mode, hits in retrieval.ranked_modes(queries, chunks, built).items():
         swept = retrieval.sweep(retrieval.costed(hits, chunks), (500, 1500, 3000))
@@ -1116,7 +1116,8 @@ def r20_retrieve(spark, sf_dir):
     """The flagship: fused ranking, parents charged once, strict budget, six sources at most."""
     chunks = all_chunks(spark, sf_dir)
     queries = vector_queries(chunks)
-    found = ask.retrieve(queries, chunks, parent_costs(chunks), text_index(chunks, queries), mode="rrf")
+    texts = child_chunks(spark, sf_dir)
+    found = ask.retrieve(queries, chunks, parent_costs(texts), text_index(texts, queries), mode="rrf")
     return found.select("query_id", "target", "child_rank", "label")
 
 
@@ -1134,10 +1135,11 @@ SELECT 'isolation_' || who || '_' || mode AS name, CASE WHEN k = 2 THEN 'own chu
 
 @query(ISOLATION_SQL)
 def e12_isolation(spark, sf_dir):
-    chunks = all_chunks(spark, sf_dir)
-    probes = chunks.select("chunk_id", "text", F.when(F.col("chunk_id") % 97 == 1, "b").when(F.col("chunk_id") % 97 == 2, "a").otherwise("").alias("owner"))
-    asked = probes.filter(F.col("owner") == "b").select(F.col("chunk_id").alias("query_id"), F.col("text").alias("query_text"), F.lit(None).cast("string").alias("caller"))
-    return invariants.isolation_checks(probes, chunks.select("chunk_id", "vec"), text_index(chunks, asked), "a", "b")
+    owner = F.when(F.col("chunk_id") % 97 == 1, "b").when(F.col("chunk_id") % 97 == 2, "a").otherwise("")
+    probes = child_chunks(spark, sf_dir).select("chunk_id", "text", owner.alias("owner"))
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
+    asked = probes.filter(F.col("owner") == "b").join(vectors.filter("vec IS NOT NULL"), "chunk_id", "left_semi").select(F.col("chunk_id").alias("query_id"), F.col("text").alias("query_text"), F.lit(None).cast("string").alias("caller"))
+    return invariants.isolation_checks(probes, vectors, text_index(probes, asked), "a", "b")
 
 
 @query()
