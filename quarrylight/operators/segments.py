@@ -16,6 +16,8 @@ blocks whose bound reaches it: the same rows as scoring everything.
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -32,8 +34,8 @@ from quarrylight.sources.versions import manifest, numbers, publish
 
 #: Chunks of a block; hash buckets of terms, each a folder that a reader of few terms prunes by.
 BLOCK, BUCKETS = 256, 32
-#: Query terms, or removed chunks, that are broadcast at most (some 60 bytes each).
-BROADCAST_ROWS = 200_000
+#: Query terms that are broadcast at most (some 60 bytes each), and ids of removed chunks (likewise), which spare a shuffle of all chunks.
+BROADCAST_ROWS, REMOVED_ROWS = 200_000, 1_000_000
 #: Parts that a term's rows are dealt to where the queries' terms are not broadcast.
 SALTS = 16
 SLACK = 1e-7
@@ -79,7 +81,7 @@ class Index:
         if not any(s["kind"] == "removed" for s in self.segments):
             return None
         gone = self.read("removed", "chunk_id {key}", ("removed",)).groupBy("chunk_id").agg(F.max("seq").alias("until"))
-        return F.broadcast(gone) if sum(s["n"] for s in self.segments if s["kind"] == "removed") <= BROADCAST_ROWS else gone
+        return F.broadcast(gone) if sum(s["n"] for s in self.segments if s["kind"] == "removed") <= REMOVED_ROWS else gone
 
     def live(self, rows: DataFrame) -> DataFrame:
         """Rows (chunk_id, seq) whose chunk is not removed since."""
@@ -114,18 +116,28 @@ def _next(index: Index, segments: list[dict], n: int, tokens: int) -> Index:
 
 
 def _write_segment(index: Index, rows: DataFrame, name: str) -> tuple[int, int]:
-    """Write chunks, signed terms and blocked postings of stored rows (chunk_id, owner, dl, terms, tfs), one a chunk; counts of chunks and tokens.
+    """Write chunks, signed terms and blocked postings of rows (chunk_id, owner, dl, terms, tfs), one a chunk; counts of chunks and tokens.
 
-    A block's chunks are brought together as rows, and each of its terms becomes a row within their task; these are shuffled once to their folders.
+    ``rows`` runs once, into the chunks. These are shuffled once: each finds its block among the blocks' first chunks, and a task makes
+    a row of each of a block's terms and writes it to its folder.
     """
     path = f"{index.root}/{name}"
     rows.select("chunk_id", "owner", "dl", "terms", "tfs").write.parquet(f"{path}/chunks")
-    placed = numbered(rows.select("chunk_id", "dl"), "dl", "chunk_id").select("chunk_id", F.floor((F.col("number") - 1) / BLOCK).alias("block"))
+    rows = index.spark.read.schema(CHUNKS.format(key=index.key)).parquet(f"{path}/chunks")
+    firsts = numbered(rows.select("chunk_id", "dl"), "dl", "chunk_id").filter((F.col("number") - 1) % BLOCK == 0).select("dl", "chunk_id").toArrow()
+    shared = index.spark.sparkContext.broadcast(sorted(zip(firsts["dl"].to_pylist(), firsts["chunk_id"].to_pylist())))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = zip(batch.column("dl").to_pylist(), batch.column("chunk_id").to_pylist())
+            yield batch.append_column("block", pa.array([bisect_right(shared.value, key) - 1 for key in keys], pa.int64()))
+
     # Chunks without terms have no postings.
-    packed = rows.filter(F.size("terms") > 0).select("chunk_id", "dl", "terms", "tfs").join(placed, "chunk_id")
+    kept = rows.filter(F.size("terms") > 0).select("chunk_id", "dl", "terms", "tfs")
+    placed = kept.mapInArrow(place, f"chunk_id {index.key}, dl int, terms array<string>, tfs array<int>, block long")
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
-    blocked = packed.groupBy("block").applyInArrow(_postings, POSTED.format(key=index.key).rsplit(",", 1)[0]).withColumn("bucket", bucket)
-    blocked.repartition("bucket", F.pmod("block", F.lit(SALTS))).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
+    blocked = placed.groupBy("block").applyInArrow(_postings, POSTED.format(key=index.key).rsplit(",", 1)[0]).withColumn("bucket", bucket)
+    blocked.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
     rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
     told = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
     return told["n"], told["tokens"]
@@ -156,13 +168,18 @@ def remove(index: Index, ids: DataFrame) -> Index:
 def _removal(index: Index, ids: DataFrame) -> tuple[list[dict], int, int]:
     name, seq = uuid.uuid4().hex, index.seq + 1
     path = f"{index.root}/{name}"
-    gone = write_shared(index.chunks().join(ids.select(F.col("chunk_id").cast(index.key).alias("chunk_id")).distinct(), "chunk_id", "left_semi").select("chunk_id", "dl", "terms"), "removed-chunks")
+    every = index.read("chunks", CHUNKS, ("added",))
+    wanted = ids.select(F.col("chunk_id").cast(index.key).alias("chunk_id")).distinct()
+    gone = write_shared(index.live(every.select("chunk_id", "seq")).join(wanted, "chunk_id", "left_semi"), "removed-chunks")
+    n = gone.count()
+    # The stored chunks are not shuffled, nor stored again, to find the terms of those that go.
+    rows = every.join(F.broadcast(gone) if n <= REMOVED_ROWS else gone, ["chunk_id", "seq"], "left_semi")
     gone.select("chunk_id").write.parquet(f"{path}/removed")
-    gone.select(F.explode("terms").alias("term")).groupBy("term").agg((-F.count("*")).alias("df")).write.parquet(f"{path}/terms")
-    told = gone.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
+    rows.select(F.explode("terms").alias("term")).groupBy("term").agg((-F.count("*")).alias("df")).write.parquet(f"{path}/terms")
+    tokens = rows.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()["tokens"]
     drop_shared(gone)
-    segments = [*index.segments, {"id": name, "seq": seq, "kind": "removed", "n": told["n"]}] if told["n"] else list(index.segments)
-    return segments, index.n - told["n"], index.tokens - told["tokens"]
+    segments = [*index.segments, {"id": name, "seq": seq, "kind": "removed", "n": n}] if n else list(index.segments)
+    return segments, index.n - n, index.tokens - tokens
 
 
 def add(index: Index, texts: DataFrame) -> Index:
@@ -176,18 +193,14 @@ def add(index: Index, texts: DataFrame) -> Index:
     segments, n, tokens = _removal(index, known) if index.n else (list(index.segments), 0, 0)
     seq = max((s["seq"] for s in segments), default=0) + 1
     name = uuid.uuid4().hex
-    rows = write_shared(counted_texts(known, carried=("owner",)), "counted-texts")
-    added, own = _write_segment(index, rows, name)
-    drop_shared(rows)
+    added, own = _write_segment(index, counted_texts(known, carried=("owner",)), name)
     return _next(index, [*segments, {"id": name, "seq": seq, "kind": "added", "n": added}], n + added, tokens + own)
 
 
 def merge(index: Index) -> Index:
     """The next version with all live chunks in one segment. Reads stored chunks, no texts."""
-    rows = write_shared(index.chunks().select("chunk_id", "owner", "dl", "terms", "tfs"), "live-chunks")
     name = uuid.uuid4().hex
-    n, tokens = _write_segment(index, rows, name)
-    drop_shared(rows)
+    n, tokens = _write_segment(index, index.chunks(), name)
     return _next(index, [{"id": name, "seq": index.seq + 1, "kind": "added", "n": n}], n, tokens)
 
 
